@@ -1,0 +1,10 @@
+"""Operators for preparing training text. Nothing outside this folder imports it.
+
+Functions that run on executors are pickled by value, so executors need no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
