@@ -42,7 +42,10 @@ GRAM = 24
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 MIN_BLOCKS = 48
-HOT_BLOCKS = 32
+#: An anchor in more blocks than this, and than an eighth of them, is dealt out by single windows.
+HOT_BLOCKS = 256
+#: Parts of a bucket that are sorted one after another.
+PARTS = 16
 _SLICE = 1 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
 _U = np.uint64
@@ -194,10 +197,13 @@ def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, window: int, gram:
     keep = np.flatnonzero(flag)
     start, count, ids, flag, to = start[keep], count[keep], block.ids[doc[keep]], flag[keep], (distinct[place[keep]] >> _U(40)).astype(np.int64)
     hot = flag == 2
+    part = (distinct[place[keep]] >> _U(36)).astype(np.int64) % PARTS
     if hot.any():
         single = ranges(start[hot], count[hot])
+        w = window_hash(block.data, single, window)
         ids = np.concatenate([ids[~hot], np.repeat(ids[hot], count[hot])])
-        to = np.concatenate([to[~hot], (window_hash(block.data, single, window) % _U(buckets)).astype(np.int64)])
+        to = np.concatenate([to[~hot], (w % _U(buckets)).astype(np.int64)])
+        part = np.concatenate([part[~hot], (w >> _U(60)).astype(np.int64) % PARTS])
         start, count = np.concatenate([start[~hot], single]), np.concatenate([count[~hot], np.ones(len(single), np.int64)])
     same = run_hash(block.data, start, count, window)
     order = np.lexsort((ids, same))
@@ -206,22 +212,41 @@ def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, window: int, gram:
     least = i[np.flatnonzero(head)][np.cumsum(head) - 1] if len(s) else i
     later = order[i > least]
     sent = order[i == least]
-    sent = sent[np.argsort(to[sent], kind="stable")]
+    to = to * PARTS + part
+    sent = sent[np.lexsort((start[sent], to[sent]))]
     rows = {"bucket": [name % buckets], "block": [name], "packed": [None], "done": [_done(start[later], count[later])]} if len(later) else {"bucket": [], "block": [], "packed": [], "done": []}
-    t = to[sent]
+    t = to[sent] // PARTS
     cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
     squeeze = zstandard.ZstdCompressor(level=3)
     for a, b in zip(cut, np.append(cut[1:], len(t)), strict=False):
-        part = sent[a:b]
-        n = np.array([len(part)], "<i8").tobytes()
-        text = block.data[ranges(start[part], count[part] + window - 1)].tobytes()
+        few = sent[a:b]
         rows["bucket"].append(int(t[a]))
         rows["block"].append(name)
-        rows["packed"].append(squeeze.compress(n + ids[part].astype("<i8").tobytes() + start[part].astype("<u4").tobytes() + count[part].astype("u1").tobytes() + text))
+        rows["packed"].append(squeeze.compress(pack_runs(to[few] % PARTS, ids[few], start[few], count[few], block.data[ranges(start[few], count[few] + window - 1)])))
         rows["done"].append(None)
     return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "packed": pa.array(rows["packed"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of integers, all their lowest bytes first, and so on: they compress well."""
+    return np.ascontiguousarray(np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _whole(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel())
+
+
+def pack_runs(part: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray) -> bytes:
+    head = np.array([len(ids), *np.bincount(part, minlength=PARTS)], "<i8").tobytes()
+    return head + _planes(ids) + _planes(start) + count.astype("u1").tobytes() + text.tobytes()
+
+
+def unpack_runs(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Runs per part, document, start, windows, bytes."""
+    n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8 + 8 * PARTS
+    return np.frombuffer(raw, "<i8", PARTS, 8), _whole(raw, n, at), _whole(raw, n, at + 8 * n), np.frombuffer(raw, "u1", n, at + 16 * n).astype(np.int64), np.frombuffer(raw, np.uint8, -1, at + 17 * n)
+
+
 def bucket_pointers(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes at `starts` in order of their first `depth` bytes (8 at least), and where in it each bucket of equal ones begins.
 
@@ -262,53 +287,56 @@ def decide(sent: pa.Table, window: int) -> pa.Table:
     """Which windows of the runs that met in a bucket also start in a document of a smaller id."""
     sent = sent.combine_chunks()
     out: list[tuple[int, bytes]] = []
-    parts = []
+    runs = []
     for block, packed, done in zip(sent["block"].to_pylist(), sent["packed"].to_pylist(), sent["done"].to_pylist(), strict=True):
         if done is not None:
             out.append((block, done))
-            continue
-        raw = zstandard.ZstdDecompressor().decompress(packed)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        parts.append((np.full(n, block), np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64), np.frombuffer(raw, "u1", n, 8 + 12 * n).astype(np.int64), np.frombuffer(raw, np.uint8, -1, 8 + 13 * n)))
-    if parts:
-        block, ids, start, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        data = np.concatenate([*(p[4] for p in parts), np.zeros(64, np.uint8)])
-        del parts
-        at = np.cumsum(count + window - 1) - (count + window - 1)
-        same = run_hash(data, at, count, window)
-        order = np.lexsort((ids, same))
-        s = same[order]
-        head = np.concatenate([[True], s[1:] != s[:-1]])
-        group = np.empty(len(s), np.int64)
-        group[order] = np.cumsum(head) - 1
-        kept = order[head]  # of each distinct run the one in the least document
-        length = count[kept] + window - 1
-        data = np.concatenate([data[ranges(at[kept], length)], np.zeros(64, np.uint8)])
-        here = np.cumsum(length) - length
-        windows = ranges(here, count[kept])
-        owner = np.repeat(np.arange(len(kept)), count[kept])
-        sorted_, cut = bucket_pointers(data, windows, window)
-        who = ids[kept][owner]
-        least = np.minimum.reduceat(who[sorted_], cut)
-        first = np.empty(len(who), np.int64)
-        first[sorted_] = np.repeat(least, np.diff(np.append(cut, len(who))))
-        gone = who > first
-        # a later copy of a run loses all its windows; the first copy, and others in its document, what was found for it
-        begin = np.cumsum(count[kept]) - count[kept]
-        every = ranges(start, count)
-        run = np.repeat(np.arange(len(start)), count)
-        place = ranges(begin[group], count)
-        removed = gone[place] | (ids > ids[kept][group])[run]
-        every, run = every[removed], run[removed]
-        b = block[run]
-        o = np.argsort(b, kind="stable")
-        b, every = b[o], every[o]
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-        for i, j in zip(cut, np.append(cut[1:], len(b)), strict=False):
-            out.append((int(b[i]), _done(every[i:j], np.ones(j - i, np.int64))))
+        else:
+            runs.append((block, *unpack_runs(zstandard.ZstdDecompressor().decompress(packed))))
+    for part in range(PARTS):
+        found = []
+        for block, sizes, ids, start, count, text in runs:
+            a, b = int(sizes[:part].sum()), int(sizes[: part + 1].sum())
+            if a < b:
+                lengths = count + window - 1
+                i = int(lengths[:a].sum())
+                found.append((np.full(b - a, block), ids[a:b], start[a:b], count[a:b], text[i : i + int(lengths[a:b].sum())]))
+        if found:
+            out += _decide(found, window)
     return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "marks": pa.array([m for _, m in out], pa.binary())})
 
 
+def _decide(found: list[tuple[np.ndarray, ...]], window: int) -> list[tuple[int, bytes]]:
+    block, ids, start, count = (np.concatenate([f[k] for f in found]) for k in range(4))
+    data = np.concatenate([*(f[4] for f in found), np.zeros(64, np.uint8)])
+    at = np.cumsum(count + window - 1) - (count + window - 1)
+    same = run_hash(data, at, count, window)
+    order = np.lexsort((ids, same))
+    s = same[order]
+    head = np.concatenate([[True], s[1:] != s[:-1]])
+    group = np.empty(len(s), np.int64)
+    group[order] = np.cumsum(head) - 1
+    kept = order[head]  # of each distinct run the one in the least document
+    length = count[kept] + window - 1
+    data = np.concatenate([data[ranges(at[kept], length)], np.zeros(64, np.uint8)])
+    windows = ranges(np.cumsum(length) - length, count[kept])
+    owner = np.repeat(np.arange(len(kept)), count[kept])
+    sorted_, cut = bucket_pointers(data, windows, window)
+    who = ids[kept][owner]
+    least = np.minimum.reduceat(who[sorted_], cut)
+    first = np.empty(len(who), np.int64)
+    first[sorted_] = np.repeat(least, np.diff(np.append(cut, len(who))))
+    gone = who > first
+    # a later copy of a run loses all its windows; the first copy, and others in its document, what was found for it
+    begin = np.cumsum(count[kept]) - count[kept]
+    removed = gone[ranges(begin[group], count)] | np.repeat(ids > ids[kept][group], count)
+    every, b = ranges(start, count)[removed], np.repeat(block, count)[removed]
+    o = np.argsort(b, kind="stable")
+    b, every = b[o], every[o]
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    return [(int(b[i]), _done(every[i:j], np.ones(j - i, np.int64))) for i, j in zip(cut, np.append(cut[1:], len(b)), strict=False)]
+
+
 def removed_bytes(block: Block, marks: list[bytes], window: int) -> np.ndarray:
     edge = np.zeros(block.n + window + 1, np.int32)
     for m in marks:
@@ -344,9 +372,10 @@ def rewrite(docs: pa.Table, marks: pa.Table, window: int, names: list[str]) -> p
 def _marked(docs: DataFrame, window: int, gram: int, block_bytes: int, bucket_bytes: int, hot_blocks: int) -> tuple[DataFrame, DataFrame]:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(MIN_BLOCKS, math.ceil(total / block_bytes)), max(MIN_BLOCKS, math.ceil(total / bucket_bytes))
+    hot = max(hot_blocks, blocks // 8)
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, window, gram), ANCHORS)
-    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot_blocks), FLAGS)
+    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot), FLAGS)
     runs = dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: send_runs(d, f, buckets, window, gram), RUNS)
     return dealt, runs.groupBy("bucket").applyInArrow(lambda t: decide(t, window), MARKS)
 

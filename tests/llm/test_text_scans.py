@@ -64,7 +64,7 @@ def fill(sizes, weights, total, most):
 
 def test_mixing(spark):
     r = random.Random(3)
-    rows = [(i, r.choice(["a", "b", "b", "b", "c", "Z", None]), r.choice([None, "", "x " * r.randint(0, 50)]), 1) for i in range(400)] + [(7, "only", "y y y", 1)] * 3 + [(8, "none", None, 1)]
+    rows = [(i, r.choice(["a", "b", "b", "b", "c", "Z", None]), r.choice([None, "", "x " * r.randint(0, 50)]), 1) for i in range(400)] + [(1007, "only", "y y y", 1)] * 3 + [(1008, "none", None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, size int")
     got = M.mix_sources(df, bins=4).collect()
     assert len(got) == len(rows)
