@@ -14,6 +14,8 @@ exchange is reused):
    pointers (8, 16, 32, then `window` bytes); windows that end in one bucket are equal;
 4. each block marks its covered bytes.
 
+Rows travel to their block packed and compressed, some from each task together.
+
 Only anchors met twice travel with their bytes, and nothing is gathered beyond a block or a bucket; both counts
 follow the corpus size.
 
@@ -69,11 +71,34 @@ def window_hash(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
+def deal(batches):
+    """Rows packed by block, so that they travel compressed: (_block, rows as an Arrow stream)."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        to = rows["_block"].to_numpy()
+        rows = rows.drop_columns(["_block"])
+        order = np.argsort(to, kind="stable")
+        rows, to = rows.take(order).combine_chunks(), to[order]
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        packed = []
+        for i, j in zip(cut, np.append(cut[1:], len(to)), strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows.slice(i, j - i))
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(packed, pa.binary())], ["_block", "rows"])
+
+
+def undeal(dealt: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for c in dealt["rows"].chunks for x in c])
+
+
 class Block:
     """The documents of a block in order of (doc_id, text), as one byte array with 64 spare bytes at its end."""
 
-    def __init__(self, docs: pa.Table):
-        docs = docs.combine_chunks()
+    def __init__(self, dealt: pa.Table):
+        docs = undeal(dealt).combine_chunks()
         order = pc.sort_indices(docs.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])
         self.rows = docs.take(order)
         ids, text = self.rows["doc_id"], pc.fill_null(self.rows["text"], "").combine_chunks()
@@ -373,7 +398,7 @@ def _marked(docs: DataFrame, window: int, gram: int, block_bytes: int, bucket_by
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(MIN_BLOCKS, math.ceil(total / block_bytes)), max(MIN_BLOCKS, math.ceil(total / bucket_bytes))
     hot = max(hot_blocks, blocks // 8)
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).mapInArrow(deal, "_block int, rows binary")
     sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, window, gram), ANCHORS)
     flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot), FLAGS)
     runs = dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: send_runs(d, f, buckets, window, gram), RUNS)
