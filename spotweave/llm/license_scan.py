@@ -2,7 +2,7 @@
 calibrated probability a paragraph is of an unknown licence, and a comparison with the family's templates confirms it.
 
 The classifier has the families below, `unknown` (licences outside them) and `none`. It is fitted by the driver on the labelled paragraphs below and
-seeded variations of them (bounded: `VARIATIONS` of each), and its probabilities are calibrated by a temperature chosen
+seeded variations of them (bounded: `VARIATIONS` of each; their n-grams are those of the paragraphs themselves), and its probabilities are calibrated by a temperature chosen
 on further variations. Its features are single words and pairs in a row with at least one of the licence words, so a
 paragraph (a line) without any is `none` with no further look, which drops most lines in the scan, exactly. Of the
 others each distinct paragraph is scored once, wherever it stands: its n-grams are joined with the table of weights
@@ -133,7 +133,7 @@ class Model:
     def __init__(self, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3):
         data = labelled()
         self.families = [*TEMPLATES, UNKNOWN, NONE]
-        self.place = {g: k for k, g in enumerate(sorted(set().union(*(grams(t) for t, _ in data))))}
+        self.place = {g: k for k, g in enumerate(sorted(set().union(*(grams(t) for texts in (*TEMPLATES.values(), OUTSIDE, OTHER) for t in texts))))}
         x, y = self._matrix([t for t, _ in data]), np.array([self.families.index(f) for _, f in data])
         w, b = np.zeros((len(self.place), len(self.families))), np.zeros(len(self.families))
         sums, each = [np.full_like(v, 1e-8) for v in (w, b)], 1 / np.bincount(y)[y]
@@ -149,7 +149,7 @@ class Model:
         self.temperature = min((0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
 
     def _matrix(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.place)))
+        x = np.zeros((len(texts), len(self.place)), np.float32)
         for k, t in enumerate(texts):
             x[k, [self.place[g] for g in grams(t) if g in self.place]] = 1
         return x
