@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.vectors import cosine, distance2, dot
+from pyspark.sql.types import StructType
 
 SPOT = ["sample_id", "spot_idx"]
 
@@ -57,14 +57,23 @@ def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, r
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches):
-            block, total, some = shared.value, None, False
+            block, total = shared.value, None
             for batch in batches:
-                for row in batch.column("row").to_pylist():
-                    g, v = np.array([x["gene_idx"] for x in row]), np.array([x["v"] for x in row])
-                    total = np.zeros_like(block) if total is None else total
-                    np.add.at(total, g, v[:, None] * (v @ block[g])[None, :])
-                    some = True
-            if some:
+                row = batch.column("row")
+                at, flat = row.offsets.to_numpy(), row.values
+                gene, v = flat.field("gene_idx").to_numpy(), flat.field("v").to_numpy()
+                total = np.zeros_like(block) if total is None else total
+                lo = 0
+                while lo < len(row):  # some rows at a time, so that entries * width stays small
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 100_000, "right")) - 1)
+                    g, w, n = gene[at[lo] : at[hi]], v[at[lo] : at[hi], None], np.diff(at[lo : hi + 1])
+                    y = np.add.reduceat(w * block[g], at[lo:hi] - at[lo])
+                    outer = w * np.repeat(y, n, axis=0)
+                    order = np.argsort(g, kind="stable")
+                    first = np.flatnonzero(np.diff(g[order], prepend=-1))
+                    total[g[order][first]] += np.add.reduceat(outer[order], first)
+                    lo = hi
+            if total is not None:
                 keep = np.flatnonzero(np.abs(total).sum(1))
                 flat = pa.array(total[keep].ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, block.shape[1]).cast(pa.list_(pa.float64()))], ["gene_idx", "p"])
@@ -86,38 +95,122 @@ def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, r
     return spark.createDataFrame([(int(g), int(d), float(v[g, d])) for g in range(n_genes) for d in range(v.shape[1]) if v[g, d]], "gene_idx int, dim int, w double")
 
 
-def _pairs(qk: DataFrame) -> DataFrame:
-    """All (b, a) of each pair of slices: within a pair every score is wanted, so the work is the sum of n_a * n_b; pairs
-    and blocks of B spots are dealt out, and nothing crosses pairs."""
-    b = qk.where("side = 'B'").select("pair_id", F.col("spot_idx").alias("b_idx"), F.col("v").alias("bv"))
-    a = qk.where("side = 'A'").select("pair_id", F.col("spot_idx").alias("a_idx"), F.col("v").alias("av"))
-    return b.join(a, "pair_id")
+BLOCK = 2048
 
 
-def feature_nn(qk: DataFrame, spots_a: DataFrame) -> DataFrame:
-    """Per B spot the A spot nearest in feature space (ties: least index) and its coordinates."""
-    best = _pairs(qk).groupBy("pair_id", "b_idx").agg(F.min(F.struct(F.sqrt(distance2(F.col("bv"), F.col("av"))).alias("d"), "a_idx")).alias("m"))
-    return best.select("pair_id", "b_idx", F.col("m.a_idx").alias("a_idx"), F.col("m.d").alias("distance")).join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
+def _by_block(qk: DataFrame, score, schema: str, block: int = BLOCK) -> DataFrame:
+    """All A spots against all B spots of each pair of slices: the work is the sum of n_a * n_b by definition.
+
+    Both sides of a pair are dealt by hash into blocks of about `block` spots, and each (B block, A block) is a group
+    of its own, so a pair that holds a third of all rows is many tasks, and a task holds block * block scores at most.
+    Rows without a vector are left out. Each row is sent once per block of the other side. `score(pair_id, b, a)` takes the two tables of a group.
+    """
+    sizes = qk.groupBy("pair_id").agg(*[F.greatest(F.ceil(F.count_if(F.col("side") == s) / block), F.lit(1)).cast("int").alias(f"n_{s}") for s in "AB"])
+    is_b = F.col("side") == "B"
+    dealt = qk.where("side in ('A', 'B') and v is not null").join(sizes, "pair_id").withColumn("own", F.pmod(F.xxhash64("spot_idx"), F.when(is_b, F.col("n_B")).otherwise(F.col("n_A"))).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_b, F.col("n_A")).otherwise(F.col("n_B")) - 1)))
+    sent = sent.select(*qk.columns, F.when(is_b, F.col("own")).otherwise(F.col("other")).alias("b_block"), F.when(is_b, F.col("other")).otherwise(F.col("own")).alias("a_block"))
+    empty = pa.table({f.name: pa.array([], t) for f, t in zip(_fields(schema), _arrow(schema), strict=True)})
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group["side"].combine_chunks()
+        b, a = (group.filter(pc.equal(side, s)).combine_chunks() for s in "BA")
+        if not b.num_rows or not a.num_rows:
+            return empty
+        return pa.table(dict(zip(empty.column_names, score(group["pair_id"][0].as_py(), b, a), strict=True))).cast(empty.schema)
+
+    return sent.groupBy("pair_id", "b_block", "a_block").applyInArrow(run, schema)
+
+
+def _fields(schema: str) -> list:
+    return StructType.fromDDL(schema).fields
+
+
+def _arrow(schema: str) -> list:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    return [kinds[f.dataType.simpleString()] for f in _fields(schema)]
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    v = t["v"].chunk(0) if t["v"].num_chunks else t["v"].combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
+def _ids(t: pa.Table) -> np.ndarray:
+    return t["spot_idx"].to_numpy()
+
+
+def _every(pair, b: pa.Table, a: pa.Table, scores: np.ndarray) -> tuple:
+    """A row for each score of a block."""
+    return pa.array([pair] * scores.size), np.repeat(_ids(b), a.num_rows), np.tile(_ids(a), b.num_rows), scores.ravel()
 
 
-def topk_neighbors(qk: DataFrame, k: int) -> DataFrame:
-    d = _pairs(qk).select("pair_id", "b_idx", "a_idx", F.sqrt(distance2(F.col("bv"), F.col("av"))).alias("distance"))
+def _nearest(k: int):
+    """The k nearest A spots of each B spot of a block, by (distance, index). A matrix product with a margin for its
+    rounding finds who can be among them; their distances are then summed in one order, so ties are exact."""
+
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        bv, av, b_id, a_id = _matrix(b), _matrix(a), _ids(b), _ids(a)
+        b2, a2 = (bv * bv).sum(1), (av * av).sum(1)
+        out = []
+        for lo in range(0, len(bv), 64):
+            part = slice(lo, lo + 64)
+            near = b2[part, None] + a2[None, :] - 2 * (bv[part] @ av.T)
+            kth = np.partition(near, min(k, len(av)) - 1, axis=1)[:, min(k, len(av)) - 1]
+            i, j = np.nonzero(near <= (kth + 1e-9 * (b2[part] + a2.max()))[:, None])
+            exact = np.zeros(len(i))
+            for c in range(bv.shape[1]):
+                exact += (bv[lo + i, c] - av[j, c]) ** 2
+            exact = np.sqrt(exact)
+            order = np.lexsort((a_id[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            out.append((b_id[lo + i[rank < k]], a_id[j[rank < k]], exact[rank < k]))
+        b_idx, a_idx, distance = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.array([pair] * len(b_idx)), b_idx, a_idx, distance
+
+    return score
+
+
+PAIR = "pair_id string, b_idx long, a_idx long"
+
+
+def topk_neighbors(qk: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest A spots in feature space of each B spot, ties to the least index; k rows of a block leave its task."""
+    d = _by_block(qk.select("pair_id", "side", "spot_idx", "v"), _nearest(k), f"{PAIR}, distance double", block)
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "b_idx").orderBy("distance", "a_idx"))).where(F.col("rank") <= k)
 
 
+def feature_nn(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per B spot the A spot nearest in feature space (ties: least index) and its coordinates."""
+    best = topk_neighbors(qk, 1, block).drop("rank")
+    return best.join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx").select("a_idx", "pair_id", "b_idx", "distance", "x", "y")
+
+
 def feature_knn_weighted(qk: DataFrame, spots_a: DataFrame, k: int = 10) -> DataFrame:
     """Mean coordinates of the k nearest A spots, weighted by 1 / (distance + 1e-6)."""
     near = topk_neighbors(qk, k).withColumn("w", 1.0 / (F.col("distance") + 1e-6)).join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
     return near.groupBy("pair_id", "b_idx").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 
-def attention_logits(qk: DataFrame) -> DataFrame:
+def _scaled(b: pa.Table, a: pa.Table) -> np.ndarray:
+    bv, av = _matrix(b), _matrix(a)
+    return bv @ av.T / np.sqrt(av.shape[1])
+
+
+def attention_logits(qk: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pair_id, b_idx, a_idx, logit): dot product over the root of the width."""
-    return _pairs(qk).select("pair_id", "b_idx", "a_idx", (dot(F.col("bv"), F.col("av")) / F.sqrt(F.size("av"))).alias("logit"))
+    return _by_block(qk.select("pair_id", "side", "spot_idx", "v"), lambda pair, b, a: _every(pair, b, a, _scaled(b, a)), f"{PAIR}, logit double", block)
+
 
+def cosine_match(qk: DataFrame, temperature: float = 0.1, block: int = BLOCK) -> DataFrame:
+    """(pair_id, b_idx, a_idx, logit): cosine over the temperature; norms below 1e-12 count as that."""
 
-def cosine_match(qk: DataFrame, temperature: float = 0.1) -> DataFrame:
-    return _pairs(qk).select("pair_id", "b_idx", "a_idx", (cosine(F.col("bv"), F.col("av")) / temperature).alias("logit"))
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        bv, av = (m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None] for m in (_matrix(b), _matrix(a)))
+        return _every(pair, b, a, bv @ av.T / temperature)
+
+    return _by_block(qk.select("pair_id", "side", "spot_idx", "v"), score, f"{PAIR}, logit double", block)
 
 
 def softmax_over_row(logits: DataFrame) -> DataFrame:
@@ -126,14 +219,23 @@ def softmax_over_row(logits: DataFrame) -> DataFrame:
     return e.select("pair_id", "b_idx", "a_idx", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
-def attention_match(qk: DataFrame, spots_a: DataFrame) -> DataFrame:
-    """Soft coordinates of each B spot. The softmax is merged from (max, sums) of each group, so only one row per B spot
-    leaves the grouping: with the row's maximum taken first, sums of exp and exp * coordinate follow."""
-    a = spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y")
-    logits = attention_logits(qk)
-    top = logits.groupBy("pair_id", "b_idx").agg(F.max("logit").alias("top"))
-    e = logits.join(top, ["pair_id", "b_idx"]).join(a, "a_idx").withColumn("e", F.exp(F.col("logit") - F.col("top")))
-    return e.groupBy("pair_id", "b_idx").agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("x"), (F.sum(F.col("e") * F.col("y")) / F.sum("e")).alias("y"))
+def attention_match(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Soft coordinates of each B spot. A block gives one row per B spot, (max, sum of exp, sums of exp * coordinate); these
+    are merged by the row's overall maximum, so scores never leave a task."""
+    at = spots_a.select(F.col("spot_idx").alias("_a"), "x", "y")
+    q = qk.select("pair_id", "side", "spot_idx", "v")
+    placed = q.where("side = 'A'").join(at, F.col("spot_idx") == F.col("_a")).drop("_a").union(q.where("side = 'B'").withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)))
+
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        logit = _scaled(b, a)
+        top = logit.max(1)
+        e = np.exp(logit - top[:, None])
+        return pa.array([pair] * b.num_rows), _ids(b), top, e.sum(1), e @ a["x"].to_numpy(), e @ a["y"].to_numpy()
+
+    parts = _by_block(placed, score, "pair_id string, b_idx long, top double, e double, ex double, ey double", block)
+    scale = F.exp(F.col("top") - F.max("top").over(Window.partitionBy("pair_id", "b_idx")))
+    merged = parts.withColumn("s", scale).groupBy("pair_id", "b_idx").agg(*[F.sum(F.col("s") * F.col(c)).alias(c) for c in ("e", "ex", "ey")])
+    return merged.select("pair_id", "b_idx", (F.col("ex") / F.col("e")).alias("x"), (F.col("ey") / F.col("e")).alias("y"))
 
 
 def match_top1(logits: DataFrame, partner: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import scoring as S
 from ..operators import transforms as T
 from ..sources import intake as I
 from ..sources import slices as L
+from ..streaming.leads import stream_leads as run_stream
 from . import fixtures as X
 from .fixtures import PITCH, with_
 
@@ -447,6 +448,11 @@ def stack_slices(s, d):
 WARP = with_("spots", "warp")
 
 
+@query(WARP + f"SELECT sample_id, {R('extent')} FROM extent")
+def extent(s, d):
+    return r6(T.extent(X.spots(s, d)).select("sample_id", "extent"), "extent")
+
+
 @query(WARP + f"SELECT sample_id, {R('extent', 'bump_width')} FROM extent")
 def bump_width(s, d):
     return r6(T.extent(X.spots(s, d)), "extent", "bump_width")
@@ -737,25 +743,53 @@ def scan_optional(s, d):
     return r6(L.scan_optional(grid, c.groupBy("fold", "severity").agg(F.avg("reg_err").alias("err")), ["fold", "severity"]).select("fold", "severity", "err"), "err")
 
 
-@query("SELECT event_type AS run, user_id AS severity, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+@query("SELECT event_type AS run, user_id::DOUBLE AS severity, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def scan_curves(s, d):
-    e = X.table(s, d, "events").select(F.col("event_type").alias("run"), F.col("user_id").alias("severity"), "value", "event_id")
-    return L.last_of_each(e, ["run", "severity"], "event_id").drop("event_id")
+    """Written as one headed CSV per run, in order of event, and read again by file name."""
+    e = X.table(s, d, "events").select(F.col("event_type").alias("run"), F.col("user_id").cast("double").alias("severity"), "value", "event_id")
+    path = X.scratch(s)
+    e.repartition("run").sortWithinPartitions("run", "event_id").drop("event_id").write.partitionBy("run").option("header", True).csv(path)
+    return L.scan_curves(s, path, "severity double, value double", r"run=([^/]+)/")
+
+
+CURVE = with_("curves") + "SELECT method, fold, severity, round(err, 6) AS err FROM means"
+
+
+@query(CURVE)
+def write_curves(s, d):
+    path = X.scratch(s)
+    L.write_curves(X.method_curves(s, d), path)
+    return r6(s.read.schema("method string, fold long, severity double, err double").option("header", True).csv(path), "err")
 
 
 @query("SELECT p_partkey || '=' || p_brand AS value FROM part")
 def write_summary(s, d):
-    return L.summary_lines(X.table(s, d, "part"), "p_partkey", "p_brand").select("value")
+    path = X.scratch(s)
+    L.write_summary(X.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value")), path)
+    return s.read.text(path)
 
 
 @query("SELECT p_partkey::VARCHAR AS key, p_brand AS val FROM part")
 def scan_summary(s, d):
-    return L.parse_summary(L.summary_lines(X.table(s, d, "part").withColumn("p_partkey", F.col("p_partkey").cast("string")), "p_partkey", "p_brand"))
+    path = X.scratch(s)
+    L.write_summary(X.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value")), path)
+    return L.scan_summary(s, path)
+
+
+def _written_plan(s, d):
+    path = X.scratch(s)
+    L.write_plan(X.plan(s, d), path)
+    return path
+
+
+@query(PLAN + "SELECT run_id, a_idx, b_idx, mass FROM plan")
+def write_plan(s, d):
+    return s.read.parquet(_written_plan(s, d)).select("run_id", "a_idx", "b_idx", "mass")
 
 
 @query(PLAN + "SELECT run_id, a_idx, b_idx, mass FROM plan WHERE run_id = 'R'")
 def scan_plan(s, d):
-    return X.plan(s, d).where(F.col("run_id") == "R")
+    return L.scan_plan(s, _written_plan(s, d), "R").select("run_id", "a_idx", "b_idx", "mass")
 
 
 def _stack(s, d):
@@ -796,6 +830,16 @@ def append_leads(s, d):
     return I.landed(X.leads(s, d)).select("custkey", "email", "role")
 
 
+@query(with_("leads") + "SELECT custkey, email, nullif(trim(role), '') AS role, '' AS reasons FROM judged WHERE len(reasons) = 0 AND hp IS NULL UNION ALL SELECT custkey, email, role, array_to_string(reasons, '; ') AS reasons FROM judged WHERE len(reasons) > 0 AND hp IS NULL")
+def stream_leads(s, d):
+    """The leads written as JSON files, taken in by the stream, and both of its sinks read again."""
+    path = X.scratch(s)
+    X.leads(s, d).write.json(f"{path}/in")
+    run_stream(s, f"{path}/in", f"{path}/valid", f"{path}/rejected", f"{path}/progress", schema=f"custkey long, {I.LEAD}").awaitTermination()
+    valid = s.read.parquet(f"{path}/valid").select("custkey", "email", "role", F.lit("").alias("reasons"))
+    return valid.union(s.read.parquet(f"{path}/rejected").select("custkey", "email", "role", F.concat_ws("; ", "reasons")))
+
+
 @query(with_("uploads") + "SELECT page_id, filename, received, CASE WHEN declared_size > 0 THEN declared_size ELSE received END AS file_size, declared_size > received AS truncated, CASE WHEN spots > 0 THEN spots ELSE -1 END AS spots FROM uploads")
 def upload_receipt(s, d):
     u = X.uploads(s, d)

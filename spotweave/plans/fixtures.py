@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of the shared spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
 def spots(spark: SparkSession, d: str) -> DataFrame:
     """Two slices of the embeddings: odd ids are B, even ones A but for every 22nd."""
     e = table(spark, d, "embeddings").where("vec_id % 2 = 1 or vec_id % 22 <> 0")

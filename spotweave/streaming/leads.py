@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.intake import LEAD, landed, rejected
 
 
-def stream_leads(spark: SparkSession, source: str, valid_path: str, rejected_path: str, checkpoint: str, available_now: bool = True):
+def stream_leads(spark: SparkSession, source: str, valid_path: str, rejected_path: str, checkpoint: str, available_now: bool = True, schema: str = LEAD):
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         landed(batch).write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
         rejected(batch).write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
         batch.unpersist()
 
-    out = spark.readStream.schema(LEAD).json(source).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    out = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

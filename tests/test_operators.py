@@ -188,3 +188,19 @@ def test_round_trips(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         L.scan_slice(spark, str(tmp_path / "t"), "Z")
     assert [r[0] for r in spark.createDataFrame([(0.5,), (8.0,)], "s double").select(V.severity_tag(F.col("s"))).collect()] == ["0p5", "8"]
+
+
+def test_matching_in_many_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = {s: rng.integers(-2, 3, (n, 3)).astype(float) for s, n in (("A", 37), ("B", 23))}
+    qk = spark.createDataFrame([(p, s, i, v[s][i].tolist()) for p in ("p", "q") for s in "AB" for i in range(len(v[s]))] + [("p", "A", 99, None), ("r", "B", 1, [0.0] * 3)], "pair_id string, side string, spot_idx long, v array<double>")
+    a = spots(spark, [("A", i, 0, i, float(i * i % 7), float(-i), "L") for i in range(37)])
+    d = np.sqrt(((v["B"][:, None] - v["A"][None]) ** 2).sum(2))
+    want = {(p, b, r + 1): int(i) for p in "pq" for b in range(23) for r, i in enumerate(np.lexsort((np.arange(37), d[b]))[:4])}
+    assert {(r.pair_id, r.b_idx, r["rank"]): r.a_idx for r in E.topk_neighbors(qk, 4, block=5).collect()} == want
+    logit = v["B"] @ v["A"].T / np.sqrt(3)
+    p = np.exp(logit) / np.exp(logit).sum(1, keepdims=True)
+    x = p @ np.array([float(i * i % 7) for i in range(37)])
+    got = E.attention_match(qk, a, block=5).collect()
+    assert len(got) == 46 and all(abs(r.x - x[r.b_idx]) < 1e-9 for r in got)
+    assert E.attention_logits(qk, block=5).count() == 2 * 37 * 23
