@@ -18,8 +18,8 @@ fewer words (but not none) has one, of all its words. Steps:
 The work within a component grows with the square of its classes (all links must be counted), the rows that are
 shuffled with classes times tiles.
 
-Defined cases: texts without words, and null texts, are classes of their own without links; rows with one doc_id
-are taken as given (equal texts fall in one class); a row with a null doc_id comes back with nulls and no links;
+Defined cases: texts without words, and null texts, are classes of their own without links; rows with one doc_id and
+different texts are one document with several sets, linked if any of them is; a row with a null doc_id comes back with nulls and no links;
 ties go to the least doc_id; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -194,8 +194,15 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
     sets, at = ngram_sets(texts, n)
     del texts
     ids, comp, side, tiled = (group[c].to_numpy() for c in ("copy_id", "root", "side", "tiled"))
-    order = np.lexsort((ids, comp))
-    cut = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
+    order = np.flatnonzero(np.diff(at))
+    tag = np.zeros(len(ids), np.uint64)
+    if len(order):
+        tag[order] = np.add.reduceat(mix(sets ^ _U(3)), at[order])
+    order = order[np.lexsort((tag[order], ids[order], comp[order]))]
+    # one member for each set of a document, whatever the number of its rows
+    same = (comp[order][1:] == comp[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (tag[order][1:] == tag[order][:-1])
+    order = order[np.concatenate([[True], ~same])] if len(order) else order
+    cut = np.flatnonzero(np.diff(comp[order], prepend=comp[order][:1] - 1))
     out_id, out_n, out_root, out_tiled = [], [], [], []
     for i, j in zip(cut, np.append(cut[1:], len(order)), strict=False):
         members = order[i:j]
@@ -204,6 +211,13 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
         if len(members) == 1 or (tiled[members[0]] and not two and s[0] != 0):
             continue
         close = _links(sets, at, members, s == 1 if two else None, threshold)
+        doc, first = np.unique(ids[members], return_index=True)
+        if len(doc) < len(members):  # a document's own sets belong together, but are no links
+            mine = ids[members][:, None] == ids[members][None, :]
+            links = np.logical_or.reduceat(close & ~mine, first, axis=0).sum(1)
+            close |= mine
+        else:
+            links = close.sum(1)
         root = np.arange(len(members))  # members are in order of id: least index, least id
         while True:
             new = np.minimum(root, np.where(close, root[None, :], len(root)).min(1))
@@ -211,10 +225,10 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
             if (new == root).all():
                 break
             root = new
-        out_id.append(ids[members])
-        out_n.append(close.sum(1))
-        out_root.append(ids[members][root])
-        out_tiled.append(tiled[members])
+        out_id.append(doc)
+        out_n.append(links)
+        out_root.append(ids[members][root[first]])
+        out_tiled.append(tiled[members][first])
     if not out_id:
         return pa.table({"copy_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "tiled": pa.array([], pa.bool_())})
     return pa.table({"copy_id": np.concatenate(out_id), "links": np.concatenate(out_n).astype(np.int64), "root": np.concatenate(out_root), "tiled": np.concatenate(out_tiled)})
@@ -239,7 +253,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     stars = dealt.join(buckets, "band").where("copy_id <> v").select(F.col("copy_id").alias("u"), "v").distinct()
     candidates = components(stars)
 
-    texts = docs.where("doc_id is not null").join(candidates.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("copy_id"), "root", "text").withColumn("bytes", F.octet_length("text"))
+    texts = docs.where("doc_id is not null").join(candidates.withColumnRenamed("node", "doc_id"), "doc_id").where("text is not null").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("copy_id"), "root", "text")
     sizes = candidates.join(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node").groupBy("root").agg(F.sum("bytes").alias("b"), F.count("*").alias("c")).select("root", "b", F.greatest(F.ceil(F.col("c") / tile_rows), F.ceil(F.col("b") / group_bytes)).cast("int").alias("tiles")).checkpoint()
     total = sizes.agg(F.sum("b")).first()[0] or 0
     groups = max(spark.sparkContext.defaultParallelism * 4, math.ceil(total / group_bytes))

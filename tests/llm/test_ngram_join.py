@@ -68,6 +68,14 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in got} == want
 
 
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_rows_of_one_id_with_different_texts(spark, tile):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, None), (1, ""), (1, b), (1, b), (1, b + " "), (2, a + " x"), (3, b + " y"), (4, b + " z"), (5, "c")]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in J.similar(spark.createDataFrame(rows, DOCS), tile_rows=tile).collect()}
+    assert got == {(1, 1, 3), (1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 2), (5, 5, 0)}
+
+
 def test_empty(spark):
     assert J.similar(spark.createDataFrame([], DOCS)).collect() == []
 
