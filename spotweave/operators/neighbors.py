@@ -1,7 +1,7 @@
 """Exact nearest neighbours and radius joins in the plane by grid cells: equi-joins on cells, never all pairs.
 
 `nearest` looks at the 3 x 3 cells around a point. A result is exact once the k-th neighbour is no farther than one cell
-side, which is what the ring covers at least; the points left over are searched again with cells twice as large. Cells
+side, which is what the ring covers at least; the points left over are searched again with cells three times as large. Cells
 start near the size that holds k points on average, so most points are settled in the first round, and only the rest
 travels on. Points that share a cell are compared with each other: a cell of very many points (duplicates) costs its
 square.
@@ -55,7 +55,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, other: bool = Fal
         left = known.where("not ok").select("sample_id", "src", "x", "y")
         if not left.take(1):
             return out
-        side *= 2
+        side *= 3
 
 
 def knn_spatial(spots: DataFrame, k: int = 6) -> DataFrame:
