@@ -1,5 +1,7 @@
 """Language identification by compression: each text is compressed with one raw-content zstandard dictionary per
-language, and the language that leaves the fewest bytes wins; narrow margins are rejected.
+language, and the language that leaves the fewest bytes wins; narrow margins are rejected. A text is compressed whole, in
+pieces of `PIECE` bytes that each start from the dictionary anew, so the margin means the same at every length: what a
+dictionary can save is bounded, and in one piece its share would shrink as the text grows.
 
 The dictionaries hold a bounded sample of the learning rows: `texts` texts of each language, those with the least
 hash of their id, of each of which up to `bytes_each` bytes from its start are taken. Predictions read whole texts.
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXTS, BYTES_EACH, LEVEL = 64, 800, 5
+PIECE = 32 << 10
 #: Reject when the best dictionary saves less than this share of what the second leaves.
 MARGIN = 0.004
 UNKNOWN = "und"
@@ -59,7 +62,8 @@ class Judge:
         if not text or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
         raw = letters(text)
-        sizes = sorted((len(p.compress(raw)), lang) for p, lang in zip(self.packers, self.langs, strict=True))
+        pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+        sizes = sorted((sum(len(p.compress(x)) for x in pieces), lang) for p, lang in zip(self.packers, self.langs, strict=True))
         score = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
         return sizes[0][1], score, score < self.margin
 

@@ -48,6 +48,26 @@ def test_language_id(spark):
     assert L.learn(df.limit(0)) == {}
 
 
+def test_language_of_texts_of_any_length(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text", "lang").collect()
+    kinds = "doc_id long, text string, lang string"
+    held = lambda x: zlib.crc32(str(x.doc_id).encode()) % 3 == 1
+    content = L.learn(spark.createDataFrame([x for x in rows if not held(x)], kinds))
+    long = []
+    for k, lang in enumerate(sorted(content)):
+        # words in random order: a text of many megabytes that isn't its own dictionary
+        words = " ".join(x.text for x in rows if held(x) and x.lang == lang and x.text).split()
+        r = random.Random(k)
+        long += [(10 * k + j, " ".join(r.choices(words, k=n)), lang) for j, n in enumerate((6_000, 60_000, 700_000))]
+    assert max(len(t) for _, t, _ in long) > 3_000_000
+    df = spark.createDataFrame(long, kinds)
+    got = {x.doc_id: x for x in L.identify(df, content).collect()}
+    assert all(got[i].lang_pred == lang and not got[i].rejected for i, _, lang in long)
+    for i in range(0, len(long) // 3 * 10, 10):
+        assert got[i + 2].score > 0.5 * got[i].score
+    assert L.identified(df, content).count() == len(long)
+
+
 def fill(sizes, weights, total, most):
     """Water-filling by repeated sharing, as stated."""
     full, left = {}, dict(sizes)
