@@ -193,7 +193,7 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
     texts = group["text"].cast(pa.large_binary()).to_pylist()
     sets, at = ngram_sets(texts, n)
     del texts
-    ids, comp, side, tiled = (group[c].to_numpy() for c in ("copy_id", "root", "side", "tiled"))
+    ids, comp, side, tiled, apart = (group[c].to_numpy() for c in ("copy_id", "root", "side", "tiled", "apart"))
     order = np.flatnonzero(np.diff(at))
     tag = np.zeros(len(ids), np.uint64)
     if len(order):
@@ -207,8 +207,8 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
     for i, j in zip(cut, np.append(cut[1:], len(order)), strict=False):
         members = order[i:j]
         s = side[members]
-        two = bool(s.min() != s.max())
-        if len(members) == 1 or (tiled[members[0]] and not two and s[0] != 0):
+        two = bool(apart[members[0]])  # a group of two tiles: links inside one are counted in that tile's own group
+        if len(members) == 1 or (two and s.min() == s.max()):
             continue
         close = _links(sets, at, members, s == 1 if two else None, threshold)
         doc, first = np.unique(ids[members], return_index=True)
@@ -261,7 +261,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     placed = texts.join(sizes.select("root", "tiles"), "root").withColumn("tile", t).withColumn("tiled", F.expr("tiles > 1"))
     other = F.explode(F.when(F.col("tiled"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0))))
     sent = placed.select("copy_id", "root", "text", "tile", "tiled", other.alias("other")).select(
-        "copy_id", "root", "text", "tiled", F.expr("cast(tile > other as int)").alias("side"),
+        "copy_id", "root", "text", "tiled", F.expr("cast(tile > other as int)").alias("side"), F.expr("tiled and tile <> other").alias("apart"),
         F.when(F.col("tiled"), F.concat_ws("/", "root", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string")).alias("g"),
     )
     found = sent.groupBy("g").applyInArrow(lambda g: _verify(g, n, threshold), VERIFIED).checkpoint()

@@ -76,6 +76,16 @@ def test_rows_of_one_id_with_different_texts(spark, tile):
     assert got == {(1, 1, 3), (1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 2), (5, 5, 0)}
 
 
+@pytest.mark.parametrize("tiles", [2, 3, 20])
+def test_links_inside_a_tile_count_once_beside_empty_tiles(spark, tiles):
+    text = " ".join(f"w{i}" for i in range(400))
+    # of 2 tiles, ids 1 and 6 are in the same one, and the other is empty
+    rows = [(1, text), (6, text + " x")]
+    size = sum(len(t) for _, t in rows)
+    got = J.similar(spark.createDataFrame(rows, DOCS), group_bytes=-(-size // tiles)).collect()
+    assert sorted(map(tuple, got)) == brute(rows) == [(1, 1, 1, 1, 1), (6, 1, 6, 1, 1)]
+
+
 def test_empty(spark):
     assert J.similar(spark.createDataFrame([], DOCS)).collect() == []
 
