@@ -1,8 +1,9 @@
 """URL filters: host names are split into words by a unigram Viterbi search, and multinomial naive Bayes scores the
 words of host and path; explicit rules go first.
 
-Word counts for the search come from a fixed list and from all path words of the table (a grouped count, joined with
-the substrings of the distinct host parts, so only counts that a host can use travel, grouped by host part). The
+Words are searched with a mix of two shares in equal parts: a word's share of a fixed list and its share of all path words
+of the table (a grouped count over a one-row total, joined with the substrings of the distinct host parts, so only shares
+that a host can use travel, grouped by host part). Shares don't grow with the table, so neither do the words found. The
 classifier is fitted on the short labelled list below, with Laplace smoothing; words that it has not seen say nothing.
 Only distinct hosts are segmented; their scores are joined back, so a hot host is scored once.
 
@@ -80,13 +81,13 @@ class Bayes:
 
 
 def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most likely words of a name; letters that no word covers cost more the more there are."""
+    """The most likely words of a name; letters that no word covers cost more the more there are, a rare word never more than they."""
     best = [0.0] + [-math.inf] * len(name)
     back = [0] * (len(name) + 1)
     for j in range(1, len(name) + 1):
         for i in range(max(0, j - LONGEST), j):
             w = name[i:j]
-            score = math.log(counts[w] / total) if w in counts else math.log(1 / total) - 2.5 * (j - i)
+            score = math.log((counts.get(w, 0) + math.exp(-2.5 * (j - i))) / total)
             if best[i] + score > best[j]:
                 best[j], back[j] = best[i] + score, i
     words, j = [], len(name)
@@ -104,20 +105,20 @@ def known_words() -> dict[str, int]:
 
 
 def segment_hosts(parts: DataFrame, path_words: DataFrame) -> DataFrame:
-    """(part, words) for distinct host parts (`part`: runs of letters), given counted words (word, n) of all paths."""
+    """(part, words) for distinct host parts (`part`: runs of letters), given words of all paths and their shares (word, share)."""
     known = known_words()
-    floor = sum(known.values())
+    listed = sum(known.values())
     subs = F.expr(f"flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, least({LONGEST}, length(part) - i + 1)), k -> substring(part, i, k))))")
     pairs = parts.select("part", F.explode(F.array_distinct(subs)).alias("word"))
-    hits = pairs.where("word <> part").join(path_words, "word").select("part", "word", "n")
-    rows = hits.union(parts.select("part", F.lit(None).cast("string"), F.lit(None).cast("long")))
+    hits = pairs.where("word <> part").join(path_words, "word").select("part", "word", "share")
+    rows = hits.union(parts.select("part", F.lit(None).cast("string"), F.lit(None).cast("double")))
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
         name, counts = group["part"].iloc[0], dict(known)
-        for w, n in zip(group["word"], group["n"], strict=True):
-            if w is not None and len(w) > 1:
-                counts.setdefault(w, min(int(n), floor))
-        return pd.DataFrame({"part": [name], "words": [split_name(name, counts, 2 * floor)]})
+        for w, share in zip(group["word"], group["share"], strict=True):
+            if w is not None and (len(w) > 1 or w in known):
+                counts[w] = counts.get(w, 0) + listed * share
+        return pd.DataFrame({"part": [name], "words": [split_name(name, counts, 2 * listed)]})
 
     return rows.groupBy("part").applyInPandas(split, "part string, words array<string>")
 
@@ -132,7 +133,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     weights = F.create_map(*[F.lit(x) for pair in bayes.weights.items() for x in pair])
     score = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    path_words = urls.select(F.explode(_letters(F.col("path"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = urls.select(F.explode(_letters(F.col("path"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    path_words = counted.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total")))).select("word", (F.col("n") / F.col("total")).alias("share"))
     hosts = urls.select("host").distinct()
     named = hosts.select("host", F.posexplode(_letters(F.col("host"))).alias("k", "part"))
     split = named.join(segment_hosts(named.select("part").distinct(), path_words), "part")

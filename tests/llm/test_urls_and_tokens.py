@@ -28,6 +28,19 @@ def test_names_are_split_and_judged(spark):
     assert [got[i] for i in range(len(got))] == ["block"] * len(bad) + ["allow"] * len(fine)
 
 
+def test_names_are_split_alike_in_tables_of_any_size(spark):
+    hosts = ["casinowin.net", "freebets.net", "worldnews.com", "ththnt.net"]
+    found = []
+    for n in (1, 800):
+        # each path word n * 16 times: 16 or 12800
+        urls = [(i, f"https://{hosts[i % 4]}/" + "no/si/ca/en/html/" * n) for i in range(16)]
+        got = U.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()
+        found.append({x.host: tuple(x.words) for x in got})
+        assert {x.verdict for x in got if x.host == "casinowin.net"} == {"block"}
+    assert found[0] == found[1]
+    assert found[1]["casinowin.net"] == ("casino", "win", "net")
+
+
 def brute(word, pieces):
     """Best over all segmentations, recursively."""
     text, memo = T.MARK + word, {}
