@@ -7,10 +7,11 @@ labelled pages in `labelled_pages`, which are few, fixed and made here; pages to
 move: the weights go to them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line break.
-`<br>` is white space. Scripts, styles, comments, templates and other content that isn't text are left out.
+`<br>` is white space. Scripts, styles, comments, templates, titles and the text areas of forms are left out. Formulas and
+drawings are text of the block that they stand in; what stands in an object, video, frame or the like is a block of its own.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or badly nested is read as far as it
-goes (an unclosed tag at the end is dropped); repeated rows each get their result; other columns are ignored; an empty
+goes (an unclosed tag at the end is dropped, so is what follows a script or style that never ends); repeated rows each get their result; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame
 
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript textarea select svg math iframe object canvas noframes audio video title head-none".split()) - {"head-none"}
+_RAW = frozenset("script style template textarea noframes title".split())
+#: Elements within text whose content is a block of its own; they end no paragraph.
+_EMBED = frozenset("noscript select iframe object canvas audio video".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
@@ -41,6 +44,7 @@ def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
     parts: list[str] = []
     links: list[int] = []
     in_link = False
+    endless: set[str] = set()
 
     def flush():
         nonlocal parts, links
@@ -74,14 +78,18 @@ def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
         if name == "a":
             in_link = not closing
         elif name in _RAW:
-            if not closing and not attrs.endswith("/"):
+            if not closing and not attrs.endswith("/") and name not in endless:
                 stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
-                at = stop.end() if stop else end
-            if name != "svg":
-                parts.append(" ")
+                if stop:
+                    at = stop.end()
+                elif name in ("script", "style"):
+                    at = end
+                else:  # never closed: what follows is read as if the tag weren't there
+                    endless.add(name)
+            parts.append(" ")
         elif name == "br":
             parts.append(" ")
-        elif name in _BLOCK:
+        elif name in _BLOCK or name in _EMBED:
             yield from flush()
             if name == "hr":
                 continue
@@ -90,16 +98,16 @@ def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
                     if stack[k][0] == name:
                         del stack[k:]
                         break
-                in_link = False
+                in_link = in_link and name in _EMBED
                 continue
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
+            while name in _BLOCK and stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                 stack.pop()
             names, main = (), False
             if attrs and ("=" in attrs or "data-main" in attrs):
                 found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)}
                 main = "data-main" in found
                 names = tuple(sorted({w for k, v in found.items() if k != "data-main" for w in _NAME.findall(v.lower())}))
-            if name not in _VOID:
+            if name not in _VOID and not (name in _EMBED and attrs.endswith("/")):
                 stack.append((name, names, main))
     yield from flush()
 

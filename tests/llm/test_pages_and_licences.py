@@ -19,6 +19,24 @@ def test_extract_one_page(spark):
     assert X.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_content_that_is_not_text_alone():
+    field = X.train(X.labelled_pages())
+    page = lambda s: f"<html><body><nav><ul><li><a href='/a'>One</a></li></ul></nav><article><h1>A head</h1><p>First part of the text, with words.</p>{s}<p>Last part of the text, with more words.</p></article></body></html>"
+    first, last = "A head\nFirst part of the text, with words.", "Last part of the text, with more words."
+    assert field.extract(page("")) == f"{first}\n{last}"
+    for name in ("video", "audio", "object", "noscript", "canvas", "iframe", "select", "svg", "math", "textarea", "title", "template", "noframes"):
+        assert field.extract(page(f"<{name} class=x>")) == f"{first}\n{last}", name  # never closed
+    for name in ("object", "noscript", "canvas", "video"):
+        inside = "The text that stands here instead, in words."
+        assert field.extract(page(f"<{name}><p>{inside}</p></{name}>")) == f"{first}\n{inside}\n{last}"
+        assert field.extract(page(f"<p>Before it there are words, <{name}>{inside}</{name}> and after it there are some.</p>")) == f"{first}\nBefore it there are words,\n{inside}\nand after it there are some.\n{last}"
+    formula = "<math><mi>a</mi><mo>=</mo><mi>b</mi></math>"
+    assert field.extract(page(f"<p>It holds that {formula}, as <svg><text>drawn</text></svg> here.</p>")) == f"{first}\nIt holds that a=b, as drawn here.\n{last}"
+    for name in ("script", "style", "textarea", "title", "template"):
+        assert field.extract(page(f"<{name}><p>This isn't text of the page, not at all.</p></{name}>")) == f"{first}\n{last}"
+    assert [f[1][-1][0] for f in X.blocks("<div><p>a<video>b</video>c<p>d<a>e<select>f</select>g</a></div>")] == ["p", "video", "p", "p", "select", "p"]
+
+
 def test_held_out_pages():
     field = X.train(X.labelled_pages())
     right = total = 0
