@@ -4,11 +4,13 @@ result is written and read again as the next one's docs. All but the last return
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.llm import decontamination, language_id, mixing, ngram_join, suffix_dedup
-from spotweave.llm.common import table
+from spotweave.llm.common import table, use_shared_checkpoints
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def written(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to a new folder among the checkpoints and read again."""
+    use_shared_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    docs.write.parquet(folder)
+    return spark.read.schema(docs.schema).parquet(folder)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,3 +51,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
     got = P.STAGES[-1][1](spark, df, DIR).collect()
     assert {r.doc_id: r["size"] for r in got} == {i: len(t.split()) for i, t in text.items()}
     assert sorted(map(tuple, P.run(spark, DIR).collect())) == sorted(map(tuple, got))
+
+
+def test_run_writes_each_stage(spark, monkeypatch):
+    files = []
+
+    def stage(spark, docs, sf_dir):
+        files.append(docs.inputFiles())
+        return docs.where("doc_id % 7 > 0")
+
+    monkeypatch.setattr(P, "STAGES", [(str(k), stage) for k in range(3)])
+    got = P.run(spark, DIR)
+    files.append(got.inputFiles())
+    assert DIR in files[0][0] and all(f and not any(DIR in x for x in f) for f in files[1:])
+    assert set(files[1]).isdisjoint(files[2]) and files[2] == files[3]
+    assert sorted(got.collect()) == sorted(spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id % 7 > 0").collect())
