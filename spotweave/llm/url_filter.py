@@ -1,53 +1,82 @@
 """URL filters: host names are split into words by a unigram Viterbi search, and multinomial naive Bayes scores the
 words of host and path; explicit rules go first.
 
-Words are searched with a mix of two shares in equal parts: a word's share of a fixed list and its share of all path words
-of the table (a grouped count over a one-row total, joined with the substrings of the distinct host parts, so only shares
-that a host can use travel, grouped by host part). Shares don't grow with the table, so neither do the words found. The
-classifier is fitted on the short labelled list below, with Laplace smoothing; words that it has not seen say nothing.
-Only distinct hosts are segmented; their scores are joined back, so a hot host is scored once.
+Unigrams: the whole words of a public tokenizer's vocabulary (a parameter; some 25,000, read by the driver), whose ranks
+follow their frequency: rank r gets a share in proportion to 1 / (r + 2.7), after Zipf; words of the topics below that the
+file lacks get the share of `TOPIC_RANK`. Letters that no word covers cost more the more there are.
+
+Classifier: fitted on made names, all pairs of a topic's word with another of it or with a word that any name may have
+(`CONNECTORS`), and Laplace-smoothed. So words of one kind of topic count for its class, connectors for neither, and words
+that stand in neither say nothing. The topics are what such filters are about (gambling, adult, pills, adverts, piracy,
+spam, scams); they were written without the tables.
+
+A page's result depends on its own URL alone: nothing moves between pages, so no hot host or word gathers anywhere. Both
+models have a fixed size (`MAX_WORDS`, checked) and are broadcast. A task splits a host's parts once for each batch of rows.
 
 Defined cases: a null URL or one without `://` has an empty host and path, no rule and the verdict of the prior
-(allow); of rules that fit, the longest wins (block before allow if one text is given twice); repeated rows each get
-their result; other columns are ignored; an empty table gives an empty result.
+(allow); of rules that fit, the longest wins (block before allow if one text is given twice); hosts and paths of any length are
+read whole; repeated rows each get their result; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: Labelled hosts and paths; words are given apart.
-BLOCK_EXAMPLES = (
-    "casino win", "casino bonus slots", "online casino", "free casino games", "poker win big", "jackpot slots", "free bets", "bets online", "sports betting odds", "betting tips bonus", "lottery winner claim", "roulette spin win",
-    "ads track", "ads server", "ad click", "track pixel", "click tracker", "banner ads", "pop under ads", "doubleclick ad", "adserver banner", "tracking beacon", "affiliate click track",
-    "spam farm", "link farm", "seo spam", "content farm spam", "spam mail bulk", "link spam network", "backlinks farm",
-    "adult x", "adult video", "xxx video", "porn tube", "sex cam", "nude pics xxx", "adult dating", "hot sex chat", "escort adult", "cam girls",
-    "cheap pills", "buy pills online", "viagra cheap", "cialis pills discount", "cheap meds", "pharmacy pills cheap", "weight loss pills", "buy viagra",
-    "free download crack", "warez crack keygen", "torrent crack", "free iphone winner", "win prize claim", "payday loan fast", "cheap loan cash", "quick cash loan", "replica watch cheap", "cheap replica bags", "malware download", "phishing login verify", "scam bitcoin double", "get rich quick", "crypto giveaway win",
-    "www casino en index html", "m ads de index html", "blog pills fr index html", "m bets es page", "www spam en page", "blog adult de page", "casino en html", "track en html", "pills de html", "bets fr html", "spam es html",
-)
-ALLOW_EXAMPLES = (
-    "news daily", "world news", "city times", "weather report", "science journal", "nature research", "open library", "public library", "university press", "school district", "museum art", "health clinic", "city hospital", "recipes kitchen", "garden guide", "travel blog", "photo blog", "music review", "film archive", "book club",
-    "history archive", "language learning", "math help", "code docs", "developer docs", "python guide", "data portal", "open source project", "bank branch", "insurance office", "local government", "law court", "football club", "chess club", "bike shop", "coffee house", "hotel garden", "train times", "air travel", "map service",
-    "en index html", "de index html", "fr index html", "es index html", "en article", "de artikel", "fr article", "es articulo", "wiki page", "about contact", "blog post", "en page", "m blog www", "news article html", "home page", "forum thread", "job board", "real estate", "car market",
-)
-#: Common words of names, for the search alone.
-COMMON = "the of and to in for on at by my our your best top web site net online shop store world home life love day time big new good real first one all now go get see live free play game games video music photo pics movie sport sports team club group media digital tech soft hard ware data cloud info mail host page link links word book car auto house food fit health doctor med care pet dog cat kid kids baby girl boy man men woman women work job jobs money cash gold deal deals sale price market trade finance bank credit loan tax law legal art design style fashion beauty hair skin city town land sea sun moon star red blue green black white".split()
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_WORDS, TOPIC_RANK, LONGEST = 200_000, 20_000, 24
+#: Share of pages to block, before anything is known of one.
+PRIOR = 0.1
+
+#: Words of the topics to block.
+BLOCK_TOPICS = {
+    "gambling": "casino casinos poker bet bets betting bettor gamble gambling gambler slots slot jackpot roulette blackjack baccarat craps bingo lottery lotto keno wager wagers wagering bookmaker bookie bookies sportsbook odds punter vegas dice croupier spins payout highroller bankroll tipster parlay handicap",
+    "adult": "porn porno pornstar sex sexy sexual xxx adult nude nudes naked erotic erotica escort escorts milf hentai fetish camgirl camgirls webcam cams stripper strip topless bdsm lesbian boobs ass pussy dick cock anal blowjob orgy horny slut sluts hooker hookers whore swinger swingers hookup hookups lust kinky teens hardcore softcore amateur voyeur videos tube",
+    "pills": "viagra cialis levitra pill pills meds pharmacy pharma prescription tramadol xanax valium ambien oxycodone adderall phentermine steroids steroid hgh testosterone enhancement erectile slimming detox keto cbd weightloss dietpills painkiller painkillers opioid antidepressant rx drugstore potency enlargement",
+    "adverts": "ad ads adserver adserve adclick adtrack advert adverts advertising adnetwork track tracker trackers tracking click clicks clicker pixel beacon beacons banner banners popup popunder impression impressions affiliate affiliates syndication retarget retargeting telemetry adsense adware sponsored",
+    "piracy": "torrent torrents warez crack cracks cracked keygen serial serials nulled pirate pirated piracy bittorrent magnet leech leecher seedbox camrip dvdrip bluray putlocker rip ripped patcher activator",
+    "spam": "spam spammer spammy bulkmail backlink backlinks linkfarm doorway autoblog cloaking spin spinner clickbait traffic followers likes botnet bot bots autopost massmail junkmail referrer",
+    "scams": "scam scams phish phishing malware virus trojan ransomware keylogger hack hacks hacker hacked cheat cheats giveaway prize winner winners sweepstakes payday loan loans debt lender cashadvance forex binary options bitcoin crypto doubler ponzi pyramid mlm getrich quickcash millionaire inheritance prince verify refund claim unclaimed",
+    "replicas": "replica replicas rolex knockoff counterfeit fake fakes outlet cheap wholesale handbags gucci vuitton watches oakley discount clearance passport diploma certificates essays essay",
+}
+#: Words of other topics.
+ALLOW_TOPICS = {
+    "news": "news daily times post herald tribune gazette journal press reporter report reports weather radio tv television broadcast magazine editorial headline headlines chronicle observer guardian bulletin media podcast interview politics opinion",
+    "learning": "school schools college university academy campus student students teacher teachers lesson lessons course courses learn learning education educational tutor kindergarten alumni faculty scholar curriculum homework exam library libraries dictionary grammar language languages linguistics wiki encyclopedia wikipedia reference",
+    "science": "science scientific research lab labs laboratory physics chemistry biology genome astronomy space telescope geology climate ecology mathematics math statistics theory engineering engineer robotics quantum institute nature ocean fossil evolution neuron",
+    "code": "code coding developer developers software program programming python java linux github api docs documentation tutorial database server cloud data compiler algorithm kernel debug stack framework web html css script repository open source hosting computing",
+    "health": "health healthy hospital hospitals clinic clinics doctor doctors nurse nursing dental dentist medical medicine patient patients therapy surgery cancer heart pediatric vaccine wellness yoga fitness nutrition mental care veterinary emergency",
+    "food": "recipe recipes kitchen cook cooking bake baking bakery bread food foods restaurant restaurants cafe coffee tea wine beer cheese vegan vegetable garden gardening chef dinner lunch breakfast pizza sushi grill soup farm farms farmer farmers harvest orchard",
+    "travel": "travel traveler trip trips tour tours tourism hotel hotels hostel flight flights airline airport railway train trains bus metro map maps guide guides island beach mountain hiking camping cruise museum castle city village visit visitor adventure backpack",
+    "arts": "art arts artist artists gallery museum music musician band orchestra concert guitar piano song songs lyrics film films movie movies cinema theatre theater dance ballet opera poetry poem novel novels book books author literature photo photos photography paint painting sculpture design designer studio comic comics",
+    "sports": "sport sports football soccer basketball baseball hockey tennis golf rugby cricket swim swimming running marathon cycling bike bikes ski skiing athletics athlete stadium league team teams coach olympic chess climbing rowing surf",
+    "business": "business company companies corporate office industry industrial factory manufacturing logistics consulting consultant accounting finance financial bank banking insurance invest investor market markets trade commerce economy jobs job career careers hiring employer union retail store supply",
+    "civic": "government council county state federal ministry parliament senate mayor court courts law laws legal lawyer attorney police fire rescue army veterans tax census election vote citizen citizens community charity foundation volunteer church parish temple mosque bible faith embassy",
+    "home": "home homes house houses garden furniture kitchen bathroom roof roofing plumbing electric electrician carpenter carpentry wood paint tools hardware lamp floor window windows interior decor architect architecture property realty estate rent rental apartment moving cleaning",
+    "people": "family families parent parents baby babies kids children child mother father wedding birthday grandparents genealogy ancestry friends friend social forum forums chat blog blogs diary profile dating mail message letters group groups club clubs",
+    "things": "car cars auto motor truck motorcycle boat aviation aircraft phone phones mobile computer computers laptop camera cameras audio electronics battery solar energy power gas oil water toy toys game games puzzle lego craft crafts knitting sewing quilt jewelry shoes fashion clothing clothes",
+    "nature": "animal animals pet pets dog dogs cat cats horse horses bird birds fish wildlife zoo forest tree trees river lake sea flower flowers plant plants bee bees insect park parks rain snow storm earth environment recycle conservation",
+    "history": "history historic historical heritage archive archives ancient medieval roman egypt war wars museum antique antiques memorial century dynasty archaeology monument treaty revolution empire civil manuscript map",
+}
+#: Words that names of any kind have.
+CONNECTORS = "online web net site sites hub zone world best top my the get free now pro plus shop store live direct express center group info portal page pages today first all new big one easy fast super smart global international local american euro uk us usa asia king city box spot land point line base link links network digital media united national central star gold blue red green black white win play buy sell deal deals day night time life love home house club team master max go up app".split()
+#: Two letters that are words; others of the vocabulary are parts of words.
+SHORT = "of to in it is be as at so we he by on or do if me my up an go no us am tv uk".split()
 
 _HOST = r"^.*?://([^/?#]*)"
 _PATH = r"^.*?://[^/?#]*([^?#]*)"
 _ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 24
+_RUN = re.compile(r"[a-z]+")
 
 
 def host_of(url: Column) -> Column:
@@ -68,28 +97,57 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return found
 
 
-class Bayes:
-    """Two-class multinomial naive Bayes over words, Laplace-smoothed; a score above 0 blocks."""
-
-    def __init__(self, block: Sequence[str] = BLOCK_EXAMPLES, allow: Sequence[str] = ALLOW_EXAMPLES):
-        b, a = Counter(w for x in block for w in x.split()), Counter(w for x in allow for w in x.split())
-        words = sorted(b | a)
-        n_b, n_a = sum(b.values()) + len(words), sum(a.values()) + len(words)
-        self.weights = {w: math.log((b[w] + 1) / n_b) - math.log((a[w] + 1) / n_a) for w in words}
-        #: Most pages are fine: the prior is a parameter, not the lists' lengths.
-        self.prior = math.log(0.13 / 0.87)
-
-
-def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most likely words of a name; letters that no word covers cost more the more there are, a rare word never more than they."""
+def made_names(topics: dict[str, str], connectors: Sequence[str] = CONNECTORS) -> Iterable[tuple[str, str]]:
+    """The words of made names: each word of a topic with each other of it, and with each connector."""
+    for words in topics.values():
+        own = list(dict.fromkeys(words.split()))
+        for a in own:
+            yield from ((a, b) for b in own if b != a)
+            yield from ((a, c) for c in connectors)
+
+
+def naive_bayes(block: dict[str, str] | None = None, allow: dict[str, str] | None = None) -> dict[str, float]:
+    """Word to log P(word | block) - log P(word | allow), multinomial and Laplace-smoothed, from made names."""
+    b, a = (Counter(w for name in made_names(t) for w in name) for t in (block or BLOCK_TOPICS, allow or ALLOW_TOPICS))
+    words = sorted(b | a)
+    n_b, n_a = sum(b.values()) + len(words), sum(a.values()) + len(words)
+    weights = {w: math.log((b[w] + 1) / n_b) - math.log((a[w] + 1) / n_a) for w in words}
+    return {w: 0.0 if w in CONNECTORS else v for w, v in weights.items()}  # both classes have them equally often but for the topics' sizes
+
+
+def unigrams(path: str = VOCABULARY, max_words: int = MAX_WORDS) -> dict[str, float]:
+    """Word to log share: whole words of a vocabulary file of lines `base64 rank`, and those of the topics."""
+    ranks: dict[str, int] = {w: k for k, w in enumerate(SHORT)}
+    with open(path, "rb") as lines:
+        for line in lines:
+            token, rank = line.split()
+            word = base64.b64decode(token).lower()
+            if word[:1] == b" " and len(word) > 3 and word[1:].isalpha() and word.isascii():
+                ranks.setdefault(word[1:].decode(), int(rank))
+    for topic in (*BLOCK_TOPICS.values(), *ALLOW_TOPICS.values(), " ".join(CONNECTORS)):
+        for w in topic.split():
+            if len(w) > 2 or w in SHORT or w == "ad":
+                ranks[w] = min(ranks.get(w, TOPIC_RANK), TOPIC_RANK)
+    if len(ranks) > max_words:
+        raise ValueError(f"{len(ranks)} words are more than max_words ({max_words})")
+    total = sum(1 / (r + 2.7) for r in ranks.values())
+    return {w: -math.log((r + 2.7) * total) for w, r in ranks.items()}
+
+
+def unknown(n: int) -> float:
+    """Log share of n letters that are no word: below that of any word of that length."""
+    return -13.0 - 2.5 * n
+
+
+def split_name(name: str, shares: dict[str, float], longest: int = LONGEST) -> list[str]:
+    """The most likely words of a name; of equally likely ones the longest last word. A piece without a word is `longest` letters at most."""
     best = [0.0] + [-math.inf] * len(name)
     back = [0] * (len(name) + 1)
     for j in range(1, len(name) + 1):
-        for i in range(max(0, j - LONGEST), j):
-            w = name[i:j]
-            score = math.log((counts.get(w, 0) + math.exp(-2.5 * (j - i))) / total)
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, i
+        for i in range(max(0, j - longest), j):
+            score = best[i] + shares.get(name[i:j], unknown(j - i))
+            if score > best[j]:
+                best[j], back[j] = score, i
     words, j = [], len(name)
     while j:
         words.append(name[back[j] : j])
@@ -97,52 +155,34 @@ def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-def known_words() -> dict[str, int]:
-    """Counts of the fixed lists."""
-    c = Counter(COMMON)
-    c.update(w for x in (*BLOCK_EXAMPLES, *ALLOW_EXAMPLES) for w in x.split())
-    return {w: 20 * n for w, n in c.items() if len(w) > 1 or w in "axm"}
-
-
-def segment_hosts(parts: DataFrame, path_words: DataFrame) -> DataFrame:
-    """(part, words) for distinct host parts (`part`: runs of letters), given words of all paths and their shares (word, share)."""
-    known = known_words()
-    listed = sum(known.values())
-    subs = F.expr(f"flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, least({LONGEST}, length(part) - i + 1)), k -> substring(part, i, k))))")
-    pairs = parts.select("part", F.explode(F.array_distinct(subs)).alias("word"))
-    hits = pairs.where("word <> part").join(path_words, "word").select("part", "word", "share")
-    rows = hits.union(parts.select("part", F.lit(None).cast("string"), F.lit(None).cast("double")))
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        name, counts = group["part"].iloc[0], dict(known)
-        for w, share in zip(group["word"], group["share"], strict=True):
-            if w is not None and (len(w) > 1 or w in known):
-                counts[w] = counts.get(w, 0) + listed * share
-        return pd.DataFrame({"part": [name], "words": [split_name(name, counts, 2 * listed)]})
-
-    return rows.groupBy("part").applyInPandas(split, "part string, words array<string>")
-
-
-def _letters(c: Column) -> Column:
-    return F.filter(F.split(F.translate(c, *_ASCII), "[^a-z]+"), lambda w: w != "")
-
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict, words (of the host), score (log odds; above 0 is to be blocked)."""
+    shared = pages.sparkSession.sparkContext.broadcast((unigrams(vocabulary), naive_bayes()))
+    prior = math.log(PRIOR / (1 - PRIOR))
+
+    def run(batches):
+        shares, weights = shared.value
+        for batch in batches:
+            known: dict[str, list[str]] = {}
+            hosts: dict[str, tuple[list[str], float]] = {}
+            words, scores = [], []
+            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                if host not in hosts:
+                    found = []
+                    for part in _RUN.findall(host):
+                        if part not in known:
+                            known[part] = split_name(part, shares)
+                        found += known[part]
+                    hosts[host] = found, sum(weights.get(w, 0.0) for w in found)
+                found, score = hosts[host]
+                words.append(found)
+                scores.append(prior + score + sum(weights.get(w, 0.0) for w in _RUN.findall(path.lower())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(scores, pa.float64())], [*batch.schema.names, "words", "score"])
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, words (of the host), score."""
-    bayes = Bayes()
-    weights = F.create_map(*[F.lit(x) for pair in bayes.weights.items() for x in pair])
-    score = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    counted = urls.select(F.explode(_letters(F.col("path"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    path_words = counted.crossJoin(F.broadcast(counted.agg(F.sum("n").alias("total")))).select("word", (F.col("n") / F.col("total")).alias("share"))
-    hosts = urls.select("host").distinct()
-    named = hosts.select("host", F.posexplode(_letters(F.col("host"))).alias("k", "part"))
-    split = named.join(segment_hosts(named.select("part").distinct(), path_words), "part")
-    words = split.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
-    words = words.withColumn("host_score", score(F.col("words")))
-    found = urls.join(words, "host", "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    total = F.coalesce("host_score", F.lit(0.0)) + score(_letters(F.col("path"))) + F.lit(bayes.prior)
-    return found.withColumn("score", total).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), "score")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    found = urls.mapInArrow(run, f"page_id {kind}, host string, path string, words array<string>, score double").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
 
 
 def brute_rule(url: str | None, rules: Sequence[tuple[str, str]] = RULES) -> tuple[str, str, str | None, str | None]:
