@@ -54,7 +54,7 @@ ALLOW_TOPICS = {
     "news": "news daily times post herald tribune gazette journal press reporter report reports weather radio tv television broadcast magazine editorial headline headlines chronicle observer guardian bulletin media podcast interview politics opinion",
     "learning": "school schools college university academy campus student students teacher teachers lesson lessons course courses learn learning education educational tutor kindergarten alumni faculty scholar curriculum homework exam library libraries dictionary grammar language languages linguistics wiki encyclopedia wikipedia reference",
     "science": "science scientific research lab labs laboratory physics chemistry biology genome astronomy space telescope geology climate ecology mathematics math statistics theory engineering engineer robotics quantum institute nature ocean fossil evolution neuron",
-    "code": "code coding developer developers software program programming python java linux github api docs documentation tutorial database server cloud data compiler algorithm kernel debug stack framework web html css script repository open source hosting computing",
+    "code": "code coding developer developers software program programming python java linux github api docs documentation tutorial database server cloud data compiler algorithm kernel debug stack framework repository open source hosting computing",
     "health": "health healthy hospital hospitals clinic clinics doctor doctors nurse nursing dental dentist medical medicine patient patients therapy surgery cancer heart pediatric vaccine wellness yoga fitness nutrition mental care veterinary emergency",
     "food": "recipe recipes kitchen cook cooking bake baking bakery bread food foods restaurant restaurants cafe coffee tea wine beer cheese vegan vegetable garden gardening chef dinner lunch breakfast pizza sushi grill soup farm farms farmer farmers harvest orchard",
     "travel": "travel traveler trip trips tour tours tourism hotel hotels hostel flight flights airline airport railway train trains bus metro map maps guide guides island beach mountain hiking camping cruise museum castle city village visit visitor adventure backpack",
