@@ -8,18 +8,18 @@ fewer words (but not none) has one, of all its words. Steps:
    rows per band = the most, and bands = the fewest, that reach `recall` at the threshold within `max_hashes`;
 2. documents of equal sets are one class (grouped by digest, partial minima before the shuffle), so copies are
    never compared;
-3. classes are dealt by band hash; buckets of two and more give star edges to their least member, and the
-   connected components of these (by star contraction, in the shared checkpoint folder) hold every candidate pair;
-4. each component's texts are sent together once. Components too large for one task are split by hash into tiles,
-   and each pair of tiles is a group of its own, so no group grows with a hot bucket. A group compares its members'
-   full sets by blocked matrix products and returns a count of links per class and star edges, never pairs;
-5. the verified stars of tiled components are contracted in the same way.
+3. classes are dealt by band hash into buckets; of buckets with the same members one stays, buckets of one go;
+4. only texts of classes in a bucket of two and more are sent, once to each of their buckets, and pairs are verified
+   there, on full sets, by blocked matrix products. A pair that shares several buckets is compared in the first of them alone.
+   A bucket too large for one task is split by hash into tiles, and each pair of tiles is a group of its own, so no
+   group grows with a hot bucket. A group returns a count of links per class and star edges, never pairs;
+5. connected components of these verified edges (by star contraction, in the shared checkpoint folder) are the classes.
 
-The work within a component grows with the square of its classes (all links must be counted), the rows that are
-shuffled with classes times tiles.
+So the work is bounded by the pairs that share a bucket: texts that are only a little alike meet by rare chance, in twos,
+and don't chain. Within a large group of near copies all pairs are compared, as all links are counted.
 
 Defined cases: texts without words, and null texts, are classes of their own without links; rows with one doc_id and
-different texts are one document with several sets, linked if any of them is; a row with a null doc_id comes back with nulls and no links;
+different texts are one document with several sets, whose links are all counted, but for those among themselves; a row with a null doc_id comes back with nulls and no links;
 ties go to the least doc_id; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,6 +37,8 @@ from .common import components, mix, use_shared_checkpoints
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 128
 GROUP_BYTES = 4 << 20
+#: Up to so many candidates (16 bytes each), their ids are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 2_000_000
 TILE_ROWS = 2048
 _SLICE = 1 << 20
 _U = np.uint64
@@ -117,7 +119,7 @@ def _slice_sets(texts: list[bytes], n: int, lower: np.ndarray, tab: np.ndarray)
     return h[keep], np.bincount(g_doc[keep], minlength=len(texts))
 
 
-SIGNED = "doc_id long, size int, digest_a long, digest_b long, bands array<long>"
+SIGNED = "doc_id long, bytes int, size int, digest_a long, digest_b long, bands array<long>"
 
 
 def _sign(batches, n: int, bands: int, rows: int):
@@ -147,20 +149,25 @@ def _sign(batches, n: int, bands: int, rows: int):
                         v = (sets ^ x[k]) * a[k]
                         v ^= v >> _U(32)
                         h = mix(h ^ np.minimum.reduceat(v, starts))
-                    out[some, b] = h
+                    out[some, b] = np.maximum(h, _U(1))  # 0 stands for no bucket
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands), pa.int32()), pa.array(out.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(count.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], ["doc_id", "size", "digest_a", "digest_b", "bands"])
+            length = pc.binary_length(wide[lo:hi]).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([ids[lo:hi], length, pa.array(count.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], ["doc_id", "bytes", "size", "digest_a", "digest_b", "bands"])
             lo = hi
 
 
-VERIFIED = "copy_id long, links long, root long, tiled boolean"
+VERIFIED = "copy_id long, links long, root long"
 
 
-def _links(sets: np.ndarray, at: np.ndarray, members: np.ndarray, split: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Which of the members' sets are similar. split: only pairs across its two sides count."""
-    parts = [sets[at[m] : at[m + 1]] for m in members]
+def _links(sets: list[np.ndarray], open_: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets are similar, of the pairs that are open (a symmetric matrix)."""
+    busy = np.flatnonzero(open_.any(1))
+    close = np.zeros_like(open_)
+    if not len(busy):
+        return close
+    parts = [sets[k] for k in busy]
     size = np.array([len(p) for p in parts])
-    owner = np.repeat(np.arange(len(members)), size)
+    owner = np.repeat(np.arange(len(busy)), size)
     values, place, met = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(met > 1)
     column = np.full(len(values), -1)
@@ -169,55 +176,49 @@ def _links(sets: np.ndarray, at: np.ndarray, members: np.ndarray, split: np.ndar
     owner, place = owner[place >= 0], place[place >= 0]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    both = np.zeros((len(members), len(members)), np.float64)
+    both = np.zeros((len(busy), len(busy)), np.float64)
     for lo in range(0, len(shared), 4096):
         i, j = np.searchsorted(place, [lo, lo + 4096])
-        m = np.zeros((len(members), min(4096, len(shared) - lo)), np.float32)
+        m = np.zeros((len(busy), min(4096, len(shared) - lo)), np.float32)
         m[owner[i:j], place[i:j] - lo] = 1
-        if split is None:
-            both += m @ m.T
-        else:
-            both[np.ix_(~split, split)] += m[~split] @ m[split].T
-    either = size[:, None] + size[None, :] - both
-    close = both >= threshold * either - 1e-9
-    np.fill_diagonal(close, False)
-    if split is not None:
-        across = np.zeros_like(close)
-        across[np.ix_(~split, split)] = close[np.ix_(~split, split)]
-        close = across | across.T
-    return close
+        both += m @ m.T
+    close[np.ix_(busy, busy)] = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    return close & open_
 
 
 def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
+    """Links and star edges of the buckets of a group: rows (copy_id, digest_a, same, text, band, at, side, apart, kept)."""
     group = group.combine_chunks()
-    texts = group["text"].cast(pa.large_binary()).to_pylist()
-    sets, at = ngram_sets(texts, n)
-    del texts
-    ids, comp, side, tiled, apart = (group[c].to_numpy() for c in ("copy_id", "root", "side", "tiled", "apart"))
-    order = np.flatnonzero(np.diff(at))
-    tag = np.zeros(len(ids), np.uint64)
-    if len(order):
-        tag[order] = np.add.reduceat(mix(sets ^ _U(3)), at[order])
-    order = order[np.lexsort((tag[order], ids[order], comp[order]))]
-    # one member for each set of a document, whatever the number of its rows
-    same = (comp[order][1:] == comp[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (tag[order][1:] == tag[order][:-1])
-    order = order[np.concatenate([[True], ~same])] if len(order) else order
-    cut = np.flatnonzero(np.diff(comp[order], prepend=comp[order][:1] - 1))
-    out_id, out_n, out_root, out_tiled = [], [], [], []
+    ids, same, digest, band, at, side, apart = (group[c].to_numpy() for c in ("copy_id", "same", "digest_a", "band", "at", "side", "apart"))
+    kept = group["kept"].chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+    # each text's set once, however many buckets it is in
+    _, first, text_of = np.unique(np.stack([ids, same]), axis=1, return_index=True, return_inverse=True)
+    sets, begin = ngram_sets(group["text"].chunk(0).take(pa.array(first)).cast(pa.large_binary()).to_pylist(), n)
+    tag = np.zeros(len(first), np.uint64)
+    some = np.flatnonzero(np.diff(begin))
+    if len(some):
+        tag[some] = np.add.reduceat(mix(sets ^ _U(1)), begin[:-1][some])
+    mine = np.flatnonzero(tag.view(np.int64)[text_of] == digest)  # of a document with several sets, the text of this one
+    order = mine[np.lexsort((digest[mine], ids[mine], band[mine]))]
+    again = (band[order][1:] == band[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    order = order[np.concatenate([[True], ~again])] if len(order) else order
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(band[order]) != 0])) if len(order) else order
+    out_id, out_n, out_root = [], [], []
     for i, j in zip(cut, np.append(cut[1:], len(order)), strict=False):
         members = order[i:j]
-        s = side[members]
-        two = bool(apart[members[0]])  # a group of two tiles: links inside one are counted in that tile's own group
-        if len(members) == 1 or (two and s.min() == s.max()):
+        if len(members) < 2:
+            continue
+        open_ = ids[members][:, None] != ids[members][None, :]
+        if apart[members[0]]:  # a group of two tiles: pairs inside one are compared in that tile's own group
+            open_ &= side[members][:, None] != side[members][None, :]
+        for k in range(at[members[0]]):  # pairs that have met in an earlier bucket
+            b = kept[members, k]
+            open_ &= (b[:, None] != b[None, :]) | (b == 0)[:, None]
+        close = _links([sets[begin[t] : begin[t + 1]] for t in text_of[members]], open_, threshold)
+        links = close.sum(1)
+        linked = np.flatnonzero(links)
+        if not len(linked):
             continue
-        close = _links(sets, at, members, s == 1 if two else None, threshold)
-        doc, first = np.unique(ids[members], return_index=True)
-        if len(doc) < len(members):  # a document's own sets belong together, but are no links
-            mine = ids[members][:, None] == ids[members][None, :]
-            links = np.logical_or.reduceat(close & ~mine, first, axis=0).sum(1)
-            close |= mine
-        else:
-            links = close.sum(1)
         root = np.arange(len(members))  # members are in order of id: least index, least id
         while True:
             new = np.minimum(root, np.where(close, root[None, :], len(root)).min(1))
@@ -225,16 +226,17 @@ def _verify(group: pa.Table, n: int, threshold: float) -> pa.Table:
             if (new == root).all():
                 break
             root = new
-        out_id.append(doc)
-        out_n.append(links)
-        out_root.append(ids[members][root[first]])
-        out_tiled.append(tiled[members][first])
+        out_id.append(ids[members][linked])
+        out_n.append(links[linked])
+        out_root.append(ids[members][root[linked]])
     if not out_id:
-        return pa.table({"copy_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "tiled": pa.array([], pa.bool_())})
-    return pa.table({"copy_id": np.concatenate(out_id), "links": np.concatenate(out_n).astype(np.int64), "root": np.concatenate(out_root), "tiled": np.concatenate(out_tiled)})
+        return pa.table({"copy_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    return pa.table({"copy_id": np.concatenate(out_id), "links": np.concatenate(out_n).astype(np.int64), "root": np.concatenate(out_root)})
 
 
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, group_bytes: int = GROUP_BYTES, tile_rows: int = TILE_ROWS) -> DataFrame:
+def similar(
+    docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, group_bytes: int = GROUP_BYTES, tile_rows: int = TILE_ROWS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, copy_id, n_copies, n_links.
 
     copy_id: least doc_id with the same set of n-grams, n_copies: how many rows have it; n_links: other sets with
@@ -247,28 +249,30 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     signed = docs.mapInArrow(lambda it: _sign(it, n, bands, rows), SIGNED).checkpoint()
     some = signed.where("size > 0 and doc_id is not null")
     same = ["size", "digest_a", "digest_b"]
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    dealt = classes.select("copy_id", F.explode("bands").alias("band"))
-    buckets = dealt.groupBy("band").agg(F.min("copy_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    stars = dealt.join(buckets, "band").where("copy_id <> v").select(F.col("copy_id").alias("u"), "v").distinct()
-    candidates = components(stars)
-
-    texts = docs.where("doc_id is not null").join(candidates.withColumnRenamed("node", "doc_id"), "doc_id").where("text is not null").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("copy_id"), "root", "text")
-    sizes = candidates.join(docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node").groupBy("root").agg(F.sum("bytes").alias("b"), F.count("*").alias("c")).select("root", "b", F.greatest(F.ceil(F.col("c") / tile_rows), F.ceil(F.col("b") / group_bytes)).cast("int").alias("tiles")).checkpoint()
-    total = sizes.agg(F.sum("b")).first()[0] or 0
-    groups = max(spark.sparkContext.defaultParallelism * 4, math.ceil(total / group_bytes))
-    t = F.pmod(F.xxhash64("copy_id"), F.col("tiles")).cast("int")
-    placed = texts.join(sizes.select("root", "tiles"), "root").withColumn("tile", t).withColumn("tiled", F.expr("tiles > 1"))
-    other = F.explode(F.when(F.col("tiled"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0))))
-    sent = placed.select("copy_id", "root", "text", "tile", "tiled", other.alias("other")).select(
-        "copy_id", "root", "text", "tiled", F.expr("cast(tile > other as int)").alias("side"), F.expr("tiled and tile <> other").alias("apart"),
-        F.when(F.col("tiled"), F.concat_ws("/", "root", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string")).alias("g"),
-    )
-    found = sent.groupBy("g").applyInArrow(lambda g: _verify(g, n, threshold), VERIFIED).checkpoint()
-    roots = found.where("not tiled").select("copy_id", "root")
-    tiled = components(found.where("tiled").select(F.col("copy_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "copy_id")
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    dealt = classes.select("copy_id", "digest_a", "bytes", F.posexplode("bands").alias("at", "band"))
+    member = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "copy_id", "digest_a"))
+    buckets = dealt.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), member(1).alias("x"), member(2).alias("y")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / tile_rows), F.ceil(F.col("b") / group_bytes)).cast("int")
+    buckets = buckets.groupBy("n", "b", "x", "y").agg(F.min("band").alias("band")).select("band", tiles.alias("tiles"))
+    # the buckets of each candidate, as many as there are bands at most
+    found = F.map_from_entries(F.collect_list(F.struct("at", "band")))
+    candidates = dealt.join(buckets, "band").groupBy("copy_id", "digest_a", "bytes").agg(found.alias("m"), F.collect_list(F.struct("at", "band", "tiles")).alias("in"))
+    kept = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long")))
+    candidates = candidates.select("copy_id", "digest_a", "bytes", kept.alias("kept"), "in").checkpoint()
+    count, total = candidates.agg(F.count("*"), F.sum(F.col("bytes") * F.aggregate("in", F.lit(0), lambda a, x: a + x["tiles"]))).first()
+    groups = max(spark.sparkContext.defaultParallelism * 4, math.ceil((total or 0) / group_bytes))
+
+    of = candidates.select(F.col("copy_id").alias("doc_id")).distinct()
+    texts = docs.where("text is not null").join(F.broadcast(of) if count <= broadcast_rows else of, "doc_id", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"])
+    sent = texts.withColumnRenamed("doc_id", "copy_id").join(candidates.drop("bytes"), "copy_id").select("copy_id", "digest_a", "same", "text", "kept", F.explode("in").alias("i")).select("*", "i.*").drop("in", "i")
+    sent = sent.withColumn("tile", F.pmod(F.xxhash64("copy_id", "digest_a"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    g = F.when(F.col("tiles") > 1, F.concat_ws("/", "band", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.pmod(F.xxhash64("band"), F.lit(groups)).cast("string"))
+    sent = sent.select("copy_id", "digest_a", "same", "text", "band", "at", "kept", F.expr("cast(tile > other as int)").alias("side"), F.expr("tile <> other").alias("apart"), g.alias("g"))
+    found = sent.groupBy("g").applyInArrow(lambda t: _verify(t, n, threshold), VERIFIED).groupBy("copy_id", "root").agg(F.sum("links").alias("links")).checkpoint()
+    roots = components(found.select(F.col("copy_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "copy_id")
     links = found.groupBy("copy_id").agg(F.sum("links").alias("n_links"))
-    known = classes.select(*same, "copy_id", "n_copies").join(links, "copy_id", "left").join(roots.union(tiled), "copy_id", "left")
+    known = classes.select(*same, "copy_id", "n_copies").join(links, "copy_id", "left").join(roots, "copy_id", "left")
     known = known.select(*same, "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "copy_id").alias("class_id"))
     alone = signed.where("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return some.select("doc_id", *same).join(known, same).select("doc_id", "class_id", "copy_id", "n_copies", "n_links").union(alone)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from spotweave.llm import ngram_join as J
 
@@ -54,10 +55,10 @@ def sample(seed):
     return [*rows, (900, None), (901, ""), (902, " \t"), (None, rows[0][1]), (903, "One two"), (904, "one  TWO"), (904, "one two"), (905, "x" * 300 + " y")]
 
 
-@pytest.mark.parametrize("seed,tile", [(1, 2048), (2, 5)])
-def test_equals_brute_force(spark, seed, tile):
+@pytest.mark.parametrize("seed,tile,broadcast", [(1, 2048, 2_000_000), (2, 5, 2_000_000), (3, 7, 0)])
+def test_equals_brute_force(spark, seed, tile, broadcast):
     rows = sample(seed)
-    got = J.similar(spark.createDataFrame(rows, DOCS), tile_rows=tile).collect()
+    got = J.similar(spark.createDataFrame(rows, DOCS), tile_rows=tile, broadcast_rows=broadcast).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
@@ -86,6 +87,40 @@ def test_links_inside_a_tile_count_once_beside_empty_tiles(spark, tiles):
     assert sorted(map(tuple, got)) == brute(rows) == [(1, 1, 1, 1, 1), (6, 1, 6, 1, 1)]
 
 
+def test_pages_of_one_template_are_not_chained(spark):
+    """Texts that share a third of their n-grams meet by chance at most, and none is linked."""
+    r = random.Random(8)
+    shared = [f"menu{k}" for k in range(60)]
+    rows = [(i, " ".join([*shared, *(f"w{r.randrange(10**6)}" for _ in range(120))])) for i in range(400)]
+    got = J.similar(spark.createDataFrame(rows, DOCS)).collect()
+    assert all((x.class_id, x.n_links) == (x.doc_id, 0) for x in got)
+    bands, k = J.bands_for(J.THRESHOLD, J.RECALL, J.MAX_HASHES)
+    alike = len(grams(rows[0][1]) & grams(rows[1][1])) / len(grams(rows[0][1]) | grams(rows[1][1]))
+    assert 400 * 399 / 2 * (1 - (1 - alike**k) ** bands) < 400 * 399 / 2 * 0.02  # what chance makes of it
+
+
+def test_pairs_are_compared_in_the_first_bucket_that_they_share():
+    import pyarrow as pa
+
+    text = [" ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(61)), " ".join(f"w{k}" for k in range(62))]
+    sets, at = J.ngram_sets([t.encode() for t in text], 5)
+    tag = [int(np.add.reduce(J.mix(sets[at[k] : at[k + 1]] ^ np.uint64(1))).view(np.int64)) for k in range(3)]
+    kept = [[7, 0, 9], [7, 8, 9], [0, 8, 9]]  # 7: 0 and 1; 8: 1 and 2; 9: all three, of which 0 and 2 are new
+    rows = [(k, tag[k], k, text[k], b, p, kept[k], 0, False) for k in range(3) for p, b in enumerate(kept[k]) if b]
+    names = ("copy_id", "digest_a", "same", "text", "band", "at", "kept", "side", "apart")
+    got = J._verify(pa.table({c: [r[i] for r in rows] for i, c in enumerate(names)}), 5, 0.8).to_pylist()
+    total = {}
+    for r in got:
+        total[r["copy_id"]] = total.get(r["copy_id"], 0) + r["links"]
+    assert total == {0: 2, 1: 2, 2: 2}
+
+
+def test_recall_on_the_tables(spark):
+    """Every pair of different sets with a Jaccard similarity of 0.8 or more, by brute force, over the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, J.similar(docs).collect()), key=str) == brute([tuple(r) for r in docs.collect()])
+
+
 def test_empty(spark):
     assert J.similar(spark.createDataFrame([], DOCS)).collect() == []
 
