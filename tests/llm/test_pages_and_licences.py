@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 from spotweave.llm import html_extraction as X
 from spotweave.llm import license_scan as L
@@ -66,20 +69,105 @@ def test_gradient_of_the_field():
     assert np.allclose(pairs, [sum(weight(y) * sum(p == (a, b) for p in zip(y, y[1:], strict=False)) for y in every) / z for a in (0, 1) for b in (0, 1)])
 
 
+MIT = """
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+BSD = """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *     * Redistributions of source code must retain the above copyright
+ *       notice, this list of conditions and the following disclaimer.
+ */
+int main(void) { return 0; }
+"""
+GPL = """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License as
+# published by the Free Software Foundation; either version 2 of the
+# License, or (at your option) any later version.
+import os
+"""
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+#: Notices and prose that the model was not fitted on, nor its cutoffs chosen on.
+NOTICES = [
+    (MIT, "mit", 0), (BSD, "bsd", 0), (GPL, "gpl", 0), (APACHE, "apache", 0), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 0), ("This article is licensed under CC BY 4.0", "creative_commons", 0),
+    ("Licensed under the GNU Affero General Public License v3.", "", 1), ("Licensed under the Open Software License 3.0.", "", 1), ("Licensed under the Frobnicator Shared Licence, edition five.", "", 1), ("SPDX-License-Identifier: AGPL-3.0-only", "", 1), ("Released under the Mulan Permissive Software Licence.", "", 1),
+    (GPL.replace("GNU General", "GNU Affero General"), "", 1), ("He lost his driving license last week.", "", 0), ("The notice of the copyright was in the hall, and the people of the city said that the software is free.", "", 0), ("She has a licence to fish in the river and a permit for the boat.", "", 0),
+    ("We copy the source files to the server, then the library compiles them in binary form.", "", 0), ("The new software was released in May, and its users like it.", "", 0),
+]
+
+
+def plain_scan(text, m):
+    """Paragraphs by plain string work; scores by dictionaries."""
+    lines = [re.sub(r"^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|>+|\.\.|(?:dnl|REM|rem)(?=[ \t])|\"{3}|'{3})[ \t]*)+", "", x) for x in (text or "").split("\n")]
+    parts, now = [], []
+    for x in lines:
+        if not x.strip():
+            parts, now = [*parts, now], []
+            continue
+        now.append(x)
+        if re.search(r"[.!?:;][\")\]]?[ \t\r]*$", x):
+            parts, now = [*parts, now], []
+    parts = [p for p in ("\n".join(x) for x in [*parts, now]) if any(c.isalpha() or c.isdecimal() for c in p)]
+    weight = {c: m.w[k] for k, c in enumerate(m.codes)}
+    out = []
+    for p in parts:
+        w = re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in p))
+        if not set(w) & set(m.cues):
+            continue
+        codes = {zlib.crc32(x.encode()) for x in w} | {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:], strict=False)}
+        s = (m.b + sum((weight[c] for c in codes if c in weight), np.zeros(len(m.b)))) / m.temperature
+        k, e = int(s.argmax()), np.exp(s - s.max())
+        name = m.families[k]
+        share = m.guess(p)[2]
+        if name != L.NONE:
+            out.append(name if 1 / e.sum() >= m.least and share >= m.share else L.UNKNOWN)
+    return len(parts), len(out), ",".join(sorted(set(out) - {L.UNKNOWN})), out.count(L.UNKNOWN)
+
+
 def test_licences(spark):
     m = L.model()
     held = L.labelled(8, seed=77)
-    got = m.probabilities([t for t, _ in held]).argmax(1)
-    assert np.mean([m.families[k] == f for k, (_, f) in zip(got, held, strict=True)]) > 0.97
-    texts = [
-        ("x y z.\nLicensed under the Apache License, Version 2.0.\n", "apache", 1), ("Released under the MIT License.\nthe end", "mit", 1), ("This work is licensed under the GNU General Public License, version 3.", "gpl", 1),
-        ("Licensed under CC BY-NC 4.0.", "creative_commons_noncommercial", 1), ("abc\nAll rights reserved.\nAll rights reserved.", "proprietary", 2), ("He lost his driving license last week.", "", 0), ("", "", 0), (None, "", 0), ("Licensed under the Frobnicator Shared Licence, edition five.", "", 1),
-    ]
-    df = spark.createDataFrame([(i, t, "x") for i, (t, *_) in enumerate(texts)], "doc_id long, text string, gram string")
-    got = {x.doc_id: x for x in L.scan(df).collect()}
-    assert [(got[i].families, got[i].n_licence) for i in range(len(texts))] == [(f, n) for _, f, n in texts]
-    assert got[8].n_unknown == 1
-    found = {x.paragraph: x for x in L.classify(df.selectExpr("coalesce(text, '') as paragraph"), m).collect()}
-    for t, x in found.items():
-        assert abs(x.probability - m.probabilities([t]).max()) < 1e-9
+    got = [m.families[m.guess(t)[0]] for t, _ in held]
+    assert np.mean([g == f for g, (_, f) in zip(got, held, strict=True)]) > 0.95
+    texts = [*NOTICES, ("x y z.\nReleased under the MIT License.\nthe end", "mit", 0), ("abc\n\nAll rights reserved.\nAll rights reserved.", "proprietary", 0), ("", "", 0), (None, "", 0)]
+    df = spark.createDataFrame([(i, t, "x") for i, (t, *_) in enumerate(texts)] + [(0, MIT, "y")], "doc_id long, text string, gram string")
+    rows = L.scan(df, m).collect()
+    got = {x.doc_id: x for x in rows}
+    assert len(rows) == len(texts) + 1 and [(got[i].families, got[i].n_unknown) for i in range(len(texts))] == [(f, u) for _, f, u in texts]
+    assert got[len(NOTICES) + 1].n_licence == 2
+    for i, (t, *_) in enumerate(texts):
+        assert (got[i].n_paragraphs, got[i].n_licence, got[i].families, got[i].n_unknown) == plain_scan(t, m)
+        for x in got[i].found:
+            k, p, share = m.guess(x.paragraph)
+            assert abs(x.probability - p) < 1e-6 and abs(x.template_share - share) < 1e-9
     assert L.scan(df.limit(0)).collect() == []
+    plan = L.scan(df, m)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_scan_of_the_tables_equals_plain_python(spark):
+    m = L.model()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: plain_scan(r.text, m) for r in docs.collect()}
+    got = {r.doc_id: (r.n_paragraphs, r.n_licence, r.families, r.n_unknown) for r in L.scan(docs, m).collect()}
+    assert got == want and any(n for _, n, *_ in got.values())
