@@ -25,8 +25,10 @@ def word_count(text: Column) -> Column:
 
 
 def use_shared_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() goes to spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
+    """checkpoint() goes to spark.checkpoint.dir; only where that is unset, on one machine (tests), to a folder of our own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 

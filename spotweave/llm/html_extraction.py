@@ -17,10 +17,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -36,11 +35,28 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: What notices, adverts, forms and the like say of themselves.
+_SAYS = re.compile(r"(?i)cookie|consent|privacy|subscri|newsletter|sign (?:up|in)|log ?in|accept|advert|sponsor|\bshare|comment|reply|click here|read more|register|datenschutz|anmelden|anzeige|publicidad|publicit|suscr|inscri|abonn")
 
 
-def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
-    """(text, path of (tag, names), link characters, labelled) of each leaf block, in page order."""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+class Node:
+    """An open element: its parent, its tag, and the features of the ancestors that it is the first to have."""
+
+    __slots__ = ("parent", "tag", "fresh", "main", "score")
+
+    def __init__(self, parent: Node | None, tag: str, fresh: tuple[str, ...], main: bool):
+        self.parent, self.tag, self.fresh, self.main, self.score = parent, tag, fresh, main, None
+
+
+def blocks(html: str) -> Iterator[tuple[str, Node | None, int, bool]]:
+    """(text, innermost element, link characters, labelled) of each leaf block, in page order.
+
+    Time and memory grow with the page's length, however deep its elements are nested: an element keeps a pointer to
+    its parent and the features that no ancestor has.
+    """
+    stack: list[tuple[Node, tuple[str, ...]]] = []
+    open_tags: dict[str, int] = {}
+    active: dict[str, int] = {}
     parts: list[str] = []
     links: list[int] = []
     in_link = False
@@ -52,9 +68,26 @@ def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                yield text, tuple((t, n) for t, n, _ in stack), min(sum(links), len(text)), any(m for *_, m in stack)
+                node = stack[-1][0] if stack else None
+                yield text, node, min(sum(links), len(text)), bool(node and node.main)
             parts, links = [], []
 
+    def push(name: str, names: tuple[str, ...], main: bool) -> None:
+        mine = (*(() if name in ("html", "body") else (f"in:{name}",)), *(f"name:{w}" for w in names))
+        fresh = tuple(f for f in mine if not active.get(f))
+        for f in mine:
+            active[f] = active.get(f, 0) + 1
+        parent = stack[-1][0] if stack else None
+        stack.append((Node(parent, name, fresh, main or bool(parent and parent.main)), mine))
+        open_tags[name] = open_tags.get(name, 0) + 1
+
+    def pop() -> str:
+        node, mine = stack.pop()
+        for f in mine:
+            active[f] -= 1
+        open_tags[node.tag] -= 1
+        return node.tag
+
     at, end = 0, len(html)
     while at < end:
         lt = html.find("<", at)
@@ -94,45 +127,47 @@ def blocks(html: str) -> Iterator[tuple[str, tuple, int, bool]]:
             if name == "hr":
                 continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if open_tags.get(name):
+                    while pop() != name:
+                        pass
                 in_link = in_link and name in _EMBED
                 continue
-            while name in _BLOCK and stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
-                stack.pop()
+            while name in _BLOCK and stack and ((top := stack[-1][0].tag) == "p" or top in _HEADINGS or top == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
+                pop()
             names, main = (), False
             if attrs and ("=" in attrs or "data-main" in attrs):
                 found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)}
                 main = "data-main" in found
                 names = tuple(sorted({w for k, v in found.items() if k != "data-main" for w in _NAME.findall(v.lower())}))
             if name not in _VOID and not (name in _EMBED and attrs.endswith("/")):
-                stack.append((name, names, main))
+                push(name, names, main)
     yield from flush()
 
 
-def _path_features(path: tuple) -> list[str]:
-    """Features of the ancestors: their tags, the words of their classes, ids and roles, and the leaf's own tag."""
-    out = {f"in:{t}" for t, _ in path if t not in ("html", "body")} | {f"name:{w}" for _, n in path for w in n}
-    out.add(f"tag:{path[-1][0] if path else '-'}")
+def _path_features(node: Node | None) -> list[str]:
+    """Features of the ancestors: their tags and the words of their classes, ids and roles."""
+    out: list[str] = []
+    while node:
+        out += node.fresh
+        node = node.parent
     return sorted(out)
 
 
-def _shape(text: str, linked: int) -> tuple:
-    """Coarse text features: length, share of links, ends like a sentence, commas, words, odd characters."""
+def _shape(text: str, node: Node | None, linked: int) -> tuple:
+    """Coarse features of a block: its tag, length, share of links, ends like a sentence, commas, words, odd characters, what it says."""
     n = len(text)
     words = text.count(" ") + 1
     share = linked / n
     return (
-        min(n.bit_length(), 11), 0 if not linked else 1 if share < 0.4 else 2 if share < 0.9 else 3, text[-1] in ".!?:;…。\"'”)", min(text.count(","), 3),
-        0 if words < 4 else 1 if words < 10 else 2 if words < 25 else 3, "©" in text or "(c)" in text or "All rights" in text, "|" in text or "·" in text or "»" in text, sum(c.isdigit() for c in text[:40]) > 8,
+        node.tag if node else "-", min(n.bit_length(), 11), 0 if not linked else 1 if share < 0.4 else 2 if share < 0.9 else 3, text[-1] in ".!?:;…。\"'”)", min(text.count(","), 3),
+        0 if words < 4 else 1 if words < 10 else 2 if words < 25 else 3, "©" in text or "(c)" in text, "|" in text or "·" in text or "»" in text, sum(c.isdigit() for c in text[:40]) > 8, _SAYS.search(text, 0, 300) is not None,
     )
 
 
 def _shape_features(shape: tuple) -> list[str]:
-    n, link, ends, commas, words, rights, bars, digits = shape
-    return [f"len:{n}", f"link:{link}", f"ends:{ends}", f"commas:{commas}", f"words:{words}", f"rights:{rights}", f"bars:{bars}", f"digits:{digits}", f"ends:{ends} words:{words}"]
+    tag, n, link, ends, commas, words, rights, bars, digits, says = shape
+    out = [f"tag:{tag}", f"len:{n}", f"link:{link}", f"ends:{ends}", f"commas:{commas}", f"words:{words}", f"rights:{rights}", f"bars:{bars}", f"digits:{digits}", f"says:{says}"]
+    return [*out, f"ends:{ends} words:{words}", f"tag:{tag} link:{link}", f"tag:{tag} words:{words}", f"says:{says} words:{words}"]
 
 
 class Field:
@@ -140,24 +175,31 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float]], pairs: np.ndarray, start: np.ndarray):
         self.weights, self.pairs, self.start = weights, pairs, start
-        self._paths: dict = {}
         self._shapes: dict = {}
 
-    def _sum(self, features: list[str]) -> float:
+    def _sum(self, features: Iterable[str]) -> float:
         return sum(w[1] - w[0] for f in features if (w := self.weights.get(f)))
 
+    def _path_score(self, node: Node | None) -> float:
+        """Sum over the ancestors' features; each element adds its own to its parent's sum, once."""
+        above = []
+        while node and node.score is None:
+            above.append(node)
+            node = node.parent
+        total = node.score if node else 0.0
+        for n in reversed(above):
+            total += self._sum(n.fresh)
+            n.score = total
+        return total
+
     def scores(self, found: list[tuple]) -> list[float]:
         """For each block, how much more label 1 scores than label 0."""
         out = []
-        for text, path, linked, _ in found:
-            if (p := self._paths.get(path)) is None:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                p = self._paths[path] = self._sum(_path_features(path))
-            shape = _shape(text, linked)
+        for text, node, linked, _ in found:
+            shape = _shape(text, node, linked)
             if (s := self._shapes.get(shape)) is None:
                 s = self._shapes[shape] = self._sum(_shape_features(shape))
-            out.append(p + s)
+            out.append(self._path_score(node) + s)
         return out
 
     def decode(self, found: list[tuple]) -> list[int]:
@@ -184,147 +226,181 @@ class Field:
         return "\n".join(f[0] for f, y in zip(found, self.decode(found), strict=True) if y) if found else ""
 
 
-def _log_add(a: float, b: float) -> float:
-    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
-
-
-def _expected(e: list, t: list, s: list) -> tuple[list, list]:
-    """Probability of label 1 for each block of a page, and expected pairs of labels in a row (00, 01, 10, 11)."""
-    n, (a, b), (c, d) = len(e), *t
-    f = [(s[0] + e[0][0], s[1] + e[0][1])]
-    for x, y in e[1:]:
-        u, v = f[-1]
-        f.append((_log_add(u + a, v + c) + x, _log_add(u + b, v + d) + y))
-    z = _log_add(*f[-1])
-    u = v = 0.0
-    one, pairs = [0.0] * n, [0.0] * 4
-    for k in range(n - 1, -1, -1):
-        one[k] = math.exp(f[k][1] + v - z)
-        if k:
-            x, y = e[k][0] + u, e[k][1] + v
-            g, h = f[k - 1]
-            for i, q in enumerate((g + a + x, g + b + y, h + c + x, h + d + y)):
-                pairs[i] += math.exp(q - z)
-            u, v = _log_add(a + x, b + y), _log_add(c + x, d + y)
-    return one, pairs
+def _expected(e: np.ndarray, t: np.ndarray, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward sums of all pages at once: the probability of label 1 for each block, and the expected pairs
+    of labels in a row. e: pages x blocks x 2 scores; size: blocks of each page (the rest is ignored)."""
+    pages, n, _ = e.shape
+    add = np.logaddexp
+    forward, backward = np.zeros((n, pages, 2)), np.zeros((n, pages, 2))
+    forward[0] = s + e[:, 0]
+    for k in range(1, n):
+        forward[k] = add(forward[k - 1][:, :1] + t[0], forward[k - 1][:, 1:] + t[1]) + e[:, k]
+    last = np.maximum(size - 1, 0)
+    z = add(*forward[last, np.arange(pages)].T)
+    for k in range(n - 2, -1, -1):
+        x = e[:, k + 1] + backward[k + 1]
+        backward[k] = np.where((k < last)[:, None], add(x[:, :1] + t[:, 0], x[:, 1:] + t[:, 1]), 0.0)
+    inside = np.arange(n)[:, None] < size
+    one = np.where(inside, np.exp(np.where(inside, forward[..., 1] + backward[..., 1] - z, -np.inf)), 0.0)
+    pairs = np.zeros((2, 2))
+    for k in range(n - 1):
+        some = np.flatnonzero(k < last)
+        both = forward[k, some, :, None] + t + (e[some, k + 1] + backward[k + 1, some])[:, None, :] - z[some, None, None]
+        pairs += np.exp(both).sum(0)
+    return one.T, pairs
 
 
 def train(pages: list[str], rounds: int = 120, rate: float = 0.4, decay: float = 0.0004) -> Field:
     """Maximum likelihood with L2 decay: forward-backward gradients on all pages at once, Adagrad steps."""
     names: dict[str, int] = {}
-    owner, feats, labels, ends = [], [], [], []
+    owner, feats, labels, size = [], [], [], []
     for page in pages:
-        for text, path, linked, main in blocks(page):
-            mine = [names.setdefault(f, len(names)) for f in _path_features(path) + _shape_features(_shape(text, linked))]
+        before = len(labels)
+        for text, node, linked, main in blocks(page):
+            mine = [names.setdefault(f, len(names)) for f in _path_features(node) + _shape_features(_shape(text, node, linked))]
             owner += [len(labels)] * len(mine)
             feats += mine
             labels.append(int(main))
-        ends.append(len(labels))
-    owner, feats, y = np.array(owner), np.array(feats), np.array(labels)
+        size.append(len(labels) - before)
+    owner, feats, y, size = np.array(owner), np.array(feats), np.array(labels), np.array(size)
+    page_of, place = np.repeat(np.arange(len(pages)), size), np.arange(len(y)) - np.repeat(np.cumsum(size) - size, size)
+    firsts, follow = y[place == 0], np.flatnonzero(place > 0)
+    seen_pairs = np.bincount(y[follow - 1] * 2 + y[follow], minlength=4).reshape(2, 2)
     w, t, s = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)
     sums = [np.full_like(x, 1e-8) for x in (w, t, s)]
     for _ in range(rounds):
-        e = np.zeros((len(y), 2))
-        np.add.at(e, owner, w[feats])
-        e, tt, ss = e.tolist(), t.tolist(), s.tolist()
-        p, gt, gs, lo = [], -decay * len(pages) * t, -decay * len(pages) * s, 0
-        for hi in ends:
-            if hi > lo:
-                one, pairs = _expected(e[lo:hi], tt, ss)
-                p += one
-                gt -= np.array(pairs).reshape(2, 2)
-                np.add.at(gt, (y[lo : hi - 1], y[lo + 1 : hi]), 1)
-                gs += (y[lo] == np.arange(2)) - np.array([1 - one[0], one[0]])
-            lo = hi
-        d = y - np.array(p)
-        gw = -decay * len(pages) * w
-        np.add.at(gw, feats, np.stack([-d, d], 1)[owner])
-        for x, grad, total in zip((w, t, s), (gw, gt, gs), sums, strict=True):
+        flat = np.stack([np.bincount(owner, w[feats, c], len(y)) for c in (0, 1)], 1)
+        e = np.zeros((len(pages), size.max(), 2))
+        e[page_of, place] = flat
+        one, pairs = _expected(e, t, s, size)
+        p, first = one[page_of, place], one[size > 0, 0]
+        d = y - p
+        gw = np.bincount(feats, d[owner], len(names))
+        grads = (np.stack([-gw, gw], 1) - decay * len(pages) * w, seen_pairs - pairs - decay * len(pages) * t, np.array([first.sum() - firsts.sum(), firsts.sum() - first.sum()]) - decay * len(pages) * s)
+        for x, grad, total in zip((w, t, s), grads, sums, strict=True):
             total += grad * grad
             x += rate * grad / np.sqrt(total)
     return Field({f: (float(w[k, 0]), float(w[k, 1])) for f, k in names.items()}, t, s)
 
 
-def labelled_pages(n: int = 200, seed: int = 7) -> list[str]:
-    """Pages of many layouts, made here, with `data-main` on what is main text."""
+def labelled_pages(n: int = 320, seed: int = 7) -> list[str]:
+    """Pages of many layouts, made here, with `data-main` on what is main text.
+
+    Names of classes are from lists, made up, or left out, so that tags, text and neighbours count as well as names.
+    """
     r = random.Random(seed)
-    syllables = "the an on er re in ti es or ed at nd st ha le de la que en ou ch ein ung der und los para cion ado".split()
+    syllables = [a + b for a in "b d f g k l m n p r s t v z sh tr st".split() for b in "a e i o u en or il".split()]
+
+    def word() -> str:
+        return "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
 
     def words(n: int) -> str:
-        w = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) + ("," if r.random() < 0.08 else "") for _ in range(n)]
-        return " ".join(w).strip(",").capitalize()
+        return " ".join(word() + ("," if r.random() < 0.08 else "") for _ in range(n)).strip(",").capitalize()
 
     def sentence() -> str:
-        return words(r.randint(1, 22)) + r.choice("....?!") + (r.choice(["&amp;&amp;", "***", "$$$", " (12)"]) if r.random() < 0.1 else "")
+        return words(r.randint(1, 22)) + r.choice("....?!") + (r.choice(["&amp;&amp;", "***", "$$$", " (12)", " [3]"]) if r.random() < 0.1 else "")
 
     def para() -> str:
         return " ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 8])))
 
+    def says() -> str:
+        return r.choice([
+            "We use cookies to improve this site.", "By using this page you accept our privacy policy.", "Subscribe to our newsletter.", "Sign up for free.", "Log in or register to go on.", "Accept all cookies.", "Advertisement", "Sponsored content",
+            "Share this page", "Diese Seite verwendet Cookies.", "Datenschutz und Cookies", "Anzeige", "Publicidad", "Publicité", "Read more", "Click here to buy.", "Your consent is needed for cookies.",
+        ]) + r.choice(["", "", " " + sentence()])
+
     def items(a: int, b: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/x">{words(r.randint(1, 3))}{r.choice(["", "", ".", ","])}</a></{tag}>' for _ in range(r.randint(a, b)))
 
     def cls(*names: str) -> str:
-        return f'{r.choice(["class", "class", "id"])}="{r.choice(names)}"'
+        """One of the names, with a made-up one beside it at times; or only that; or none."""
+        x = r.random()
+        own = r.choice(names) + r.choice(["", "", "-" + word(), " " + word()]) if x < 0.75 else word()
+        return "" if x > 0.9 else f'{r.choice(["class", "class", "id"])}="{own}"'
 
     def menu() -> str:
         return r.choice([
-            lambda: f"<nav><ul>{items(3, 8)}</ul></nav>", lambda: f'<div {cls("menu", "navbar", "main-menu", "nav", "navigation", "top-nav")}><ul>{items(3, 9)}</ul></div>',
-            lambda: f'<header><div {cls("logo", "brand", "site-title")}>{words(2)}</div><nav>{items(3, 6, "span")}</nav></header>', lambda: f'<div {cls("header", "site-header", "masthead", "top-bar")}><h2>{words(2)}</h2><p>{words(4)}.</p></div>',
+            lambda: f"<nav><ul>{items(3, 8)}</ul></nav>", lambda: f'<div {cls("menu", "navbar", "main-menu", "nav", "navigation", "top-nav", "links", "toolbar")}><ul>{items(3, 9)}</ul></div>',
+            lambda: f'<header><div {cls("logo", "brand", "site-title")}>{words(2)}</div><nav>{items(3, 6, "span")}</nav></header>', lambda: f'<div {cls("header", "site-header", "masthead", "top-bar", "banner")}><h2>{words(2)}</h2><p>{words(4)}.</p></div>',
             lambda: f"<header><h1>{words(2)}</h1><p>{sentence()}</p></header>", lambda: f'<ul {cls("breadcrumb", "breadcrumbs", "crumbs")}>{items(2, 4)}</ul>', lambda: f'<div role="navigation">{items(3, 6, "div")}</div>',
+            lambda: f'<div {cls("menu", "nav")}>' + " | ".join(f'<a href="/{k}">{words(1)}</a>' for k in range(r.randint(3, 7))) + "</div>",
         ])()
 
     def advert() -> str:
-        return f'<{(t := r.choice(["div", "div", "aside", "section"]))} {cls("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-box", "sponsor")}>{r.choice([sentence, para, lambda: f"<p>{sentence()}</p>"])()}</{t}>'
+        return f'<{(t := r.choice(["div", "div", "aside", "section"]))} {cls("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-box", "sponsor", "adsbygoogle", "ad-slot")}>{r.choice([sentence, says, para, lambda: f"<p>{sentence()}</p>", lambda: f"<p>{says()}</p>"])()}</{t}>'
 
     def notice() -> str:
-        return f'<div {cls("cookie", "cookie-notice", "notice", "consent", "gdpr-banner", "alert", "newsletter", "subscribe", "popup", "modal", "disclaimer")}><p>{para()}</p><button>{words(1)}</button></div>'
+        text = r.choice([says, says, para])()
+        return f'<div {cls("cookie", "cookie-notice", "cookies", "notice", "consent", "gdpr-banner", "alert", "newsletter", "subscribe", "popup", "modal", "disclaimer", "overlay", "privacy", "window", "dialog", "bar")}><p>{text}</p>{r.choice(["<button>", "<a href=/ok>"])}{r.choice([words(1), "OK", "Accept"])}</div>'
 
     def side() -> str:
         return r.choice([
-            lambda: f"<aside><h3>{words(2)}</h3><ul>{items(2, 6)}</ul><p>{sentence()}</p></aside>", lambda: f'<div {cls("sidebar", "related", "widget", "popular", "recommended", "tags", "share", "social", "toc")}><h4>{words(2)}</h4>{r.choice([f"<ul>{items(2, 5)}</ul>", f"<p>{para()}</p>"])}</div>',
+            lambda: f"<aside><h3>{words(2)}</h3><ul>{items(2, 6)}</ul><p>{sentence()}</p></aside>", lambda: f'<div {cls("sidebar", "related", "widget", "popular", "recommended", "tags", "share", "social", "toc", "rail")}><h4>{words(2)}</h4>{r.choice([f"<ul>{items(2, 5)}</ul>", f"<p>{para()}</p>"])}</div>',
             lambda: f'<form action="/s"><label>{words(2)}</label><input name="q"><p>{sentence()}</p><button>{words(1)}</button></form>', lambda: f'<div {cls("login", "search", "search-form", "signup")}><form><p>{words(3)}</p></form></div>',
         ])()
 
     def comments() -> str:
-        return f'<{(t := r.choice(["div", "section"]))} {cls("comments", "comment-list", "responses", "discussion", "disqus", "replies")}><h3>{words(2)}</h3>' + "".join(f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><p>{para()}</p></div>' for _ in range(r.randint(1, 4))) + f"</{t}>"
+        return f'<{(t := r.choice(["div", "section"]))} {r.choice(["class", "id"])}="{r.choice(["comments", "comment-list", "responses", "discussion", "disqus", "replies", "comments-area"])}"><h3>{words(2)}</h3>' + "".join(f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><p>{para()}</p></div>' for _ in range(r.randint(1, 4))) + f"</{t}>"
 
     def foot() -> str:
         return r.choice([
             lambda: f"<footer>&copy; {words(1)}.example.com &middot; {sentence()}</footer>", lambda: f'<div {cls("footer", "site-footer", "copyright", "bottom", "legal")}><p>&copy; 2024 {words(3)}. All rights reserved.</p><ul>{items(2, 5)}</ul></div>',
             lambda: f"<footer><p>{para()}</p><ul>{items(2, 6)}</ul></footer>", lambda: f'<div role="contentinfo"><p>{sentence()}</p></div>',
+            lambda: f'<div {r.choice(["class", "id"])}="{r.choice(["footer", "site-footer", "page-footer"])}"><ul><li>{sentence()}</li><li>{sentence()}</li><li><a href="/p">{words(2)}</a></li></ul></div>',
         ])()
 
     def body(mark: str) -> str:
-        out = [f"<h{(h := r.choice([1, 1, 2]))}{mark}>{words(r.randint(2, 10))}{r.choice(['', '.'])}</h{h}>"]
+        out = [f"<h{(h := r.choice([1, 1, 2]))}{mark}>{words(r.randint(2, 10))}{r.choice(['', '.'])}</h{h}>"] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 10)):
             out.append(r.choice([
-                *[lambda: f"<p{mark}>{para()}</p>"] * 8, lambda: f"<p{mark}><b>{sentence()}<br>", lambda: f"<p{mark}>{para()}", lambda: f"<h3{mark}>{words(3)}</h3>", lambda: f"<blockquote{mark}>{para()}</blockquote>",
+                *[lambda: f"<p{mark}>{para()}</p>"] * 8, lambda: f"<p{mark}><b>{sentence()}</b><br>{sentence()}", lambda: f"<p{mark}>{para()}", lambda: f"<h3{mark}>{words(3)}</h3>", lambda: f"<blockquote{mark}>{para()}</blockquote>",
                 lambda: f"<ul{mark}>" + "".join(f"<li>{sentence()}</li>" for _ in range(3)) + "</ul>", lambda: f'<p{mark}>{sentence()} <a href="/y">{words(2)}</a> {sentence()}</p>', lambda: f"<pre{mark}>{words(9)}</pre>",
-                lambda: f"<div{mark}>{para()}</div>", lambda: f"<table{mark}><tr><td>{words(2)}</td><td>{words(1)} 12</td></tr></table>", lambda: f"<figure{mark}><img src=x><figcaption>{sentence()}</figcaption></figure>", lambda: f"<p{mark}>{words(2)}.</p>", lambda: f"<p{mark}><b>{words(1)}<br>", lambda: f"<p{mark}>{words(1)}</p>",
+                lambda: f"<div{mark}>{para()}</div>", lambda: f"<table{mark} {cls('infobox', 'data', 'wikitable')}><tr><th>{words(1)}</th><td>{words(2)}</td><td>{words(1)} 12</td></tr></table>", lambda: f"<figure{mark}><img src=x><figcaption>{sentence()}</figcaption></figure>",
+                lambda: f"<p{mark}>{words(2)}.</p>", lambda: f"<p{mark}>{words(1)}</p>", lambda: f"<p{mark}>{sentence()} {says()} {sentence()}</p>", lambda: f"<section{mark} {cls('banner-text', 'hero', 'section', 'intro', 'lead', 'notes', 'highlight', 'box')}><h2>{words(3)}</h2><p>{para()}</p><p>{para()}</p></section>",
             ])())
-            if r.random() < 0.06:
+            if r.random() < 0.12:
                 out.append(advert())
+        if r.random() < 0.15:
+            out.append(f"<div{mark} {cls('reflist', 'references', 'footnotes', 'notes')}><ol>" + "".join(f'<li><a href="#c">^</a> {sentence()}</li>' for _ in range(r.randint(1, 4))) + "</ol></div>")
         return "".join(out)
 
     def article() -> str:
         inside = body(" data-main")
         return r.choice([
             *[lambda: f"<article>{inside}</article>"] * 4, lambda: f"<main>{inside}</main>", lambda: f"<main><article>{inside}{r.choice(['', comments()])}</article></main>",
-            lambda: f'<div {cls("content", "post", "entry-content", "article-body", "story", "post-body", "main-content", "text")}>{inside}</div>', lambda: f'<div {cls("container", "wrapper", "page")}><section>{inside}</section></div>', lambda: f'<div role="main">{inside}</div>', lambda: f"<div>{inside}</div>",
+            *[lambda: f'<div {cls("content", "post", "entry-content", "article-body", "story", "post-body", "main-content", "text", "mw-body", "parser-output", "page-content")}>{inside}</div>'] * 3,
+            lambda: f'<div {cls("container", "wrapper", "page")}><section>{inside}</section></div>', lambda: f'<div role="main">{inside}</div>', lambda: f"<div>{inside}</div>", lambda: f'<div {cls("content")}><div {cls("output", "body")}>{inside}</div></div>',
         ])()
 
     pages = []
     for _ in range(n):
         top = [menu()] + [x() for x in r.sample([menu, advert, notice, side], r.randint(0, 3))]
         tail = [x() for x in r.sample([side, comments, advert, notice], r.randint(0, 3))] + ([foot()] if r.random() < 0.9 else [])
-        page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{''.join(top)}{article()}{''.join(tail)}</body></html>"
-        pages.append(page)
+        x = r.random()
+        if x < 0.08:  # nothing else
+            page = r.choice([article(), f"<article><p data-main>{para()}", f"<article><p data-main>{words(r.randint(3, 12))}", f"<main><p data-main>{sentence()}</p></main>"])
+        elif x < 0.2:  # laid out by a table
+            cells = [f"<td {cls('left', 'nav')}>{menu()}</td>", f"<td>{body(' data-main')}</td>", *([f"<td>{side()}</td>"] if r.random() < 0.4 else [])]
+            page = f"<table><tr><td colspan=3>{words(2)}</td></tr><tr>{''.join(cells)}</tr></table>{foot()}"
+        else:
+            page = f"{''.join(top)}{article()}{''.join(tail)}"
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{page}</body></html>")
     return pages
 
 
+_field: list[Field] = []
+
+
+def fitted() -> Field:
+    """The field trained on the labelled pages; trained once in a process."""
+    if not _field:
+        _field.append(train(labelled_pages()))
+    return _field[0]
+
+
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    field = field or train(labelled_pages())
+    field = field or fitted()
     shared = pages.sparkSession.sparkContext.broadcast((field.weights, field.pairs, field.start))
 
     def run(batches):

@@ -5,9 +5,9 @@ dictionary can save is bounded, and in one piece its share would shrink as the t
 
 The dictionaries hold a bounded sample of the learning rows: `texts` texts of each language, those with the least
 hash of their id, of each of which up to `bytes_each` bytes from its start are taken. Predictions read whole texts.
-Documents never move.
+Documents never move. Each text is compressed once per language, so the work grows with the number of languages learned.
 
-Defined cases: a null text, or one without letters, is `und` with score 0 and rejected; a tie goes to the first
+Defined cases: a null text, or one without letters (digits and number signs such as ½ or Ⅷ are none), is `und` with score 0 and rejected; a tie goes to the first
 language by code point, with score 0; rows with a null language are not learned from; repeated rows each get their
 result; with nothing to learn from, every text is `und`; extra columns are ignored by `identify`, kept by `identified`.
 """
@@ -26,10 +26,15 @@ PIECE = 32 << 10
 #: Reject when the best dictionary saves less than this share of what the second leaves.
 MARGIN = 0.004
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letters(text: str) -> bool:
+    """Whether a text has a letter; numbers such as ½, ² or Ⅷ are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def letters(text: str) -> bytes:
     """What is compressed: the letters in lower case, anything between them one space."""
     return _OTHER.sub(" ", f" {text.lower()} ").encode()
@@ -42,7 +47,7 @@ def learn(docs: DataFrame, texts: int = TEXTS, bytes_each: int = BYTES_EACH) ->
     few = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= texts)
     found: dict[str, list[bytes]] = {}
     for lang, text in few.orderBy("lang", "k").select("lang", F.substring("text", 1, bytes_each)).collect():
-        if _LETTER.search(text):
+        if has_letters(text):
             found.setdefault(lang, []).append(letters(text)[:bytes_each])
     return {lang: b"\n".join(dict.fromkeys(parts)) for lang, parts in sorted(found.items())}
 
@@ -59,7 +64,7 @@ class Judge:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected); the score is the share that the best saves of what the second leaves, 1 if there is no second."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letters(text):
             return UNKNOWN, 0.0, True
         raw = letters(text)
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]

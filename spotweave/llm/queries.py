@@ -17,7 +17,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.drop("broken")
+    return found.drop("broken", "stratum")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.ORACLE}
+    return {"op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontamination.oracle(), "op7_mix_sources": mixing.ORACLE}

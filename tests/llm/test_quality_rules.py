@@ -1,7 +1,9 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 from spotweave.llm import quality_rules as Q
@@ -48,7 +50,46 @@ def test_rules_catch_bad_and_spare_good(spark):
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 3000)] + [(1, None), (99999, 0)], "doc_id long, quality int")
     got = {x.doc_id: x for x in Q.judge(df, labels).collect()}
-    assert all(got[i].kept == (i % 4 > 0) for i, _, s, _ in rows if s)
-    assert all(got[i].kept for i, _, s, _ in rows if not s)  # too few labels for a rule here
-    few = labels.where("doc_id < 200")
-    assert Q.judge(df, few).where("not kept").count() == 0
+    assert all(got[i].kept == (i % 4 > 0) and got[i].certified for i, *_ in rows)
+    few = Q.judge(df, labels.where("doc_id < 60")).collect()  # too few for any cutoff
+    assert all(x.kept and not x.certified for x in few)
+
+
+def plain_kept(rows, labels, alpha=Q.ALPHA, delta=Q.DELTA):
+    """Kept and certified of rows (doc_id, text, lang): depths, exact binomial tails and the choice of steps in plain Python."""
+    depth, failed = {}, {}
+    for i, t, _ in rows:
+        t = t or ""
+        n, chars, symbols, dup, repeat, failed[i] = brute(t)
+        solid = "".join(re.findall(r"[^\x20\x09-\x0D]+", t))
+        lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        capitals, marks = sum(unicodedata.category(c) == "Lu" for c in solid), sum(c in "!?.,;:" for c in solid)
+        m = [symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1), capitals / max(chars, 1), marks / max(n, 1)]
+        depth[i] = min(next((s for s, c in enumerate(cuts, 1) if v > c), len(cuts) + 1) for v, cuts in zip(m, Q.STEPS.values(), strict=True))
+    lang = {i: x for i, _, x in rows}
+    held = {}
+    for i, q in labels:
+        if q is not None and i in lang:
+            held[i] = max(q, held.get(i, 0))
+    chosen = {}
+    for stratum in {lang[i] for i in held}:
+        mine = [(depth[i], q) for i, q in held.items() if lang[i] == stratum]
+        n, options = sum(q for _, q in mine), []
+        for s in range(1, 13):
+            k, bad = sum(q and d <= s for d, q in mine), sum(not q and d <= s for d, q in mine)
+            tail = sum(Fraction(math.comb(n, j)) * Fraction(alpha) ** j * (1 - Fraction(alpha)) ** (n - j) for j in range(k + 1)) if k <= n * alpha else 1
+            if tail <= delta / len({lang[i] for i in held}):
+                options.append((-bad, s))
+        if options:
+            bad, s = min(options)
+            chosen[stratum] = s if bad else 0
+    return {i: (not failed[i] and not depth[i] <= chosen.get(lang[i], 0), lang[i] in chosen) for i in lang}
+
+
+def test_kept_equals_plain_python(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    want = plain_kept([tuple(r) for r in docs.collect()], [tuple(r) for r in labels.collect()])
+    got = {r.doc_id: (r.kept, r.certified) for r in Q.judge(docs, labels).collect()}
+    assert got == want
+    assert {x for _, x in want.values()} == {True, False}

@@ -1,6 +1,10 @@
 import random
+import weakref
 import zlib
 
+import pytest
+import zstandard
+
 from spotweave.llm import decontamination as D
 from spotweave.llm import language_id as L
 from spotweave.llm import mixing as M
@@ -19,17 +23,52 @@ def test_decontamination_equals_brute_force(spark):
     df = spark.createDataFrame(docs, DOCS)
     keep = [x for x in items if x[0] is not None and x[1] is not None]
     want = sorted((i, *D.brute(t, keep)) for i, t, _ in docs)
-    for limit in (D.LIMIT_BYTES, 100):
-        assert sorted(map(tuple, D.digest(D.contamination(df, b, limit_bytes=limit)).collect())) == want
-        clean = D.without_hits(df, b, limit_bytes=limit)
+    for limit in (D.LIMIT, 7):
+        assert sorted(map(tuple, D.digest(D.contamination(df, b, limit=limit)).collect())) == want
+        clean = D.without_hits(df, b, limit=limit)
         assert clean.schema == df.schema
         assert sorted(x.doc_id for x in clean.collect()) == sorted(w[0] for w in want if not w[-1])
     got = D.contamination(df.where("doc_id = 42"), b).first()
     assert [("ONE, two one two"[s.start : s.end]) for s in got.spans] == ["ONE, two one two"]
     assert D.contamination(df.limit(0), b).collect() == []
+    with pytest.raises(ValueError, match="max_windows"):
+        D.contamination(df, b, max_windows=50)
     assert not D.contamination(df, b.limit(0)).where("n_hit > 0").count()
 
 
+def test_one_automaton_at_a_time():
+    """A benchmark of forty times the limit: all its items are found, and memory stays that of one automaton."""
+    import tracemalloc
+
+    r = random.Random(2)
+    items = [(str(i), " ".join(f"w{r.randrange(10**5)}" for _ in range(60))) for i in range(800)]
+    parts, made, live = [items[k : k + 20] for k in range(0, 800, 20)], [], []
+    build = D.automaton
+
+    def counted(few, window):
+        made.append(len(few))
+        live.append(sum(1 for x in alive if x() is not None))
+        machine = Held(build(few, window))
+        alive.append(weakref.ref(machine))
+        return machine
+
+    class Held:
+        def __init__(self, machine):
+            self.iter = machine.iter
+
+    alive = []
+    D.automaton = counted
+    try:
+        tracemalloc.start()
+        found = D.Scanner(parts, 10)([t for _, t in items] + ["", None])
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+        D.automaton = build
+    assert [f[2] for f in found] == [{i} for i, _ in items] + [set(), set()]
+    assert len(made) == 40 and max(live) <= 1
+
+
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = df.select("doc_id", "text", "lang").collect()
@@ -48,6 +87,28 @@ def test_language_id(spark):
     assert L.learn(df.limit(0)) == {}
 
 
+def test_language_id_equals_a_plain_loop(spark):
+    """Sizes by zstandard alone, one text, language and piece after another."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    content = L.learn(df.where("doc_id % 3 = 0"))
+    odd = [(10**6 + k, t, None, None, 0) for k, t in enumerate([None, "", "½ ² Ⅷ ①", "12 34", "é", "日本", "the ½", "A" * 70_000])]
+    docs = df.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int")).collect()
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), content).collect()}
+    packers = {}
+    for lang, raw in content.items():
+        p = zstandard.ZstdCompressionParameters.from_level(L.LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        packers[lang] = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+    for r in docs:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        plain = "".join(c if c.isalpha() or c.isalnum() and not c.isdecimal() else " " for c in f" {r.text.lower()} ")
+        raw = L.letters(r.text)
+        assert raw.decode().split() == plain.split()
+        sizes = sorted((sum(len(p.compress(raw[k : k + L.PIECE])) for k in range(0, len(raw), L.PIECE)), lang) for lang, p in packers.items())
+        assert got[r.doc_id].lang_pred == sizes[0][1] and abs(got[r.doc_id].score - (sizes[1][0] - sizes[0][0]) / sizes[1][0]) < 1e-12
+
+
 def test_language_of_texts_of_any_length(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text", "lang").collect()
     kinds = "doc_id long, text string, lang string"
