@@ -1,10 +1,10 @@
 """Token counts under a unigram model, by dynamic programming over a trie of the distinct pre-tokens.
 
-A pre-token is a word (a run of anything but ASCII white space) with the word mark before it. In each batch of
-documents the distinct pre-tokens are put into a trie in sorted order, and the best segmentation of every prefix is
-computed once at its node, however many pre-tokens share it; a terminal node keeps its count. Documents never move:
-each one's count is the sum over its words. What a task holds is bounded by its batch, not by the vocabulary of the
-corpus, and a prefix met in several batches is computed once for each.
+A pre-token is a word (a run of anything but ASCII white space) with the word mark before it. A task inserts the distinct
+pre-tokens of its documents into a trie; when a node is made, the best score of its prefix and the fewest tokens that reach it
+are computed from the nodes above, once, however many pre-tokens share the prefix. A terminal keeps its count, so a word met again, in
+this batch of rows or a later one, costs a lookup. Documents never move: each one's count is the sum over its words.
+The trie is bounded: at `MAX_NODES` (some 200 MB) it begins anew, which changes no count.
 
 The vocabulary file (a parameter, read by the driver and broadcast: 32,000 pieces here, `max_pieces` at most) holds
 merge ranks rather than probabilities, so a piece of rank r gets log(1 / (r + 2.7)), after Zipf. A character that no
@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_SCORE = -12.0
+MAX_NODES = 500_000
+#: Words of more characters get no nodes of their own: hardly any other shares them.
+LONG = 10_000
 MARK = "\u2581"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,38 +44,59 @@ def read_pieces(path: str = VOCABULARY, max_pieces: int = 1_000_000) -> dict[str
     return {model.id_to_piece(i): -math.log(2.7 + k) for k, i in enumerate(ids)}
 
 
-def count_all(words: set[str], pieces: dict[str, float], longest: int, byte_score: float = BYTE_SCORE) -> dict[str, int]:
-    """Tokens of each word with the mark before it.
-
-    The trie is walked in sorted order: the path from the root to the last word is kept as a stack of (best score,
-    fewest tokens) per prefix, and only nodes below the prefix shared with the word before are computed.
-    """
-    out: dict[str, int] = {}
-    get = pieces.get
-    scores, tokens = [0.0], [0]  # of the prefixes of what is on the path
-    last = ""
-    for word in sorted(words):
-        text = MARK + word
-        shared = 0
-        for a, b in zip(last, text, strict=False):
-            if a != b:
-                break
-            shared += 1
-        del scores[shared + 1 :], tokens[shared + 1 :]
-        for end in range(shared + 1, len(text) + 1):
-            size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-            best, count = scores[end - 1] + byte_score * size, tokens[end - 1] + size
-            for begin in range(end - longest if end > longest else 0, end):
-                s = get(text[begin:end])
-                if s is not None:
-                    s += scores[begin]
-                    if s > best or s == best and tokens[begin] + 1 < count:
-                        best, count = s, tokens[begin] + 1
-            scores.append(best)
-            tokens.append(count)
-        out[word] = tokens[-1]
-        last = text
-    return out
+class Trie:
+    """Nodes by number: children by character, best score and fewest tokens of the prefix; terminals: tokens of a word."""
+
+    def __init__(self, pieces: dict[str, float], byte_score: float = BYTE_SCORE, max_nodes: int = MAX_NODES):
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.byte_score, self.max_nodes = byte_score, max_nodes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.scores, self.tokens = [0.0], [0]
+        self.terminals: dict[str, int] = {}
+
+    def count(self, word: str) -> int:
+        """Tokens of a word with the mark before it."""
+        found = self.terminals.get(word)
+        if found is None:
+            if len(word) > LONG:
+                return Trie(self.pieces, self.byte_score, 0)._insert(MARK + word, keep=False)
+            if len(self.children) > self.max_nodes:
+                self._clear()
+            found = self.terminals[word] = self._insert(MARK + word)
+        return found
+
+    def _insert(self, text: str, keep: bool = True) -> int:
+        """Walks down, making what nodes are missing. keep=False: for one very long word, whose nodes are its prefixes' numbers alone."""
+        path = [0]
+        get, children, scores, tokens, longest = self.pieces.get, self.children, self.scores, self.tokens, self.longest
+        for end, c in enumerate(text, 1):
+            node = children[path[-1]].get(c) if keep else None
+            if node is None:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, count = scores[path[-1]] + self.byte_score * size, tokens[path[-1]] + size
+                for begin in range(end - longest if end > longest else 0, end):
+                    s = get(text[begin:end])
+                    if s is not None:
+                        s += scores[path[begin]]
+                        if s > best or s == best and tokens[path[begin]] + 1 < count:
+                            best, count = s, tokens[path[begin]] + 1
+                node = len(scores)
+                if keep:
+                    children[path[-1]][c] = node
+                    children.append({})
+                scores.append(best)
+                tokens.append(count)
+            path.append(node)
+        return tokens[path[-1]]
+
+
+def count_all(words: set[str], pieces: dict[str, float], byte_score: float = BYTE_SCORE) -> dict[str, int]:
+    """Tokens of each word with the mark before it."""
+    trie = Trie(pieces, byte_score)
+    return {w: trie.count(w) for w in words}
 
 
 def count_tokens(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", byte_score: float = BYTE_SCORE) -> DataFrame:
@@ -80,11 +104,10 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
-        known, longest = shared.value, max(map(len, shared.value), default=1)
+        trie = Trie(shared.value, byte_score)
         for batch in batches:
             text = [_WORD.findall(t.as_py() or "") for t in batch.column("text")]
-            counts = count_all(set().union(*text), known, longest, byte_score)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in text], pa.int64()), pa.array([sum(map(counts.__getitem__, w)) for w in text], pa.int64())], [id_col, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in text], pa.int64()), pa.array([sum(map(trie.count, w)) for w in text], pa.int64())], [id_col, "n_words", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` as id", "text").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_tokens long")
