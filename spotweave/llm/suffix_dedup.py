@@ -5,10 +5,12 @@ least-hash gram of `gram` bytes inside it (its anchor), which depends on the win
 windows meet under one anchor. Four grouped steps over documents that are hash-dealt into blocks once (the
 exchange is reused):
 
-1. each block sends the hashes of its anchors, each once, five bytes apiece; a bucket answers with those which
-   other blocks have too;
+1. each block sends the hashes of its anchors, each once, six bytes apiece, some buckets together; a bucket answers with
+   those which other blocks have too;
 2. each block sends the runs of windows under such anchors (once for each distinct run of bytes). Runs of anchors
-   that very many blocks have are split into single windows, dealt out by the window's own hash;
+   that more than `hot_blocks` blocks have are split into single windows, dealt out by the window's own hash, and met first
+   by groups of about the square root of all blocks, of which only the least document's copies go on: so a window that
+   every block has costs one task no more than that many rows;
 3. each bucket sorts the suffixes that start in its windows, by bucket-pointer refinement: buckets by the first
    eight bytes, then refined by sorting on the bucket pointers of later offsets, each pass reusing the last one's
    pointers (8, 16, 32, then `window` bytes); windows that end in one bucket are equal;
@@ -16,11 +18,13 @@ exchange is reused):
 
 Rows travel to their block packed and compressed, some from each task together.
 
+Hashes only say where bytes meet: runs are taken for equal when all their bytes are.
+
 Only anchors met twice travel with their bytes, and nothing is gathered beyond a block or a bucket; both counts
 follow the corpus size.
 
-Defined cases: null text counts as empty; an empty or short text loses nothing; rows with the same doc_id never
-remove bytes of each other; a null doc_id counts as greater than every id; extra columns are ignored by
+Defined cases: null text counts as empty; an empty or short text loses nothing, a text of any length is read whole (its block grows with it); rows with the same doc_id never
+remove bytes of each other, nor do rows without one; a null doc_id counts as greater than every id; extra columns are ignored by
 `covered`, kept by `without_repeats`; an empty table gives an empty result.
 """
 
@@ -37,15 +41,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ranges
+from .common import mix, ranges, use_shared_checkpoints
 
 WINDOW = 50
 GRAM = 24
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 MIN_BLOCKS = 48
-#: An anchor in more blocks than this, and than an eighth of them, is dealt out by single windows.
+#: An anchor in more blocks than this is dealt out by single windows.
 HOT_BLOCKS = 256
+#: Buckets whose anchors travel together, at most.
+TOGETHER = 16
 #: Parts of a bucket that are sorted one after another.
 PARTS = 16
 _SLICE = 1 << 20
@@ -159,34 +165,34 @@ def anchors(key: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return distinct, place, low != high
 
 
-def _spans(distinct: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted coarse keys."""
-    bucket = (distinct >> _U(40)).astype(np.int64)
+def _spans(distinct: np.ndarray, together: int) -> list[tuple[int, int, int]]:
+    """(group of buckets, from, to) of sorted coarse keys."""
+    bucket = (distinct >> _U(40)).astype(np.int64) // together
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
     return list(zip(bucket[cut].tolist(), list(cut), [*cut[1:], len(bucket)], strict=True)) if len(bucket) else []
 
 
 ANCHORS = "block int, bucket int, keys binary"
 FLAGS = "block int, bucket int, flags binary"
-RUNS = "bucket int, block int, packed binary, done binary"
+RUNS = "bucket int, block int, grp int, packed binary, done binary"
 MARKS = "block int, marks binary"
 
 
-def send_anchors(docs: pa.Table, buckets: int, window: int, gram: int) -> pa.Table:
+def send_anchors(docs: pa.Table, buckets: int, together: int, window: int, gram: int) -> pa.Table:
     block = Block(docs)
     _, _, doc, key = block.runs(window, gram)
     distinct, _, _ = anchors(key, block.ids[doc], buckets)
-    small = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :5]
-    spans = _spans(distinct)
+    small = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :6]
+    spans = _spans(distinct, together)
     return pa.table({"block": pa.array([docs["_block"][0].as_py()] * len(spans), pa.int32()), "bucket": pa.array([b for b, _, _ in spans], pa.int32()), "keys": pa.array([small[i:j].tobytes() for _, i, j in spans], pa.binary())})
 
 
 def flag_anchors(sent: pa.Table, hot: int) -> pa.Table:
     """For each block, a byte for each of its keys: 0 no other block has it, 1 some have, 2 more than `hot` have."""
     blobs = sent["keys"].to_pylist()
-    sizes = np.array([len(b) // 5 for b in blobs])
+    sizes = np.array([len(b) // 6 for b in blobs])
     wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
     values = wide.view("<u8").ravel()
     order = np.argsort(values)
     v = values[order]
@@ -210,18 +216,73 @@ def run_hash(data: np.ndarray, start: np.ndarray, count: np.ndarray, window: int
     return mix(window_hash(data, start, window) * _U(3) + mix(window_hash(data, start + count - 1, window) ^ count.astype(np.uint64)))
 
 
-def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, window: int, gram: int) -> pa.Table:
+def equal_runs(data: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run, the same for runs of the same bytes alone: those of one hash are compared byte by byte."""
+    h = run_hash(data, start, count, window)
+    length = count + window - 1
+    while True:
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+        first = order[head][group] if len(h) else group
+        other = np.flatnonzero(first != np.arange(len(h)))
+        differ = count[other] != count[first[other]]
+        same = other[~differ]
+        bad = [other[differ]]
+        ends = np.cumsum(length[same])
+        lo = 0
+        while lo < len(same):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4 * _SLICE, "right")))
+            few = same[lo:hi]
+            equal = data[ranges(start[few], length[few])] == data[ranges(start[first[few]], length[few])]
+            bad.append(few[~np.logical_and.reduceat(equal, np.cumsum(length[few]) - length[few])])
+            lo = hi
+        bad = np.concatenate(bad)
+        if not len(bad):
+            return group
+        h[bad] = mix(h[bad] + _U(1))  # hashes that met by chance part
+
+
+def _pack(name: int, bucket: np.ndarray, part: np.ndarray, grp: int | None, ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray, window: int, rows: dict) -> None:
+    """Adds a row of packed runs for each bucket. text: the bytes of all runs, one after another."""
+    length = count + window - 1
+    at = np.cumsum(length) - length
+    order = np.lexsort((start, part, bucket))
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else order
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for a, b in zip(cut, np.append(cut[1:], len(order)), strict=False):
+        few = order[a:b]
+        rows["bucket"].append(int(bucket[few[0]]))
+        rows["block"].append(name)
+        rows["grp"].append(grp)
+        rows["packed"].append(squeeze.compress(pack_runs(part[few], ids[few], start[few], count[few], text[ranges(at[few], length[few])])))
+        rows["done"].append(None)
+
+
+def _rows(rows: dict) -> pa.Table:
+    return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "grp": pa.array(rows["grp"], pa.int32()), "packed": pa.array(rows["packed"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
+
+
+def _first_of_each(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id in each run's group."""
+    least = np.full(int(group.max(initial=-1)) + 1, NO_ID)
+    np.minimum.at(least, group, ids)
+    return least[group]
+
+
+def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, together: int, groups: int, window: int, gram: int) -> pa.Table:
+    rows: dict = {"bucket": [], "block": [], "grp": [], "packed": [], "done": []}
     if not docs.num_rows:
-        return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "packed": pa.array([], pa.binary()), "done": pa.array([], pa.binary())})
+        return _rows(rows)
     block, name = Block(docs), docs["_block"][0].as_py()
     start, count, doc, key = block.runs(window, gram)
     distinct, place, twice = anchors(key, block.ids[doc], buckets)
     said = {b: f for b, f in zip(flags["bucket"].to_pylist(), flags["flags"].to_pylist(), strict=True)}
-    flag = np.frombuffer(b"".join(zlib.decompress(said[b]) for b, _, _ in _spans(distinct)), np.uint8)
+    flag = np.frombuffer(b"".join(zlib.decompress(said[b]) for b, _, _ in _spans(distinct, together)), np.uint8)
     flag = np.maximum(flag, twice.astype(np.uint8))[place] if len(place) else flag
     keep = np.flatnonzero(flag)
-    start, count, ids, flag, to = start[keep], count[keep], block.ids[doc[keep]], flag[keep], (distinct[place[keep]] >> _U(40)).astype(np.int64)
-    hot = flag == 2
+    start, count, ids, hot, to = start[keep], count[keep], block.ids[doc[keep]], flag[keep] == 2, (distinct[place[keep]] >> _U(40)).astype(np.int64)
     part = (distinct[place[keep]] >> _U(36)).astype(np.int64) % PARTS
     if hot.any():
         single = ranges(start[hot], count[hot])
@@ -230,26 +291,38 @@ def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, window: int, gram:
         to = np.concatenate([to[~hot], (w % _U(buckets)).astype(np.int64)])
         part = np.concatenate([part[~hot], (w >> _U(60)).astype(np.int64) % PARTS])
         start, count = np.concatenate([start[~hot], single]), np.concatenate([count[~hot], np.ones(len(single), np.int64)])
-    same = run_hash(block.data, start, count, window)
-    order = np.lexsort((ids, same))
-    s, i = same[order], ids[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-    least = i[np.flatnonzero(head)][np.cumsum(head) - 1] if len(s) else i
-    later = order[i > least]
-    sent = order[i == least]
-    to = to * PARTS + part
-    sent = sent[np.lexsort((start[sent], to[sent]))]
-    rows = {"bucket": [name % buckets], "block": [name], "packed": [None], "done": [_done(start[later], count[later])]} if len(later) else {"bucket": [], "block": [], "packed": [], "done": []}
-    t = to[sent] // PARTS
-    cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for a, b in zip(cut, np.append(cut[1:], len(t)), strict=False):
-        few = sent[a:b]
-        rows["bucket"].append(int(t[a]))
-        rows["block"].append(name)
-        rows["packed"].append(squeeze.compress(pack_runs(to[few] % PARTS, ids[few], start[few], count[few], block.data[ranges(start[few], count[few] + window - 1)])))
-        rows["done"].append(None)
-    return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "packed": pa.array(rows["packed"], pa.binary()), "done": pa.array(rows["done"], pa.binary())})
+        hot = np.concatenate([np.zeros(int((~hot).sum()), bool), np.ones(len(single), bool)])
+    least = _first_of_each(equal_runs(block.data, start, count, window), ids)
+    later = ids > least
+    if later.any():
+        for k, v in zip(rows, (name % buckets, name, None, None, _done(start[later], count[later])), strict=True):
+            rows[k].append(v)
+    for chosen, grp in ((~hot & ~later, None), (hot & ~later, name % groups)):
+        few = np.flatnonzero(chosen)
+        if len(few):
+            _pack(name, to[few], part[few], grp, ids[few], start[few], count[few], block.data[ranges(start[few], count[few] + window - 1)], window, rows)
+    return _rows(rows)
+
+
+def combine(sent: pa.Table, window: int) -> pa.Table:
+    """Of hot windows of a group of blocks, those of the least document go on; the others are done."""
+    rows: dict = {"bucket": [], "block": [], "grp": [], "packed": [], "done": []}
+    found = [(block, *unpack_runs(zstandard.ZstdDecompressor().decompress(packed))) for block, packed in zip(sent["block"].to_pylist(), sent["packed"].to_pylist(), strict=True)]
+    bucket = sent["bucket"][0].as_py()
+    part = np.concatenate([np.repeat(np.arange(PARTS), f[1]) for f in found])
+    block = np.concatenate([np.full(len(f[2]), f[0]) for f in found])
+    ids, start, count = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
+    data = np.concatenate([*(f[5] for f in found), np.zeros(64, np.uint8)])
+    at = np.cumsum(count + window - 1) - (count + window - 1)
+    later = ids > _first_of_each(equal_runs(data, at, count, window), ids)
+    for name in np.unique(block).tolist():
+        gone, few = np.flatnonzero((block == name) & later), np.flatnonzero((block == name) & ~later)
+        if len(gone):
+            for k, v in zip(rows, (bucket, name, None, None, _done(start[gone], count[gone])), strict=True):
+                rows[k].append(v)
+        if len(few):
+            _pack(name, np.full(len(few), bucket), part[few], None, ids[few], start[few], count[few], data[ranges(at[few], count[few] + window - 1)], window, rows)
+    return _rows(rows)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -335,12 +408,9 @@ def _decide(found: list[tuple[np.ndarray, ...]], window: int) -> list[tuple[int,
     block, ids, start, count = (np.concatenate([f[k] for f in found]) for k in range(4))
     data = np.concatenate([*(f[4] for f in found), np.zeros(64, np.uint8)])
     at = np.cumsum(count + window - 1) - (count + window - 1)
-    same = run_hash(data, at, count, window)
-    order = np.lexsort((ids, same))
-    s = same[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    group = np.empty(len(s), np.int64)
-    group[order] = np.cumsum(head) - 1
+    group = equal_runs(data, at, count, window)
+    order = np.lexsort((ids, group))
+    head = np.concatenate([[True], np.diff(group[order]) != 0])
     kept = order[head]  # of each distinct run the one in the least document
     length = count[kept] + window - 1
     data = np.concatenate([data[ranges(at[kept], length)], np.zeros(64, np.uint8)])
@@ -397,11 +467,16 @@ def rewrite(docs: pa.Table, marks: pa.Table, window: int, names: list[str]) -> p
 def _marked(docs: DataFrame, window: int, gram: int, block_bytes: int, bucket_bytes: int, hot_blocks: int) -> tuple[DataFrame, DataFrame]:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(MIN_BLOCKS, math.ceil(total / block_bytes)), max(MIN_BLOCKS, math.ceil(total / bucket_bytes))
-    hot = max(hot_blocks, blocks // 8)
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).mapInArrow(deal, "_block int, rows binary")
-    sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, window, gram), ANCHORS)
-    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot), FLAGS)
-    runs = dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: send_runs(d, f, buckets, window, gram), RUNS)
+    together, groups = min(TOGETHER, max(1, buckets // MIN_BLOCKS)), math.isqrt(blocks) + 1
+    # by id and text, so that rows without an id, or of one id, are dealt out too
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(deal, "_block int, rows binary")
+    sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, together, window, gram), ANCHORS)
+    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot_blocks), FLAGS)
+    runs = dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: send_runs(d, f, buckets, together, groups, window, gram), RUNS)
+    if blocks > hot_blocks:  # else no anchor can be in so many
+        use_shared_checkpoints(docs.sparkSession)
+        runs = runs.checkpoint()
+        runs = runs.where("grp is null").union(runs.where("grp is not null").groupBy("bucket", "grp").applyInArrow(lambda t: combine(t, window), RUNS))
     return dealt, runs.groupBy("bucket").applyInArrow(lambda t: decide(t, window), MARKS)
 
 
