@@ -1,4 +1,4 @@
-"""Column expressions on arrays of doubles."""
+"""Column expressions on arrays of doubles, numbers and strings."""
 
 from __future__ import annotations
 
@@ -28,10 +28,23 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def short_number(s: Column) -> Column:
+    """A finite number to six significant digits, as C's %g writes it: no trailing zeros, an exponent
+    below 1e-4 and from 1e6 on. What is rounded, half up, is the number's shortest decimal form."""
+    digits = F.format_string("%.5e", s)  # rounded once, to six digits; d.ddddde+XX
+    mantissa, power = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1).cast("int")
+    bare = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    sign, kept = F.when(s < 0, "-").otherwise(""), F.regexp_replace(mantissa, r"[-.]", "")
+    large = F.concat(F.substring(kept, F.lit(1), power + 1), F.lit("."), F.substring(kept, power + 2, F.lit(6)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), kept)
+    written = F.concat(bare(mantissa), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    fixed = F.concat(sign, F.when(power < 0, bare(small)).when(power == 5, kept).otherwise(bare(large)))
+    return F.when(s == 0, "0").when((power < -4) | (power > 5), written).otherwise(fixed)
+
+
 def severity_tag(s: Column) -> Column:
-    """A number in its shortest form, with p for the point: 0.5 is 0p5, 8.0 is 8."""
-    plain = F.when(s == F.floor(s), F.floor(s).cast("long").cast("string")).otherwise(s.cast("string"))
-    return F.replace(plain, F.lit("."), F.lit("p"))
+    """A number to six significant digits, with p for the point: 0.5 is 0p5, 8.0 is 8."""
+    return F.replace(short_number(s), F.lit("."), F.lit("p"))
 
 
 def safe_filename(name: Column) -> Column:
@@ -41,3 +54,8 @@ def safe_filename(name: Column) -> Column:
 def seeded(key: Column, seed: int) -> Column:
     """A key for sampling and shuffling that any engine can compute: the MD5 of `key/seed`."""
     return F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))))
+
+
+def seeded_number(key: Column, seed: int) -> Column:
+    """The first 60 bits of `seeded`, as a long."""
+    return F.conv(F.substring(seeded(key, seed), 1, 15), 16, 10).cast("long")

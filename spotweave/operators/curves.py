@@ -74,15 +74,17 @@ def severity_step(curve: DataFrame, by: list[str], col: str) -> DataFrame:
     return curve.select(*by, F.col("severity").alias("s0"), F.lead("severity").over(w).alias("s1"), F.col(col).alias("e0"), F.lead(col).over(w).alias("e1"))
 
 
-def interpolate_curve(curve: DataFrame, at: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Piecewise linear value of each curve at each `s` of `at`, clamped at its ends. Equi-join on the curve's keys."""
-    w = Window.partitionBy(*by).orderBy("s0")
-    seg = severity_step(curve, by, col).withColumn("lowest", F.row_number().over(w) == 1)
-    hit = ((F.col("s") >= F.col("s0")) & (F.col("s1").isNull() | (F.col("s") < F.col("s1")))) | (F.col("lowest") & (F.col("s") < F.col("s0")))
-    part = (F.col("s") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    inside = (F.col("s") >= F.col("s0")) & F.col("s1").isNotNull()
-    # `at` is a short list of places
-    return seg.join(F.broadcast(at), hit).select(*by, "s", F.when(inside, F.col("e0") + part * (F.col("e1") - F.col("e0"))).otherwise(F.col("e0")).alias(col))
+def interpolate_curve(curve: DataFrame, at: list[float], by: list[str], col: str) -> DataFrame:
+    """Piecewise linear value of each curve at each place of a list, clamped at its ends. No join: a curve's points and the
+    places asked for are put in one order, and a place looks at the points before and after it."""
+    points = curve.select(*by, F.col("severity").alias("s"), F.col(col).alias("e"), F.lit(False).alias("asked"))
+    places = curve.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(float(x)) for x in at])).alias("s"), F.lit(None).cast("double").alias("e"), F.lit(True).alias("asked"))
+    order = Window.partitionBy(*by).orderBy("s", "asked")
+    point = F.when(~F.col("asked"), F.struct("s", "e"))
+    both = points.union(places).withColumn("low", F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first(point, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    part = (F.col("s") - F.col("low.s")) / (F.col("high.s") - F.col("low.s"))
+    value = F.when(F.col("low").isNull(), F.col("high.e")).when(F.col("high").isNull(), F.col("low.e")).otherwise(F.col("low.e") + part * (F.col("high.e") - F.col("low.e")))
+    return both.where("asked").select(*by, "s", value.alias(col))
 
 
 def severity_subset(curve: DataFrame, keep: list[float]) -> DataFrame:
@@ -117,7 +119,7 @@ def param_grid(spark, **values) -> DataFrame:
 def leave_one_group_out(slices: DataFrame, group: str = "donor") -> DataFrame:
     """(fold, group, sample, role): each group is the test set once."""
     g = slices.select(group).distinct()
-    folds = g.select(F.col(group).alias("fold")).crossJoin(F.broadcast(g))
+    folds = g.select(F.col(group).alias("fold")).crossJoin(g)  # the shape of the result: every fold has every group
     return folds.join(slices, group).select("fold", group, "sample_id", F.when(F.col("fold") == F.col(group), "test").otherwise("train").alias("role"))
 
 
@@ -140,9 +142,11 @@ def parse_severities(c: Column) -> Column:
     return F.transform(F.split(c, ","), lambda x: F.trim(x).cast("double"))
 
 
-def dataset_stats(spots: DataFrame, by: str = "sample_id") -> DataFrame:
-    per = spots.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("layer") != "NA").alias("labelled"))
-    return per.agg(F.count("*").alias("sections"), F.sum("n").alias("spots"), F.avg("n").alias("mean_spots"), F.sum("labelled").alias("labelled"))
+def dataset_stats(spots: DataFrame, genes: DataFrame, by: str = "donor") -> DataFrame:
+    """Per donor: sections, spots, spots a section, labelled spots, and distinct genes. spots: donor, sample_id, layer; genes: donor, gene_idx."""
+    per = spots.groupBy(by).agg(F.countDistinct("sample_id").alias("sections"), F.count("*").alias("spots"), F.count_if(F.col("layer") != "NA").alias("labelled"))
+    panel = genes.groupBy(by).agg(F.countDistinct("gene_idx").alias("genes"))
+    return per.join(panel, by, "left").select(by, "sections", "spots", (F.col("spots") / F.col("sections")).alias("mean_spots"), "labelled", F.coalesce("genes", F.lit(0)).alias("genes"))
 
 
 def label_counts(spots: DataFrame) -> DataFrame:

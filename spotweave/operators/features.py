@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.vectors import dot
+
 SPOT = ["sample_id", "spot_idx"]
 
 
@@ -184,12 +186,12 @@ def topk_neighbors(qk: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 def feature_nn(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per B spot the A spot nearest in feature space (ties: least index) and its coordinates."""
     best = topk_neighbors(qk, 1, block).drop("rank")
-    return best.join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx").select("a_idx", "pair_id", "b_idx", "distance", "x", "y")
+    return best.join(spots_a.select("pair_id", F.col("spot_idx").alias("a_idx"), "x", "y"), ["pair_id", "a_idx"]).select("pair_id", "b_idx", "a_idx", "distance", "x", "y")
 
 
 def feature_knn_weighted(qk: DataFrame, spots_a: DataFrame, k: int = 10) -> DataFrame:
     """Mean coordinates of the k nearest A spots, weighted by 1 / (distance + 1e-6)."""
-    near = topk_neighbors(qk, k).withColumn("w", 1.0 / (F.col("distance") + 1e-6)).join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
+    near = topk_neighbors(qk, k).withColumn("w", 1.0 / (F.col("distance") + 1e-6)).join(spots_a.select("pair_id", F.col("spot_idx").alias("a_idx"), "x", "y"), ["pair_id", "a_idx"])
     return near.groupBy("pair_id", "b_idx").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 
@@ -222,9 +224,8 @@ def softmax_over_row(logits: DataFrame) -> DataFrame:
 def attention_match(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> DataFrame:
     """Soft coordinates of each B spot. A block gives one row per B spot, (max, sum of exp, sums of exp * coordinate); these
     are merged by the row's overall maximum, so scores never leave a task."""
-    at = spots_a.select(F.col("spot_idx").alias("_a"), "x", "y")
     q = qk.select("pair_id", "side", "spot_idx", "v")
-    placed = q.where("side = 'A'").join(at, F.col("spot_idx") == F.col("_a")).drop("_a").union(q.where("side = 'B'").withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)))
+    placed = q.where("side = 'A'").join(spots_a.select("pair_id", "spot_idx", "x", "y"), ["pair_id", "spot_idx"]).select(*q.columns, "x", "y").union(q.where("side = 'B'").withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)))
 
     def score(pair, b: pa.Table, a: pa.Table) -> tuple:
         logit = _scaled(b, a)
@@ -238,23 +239,48 @@ def attention_match(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> Da
     return merged.select("pair_id", "b_idx", (F.col("ex") / F.col("e")).alias("x"), (F.col("ey") / F.col("e")).alias("y"))
 
 
-def match_top1(logits: DataFrame, partner: DataFrame) -> DataFrame:
-    """Share of bridged B spots whose heaviest A (ties: least index) is the partner."""
-    best = logits.groupBy("pair_id", "b_idx").agg(F.max(F.struct("logit", (-F.col("a_idx")).alias("i"))).alias("m")).select("pair_id", "b_idx", (-F.col("m.i")).alias("best"))
-    return best.join(partner.where("a_idx >= 0"), "b_idx").groupBy("pair_id").agg(F.avg((F.col("best") == F.col("a_idx")).cast("int")).alias("top1"), F.count("*").alias("n"))
+def match_top1(qk: DataFrame, partner: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per pair the share of bridged B spots whose heaviest A (ties: least index) is the partner. partner: pair_id, b_idx, a_idx.
+    A block gives the best of each B spot."""
+
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        order = np.argsort(_ids(a), kind="stable")
+        logit = _scaled(b, a)[:, order]
+        best = logit.argmax(1)  # the first of equal ones: the least index
+        return pa.array([pair] * b.num_rows), _ids(b), _ids(a)[order][best], logit[np.arange(len(best)), best]
+
+    parts = _by_block(qk.select("pair_id", "side", "spot_idx", "v"), score, f"{PAIR}, logit double", block)
+    best = parts.groupBy("pair_id", "b_idx").agg(F.max(F.struct("logit", (-F.col("a_idx")).alias("i"))).alias("m")).select("pair_id", "b_idx", (-F.col("m.i")).alias("best"))
+    return best.join(partner.where("a_idx >= 0"), ["pair_id", "b_idx"]).groupBy("pair_id").agg(F.avg((F.col("best") == F.col("a_idx")).cast("int")).alias("top1"), F.count("*").alias("n"))
+
+
+def _exponentials(qk: DataFrame, block: int) -> DataFrame:
+    """(pair_id, b_idx, top, e, e2): the greatest logit of each B spot, and the sums of exp(logit - top) and of their squares; a block gives its own."""
+
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        logit = _scaled(b, a)
+        top = logit.max(1)
+        e = np.exp(logit - top[:, None])
+        return pa.array([pair] * b.num_rows), _ids(b), top, e.sum(1), (e * e).sum(1)
 
+    parts = _by_block(qk.select("pair_id", "side", "spot_idx", "v"), score, "pair_id string, b_idx long, top double, e double, e2 double", block)
+    parts = parts.withColumn("most", F.max("top").over(Window.partitionBy("pair_id", "b_idx"))).withColumn("s", F.exp(F.col("top") - F.col("most")))
+    return parts.groupBy("pair_id", "b_idx").agg(F.max("most").alias("top"), F.sum(F.col("s") * F.col("e")).alias("e"), F.sum(F.col("s") * F.col("s") * F.col("e2")).alias("e2"))
 
-def soft_cross_entropy(logits: DataFrame, target: DataFrame) -> DataFrame:
-    """Mean over bridged B spots of logsumexp(logits) less the target-weighted logits."""
-    top = logits.groupBy("pair_id", "b_idx").agg(F.max("logit").alias("m"))
-    lse = logits.join(top, ["pair_id", "b_idx"]).groupBy("pair_id", "b_idx", "m").agg(F.sum(F.exp(F.col("logit") - F.col("m"))).alias("s"))
-    got = logits.join(target, ["b_idx", "a_idx"]).groupBy("pair_id", "b_idx").agg(F.sum(F.col("w") * F.col("logit")).alias("g"))
-    return lse.join(got, ["pair_id", "b_idx"]).groupBy("pair_id").agg(F.avg(F.col("m") + F.log("s") - F.col("g")).alias("loss"), F.count("*").alias("n"))
 
+def soft_cross_entropy(qk: DataFrame, target: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per pair the mean over bridged B spots of logsumexp(logits) less the target-weighted logits. target: pair_id, b_idx, a_idx, w.
+    Blocks give sums; the few logits with a target are made by an equi-join with it."""
+    of = lambda side, idx, v: qk.where(F.col("side") == side).select("pair_id", F.col("spot_idx").alias(idx), F.col("v").alias(v))
+    few = target.join(of("B", "b_idx", "bv"), ["pair_id", "b_idx"]).join(of("A", "a_idx", "av"), ["pair_id", "a_idx"])
+    got = few.groupBy("pair_id", "b_idx").agg(F.sum(F.col("w") * dot(F.col("bv"), F.col("av")) / F.sqrt(F.size("av"))).alias("g"))
+    both = _exponentials(qk, block).join(got, ["pair_id", "b_idx"])
+    return both.groupBy("pair_id").agg(F.avg(F.col("top") + F.log("e") - F.col("g")).alias("loss"), F.count("*").alias("n"))
 
-def effective_support(p: DataFrame) -> DataFrame:
-    """Median over B spots of 1 / sum(p^2): how many A spots a soft match really uses."""
-    each = p.groupBy("pair_id", "b_idx").agg((1.0 / F.sum(F.col("p") * F.col("p"))).alias("support"))
+
+def effective_support(qk: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per pair the median over B spots of 1 / sum(p^2), p the softmax of a row: how many A spots a soft match really uses."""
+    each = _exponentials(qk, block).select("pair_id", (F.col("e") * F.col("e") / F.col("e2")).alias("support"))
     return each.groupBy("pair_id").agg(F.percentile("support", 0.5).alias("support"))
 
 
@@ -282,12 +308,21 @@ def gene_difference(expr: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assert_same_genes(genes: DataFrame, reference: str) -> DataFrame:
-    """(sample_id, gene_idx) where a slice's genes differ from the reference's; no rows: all agree. genes: sample_id, gene_idx, gene_name."""
-    genes = genes.distinct()
-    want = genes.where(F.col("sample_id") == reference).select("gene_idx", F.col("gene_name").alias("want"))
-    every = genes.select("sample_id").distinct().join(want)
-    bad = every.join(genes, ["sample_id", "gene_idx"], "full").where(~F.col("want").eqNullSafe(F.col("gene_name")))
-    return bad.select("sample_id", "gene_idx").distinct()
+    """(sample_id, gene_idx) where a slice's genes differ from the reference's; no rows: all agree. genes: sample_id, gene_idx, gene_name.
+
+    Slices are compared by their number of genes and a hash that knows no order; only those that differ are looked at gene by gene.
+    """
+    genes = genes.select("sample_id", "gene_idx", "gene_name").distinct()
+    prints = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "gene_idx", "gene_name")).alias(f"h{k}") for k in (1, 2)]]
+    want = genes.where(F.col("sample_id") == reference)
+    each = genes.groupBy("sample_id").agg(*prints)
+    same = each.join(each.where(F.col("sample_id") == reference).drop("sample_id"), ["n", "h1", "h2"], "left_semi").select("sample_id")
+    other = genes.join(same, "sample_id", "left_anti")
+    odd = other.join(want.select("gene_idx", "gene_name"), ["gene_idx", "gene_name"], "left_anti").select("sample_id", "gene_idx")
+    # what a slice lacks: the reference's genes, once for each slice that differs
+    names = other.agg(F.collect_set("sample_id").alias("names"))  # a name for each slice that differs
+    lacking = want.join(names).select(F.explode("names").alias("sample_id"), "gene_idx", "gene_name").join(other, ["sample_id", "gene_idx", "gene_name"], "left_anti").select("sample_id", "gene_idx")
+    return odd.union(lacking).distinct()
 
 
 def stack_slices(*slices: DataFrame) -> DataFrame:

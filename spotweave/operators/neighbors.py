@@ -1,31 +1,47 @@
 """Exact nearest neighbours and radius joins in the plane by grid cells: equi-joins on cells, never all pairs.
 
 `nearest` looks at the 3 x 3 cells around a point. A result is exact once the k-th neighbour is no farther than one cell
-side, which is what the ring covers at least; the points left over are searched again with cells three times as large. Cells
-start near the size that holds k points on average, so most points are settled in the first round, and only the rest
-travels on. Points that share a cell are compared with each other: a cell of very many points (duplicates) costs its
-square.
+side, which is what the ring covers at least; the points left over are searched again with cells three times as large. Each
+sample has its own cells. They start at the size that holds k points on average, or as much smaller as keeps the fullest
+cell below `CROWD` times k points, so a dense spot in a wide sample isn't compared with itself as a whole (points at one
+place are: nothing parts them). Most points are settled in the first rounds, and only the rest travels on; each round is
+checkpointed in the shared folder.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import shared_folder
 
-def _cells(df: DataFrame, side: float, around: bool) -> DataFrame:
-    cx, cy = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
-    if not around:
-        return df.withColumn("cx", cx).withColumn("cy", cy)
+CROWD, LEVELS = 16, 8
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """A row for each of the 3 x 3 cells around (cx, cy)."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.withColumn("s", F.explode(steps)).withColumn("cx", cx + F.col("s.i")).withColumn("cy", cy + F.col("s.j")).drop("s")
+    return df.withColumn("s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("s.i")).withColumn("cy", F.col("cy") + F.col("s.j")).drop("s")
+
 
+def _cell(side: Column, x: str = "x", y: str = "y") -> dict[str, Column]:
+    return {"cx": F.floor(F.col(x) / side), "cy": F.floor(F.col(y) / side)}
 
-def _extent(points: DataFrame) -> tuple[float, int]:
-    e = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
-    return (max(e[0], e[1], 1e-9), e[2]) if e[2] else (0.0, 0)
+
+def _sides(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(sample_id, side, extent): a row for each sample."""
+    both = queries.select("sample_id", "x", "y").union(points.select("sample_id", "x", "y"))
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    first = both.groupBy("sample_id").agg(span.alias("extent"), F.count("*").alias("n"))
+    first = first.select("sample_id", "extent", F.greatest(F.col("extent") * F.sqrt(F.lit(float(max(k, 2))) / F.col("n")), F.col("extent") * 2.0**-30).alias("first"))
+    # the fullest cell at each of some smaller sizes, from one grouped count
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    at = points.select("sample_id", "x", "y").join(first, "sample_id").withColumn("level", level).withColumn("size", F.col("first") / F.pow(F.lit(3.0), F.col("level")))
+    full = at.withColumns(_cell(F.col("size"))).groupBy("sample_id", "level", "cx", "cy").agg(F.count("*").alias("c"), F.first("size").alias("size")).groupBy("sample_id", "level").agg(F.max("c").alias("c"), F.first("size").alias("size"))
+    side = full.groupBy("sample_id").agg(F.coalesce(F.max(F.when(F.col("c") <= CROWD * max(k, 2), F.col("size"))), F.min("size")).alias("side"))
+    return first.join(side, "sample_id", "left").select("sample_id", "extent", F.coalesce("side", "first").alias("side"))
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int = 1, other: bool = False) -> DataFrame:
@@ -33,15 +49,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, other: bool = Fal
 
     Both have sample_id, spot_idx, x, y. other: a point isn't its own neighbour.
     """
-    q = queries.select("sample_id", F.col("spot_idx").alias("src"), "x", "y")
-    p = points.select("sample_id", F.col("spot_idx").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py"))
-    extent, n = _extent(queries.select("x", "y").union(points.select("x", "y")))
-    side = max(extent * math.sqrt(max(k, 2) / max(n, 1)), extent * 2.0**-40) if n else 1.0
-    out, left = None, q
+    shared_folder(queries.sparkSession)
+    sides = _sides(queries, points, k).checkpoint()
+    q = queries.select("sample_id", F.col("spot_idx").alias("src"), "x", "y").join(sides, "sample_id")
+    p = points.select("sample_id", F.col("spot_idx").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py")).join(sides.drop("extent"), "sample_id")
+    rounds = sides.agg(F.max(F.ceil(F.log(F.col("extent") / F.col("side")) / math.log(3)))).first()[0]
+    out, left, scale = None, q, 1.0
     by_distance = Window.partitionBy("sample_id", "src").orderBy("d2", "dst")
-    while True:
-        last = side >= extent
-        near = _cells(left, side, True).join(_cells(p.withColumnsRenamed({"px": "x", "py": "y"}), side, False).withColumnsRenamed({"x": "px", "y": "py"}), ["sample_id", "cx", "cy"])
+    for last in [False] * max(int(rounds or 0) + 1, 1) + [True]:
+        side = F.col("side") * scale
+        cells = p.withColumns(_cell(side, "px", "py")).drop("side")
+        near = _around(left.withColumns(_cell(side))).join(cells, ["sample_id", "cx", "cy"])
         if other:
             near = near.where("src <> dst")
         near = near.withColumn("d2", (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
@@ -49,13 +67,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, other: bool = Fal
             near = near.select("sample_id", "src", "dst", "d2", "rank")
             return near if out is None else out.union(near)
         known = near.groupBy("sample_id", "src").agg(F.collect_list(F.struct("dst", "d2", "rank")).alias("found"), F.count("*").alias("n"), F.max("d2").alias("far"))  # k rows at most
-        known = left.join(known, ["sample_id", "src"], "left").withColumn("ok", F.coalesce((F.col("n") == k) & (F.col("far") <= side * side), F.lit(False))).persist()
+        known = left.join(known, ["sample_id", "src"], "left").withColumn("ok", F.coalesce((F.col("n") == k) & (F.col("far") <= side * side), F.lit(False))).checkpoint()
         settled = known.where("ok").select("sample_id", "src", F.explode("found").alias("f")).select("sample_id", "src", "f.dst", "f.d2", "f.rank")
         out = settled if out is None else out.union(settled)
-        left = known.where("not ok").select("sample_id", "src", "x", "y")
+        left = known.where("not ok").select("sample_id", "src", "x", "y", "extent", "side")
         if not left.take(1):
             return out
-        side *= 3
+        scale *= 3
 
 
 def knn_spatial(spots: DataFrame, k: int = 6) -> DataFrame:
@@ -83,39 +101,46 @@ def knn_graph_symmetric(spots: DataFrame, k: int = 6, pitch: float = 1.0) -> Dat
 
 
 def radius_join(centers: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(c_idx, dst, d2) of points within the radius, the rim included. centers: c_idx, x, y; points: spot_idx, x, y."""
-    near = _cells(centers.select("c_idx", "x", "y"), radius, True)
-    cells = _cells(points.select(F.col("spot_idx").alias("dst"), "x", "y"), radius, False).withColumnsRenamed({"x": "px", "y": "py"})
-    found = near.join(cells, ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
-    return found.where(F.col("d2") <= radius * radius).select("c_idx", "dst", "d2")
+    """(pair_id, c_idx, dst, d2) of a pair's points within the radius, the rim included. centers: pair_id, c_idx, x, y; points: pair_id, spot_idx, x, y."""
+    near = _around(centers.select("pair_id", "c_idx", "x", "y").withColumns(_cell(F.lit(radius))))
+    cells = points.select("pair_id", F.col("spot_idx").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py")).withColumns(_cell(F.lit(radius), "px", "py"))
+    found = near.join(cells, ["pair_id", "cx", "cy"]).withColumn("d2", (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
+    return found.where(F.col("d2") <= radius * radius).select("pair_id", "c_idx", "dst", "d2")
 
 
 def snap_to_nearest(predictions: DataFrame, spots_a: DataFrame) -> DataFrame:
-    """Each prediction (b_idx, x, y) moved to its nearest A spot."""
-    q = predictions.select(F.lit("").alias("sample_id"), F.col("b_idx").alias("spot_idx"), "x", "y")
-    p = spots_a.select(F.lit("").alias("sample_id"), "spot_idx", "x", "y")
-    return nearest(q, p, 1).join(p.select(F.col("spot_idx").alias("dst"), "x", "y"), "dst").select(F.col("src").alias("b_idx"), F.col("dst").alias("a_idx"), "x", "y", F.sqrt("d2").alias("moved"))
+    """Each prediction (pair_id, b_idx, x, y) moved to the nearest A spot of its pair."""
+    q = predictions.select(F.col("pair_id").alias("sample_id"), F.col("b_idx").alias("spot_idx"), "x", "y")
+    p = spots_a.select(F.col("pair_id").alias("sample_id"), "spot_idx", "x", "y")
+    found = nearest(q, p, 1).join(p.select("sample_id", F.col("spot_idx").alias("dst"), "x", "y"), ["sample_id", "dst"])
+    return found.select(F.col("sample_id").alias("pair_id"), F.col("src").alias("b_idx"), F.col("dst").alias("a_idx"), "x", "y", F.sqrt("d2").alias("moved"))
 
 
 def soft_target(partner: DataFrame, spots_a: DataFrame, pitch: float, sigma_pitch: float) -> DataFrame:
-    """(b_idx, a_idx, w): Gaussian weights of A spots within 4 sigma of the partner, one in sum for each B."""
+    """(pair_id, b_idx, a_idx, w): Gaussian weights of A spots within 4 sigma of the partner, one in sum for each B."""
     sigma = sigma_pitch * pitch
-    at = partner.where("a_idx >= 0").join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
-    near = radius_join(at.select(F.col("b_idx").alias("c_idx"), "x", "y"), spots_a, 4.0 * sigma).withColumn("g", F.exp(-F.col("d2") / (2.0 * sigma * sigma)))
-    return near.select(F.col("c_idx").alias("b_idx"), F.col("dst").alias("a_idx"), weight_normalize("g", "c_idx").alias("w"))
+    at = partner.where("a_idx >= 0").join(spots_a.select("pair_id", F.col("spot_idx").alias("a_idx"), "x", "y"), ["pair_id", "a_idx"])
+    near = radius_join(at.select("pair_id", F.col("b_idx").alias("c_idx"), "x", "y"), spots_a, 4.0 * sigma).withColumn("g", F.exp(-F.col("d2") / (2.0 * sigma * sigma)))
+    return near.select("pair_id", F.col("c_idx").alias("b_idx"), F.col("dst").alias("a_idx"), weight_normalize("g", "pair_id", "c_idx").alias("w"))
 
 
 def weight_normalize(col: str, *by: str):
     return F.col(col) / F.sum(col).over(Window.partitionBy(*by))
 
 
-def message_hop(edges: DataFrame, features: DataFrame) -> DataFrame:
+def message_hop(edges: DataFrame, features: DataFrame, width: int | None = None) -> DataFrame:
     """Per node: its features plus the mean of neighbours' features over its incoming edges (dst is the node), and the
-    mean offset; nodes without edges keep their features and zero offset. features: sample_id, spot_idx, z."""
-    values = features.select("sample_id", F.col("spot_idx").alias("src"), F.posexplode("z").alias("dim", "v"))
-    mean = edges.join(values, ["sample_id", "src"]).groupBy("sample_id", "dst", "dim").agg(F.avg("v").alias("v"))
-    off = edges.groupBy("sample_id", "dst").agg(F.avg("rel_x").alias("off_x"), F.avg("rel_y").alias("off_y"))
-    own = features.select("sample_id", F.col("spot_idx").alias("dst"), F.posexplode("z").alias("dim", "z"))
-    out = own.join(mean, ["sample_id", "dst", "dim"], "left").join(off, ["sample_id", "dst"], "left")
+    mean offset; nodes without edges keep their features and zero offset. features: sample_id, spot_idx, z.
+
+    A vector travels once for each edge; its sums, partial before the shuffle, are columns of one aggregate, and are exploded
+    at the end. width: of the vectors (measured if it isn't given).
+    """
+    if width is None:
+        width = features.agg(F.max(F.size("z"))).first()[0] or 0
+    values = edges.join(features.select("sample_id", F.col("spot_idx").alias("src"), "z"), ["sample_id", "src"], "left")
+    mean = [F.avg(F.get("z", F.lit(k))).alias(f"m{k}") for k in range(width)]
+    sums = values.groupBy("sample_id", "dst").agg(F.avg("rel_x").alias("off_x"), F.avg("rel_y").alias("off_y"), *mean).withColumnRenamed("dst", "spot_idx")
+    sums = sums.select("sample_id", "spot_idx", "off_x", "off_y", F.array(*[F.col(f"m{k}") for k in range(width)]).cast("array<double>").alias("m"))
     zero = F.lit(0.0)
-    return out.select("sample_id", F.col("dst").alias("spot_idx"), "dim", (F.col("z") + F.coalesce("v", zero)).alias("z"), F.coalesce("off_x", zero).alias("off_x"), F.coalesce("off_y", zero).alias("off_y"))
+    out = features.join(sums, ["sample_id", "spot_idx"], "left").select("sample_id", "spot_idx", F.posexplode("z").alias("dim", "own"), "m", F.coalesce("off_x", zero).alias("off_x"), F.coalesce("off_y", zero).alias("off_y"))
+    return out.select("sample_id", "spot_idx", "dim", (F.col("own") + F.coalesce(F.get("m", F.col("dim")), zero)).alias("z"), "off_x", "off_y")

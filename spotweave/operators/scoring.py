@@ -1,13 +1,15 @@
-"""Scores of transport plans (run_id, a_idx, b_idx, mass; absent rows are zero) and of predicted coordinates."""
+"""Scores of transport plans (run_id, pair_id, a_idx, b_idx, mass; absent rows are zero) and of predicted coordinates.
+Indices are a slice's own, so a run's rows meet the spots of their pair alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import finite
+from ..functions.vectors import finite, seeded_number
 
 NA = "NA"
+RUN = ["run_id", "pair_id"]
 
 
 def filter_labeled_both(pairs: DataFrame, a: str = "layer_a", b: str = "layer_b") -> DataFrame:
@@ -37,48 +39,54 @@ def registration_error_stats(df: DataFrame, by: list[str], col: str = "err", app
 
 
 def coordinate_loss(df: DataFrame, pitch: float) -> DataFrame:
-    return df.where("have").agg((F.avg(error()) / pitch).alias("loss"))
+    return df.where("have").groupBy("pair_id").agg((F.avg(error()) / pitch).alias("loss"))
+
+
+def _renamed(spots: DataFrame, idx: str, *columns) -> DataFrame:
+    return spots.select("pair_id", F.col("spot_idx").alias(idx), *columns)
+
+
+def _each(plan: DataFrame, spots: DataFrame, idx: str) -> DataFrame:
+    """Every spot of a run's pair in that run: the shape of the result."""
+    return plan.select(*RUN).distinct().join(_renamed(spots, idx), "pair_id")
 
 
 def argmax_partners(plan: DataFrame, spots_a: DataFrame, spots_b: DataFrame) -> DataFrame:
-    """Heaviest B of each A spot in each run, ties to the least index; an A spot without mass gets the least B index."""
-    best = plan.groupBy("run_id", "a_idx").agg(F.max(F.struct("mass", (-F.col("b_idx")).alias("i"))).alias("m")).select("run_id", "a_idx", (-F.col("m.i")).alias("best"))
-    first = spots_b.agg(F.min("spot_idx").alias("first"))
-    every = plan.select("run_id").distinct().crossJoin(F.broadcast(first)).join(spots_a.select(F.col("spot_idx").alias("a_idx")))
-    return every.join(best, ["run_id", "a_idx"], "left").select("run_id", "a_idx", F.coalesce("best", "first").alias("b_idx"))
+    """Heaviest B of each A spot in each run, ties to the least index; an A spot without mass gets the pair's least B index."""
+    best = plan.groupBy(*RUN, "a_idx").agg(F.max(F.struct("mass", (-F.col("b_idx")).alias("i"))).alias("m")).select(*RUN, "a_idx", (-F.col("m.i")).alias("best"))
+    first = spots_b.groupBy("pair_id").agg(F.min("spot_idx").alias("first"))
+    every = _each(plan, spots_a, "a_idx").join(first, "pair_id")
+    return every.join(best, [*RUN, "a_idx"], "left").select(*RUN, "a_idx", F.coalesce("best", "first").alias("b_idx"))
 
 
 def argmax_projection(plan: DataFrame, spots_a: DataFrame, spots_b: DataFrame) -> DataFrame:
     """Coordinates of the heaviest A of each B, null where a B spot has no mass."""
-    best = plan.where("mass > 0").groupBy("run_id", "b_idx").agg(F.max(F.struct("mass", (-F.col("a_idx")).alias("i"))).alias("m")).select("run_id", "b_idx", (-F.col("m.i")).alias("a_idx"))
-    found = best.join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
-    return _each_b(plan, spots_b).join(found, ["run_id", "b_idx"], "left").select("run_id", "b_idx", "a_idx", "x", "y")
+    best = plan.where("mass > 0").groupBy(*RUN, "b_idx").agg(F.max(F.struct("mass", (-F.col("a_idx")).alias("i"))).alias("m")).select(*RUN, "b_idx", (-F.col("m.i")).alias("a_idx"))
+    found = best.join(_renamed(spots_a, "a_idx", "x", "y"), ["pair_id", "a_idx"])
+    return _each(plan, spots_b, "b_idx").join(found, [*RUN, "b_idx"], "left").select(*RUN, "b_idx", "a_idx", "x", "y")
 
 
 def barycentric_projection(plan: DataFrame, spots_a: DataFrame, spots_b: DataFrame) -> DataFrame:
     """Mass-weighted mean of A coordinates for each B, null where a B spot has no mass."""
-    mean = plan_project_join(plan, spots_a).groupBy("run_id", "b_idx").agg(F.sum("mass").alias("col_mass"), F.sum(F.col("mass") * F.col("x")).alias("sx"), F.sum(F.col("mass") * F.col("y")).alias("sy"))
+    mean = plan_project_join(plan, spots_a).groupBy(*RUN, "b_idx").agg(F.sum("mass").alias("col_mass"), F.sum(F.col("mass") * F.col("x")).alias("sx"), F.sum(F.col("mass") * F.col("y")).alias("sy"))
     ok = F.col("col_mass") > 0
-    return _each_b(plan, spots_b).join(mean, ["run_id", "b_idx"], "left").select("run_id", "b_idx", F.coalesce("col_mass", F.lit(0.0)).alias("col_mass"), F.when(ok, F.col("sx") / F.col("col_mass")).alias("x"), F.when(ok, F.col("sy") / F.col("col_mass")).alias("y"))
-
-
-def _each_b(plan: DataFrame, spots_b: DataFrame) -> DataFrame:
-    """All B spots in every run: runs times spots rows, the shape of the result."""
-    return plan.select("run_id").distinct().join(spots_b.select(F.col("spot_idx").alias("b_idx")))
+    found = _each(plan, spots_b, "b_idx").join(mean, [*RUN, "b_idx"], "left")
+    return found.select(*RUN, "b_idx", F.coalesce("col_mass", F.lit(0.0)).alias("col_mass"), F.when(ok, F.col("sx") / F.col("col_mass")).alias("x"), F.when(ok, F.col("sy") / F.col("col_mass")).alias("y"))
 
 
 def plan_project_join(plan: DataFrame, spots_a: DataFrame) -> DataFrame:
-    return plan.join(spots_a.select(F.col("spot_idx").alias("a_idx"), "x", "y"), "a_idx")
+    return plan.join(_renamed(spots_a, "a_idx", "x", "y"), ["pair_id", "a_idx"])
 
 
 def plan_label_join(best: DataFrame, spots_a: DataFrame, spots_b: DataFrame) -> DataFrame:
-    return best.join(spots_a.select(F.col("spot_idx").alias("a_idx"), F.col("layer").alias("layer_a")), "a_idx").join(spots_b.select(F.col("spot_idx").alias("b_idx"), F.col("layer").alias("layer_b")), "b_idx").select("run_id", "a_idx", "b_idx", "layer_a", "layer_b")
+    found = best.join(_renamed(spots_a, "a_idx", F.col("layer").alias("layer_a")), ["pair_id", "a_idx"]).join(_renamed(spots_b, "b_idx", F.col("layer").alias("layer_b")), ["pair_id", "b_idx"])
+    return found.select(*RUN, "a_idx", "b_idx", "layer_a", "layer_b")
 
 
 def plan_mass(plan: DataFrame) -> DataFrame:
-    """Per run: total mass, A and B spots with mass."""
+    """Per run and pair: total mass, A and B spots with mass."""
     some = F.col("mass") > 0
-    return plan.groupBy("run_id").agg(F.sum("mass").alias("total_mass"), F.countDistinct(F.when(some, F.col("a_idx"))).alias("a_with_mass"), F.countDistinct(F.when(some, F.col("b_idx"))).alias("b_with_mass"))
+    return plan.groupBy(*RUN).agg(F.sum("mass").alias("total_mass"), F.countDistinct(F.when(some, F.col("a_idx"))).alias("a_with_mass"), F.countDistinct(F.when(some, F.col("b_idx"))).alias("b_with_mass"))
 
 
 def label_transfer_accuracy(labelled: DataFrame, by: list[str]) -> DataFrame:
@@ -89,24 +97,29 @@ def label_transfer_accuracy(labelled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def random_floor_trials(spots_a: DataFrame, spots_b: DataFrame, trials: int = 50, seed: int = 0) -> DataFrame:
-    """Mean and population deviation of the accuracy of uniformly random partners, over seeded trials."""
-    count = spots_b.count()
-    numbered = spots_b.selectExpr("layer as layer_b", "row_number() over (order by spot_idx) - 1 as j")
-    t = spots_a.select("spot_idx", F.col("layer").alias("layer_a"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    t = t.withColumn("j", F.pmod(F.xxhash64("trial", "spot_idx", F.lit(seed)), F.lit(count)).cast("int")).join(numbered, "j")
-    acc = label_transfer_accuracy(t, ["trial"])
-    return acc.agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"), F.count("*").alias("n_trials"))
+    """Per pair: mean and population deviation of the accuracy of uniformly random partners, over seeded trials.
+
+    Only a partner's label counts, so a number below the count of B spots is drawn, and falls into a label's share of them:
+    B is a row of label counts for each pair, and no spot is numbered.
+    """
+    labels = spots_b.groupBy("pair_id", "layer").agg(F.count("*").alias("n"))
+    shares = labels.groupBy("pair_id").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("layer", "n"))).alias("by"))  # a row for each label
+    t = spots_a.select("pair_id", "spot_idx", F.col("layer").alias("layer_a"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).join(shares, "pair_id")
+    t = t.withColumn("u", F.pmod(seeded_number(F.concat_ws("/", "trial", "spot_idx"), seed), F.col("count")))
+    passed = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("found")), lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.coalesce(s["found"], F.when(F.col("u") < s["sum"] + x["n"], x["layer"])).alias("found")))
+    acc = label_transfer_accuracy(t.withColumn("layer_b", passed["found"]), ["pair_id", "trial"])
+    return acc.groupBy("pair_id").agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"), F.count("*").alias("n_trials"))
 
 
 def random_floor_exact(spots_a: DataFrame, spots_b: DataFrame) -> DataFrame:
-    """Expected accuracy of a random partner: the sum over labels of both slices' shares among labelled spots."""
-    share = lambda s, n: s.where(F.col("layer") != NA).groupBy("layer").agg(F.count("*").alias(n))
-    both = share(spots_a, "na").join(share(spots_b, "nb"), "layer", "full").select(F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
-    return both.agg((F.sum(F.col("na") * F.col("nb")) / (F.greatest(F.sum("na"), F.lit(1)) * F.greatest(F.sum("nb"), F.lit(1)))).alias("floor"))
+    """Per pair the expected accuracy of a random partner: the sum over labels of both slices' shares among labelled spots."""
+    share = lambda s, n: s.where(F.col("layer") != NA).groupBy("pair_id", "layer").agg(F.count("*").alias(n))
+    both = share(spots_a, "na").join(share(spots_b, "nb"), ["pair_id", "layer"], "full").select("pair_id", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    return both.groupBy("pair_id").agg((F.sum(F.col("na") * F.col("nb")) / (F.greatest(F.sum("na"), F.lit(1)) * F.greatest(F.sum("nb"), F.lit(1)))).alias("floor"))
 
 
 def score_report(accuracy: DataFrame, floor: DataFrame) -> DataFrame:
-    return accuracy.crossJoin(F.broadcast(floor)).withColumn("lift_points", (F.col("accuracy") - F.col("floor")) * 100)
+    return accuracy.join(floor, "pair_id").withColumn("lift_points", (F.col("accuracy") - F.col("floor")) * 100)
 
 
 def prediction_shift(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import numbered
 from ..functions.vectors import seeded
 
 
@@ -17,21 +18,20 @@ def extent(spots: DataFrame, width_share: float = 0.18) -> DataFrame:
     return e.withColumn("bump_width", F.col("extent") * width_share)
 
 
-def peak_normalize(x: str, y: str, *by: str) -> Column:
-    """What divides a field so that its greatest length becomes 1 (or 1 where it is zero throughout)."""
-    peak = F.max(F.hypot(x, y)).over(Window.partitionBy(*by))
-    return F.when(peak > 0, peak).otherwise(1.0)
+def peak_normalize(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """A field divided by its greatest length in each group, which becomes 1 (or stays 0 where it is zero throughout)."""
+    peak = df.groupBy(*by).agg(F.max(F.hypot(x, y)).alias("_peak"))
+    scale = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(1.0)
+    return df.join(peak, by).withColumns({x: F.col(x) / scale, y: F.col(y) / scale}).drop("_peak")
 
 
 def unit_field(spots: DataFrame, bumps: DataFrame) -> DataFrame:
     """(sample_id, seed, spot_idx, x, y, ux, uy): the sum of Gaussian bumps, one at its peak in each sample and seed."""
-    width = extent(spots).select("sample_id", "bump_width")
     b = F.broadcast(bumps.withColumnsRenamed({"ux": "bx", "uy": "by"}))  # a parameter table
-    f = spots.join(F.broadcast(width), "sample_id").crossJoin(b)
+    f = spots.join(extent(spots).select("sample_id", "bump_width"), "sample_id").crossJoin(b)
     g = F.col("amp") * F.exp(-((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2) / (2 * F.col("bump_width") ** 2))
-    f = f.withColumn("g", g).groupBy("sample_id", "seed", "spot_idx", "x", "y").agg(F.sum(F.col("g") * F.col("bx")).alias("fx"), F.sum(F.col("g") * F.col("by")).alias("fy"))
-    peak = peak_normalize("fx", "fy", "sample_id", "seed")
-    return f.select("sample_id", "seed", "spot_idx", "x", "y", (F.col("fx") / peak).alias("ux"), (F.col("fy") / peak).alias("uy"))
+    f = f.withColumn("g", g).groupBy("sample_id", "seed", "spot_idx", "x", "y").agg(F.sum(F.col("g") * F.col("bx")).alias("ux"), F.sum(F.col("g") * F.col("by")).alias("uy"))
+    return peak_normalize(f, "ux", "uy", ["sample_id", "seed"]).select("sample_id", "seed", "spot_idx", "x", "y", "ux", "uy")
 
 
 def bump_displacement(spots: DataFrame, bumps: DataFrame, grid: DataFrame, pitch: float) -> DataFrame:
@@ -47,15 +47,17 @@ def scale_to_max_displacement(spots: DataFrame, bumps: DataFrame, max_px: float)
 def cut_displacement(spots: DataFrame, cuts: DataFrame, grid: DataFrame, pitch: float) -> DataFrame:
     """Spots strictly beyond the cut move along it; torn tells which. The offset is at least that of severity 1."""
     centre = spots.groupBy("sample_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    p = spots.join(F.broadcast(centre), "sample_id").crossJoin(F.broadcast(cuts))
+    p = spots.select("sample_id", "spot_idx", "x", "y").join(centre, "sample_id").crossJoin(F.broadcast(cuts))  # a parameter table
     p = p.withColumn("proj", (F.col("x") - F.col("mx")) * F.cos("theta") + (F.col("y") - F.col("my")) * F.sin("theta"))
     # the quantile differs by cut: numpy's linear rule on the ordered projections
-    w = Window.partitionBy("sample_id", "seed")
-    n = F.count("*").over(w)
-    p = p.withColumn("r", F.row_number().over(w.orderBy("proj")) - 1).withColumn("at", F.col("quantile") * (n - 1))
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("proj"))).over(w)
-    p = p.withColumn("low", at(F.floor("at"))).withColumn("high", at(F.ceil("at"))).withColumn("thr", F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
-    p = p.join(F.broadcast(grid), "seed").withColumn("torn", F.col("tear") & (F.col("proj") > F.col("thr")))
+    group = ["sample_id", "seed"]
+    p = numbered(p, group, ["proj", "spot_idx"], "r")
+    at = p.groupBy(*group).agg((F.first("quantile") * (F.count("*") - 1)).alias("at"))
+    near = p.select(*group, "r", "proj").join(at, group).where((F.col("r") >= F.floor("at")) & (F.col("r") <= F.ceil("at")))
+    value = lambda k: F.max(F.when(F.col("r") == k, F.col("proj")))
+    low = near.groupBy(*group, "at").agg(value(F.floor("at")).alias("low"), value(F.ceil("at")).alias("high"))
+    thr = low.select(*group, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("thr"))
+    p = p.join(thr, group).join(F.broadcast(grid), "seed").withColumn("torn", F.col("tear") & (F.col("proj") > F.col("thr")))
     move = F.when(F.col("torn"), F.col("side") * pitch * F.col("offset_pitch") * F.greatest("severity", F.lit(1.0))).otherwise(0.0)
     return p.select("sample_id", "seed", "severity", "tear", "spot_idx", (-F.sin("theta") * move).alias("tx"), (F.cos("theta") * move).alias("ty"), "torn")
 
@@ -97,10 +99,9 @@ def subsample_n(spots: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def shuffle_geometry(spots: DataFrame, seed: int = 0) -> DataFrame:
     """Coordinates permuted among the spots of each sample; features stay."""
-    by_index = Window.partitionBy("sample_id").orderBy("spot_idx")
-    by_hash = Window.partitionBy("sample_id").orderBy(seeded(F.col("spot_idx"), seed), "spot_idx")
-    where = spots.select("sample_id", "x", "y", F.row_number().over(by_hash).alias("_k"))
-    return spots.drop("x", "y").withColumn("_k", F.row_number().over(by_index)).join(where, ["sample_id", "_k"]).drop("_k")
+    by_hash = numbered(spots.select("sample_id", "x", "y", "spot_idx", seeded(F.col("spot_idx"), seed).alias("_h")), ["sample_id"], ["_h", "spot_idx"], "_k")
+    by_index = numbered(spots.drop("x", "y"), ["sample_id"], ["spot_idx"], "_k")
+    return by_index.join(by_hash.select("sample_id", "x", "y", "_k"), ["sample_id", "_k"]).drop("_k")
 
 
 def pitch_units(df: DataFrame, pitch: float, back: bool = False) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.runtime import numbered
 from ..operators import bridge as B
 from ..operators import curves as C
 from ..operators import features as E
@@ -44,6 +45,11 @@ def no_null(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), F.lit(-1)).cast("long"))
 
 
+def no(col: str, value):
+    """A value that stands for null, for the comparison."""
+    return F.coalesce(F.col(col), F.lit(value))
+
+
 def R(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
 
@@ -57,27 +63,27 @@ def _bridge(s, d):
     return B.array_bridge(*_ab(s, d))
 
 
-@query(with_("spots") + "SELECT b_idx, coalesce(a_idx, -1) AS a_idx, round(gt_x, 6) AS gt_x, round(gt_y, 6) AS gt_y, have FROM bridge")
+@query(with_("spots") + "SELECT pair_id, b_idx, coalesce(a_idx, -1) AS a_idx, round(gt_x, 6) AS gt_x, round(gt_y, 6) AS gt_y, have FROM bridge")
 def array_bridge(s, d):
     return r6(no_null(_bridge(s, d), "a_idx"), "gt_x", "gt_y")
 
 
-@query(with_("spots") + "SELECT b_idx, coalesce(a_idx, -1) AS a_idx FROM bridge")
+@query(with_("spots") + "SELECT pair_id, b_idx, coalesce(a_idx, -1) AS a_idx FROM bridge")
 def partner_index(s, d):
     return B.partner_index(*_ab(s, d))
 
 
-@query(with_("spots") + "SELECT b_idx FROM bridge WHERE NOT have")
+@query(with_("spots") + "SELECT pair_id, b_idx FROM bridge WHERE NOT have")
 def bridge_unmatched(s, d):
-    return B.bridge_unmatched(*_ab(s, d)).select(F.col("spot_idx").alias("b_idx"))
+    return B.bridge_unmatched(*_ab(s, d)).select("pair_id", F.col("spot_idx").alias("b_idx"))
 
 
-@query(with_("spots") + "SELECT round(avg(have::INT), 6) AS coverage, count(*) AS n FROM bridge")
+@query(with_("spots") + "SELECT pair_id, round(avg(have::INT), 6) AS coverage, count(*) AS n FROM bridge GROUP BY pair_id")
 def bridge_coverage(s, d):
     return r6(B.bridge_coverage(_bridge(s, d)), "coverage")
 
 
-COMMON = "SELECT array_row, array_col, a.spot_idx AS a_idx, b.spot_idx AS b_idx FROM a JOIN b USING (array_row, array_col)"
+COMMON = "SELECT pair_id, array_row, array_col, a.spot_idx AS a_idx, b.spot_idx AS b_idx FROM a JOIN b USING (pair_id, array_row, array_col)"
 
 
 @query(with_("spots") + COMMON)
@@ -85,57 +91,59 @@ def common_positions(s, d):
     return B.common_positions(*_ab(s, d))
 
 
-@query(with_("spots") + COMMON + " ORDER BY md5(array_row || ',' || array_col || '/3') LIMIT 50")
+@query(with_("spots") + COMMON + " QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY md5(array_row || ',' || array_col || '/3')) <= 50")
 def common_positions_sample(s, d):
     return B.common_positions(*_ab(s, d), n=50, seed=3)
 
 
-@query(with_("spots") + "SELECT array_row, array_col FROM a JOIN b USING (array_row, array_col)")
+@query(with_("spots") + "SELECT pair_id, array_row, array_col, row_number() OVER (PARTITION BY pair_id ORDER BY array_row, array_col) - 1 AS place FROM a JOIN b USING (pair_id, array_row, array_col)")
 def sort_common_keys(s, d):
-    return B.common_positions(*_ab(s, d)).select("array_row", "array_col")
+    """The common positions in order, with their places."""
+    keys = B.common_positions(*_ab(s, d)).select(*B.GRID)
+    return numbered(keys, ["pair_id"], ["array_row", "array_col"], "place")
 
 
-@query(with_("spots") + "SELECT array_row, array_col FROM a INTERSECT SELECT array_row, array_col FROM b")
+@query(with_("spots") + "SELECT pair_id, array_row, array_col FROM a INTERSECT SELECT pair_id, array_row, array_col FROM b")
 def intersect_positions(s, d):
     return B.intersect_positions(*_ab(s, d))
 
 
-@query(with_("spots") + "SELECT spot_idx AS b_idx, round(x, 6) AS gt_x, round(y, 6) AS gt_y, true AS have FROM b")
+@query(with_("spots") + "SELECT pair_id, spot_idx AS b_idx, round(x, 6) AS gt_x, round(y, 6) AS gt_y, true AS have FROM b")
 def self_target(s, d):
     return r6(B.self_target(X.spots_b(s, d)), "gt_x", "gt_y")
 
 
 def _residual(s, d):
-    return X.spots_b(s, d).select(F.col("spot_idx").alias("b_idx"), "x", "y", "layer").join(_bridge(s, d), "b_idx").withColumn("err", F.when(F.col("have"), S.error()))
+    return X.spots_b(s, d).select("pair_id", F.col("spot_idx").alias("b_idx"), "x", "y", "layer").join(_bridge(s, d), ["pair_id", "b_idx"]).withColumn("err", F.when(F.col("have"), S.error()))
 
 
 STATS = "round(avg(err), 6) AS mean, round(median(err), 6) AS median, round(quantile_cont(err, 0.9), 6) AS p90, round(max(err), 6) AS max, count(err) AS n"
-ERR = ", e AS (SELECT b.layer, bridge.*, b.x, b.y, sqrt((b.x - gt_x) ^ 2 + (b.y - gt_y) ^ 2) AS err FROM b JOIN bridge ON b.spot_idx = b_idx) "
+ERR = ", e AS (SELECT b.layer, bridge.*, b.x, b.y, sqrt((b.x - gt_x) ^ 2 + (b.y - gt_y) ^ 2) AS err FROM b JOIN bridge ON (b.pair_id, b.spot_idx) = (bridge.pair_id, b_idx)) "
 
 
-@query(with_("spots") + ERR + f"SELECT layer, {STATS} FROM e GROUP BY layer")
+@query(with_("spots") + ERR + f"SELECT pair_id, layer, {STATS} FROM e GROUP BY ALL")
 def registration_error_stats(s, d):
-    return r6(S.registration_error_stats(_residual(s, d), ["layer"]), "mean", "median", "p90", "max")
+    return r6(S.registration_error_stats(_residual(s, d), ["pair_id", "layer"]), "mean", "median", "p90", "max")
 
 
-@query(with_("spots") + ERR + f"SELECT {STATS} FROM e")
+@query(with_("spots") + ERR + f"SELECT pair_id, {STATS} FROM e GROUP BY pair_id")
 def bridge_residual(s, d):
-    return r6(S.registration_error_stats(_residual(s, d), []), "mean", "median", "p90", "max")
+    return r6(S.registration_error_stats(_residual(s, d), ["pair_id"]), "mean", "median", "p90", "max")
 
 
-@query(with_("spots") + ERR + "SELECT b_idx, round(err, 6) AS err FROM e WHERE err IS NOT NULL AND layer <> 'NA'")
+@query(with_("spots") + ERR + "SELECT pair_id, b_idx, round(err, 6) AS err FROM e WHERE err IS NOT NULL AND layer <> 'NA'")
 def filter_finite(s, d):
-    return r6(S.filter_finite(_residual(s, d), "err", F.col("layer") != "NA").select("b_idx", "err"), "err")
+    return r6(S.filter_finite(_residual(s, d), "err", F.col("layer") != "NA").select("pair_id", "b_idx", "err"), "err")
 
 
-@query(with_("spots") + ERR + "SELECT round(avg(err) / 137, 6) AS loss FROM e WHERE have")
+@query(with_("spots") + ERR + "SELECT pair_id, round(avg(err) / 137, 6) AS loss FROM e WHERE have GROUP BY pair_id")
 def coordinate_loss(s, d):
     return r6(S.coordinate_loss(_residual(s, d), PITCH), "loss")
 
 
-@query(with_("spots") + ERR + "SELECT layer, round(sqrt((stddev_pop(x) ^ 2 + stddev_pop(y) ^ 2) / (stddev_pop(gt_x) ^ 2 + stddev_pop(gt_y) ^ 2)), 6) AS ratio FROM e WHERE have GROUP BY layer")
+@query(with_("spots") + ERR + "SELECT pair_id, layer, round(sqrt((stddev_pop(x) ^ 2 + stddev_pop(y) ^ 2) / (stddev_pop(gt_x) ^ 2 + stddev_pop(gt_y) ^ 2)), 6) AS ratio FROM e WHERE have GROUP BY ALL")
 def prediction_spread(s, d):
-    return r6(S.prediction_spread(_residual(s, d), ["layer"]).select("layer", "ratio"), "ratio")
+    return r6(S.prediction_spread(_residual(s, d), ["pair_id", "layer"]).select("pair_id", "layer", "ratio"), "ratio")
 
 
 # --- plans ------------------------------------------------------------------------------------------------------------
@@ -148,97 +156,118 @@ def _labelled(s, d):
 
 
 def _accuracy(s, d):
-    return S.label_transfer_accuracy(_labelled(s, d), ["run_id"])
+    return S.label_transfer_accuracy(_labelled(s, d), S.RUN)
 
 
 PLAN = with_("spots", "plan")
 ACC = "n_correct, n_scored, n_dropped_a_na, n_dropped_partner_na, round(n_correct / greatest(n_scored, 1), 6) AS accuracy"
 
 
-@query(PLAN + "SELECT run_id, a_idx, b_idx FROM best")
+@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx FROM best")
 def argmax_partners(s, d):
     return _best(s, d)
 
 
-@query(PLAN + "SELECT run_id, a_idx, b_idx, layer_a, layer_b FROM labelled")
+@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, layer_a, layer_b FROM labelled")
 def plan_label_join(s, d):
     return _labelled(s, d)
 
 
-@query(PLAN + "SELECT run_id, a_idx, b_idx, layer_a, layer_b FROM labelled WHERE layer_a <> 'NA' AND layer_b <> 'NA'")
+@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, layer_a, layer_b FROM labelled WHERE layer_a <> 'NA' AND layer_b <> 'NA'")
 def filter_labeled_both(s, d):
     return S.filter_labeled_both(_labelled(s, d))
 
 
-@query(PLAN + f"SELECT run_id, {ACC} FROM accuracy")
+@query(PLAN + f"SELECT run_id, pair_id, {ACC} FROM accuracy")
 def label_transfer_accuracy(s, d):
     return r6(_accuracy(s, d), "accuracy")
 
 
-@query(PLAN + "SELECT run_id, layer_a, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored, round(count(*) FILTER (layer_a <> 'NA' AND layer_b = layer_a) / greatest(count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA'), 1), 6) AS accuracy FROM labelled GROUP BY ALL")
+@query(PLAN + "SELECT run_id, pair_id, layer_a, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored, round(count(*) FILTER (layer_a <> 'NA' AND layer_b = layer_a) / greatest(count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA'), 1), 6) AS accuracy FROM labelled GROUP BY ALL")
 def label_accuracy_by_layer(s, d):
-    return r6(S.label_transfer_accuracy(_labelled(s, d), ["run_id", "layer_a"]).select("run_id", "layer_a", "n_correct", "n_scored", "accuracy"), "accuracy")
+    return r6(S.label_transfer_accuracy(_labelled(s, d), [*S.RUN, "layer_a"]).select(*S.RUN, "layer_a", "n_correct", "n_scored", "accuracy"), "accuracy")
 
 
-FLOOR = ", shares AS (SELECT layer, count(*) FILTER (sample_id = 'A') AS na, count(*) FILTER (sample_id = 'B') AS nb FROM spots WHERE layer <> 'NA' GROUP BY layer), floor_ AS (SELECT sum(na * nb) / (sum(na) * sum(nb)) AS floor FROM shares) "
+FLOOR = """, shares AS (SELECT pair_id, layer, count(*) FILTER (side = 'A') AS na, count(*) FILTER (side = 'B') AS nb FROM spots WHERE layer <> 'NA' GROUP BY ALL),
+floor_ AS (SELECT pair_id, sum(na * nb) / (sum(na) * sum(nb)) AS floor FROM shares GROUP BY pair_id) """
 
 
-@query(with_("spots") + FLOOR + "SELECT round(floor, 6) AS floor FROM floor_")
+@query(with_("spots") + FLOOR + "SELECT pair_id, round(floor, 6) AS floor FROM floor_")
 def random_floor_exact(s, d):
     return r6(S.random_floor_exact(*_ab(s, d)), "floor")
 
 
-@query()
+TRIALS = """, upto AS (SELECT pair_id, layer, sum(count(*)) OVER (PARTITION BY pair_id ORDER BY layer) AS hi, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair_id) AS total FROM b GROUP BY pair_id, layer),
+draw AS (
+  SELECT a.pair_id, trial, a.layer AS layer_a, ('0x' || substr(md5(trial || '/' || spot_idx || '/0'), 1, 15))::BIGINT % total AS u
+  FROM a JOIN (SELECT DISTINCT pair_id, total FROM upto) USING (pair_id), range(50) t(trial)),
+got AS (SELECT draw.*, layer AS layer_b FROM draw JOIN upto ON draw.pair_id = upto.pair_id AND u < hi AND u >= hi - n),
+acc AS (SELECT pair_id, trial, count(*) FILTER (layer_a <> 'NA' AND layer_a = layer_b) / greatest(count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA'), 1) AS accuracy FROM got GROUP BY ALL)
+SELECT pair_id, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, count(*) AS n_trials FROM acc GROUP BY pair_id"""
+
+
+@query(with_("spots") + TRIALS)
 def random_floor_trials(s, d):
-    return S.random_floor_trials(*_ab(s, d))
+    return r6(S.random_floor_trials(*_ab(s, d)), "accuracy_mean", "accuracy_std")
 
 
-@query(PLAN + FLOOR + f"SELECT run_id, {ACC}, round(floor, 6) AS floor, round((n_correct / greatest(n_scored, 1) - floor) * 100, 6) AS lift_points FROM accuracy, floor_")
+@query(PLAN + FLOOR + f"SELECT run_id, pair_id, {ACC}, round(floor, 6) AS floor, round((n_correct / greatest(n_scored, 1) - floor) * 100, 6) AS lift_points FROM accuracy JOIN floor_ USING (pair_id)")
 def score_report(s, d):
     return r6(S.score_report(_accuracy(s, d), S.random_floor_exact(*_ab(s, d))), "accuracy", "floor", "lift_points")
 
 
-@query(PLAN + "SELECT run_id, sum(mass) AS total_mass, count(DISTINCT a_idx) AS a_with_mass, count(DISTINCT b_idx) AS b_with_mass FROM plan WHERE mass > 0 GROUP BY run_id")
+@query(PLAN + "SELECT run_id, pair_id, sum(mass) AS total_mass, count(DISTINCT a_idx) AS a_with_mass, count(DISTINCT b_idx) AS b_with_mass FROM plan WHERE mass > 0 GROUP BY run_id, pair_id")
 def plan_mass(s, d):
     return S.plan_mass(X.plan(s, d))
 
 
-@query(PLAN + "SELECT run_id, plan.a_idx, b_idx, mass, round(x, 6) AS x, round(y, 6) AS y FROM plan JOIN a ON a.spot_idx = plan.a_idx")
+@query(PLAN + "SELECT run_id, plan.pair_id, plan.a_idx, b_idx, mass, round(x, 6) AS x, round(y, 6) AS y FROM plan JOIN a ON (a.pair_id, a.spot_idx) = (plan.pair_id, plan.a_idx)")
 def plan_project_join(s, d):
-    return r6(S.plan_project_join(X.plan(s, d), X.spots_a(s, d)), "x", "y").select("run_id", "a_idx", "b_idx", "mass", "x", "y")
+    return r6(S.plan_project_join(X.plan(s, d), X.spots_a(s, d)), "x", "y").select("run_id", "pair_id", "a_idx", "b_idx", "mass", "x", "y")
 
 
 def _bary(s, d):
     return S.barycentric_projection(X.plan(s, d), *_ab(s, d))
 
 
-@query(PLAN + f"SELECT run_id, b_idx, col_mass, {R('x', 'y')} FROM bary")
+@query(PLAN + f"SELECT run_id, pair_id, b_idx, col_mass, {R('x', 'y')} FROM bary")
 def barycentric_projection(s, d):
     return r6(_bary(s, d), "x", "y")
 
 
-ARGMAX = ", top AS (SELECT runs.run_id, b.spot_idx AS b_idx, (SELECT a_idx FROM plan p WHERE p.run_id = runs.run_id AND p.b_idx = b.spot_idx ORDER BY mass DESC, a_idx LIMIT 1) AS a_idx FROM runs CROSS JOIN b), hard AS (SELECT run_id, b_idx, top.a_idx, a.x, a.y FROM top LEFT JOIN a ON a.spot_idx = top.a_idx) "
+ARGMAX = """, top AS (SELECT run_id, pair_id, b_idx, arg_max(a_idx, (mass, -a_idx)) AS a_idx FROM plan GROUP BY ALL),
+hard AS (SELECT e.run_id, e.pair_id, e.b_idx, top.a_idx, a.x, a.y FROM each_b e LEFT JOIN top USING (run_id, pair_id, b_idx) LEFT JOIN a ON (a.pair_id, a.spot_idx) = (e.pair_id, top.a_idx)) """
 
 
-@query(PLAN + ARGMAX + f"SELECT run_id, b_idx, coalesce(a_idx, -1) AS a_idx, {R('x', 'y')} FROM hard")
+@query(PLAN + ARGMAX + f"SELECT run_id, pair_id, b_idx, coalesce(a_idx, -1) AS a_idx, {R('x', 'y')} FROM hard")
 def argmax_projection(s, d):
     return r6(no_null(S.argmax_projection(X.plan(s, d), *_ab(s, d)), "a_idx"), "x", "y")
 
 
-@query(PLAN + ARGMAX + "SELECT run_id, b_idx, round(sqrt((h.x - bary.x) ^ 2 + (h.y - bary.y) ^ 2), 6) AS shift FROM bary JOIN hard h USING (run_id, b_idx)")
+@query(PLAN + ARGMAX + "SELECT run_id, pair_id, b_idx, round(sqrt((h.x - bary.x) ^ 2 + (h.y - bary.y) ^ 2), 6) AS shift FROM bary JOIN hard h USING (run_id, pair_id, b_idx)")
 def prediction_shift(s, d):
     hard = S.argmax_projection(X.plan(s, d), *_ab(s, d)).drop("a_idx")
-    return r6(S.prediction_shift(_bary(s, d), hard, ["run_id", "b_idx"]).select("run_id", "b_idx", "shift"), "shift")
+    return r6(S.prediction_shift(_bary(s, d), hard, [*S.RUN, "b_idx"]).select(*S.RUN, "b_idx", "shift"), "shift")
 
 
-@query(PLAN + "SELECT run_id, b_idx FROM bary JOIN bridge USING (b_idx) WHERE have AND col_mass > 0")
+@query(PLAN + "SELECT run_id, pair_id, b_idx FROM bary JOIN bridge USING (pair_id, b_idx) WHERE have AND col_mass > 0")
 def mask_scorable(s, d):
-    return S.mask_scorable(_bary(s, d).join(_bridge(s, d), "b_idx")).select("run_id", "b_idx")
+    return S.mask_scorable(_bary(s, d).join(_bridge(s, d), ["pair_id", "b_idx"])).select(*S.RUN, "b_idx")
 
 
 # --- neighbours -------------------------------------------------------------------------------------------------------
-KNN = ", knn AS (SELECT p.sample_id, p.spot_idx AS src, q.spot_idx AS dst, (p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 AS d2, row_number() OVER (PARTITION BY p.sample_id, p.spot_idx ORDER BY (p.x - q.x) ^ 2 + (p.y - q.y) ^ 2, q.spot_idx) AS rank FROM spots p JOIN spots q ON p.sample_id = q.sample_id AND p.spot_idx <> q.spot_idx) "
-EDGES = KNN + ", half AS (SELECT sample_id, src, dst FROM knn WHERE rank <= 6), edges AS (SELECT * FROM half UNION ALL SELECT sample_id, dst, src FROM half), rel AS (SELECT e.*, (q.x - p.x) / 137.0::DOUBLE AS rel_x, (q.y - p.y) / 137.0::DOUBLE AS rel_y FROM edges e JOIN spots p ON (p.sample_id, p.spot_idx) = (e.sample_id, src) JOIN spots q ON (q.sample_id, q.spot_idx) = (e.sample_id, dst)) "
+KNN = """, knn AS (
+  SELECT p.sample_id, p.spot_idx AS src, q.spot_idx AS dst, (p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 AS d2,
+         row_number() OVER (PARTITION BY p.sample_id, p.spot_idx ORDER BY (p.x - q.x) ^ 2 + (p.y - q.y) ^ 2, q.spot_idx) AS rank
+  FROM spots p JOIN spots q ON p.sample_id = q.sample_id AND p.spot_idx <> q.spot_idx) """
+EDGES = (
+    KNN
+    + """, half AS (SELECT sample_id, src, dst FROM knn WHERE rank <= 6),
+edges AS (SELECT * FROM half UNION ALL SELECT sample_id, dst, src FROM half),
+rel AS (
+  SELECT e.*, (q.x - p.x) / 137.0::DOUBLE AS rel_x, (q.y - p.y) / 137.0::DOUBLE AS rel_y
+  FROM edges e JOIN spots p ON (p.sample_id, p.spot_idx) = (e.sample_id, src) JOIN spots q ON (q.sample_id, q.spot_idx) = (e.sample_id, dst)) """
+)
 
 
 @query(with_("spots") + KNN + "SELECT sample_id, src, dst, round(d2, 6) AS d2, rank::INT AS rank FROM knn WHERE rank <= 6")
@@ -271,35 +300,49 @@ def knn_graph_symmetric(s, d):
     return r6(N.knn_graph_symmetric(X.spots(s, d), 6, PITCH), "rel_x", "rel_y")
 
 
-@query(with_("spots") + "SELECT b.spot_idx AS c_idx, a.spot_idx AS dst, round((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2, 6) AS d2 FROM b JOIN a ON (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 <= 40.0::DOUBLE ^ 2")
+@query(with_("spots") + "SELECT pair_id, b.spot_idx AS c_idx, a.spot_idx AS dst, round((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2, 6) AS d2 FROM b JOIN a USING (pair_id) WHERE (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 <= 40.0::DOUBLE ^ 2")
 def radius_join(s, d):
     a, b = _ab(s, d)
-    return r6(N.radius_join(b.select(F.col("spot_idx").alias("c_idx"), "x", "y"), a, 40.0), "d2")
+    return r6(N.radius_join(b.select("pair_id", F.col("spot_idx").alias("c_idx"), "x", "y"), a, 40.0), "d2")
 
 
-@query(with_("spots") + "SELECT b.spot_idx AS b_idx, arg_min(a.spot_idx, ((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2, a.spot_idx)) AS a_idx, round(sqrt(min((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2)), 6) AS moved FROM b CROSS JOIN a GROUP BY b.spot_idx")
+SNAP = """SELECT pair_id, b.spot_idx AS b_idx, arg_min(a.spot_idx, ((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2, a.spot_idx)) AS a_idx, round(sqrt(min((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2)), 6) AS moved
+FROM b JOIN a USING (pair_id) GROUP BY pair_id, b.spot_idx"""
+
+
+@query(with_("spots") + SNAP)
 def snap_to_nearest(s, d):
     a, b = _ab(s, d)
-    return r6(N.snap_to_nearest(b.select(F.col("spot_idx").alias("b_idx"), "x", "y"), a).select("b_idx", "a_idx", "moved"), "moved")
+    return r6(N.snap_to_nearest(b.select("pair_id", F.col("spot_idx").alias("b_idx"), "x", "y"), a).select("pair_id", "b_idx", "a_idx", "moved"), "moved")
 
 
-SOFT = ", near AS (SELECT b_idx, q.spot_idx AS a_idx, exp(-((q.x - gt_x) ^ 2 + (q.y - gt_y) ^ 2) / (2 * 20.0::DOUBLE ^ 2)) AS g FROM bridge JOIN a q ON have AND (q.x - gt_x) ^ 2 + (q.y - gt_y) ^ 2 <= 80.0::DOUBLE ^ 2), target AS (SELECT b_idx, a_idx, g / sum(g) OVER (PARTITION BY b_idx) AS w FROM near) "
+SOFT = """, near AS (
+  SELECT pair_id, b_idx, q.spot_idx AS a_idx, exp(-((q.x - gt_x) ^ 2 + (q.y - gt_y) ^ 2) / (2 * 20.0::DOUBLE ^ 2)) AS g
+  FROM bridge JOIN a q USING (pair_id) WHERE have AND (q.x - gt_x) ^ 2 + (q.y - gt_y) ^ 2 <= 80.0::DOUBLE ^ 2),
+target AS (SELECT pair_id, b_idx, a_idx, g / sum(g) OVER (PARTITION BY pair_id, b_idx) AS w FROM near) """
 
 
 def _target(s, d):
     return N.soft_target(B.partner_index(*_ab(s, d)), X.spots_a(s, d), 20.0, 1.0)
 
 
-@query(with_("spots") + SOFT + "SELECT b_idx, a_idx, round(w, 6) AS w FROM target")
+@query(with_("spots") + SOFT + "SELECT pair_id, b_idx, a_idx, round(w, 6) AS w FROM target")
 def soft_target(s, d):
     return r6(_target(s, d), "w")
 
 
 def _features(s, d):
-    return X.qk(s, d).select(F.col("side").alias("sample_id"), "spot_idx", F.col("v").alias("z"))
+    return X.qk(s, d).select(F.concat("pair_id", "side").alias("sample_id"), "spot_idx", F.col("v").alias("z"))
+
+
+HOP = """, f AS (SELECT pair_id || side AS sample_id, spot_idx, unnest(v) AS z, generate_subscripts(v, 1) - 1 AS dim FROM qk),
+m AS (SELECT e.sample_id, e.dst, dim, avg(z) AS v FROM edges e JOIN f ON (f.sample_id, f.spot_idx) = (e.sample_id, e.src) GROUP BY ALL),
+o AS (SELECT sample_id, dst, avg(rel_x) AS off_x, avg(rel_y) AS off_y FROM rel GROUP BY ALL)
+SELECT f.sample_id, f.spot_idx, f.dim::INT AS dim, round(z + coalesce(v, 0), 6) AS z, round(coalesce(off_x, 0), 6) AS off_x, round(coalesce(off_y, 0), 6) AS off_y
+FROM f LEFT JOIN m ON (m.sample_id, m.dst, m.dim) = (f.sample_id, f.spot_idx, f.dim) LEFT JOIN o ON (o.sample_id, o.dst) = (f.sample_id, f.spot_idx)"""
 
 
-@query(with_("spots", "qk") + EDGES + ", f AS (SELECT side AS sample_id, spot_idx, unnest(v) AS z, generate_subscripts(v, 1) - 1 AS dim FROM qk), m AS (SELECT e.sample_id, e.dst, dim, avg(z) AS v FROM edges e JOIN f ON (f.sample_id, f.spot_idx) = (e.sample_id, e.src) GROUP BY ALL), o AS (SELECT sample_id, dst, avg(rel_x) AS off_x, avg(rel_y) AS off_y FROM rel GROUP BY ALL) SELECT f.sample_id, f.spot_idx, f.dim::INT AS dim, round(z + coalesce(v, 0), 6) AS z, round(coalesce(off_x, 0), 6) AS off_x, round(coalesce(off_y, 0), 6) AS off_y FROM f LEFT JOIN m ON (m.sample_id, m.dst, m.dim) = (f.sample_id, f.spot_idx, f.dim) LEFT JOIN o ON (o.sample_id, o.dst) = (f.sample_id, f.spot_idx)")
+@query(with_("spots", "qk") + EDGES + HOP)
 def message_hop(s, d):
     return r6(N.message_hop(N.knn_graph_symmetric(X.spots(s, d), 6, PITCH), _features(s, d)), "z", "off_x", "off_y")
 
@@ -345,16 +388,28 @@ def slice_zscore(s, d):
     return r6(E.standardize_per_slice(_z(s, d)), "z")
 
 
-@query()
+BASIS = 5
+
+
+@query(EXPR + f", every AS (SELECT i::INT AS dim, j::INT AS other FROM range({BASIS}) a(i), range({BASIS}) b(j)) SELECT dim, other, CASE WHEN dim = other THEN 1.0 ELSE 0.0 END::DOUBLE AS product, true AS invariant FROM every")
 def shared_svd_basis(s, d):
-    return E.shared_svd_basis(E.lognorm(X.expr(s, d)), 5, 500)
+    """The basis' own test, as rows: products of its vectors (1 or 0), and whether the spots' Gram matrix keeps each within their span
+    (its image less its part in the span is a thirtieth of it at most)."""
+    values = E.lognorm(X.expr(s, d))
+    basis = E.shared_svd_basis(values, BASIS, 500, rounds=14).persist()
+    pairs = basis.join(basis.select("gene_idx", F.col("dim").alias("other"), F.col("w").alias("w2")), "gene_idx").groupBy("dim", "other").agg(F.abs(F.round(F.sum(F.col("w") * F.col("w2")), 6)).alias("product"))
+    image = values.join(E.project_basis(values, basis), E.SPOT).groupBy("gene_idx", "dim").agg(F.sum(F.col("v") * F.col("z")).alias("g"))
+    inner = image.join(basis.select("gene_idx", F.col("dim").alias("other"), "w"), "gene_idx").groupBy("dim", "other").agg(F.sum(F.col("g") * F.col("w")).alias("c"))
+    inside = inner.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("in"))
+    kept = image.groupBy("dim").agg(F.sum(F.col("g") * F.col("g")).alias("all")).join(inside, "dim").select("dim", (F.col("in") > 0.999 * F.col("all")).alias("invariant"))
+    return pairs.join(kept, "dim").select("dim", "other", "product", "invariant")
 
 
 QK = with_("spots", "qk")
-DIST = ", dist AS (SELECT pair_id, b_idx, a_idx, list_distance(bv, av) AS distance, row_number() OVER (PARTITION BY b_idx ORDER BY list_distance(bv, av), a_idx) AS rank FROM pairs) "
+DIST = ", dist AS (SELECT pair_id, b_idx, a_idx, list_distance(bv, av) AS distance, row_number() OVER (PARTITION BY pair_id, b_idx ORDER BY list_distance(bv, av), a_idx) AS rank FROM pairs) "
 
 
-@query(QK + DIST + "SELECT pair_id, b_idx, a_idx, round(distance, 6) AS distance, round(x, 6) AS x, round(y, 6) AS y FROM dist JOIN a ON a.spot_idx = a_idx WHERE rank = 1")
+@query(QK + DIST + "SELECT dist.pair_id, b_idx, a_idx, round(distance, 6) AS distance, round(x, 6) AS x, round(y, 6) AS y FROM dist JOIN a ON a.pair_id = dist.pair_id AND a.spot_idx = a_idx WHERE rank = 1")
 def feature_nn(s, d):
     return r6(E.feature_nn(X.qk(s, d), X.spots_a(s, d)), "distance", "x", "y")
 
@@ -364,12 +419,12 @@ def topk_neighbors(s, d):
     return E.topk_neighbors(X.qk(s, d), 10).select("pair_id", "b_idx", "a_idx", "rank")
 
 
-@query(QK + DIST + "SELECT pair_id, b_idx, round(sum(x / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS x, round(sum(y / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS y FROM dist JOIN a ON a.spot_idx = a_idx WHERE rank <= 10 GROUP BY ALL")
+@query(QK + DIST + "SELECT dist.pair_id, b_idx, round(sum(x / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS x, round(sum(y / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS y FROM dist JOIN a ON a.pair_id = dist.pair_id AND a.spot_idx = a_idx WHERE rank <= 10 GROUP BY ALL")
 def feature_knn_weighted(s, d):
     return r6(E.feature_knn_weighted(X.qk(s, d), X.spots_a(s, d)), "x", "y")
 
 
-@query(QK + "SELECT pair_id, b_idx, round(sum(p * x), 6) AS x, round(sum(p * y), 6) AS y FROM softmax JOIN a ON a.spot_idx = a_idx GROUP BY ALL")
+@query(QK + "SELECT softmax.pair_id, b_idx, round(sum(p * x), 6) AS x, round(sum(p * y), 6) AS y FROM softmax JOIN a ON a.pair_id = softmax.pair_id AND a.spot_idx = a_idx GROUP BY ALL")
 def attention_match(s, d):
     return r6(E.attention_match(X.qk(s, d), X.spots_a(s, d)), "x", "y")
 
@@ -384,25 +439,43 @@ def softmax_over_row(s, d):
     return E.softmax_over_row(E.attention_logits(X.qk(s, d))).withColumn("p", F.round("p", 9))
 
 
-@query(QK + DIST + "SELECT pair_id, b_idx, a_idx, round((1 / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) OVER (PARTITION BY b_idx), 6) AS w FROM dist WHERE rank <= 10")
+@query(QK + DIST + "SELECT pair_id, b_idx, a_idx, round((1 / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) OVER (PARTITION BY pair_id, b_idx), 6) AS w FROM dist WHERE rank <= 10")
 def weight_normalize(s, d):
     t = E.topk_neighbors(X.qk(s, d), 10).withColumn("g", 1.0 / (F.col("distance") + 1e-6))
-    return r6(t.select("pair_id", "b_idx", "a_idx", N.weight_normalize("g", "b_idx").alias("w")), "w")
+    return r6(t.select("pair_id", "b_idx", "a_idx", N.weight_normalize("g", "pair_id", "b_idx").alias("w")), "w")
 
 
-@query(QK + ", t AS (SELECT pair_id, b_idx, arg_max(a_idx, (logit, -a_idx)) AS best FROM logits GROUP BY ALL) SELECT pair_id, round(avg((best = a_idx)::INT), 6) AS top1, count(*) AS n FROM t JOIN bridge USING (b_idx) WHERE have GROUP BY pair_id")
+@query(QK + ", t AS (SELECT pair_id, b_idx, arg_max(a_idx, (logit, -a_idx)) AS best FROM logits GROUP BY ALL) SELECT pair_id, round(avg((best = a_idx)::INT), 6) AS top1, count(*) AS n FROM t JOIN bridge USING (pair_id, b_idx) WHERE have GROUP BY pair_id")
 def match_top1(s, d):
-    return r6(E.match_top1(E.attention_logits(X.qk(s, d)), B.partner_index(*_ab(s, d))), "top1")
+    return r6(E.match_top1(X.qk(s, d), B.partner_index(*_ab(s, d))), "top1")
+
+
+ENTROPY = """, l AS (SELECT pair_id, b_idx, ln(sum(exp(logit))) AS lse FROM logits GROUP BY ALL),
+g AS (SELECT pair_id, b_idx, sum(w * logit) AS g FROM logits JOIN target USING (pair_id, b_idx, a_idx) GROUP BY ALL)
+SELECT pair_id, round(avg(lse - g), 6) AS loss, count(*) AS n FROM l JOIN g USING (pair_id, b_idx) GROUP BY pair_id"""
 
 
-@query(QK + SOFT + ", l AS (SELECT pair_id, b_idx, ln(sum(exp(logit))) AS lse FROM logits GROUP BY ALL), g AS (SELECT b_idx, sum(w * logit) AS g FROM logits JOIN target USING (b_idx, a_idx) GROUP BY ALL) SELECT pair_id, round(avg(lse - g), 6) AS loss, count(*) AS n FROM l JOIN g USING (b_idx) GROUP BY pair_id")
+@query(QK + SOFT + ENTROPY)
 def soft_cross_entropy(s, d):
-    return r6(E.soft_cross_entropy(E.attention_logits(X.qk(s, d)), _target(s, d)), "loss")
+    return r6(E.soft_cross_entropy(X.qk(s, d), _target(s, d)), "loss")
 
 
 @query(QK + ", e AS (SELECT pair_id, b_idx, 1 / sum(p * p) AS support FROM softmax GROUP BY ALL) SELECT pair_id, round(median(support), 6) AS support FROM e GROUP BY pair_id")
 def effective_support(s, d):
-    return r6(E.effective_support(E.softmax_over_row(E.attention_logits(X.qk(s, d)))), "support")
+    return r6(E.effective_support(X.qk(s, d)), "support")
+
+
+VECTORS = """SELECT q.pair_id, b_idx, round(list_inner_product(q.v, k.v), 6) AS dot, round(sqrt(list_inner_product(q.v, q.v)), 6) AS norm, round(list_cosine_similarity(q.v, k.v), 6) AS cosine, round(list_distance(q.v, k.v) ^ 2, 6) AS distance2
+FROM bridge JOIN qk q ON q.pair_id = bridge.pair_id AND q.side = 'B' AND q.spot_idx = b_idx JOIN qk k ON k.pair_id = bridge.pair_id AND k.side = 'A' AND k.spot_idx = a_idx"""
+
+
+@query(with_("spots", "qk") + VECTORS)
+def vector_functions(s, d):
+    """Products, norms, cosines and distances of the vectors of bridged spots."""
+    of = lambda side, idx, v: X.qk(s, d).where(F.col("side") == side).select("pair_id", F.col("spot_idx").alias(idx), F.col("v").alias(v))
+    both = B.partner_index(*_ab(s, d)).join(of("B", "b_idx", "q"), ["pair_id", "b_idx"]).join(of("A", "a_idx", "k"), ["pair_id", "a_idx"])
+    q, k = F.col("q"), F.col("k")
+    return r6(both.select("pair_id", "b_idx", V.dot(q, k).alias("dot"), V.norm(q).alias("norm"), V.cosine(q, k).alias("cosine"), V.distance2(q, k).alias("distance2")), "dot", "norm", "cosine", "distance2")
 
 
 @query("SELECT p_partkey AS gene_idx, CASE WHEN row_number() OVER w = 1 THEN p_brand ELSE p_brand || '-' || (row_number() OVER w - 1) END AS gene_name FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
@@ -492,9 +565,9 @@ def displacement_stats(s, d):
     return r6(T.displacement_stats(_warped(s, d), ["sample_id", "seed", "severity", "tear"], PITCH), "max_disp_px", "mean_disp_px", "max_disp_pitch")
 
 
-@query(with_("spots") + "SELECT spot_idx, round(-y, 6) AS y FROM spots")
+@query(with_("spots") + "SELECT sample_id, spot_idx, round(-y, 6) AS y FROM spots")
 def flip_y(s, d):
-    return r6(T.flip_y(X.spots(s, d)).select("spot_idx", "y"), "y")
+    return r6(T.flip_y(X.spots(s, d)).select("sample_id", "spot_idx", "y"), "y")
 
 
 NORMAL = ", c AS (SELECT *, x - avg(x) OVER () AS cx, y - avg(y) OVER () AS cy FROM spots), frame AS (SELECT sample_id, spot_idx, layer, round(cx / max(greatest(abs(cx), abs(cy))) OVER (), 4) AS x, round(cy / max(greatest(abs(cx), abs(cy))) OVER (), 4) AS y FROM c) "
@@ -505,22 +578,21 @@ def normalize_frame(s, d):
     return T.normalize_frame(X.spots(s, d)).select("sample_id", "spot_idx", "x", "y")
 
 
-@query(with_("spots") + "SELECT sample_id, spot_idx FROM spots QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY md5(spot_idx || '/5')) <= 60")
+@query(with_("spots") + "SELECT sample_id, spot_idx FROM spots QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY md5(spot_idx || '/5')) <= 30")
 def downsample_per_slice(s, d):
-    return T.downsample_per_slice(X.spots(s, d), 60, 5).select("sample_id", "spot_idx")
+    return T.downsample_per_slice(X.spots(s, d), 30, 5).select("sample_id", "spot_idx")
 
 
-LIMIT = with_("spots") + "SELECT spot_idx FROM spots ORDER BY md5(spot_idx || '/{}') LIMIT {}"
-
-
-@query(LIMIT.format(1, 80))
+@query("SELECT vec_id AS spot_idx FROM embeddings ORDER BY md5(vec_id || '/1') LIMIT 80")
 def subsample_n(s, d):
-    return T.subsample_n(X.spots(s, d), 80, 1).select("spot_idx")
+    return T.subsample_n(X.table(s, d, "embeddings").select(F.col("vec_id").alias("spot_idx")), 80, 1)
 
 
-@query(LIMIT.format(2, 10**6))
+@query("WITH s AS (SELECT o_orderkey AS spot_idx FROM orders ORDER BY md5(o_orderkey || '/2') LIMIT 300) SELECT spot_idx, row_number() OVER (ORDER BY spot_idx) AS place FROM s")
 def limit_sample(s, d):
-    return T.subsample_n(X.spots(s, d), 10**6, 2).select("spot_idx")
+    """300 orders at random, in order of their keys again: the place tells that they are."""
+    few = T.subsample_n(X.table(s, d, "orders").select(F.col("o_orderkey").alias("spot_idx")), 300, 2)
+    return few.withColumn("place", F.expr("row_number() over (order by spot_idx)"))  # of 300 rows
 
 
 @query(with_("spots") + ", i AS (SELECT sample_id, spot_idx, row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) AS k FROM spots), h AS (SELECT sample_id, x, y, row_number() OVER (PARTITION BY sample_id ORDER BY md5(spot_idx || '/9')) AS k FROM spots) SELECT sample_id, spot_idx, round(x, 6) AS x, round(y, 6) AS y FROM i JOIN h USING (sample_id, k)")
@@ -528,9 +600,9 @@ def shuffle_geometry(s, d):
     return r6(T.shuffle_geometry(X.spots(s, d), 9).select("sample_id", "spot_idx", "x", "y"), "x", "y")
 
 
-@query(with_("spots") + "SELECT spot_idx, round(x / 137, 6) AS x, round(y / 137, 6) AS y FROM spots")
+@query(with_("spots") + "SELECT sample_id, spot_idx, round(x / 137, 6) AS x, round(y / 137, 6) AS y FROM spots")
 def pitch_units(s, d):
-    return r6(T.pitch_units(X.spots(s, d), PITCH).select("spot_idx", "x", "y"), "x", "y")
+    return r6(T.pitch_units(X.spots(s, d), PITCH).select("sample_id", "spot_idx", "x", "y"), "x", "y")
 
 
 @query(with_("expr") + "SELECT DISTINCT sample_id, (dense_rank() OVER (ORDER BY sample_id) - 1) * 30.0::DOUBLE - (SELECT count(DISTINCT sample_id) - 1 FROM expr) * 30.0::DOUBLE / 2 AS z FROM expr")
@@ -627,8 +699,7 @@ def severity_step(s, d):
 
 @query(CURVES + ", places(s) AS (VALUES (-1.0::DOUBLE), (0.0), (2.5), (5.0), (8.0), (11.0)) SELECT method, fold, s, round(CASE WHEN s >= s0 AND s1 IS NOT NULL THEN e0 + (s - s0) / (s1 - s0) * (e1 - e0) ELSE e0 END, 6) AS err FROM steps JOIN places ON (s >= s0 AND (s1 IS NULL OR s < s1)) OR (k = 1 AND s < s0)")
 def interpolate_curve(s, d):
-    at = s.createDataFrame([(x,) for x in (-1.0, 0.0, 2.5, 5.0, 8.0, 11.0)], "s double")
-    return r6(C.interpolate_curve(X.method_curves(s, d), at, ["method", "fold"], "err"), "err")
+    return r6(C.interpolate_curve(X.method_curves(s, d), [-1.0, 0.0, 2.5, 5.0, 8.0, 11.0], ["method", "fold"], "err"), "err")
 
 
 @query(CURVES + "SELECT method, fold, severity, round(err, 6) AS err FROM means WHERE severity IN (0, 4, 8)")
@@ -692,15 +763,24 @@ def parse_severities(s, d):
     return t.select("user_id", F.aggregate(C.parse_severities(F.col("t")), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN (user_id // 4)::VARCHAR ELSE replace((user_id / 4)::VARCHAR, '.', 'p') END AS tag FROM events")
+TAGS = (0.0, 0.5, 8.0, 0.1 + 0.2, 2 / 3, 1e-4, 1e-5, 1.23456789e-7, 123456.0, 999999.5, 1e6, 1.5e6, 1234567.0, 100000.0, 0.1, -2.5, -1e-9, 12.3456789, 1e21)
+
+
+@query(f"SELECT user_id, k, replace(regexp_replace(printf('%g', v), 'e([+-])0*(\\d\\d)', 'e\\1\\2'), '.', 'p') AS tag FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([{', '.join(map(repr, TAGS))}]::DOUBLE[]) AS x, unnest(range({len(TAGS)})) AS k), LATERAL (SELECT CASE WHEN k % 2 = 0 THEN x ELSE x * (1 + user_id) END AS v)")
 def severity_tag(s, d):
-    return X.table(s, d, "events").select("user_id", V.severity_tag(F.col("user_id") / 4.0).alias("tag")).distinct()
+    """Tags of numbers of all sizes, as they are and times each user's."""
+    values = X.table(s, d, "events").select("user_id").distinct().select("user_id", F.posexplode(F.array(*[F.lit(float(x)) for x in TAGS])).alias("k", "x"))
+    value = F.when(F.col("k") % 2 == 0, F.col("x")).otherwise(F.col("x") * (1 + F.col("user_id")))
+    return values.select("user_id", F.col("k").cast("long").alias("k"), V.severity_tag(value).alias("tag"))
 
 
 # --- slices, sources --------------------------------------------------------------------------------------------------
-@query(with_("spots") + "SELECT sample_id, spot_idx, layer FROM b")
+@query(with_("spots") + "SELECT sample_id, spot_idx, layer FROM spots WHERE sample_id = 'p1B'")
 def scan_slice(s, d):
-    return X.spots(s, d).where(F.col("sample_id") == "B").select("sample_id", "spot_idx", "layer")
+    """The slices written by sample, and one of them scanned."""
+    path = X.scratch(s)
+    X.spots(s, d).write.partitionBy("sample_id").parquet(path)
+    return L.scan_slice(s, path, "p1B").select("sample_id", "spot_idx", "layer")
 
 
 @query("SELECT doc_id, coalesce(lang, 'NA') AS layer FROM documents")
@@ -721,9 +801,9 @@ def layer_fallback_two(s, d):
     return t.select("vec_id", L.layer_fallback_two(t).alias("guess"))
 
 
-@query(with_("spots") + "SELECT spot_idx, list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer)::BIGINT - 1 AS k FROM spots WHERE layer <> 'NA'")
+@query(with_("spots") + "SELECT sample_id, spot_idx, list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer)::BIGINT - 1 AS k FROM spots WHERE layer <> 'NA'")
 def layer_index(s, d):
-    return X.spots(s, d).select("spot_idx", L.layer_index(F.col("layer")).cast("long").alias("k")).where("k >= 0")
+    return X.spots(s, d).select("sample_id", "spot_idx", L.layer_index(F.col("layer")).cast("long").alias("k")).where("k >= 0")
 
 
 @query(with_("spots") + "SELECT sample_id, layer, count(*) AS count FROM spots GROUP BY ALL")
@@ -731,9 +811,15 @@ def label_counts(s, d):
     return C.label_counts(X.spots(s, d))
 
 
-@query(with_("spots") + "SELECT count(*) AS sections, sum(n)::BIGINT AS spots, round(avg(n), 6) AS mean_spots, sum(l)::BIGINT AS labelled FROM (SELECT sample_id, count(*) AS n, count(*) FILTER (layer <> 'NA') AS l FROM spots GROUP BY ALL)")
+STATS_SQL = """, genes AS (SELECT sample_id AS donor, count(DISTINCT gene_idx) AS genes FROM expr GROUP BY sample_id)
+SELECT right(pair_id, 1) AS donor, count(DISTINCT sample_id) AS sections, count(*) AS spots, round(count(*) / count(DISTINCT sample_id), 6) AS mean_spots, count(*) FILTER (layer <> 'NA') AS labelled, any_value(genes) AS genes
+FROM spots LEFT JOIN genes ON donor = right(pair_id, 1) GROUP BY right(pair_id, 1)"""
+
+
+@query(with_("spots", "expr") + STATS_SQL)
 def dataset_stats(s, d):
-    return r6(C.dataset_stats(X.spots(s, d)), "mean_spots")
+    spots = X.spots(s, d).withColumn("donor", F.substring("pair_id", -1, 1))
+    return r6(C.dataset_stats(spots, X.expr(s, d).select(F.col("sample_id").alias("donor"), "gene_idx")), "mean_spots")
 
 
 @query(CURVES + "SELECT f AS fold, v AS severity, round(err, 6) AS err FROM range(4) a(f) CROSS JOIN (SELECT DISTINCT severity AS v FROM curves) LEFT JOIN (SELECT fold, severity, avg(reg_err) AS err FROM curves GROUP BY ALL) ON fold = f AND severity = v")
@@ -743,13 +829,23 @@ def scan_optional(s, d):
     return r6(L.scan_optional(grid, c.groupBy("fold", "severity").agg(F.avg("reg_err").alias("err")), ["fold", "severity"]).select("fold", "severity", "err"), "err")
 
 
-@query("SELECT event_type AS run, user_id::DOUBLE AS severity, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+SCANNED = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS back, CASE WHEN event_type < 'd' THEN 'old' ELSE 'new' END AS kind FROM events)
+SELECT event_type || '_testS' || length(event_type) || CASE kind WHEN 'old' THEN '_seed9999' ELSE '_test_curve' END AS run, event_type AS method, 'S' || length(event_type) AS fold, CASE kind WHEN 'old' THEN 9999 ELSE -1 END::BIGINT AS seed,
+       CASE kind WHEN 'old' THEN 'none' ELSE 'test' END AS role, user_id::DOUBLE AS severity, round(value, 6) AS reg_err_median, CASE kind WHEN 'old' THEN -1 ELSE round(value * 2, 6) END AS match_top1
+FROM e WHERE back = 1"""
+
+
+@query(SCANNED)
 def scan_curves(s, d):
-    """Written as one headed CSV per run, in order of event, and read again by file name."""
-    e = X.table(s, d, "events").select(F.col("event_type").alias("run"), F.col("user_id").cast("double").alias("severity"), "value", "event_id")
-    path = X.scratch(s)
-    e.repartition("run").sortWithinPartitions("run", "event_id").drop("event_id").write.partitionBy("run").option("header", True).csv(path)
-    return L.scan_curves(s, path, "severity double, value double", r"run=([^/]+)/")
+    """Two generations of headed CSV files, of other columns in another order, written in order of event and read in one scan."""
+    e = X.table(s, d, "events").select(F.col("event_type").alias("method"), F.col("user_id").cast("double").alias("severity"), "value", "event_id")
+    path, old = X.scratch(s), F.col("method") < "d"
+    name = F.concat("method", F.lit("_testS"), F.length("method"), F.when(old, "_seed9999").otherwise("_test_curve")).alias("run")
+    for k, (test, columns) in enumerate(((old, ["severity", "reg_err_median"]), (~old, ["match_top1", "severity", "reg_err_median"]))):
+        rows = e.where(test).select(name, "event_id", "severity", F.col("value").alias("reg_err_median"), (F.col("value") * 2).alias("match_top1"))
+        rows.repartition("run").sortWithinPartitions("run", "event_id").select("run", *columns).write.partitionBy("run").option("header", True).csv(f"{path}/{k}")
+    found = L.scan_curves(s, path, ["reg_err_median", "match_top1"], r"run=([^/]+)/").select("run", "method", "fold", no("seed", -1).cast("long").alias("seed"), no("role", "none").alias("role"), "severity", "reg_err_median", no("match_top1", -1.0).alias("match_top1"))
+    return r6(found, "reg_err_median", "match_top1")
 
 
 CURVE = with_("curves") + "SELECT method, fold, severity, round(err, 6) AS err FROM means"
@@ -782,14 +878,14 @@ def _written_plan(s, d):
     return path
 
 
-@query(PLAN + "SELECT run_id, a_idx, b_idx, mass FROM plan")
+@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, mass FROM plan")
 def write_plan(s, d):
-    return s.read.parquet(_written_plan(s, d)).select("run_id", "a_idx", "b_idx", "mass")
+    return s.read.parquet(_written_plan(s, d)).select("run_id", "pair_id", "a_idx", "b_idx", "mass")
 
 
-@query(PLAN + "SELECT run_id, a_idx, b_idx, mass FROM plan WHERE run_id = 'R'")
+@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, mass FROM plan WHERE run_id = 'R'")
 def scan_plan(s, d):
-    return L.scan_plan(s, _written_plan(s, d), "R").select("run_id", "a_idx", "b_idx", "mass")
+    return L.scan_plan(s, _written_plan(s, d), "R").select("run_id", "pair_id", "a_idx", "b_idx", "mass")
 
 
 def _stack(s, d):
@@ -797,14 +893,21 @@ def _stack(s, d):
     return L.stack_slices_json(p)
 
 
-@query(with_("spots") + NORMAL + ", k AS (SELECT *, list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer) - 1 AS k FROM frame WHERE layer <> 'NA') SELECT sample_id, count(*) AS n, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy, sum(k)::BIGINT AS sk FROM k GROUP BY sample_id")
+POINTS = """SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) - 1)::INT AS i, x, y, (list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer) - 1)::INT AS layer{}
+FROM frame WHERE layer <> 'NA'"""
+
+
+@query(with_("spots") + NORMAL + POINTS.format(", count(*) OVER (PARTITION BY sample_id)::INT AS n"))
 def write_stack_json(s, d):
-    j = _stack(s, d).select(F.from_json("json", "id string, n int, xy array<array<double>>, layer array<int>").alias("j"))
-    total = lambda f: F.aggregate(F.transform("j.xy", f), F.lit(0.0), lambda a, x: a + x)
-    return j.select(F.col("j.id").alias("sample_id"), F.col("j.n").cast("long").alias("n"), F.round(total(lambda p: F.get(p, F.lit(0))), 4).alias("sx"), F.round(total(lambda p: F.get(p, F.lit(1))), 4).alias("sy"), F.aggregate("j.layer", F.lit(0).cast("long"), lambda a, x: a + x).alias("sk"))
+    """The stack written, and its lines read again: every point."""
+    path = X.scratch(s)
+    L.write_stack_json(T.normalize_frame(X.spots(s, d)).withColumn("k", L.layer_index(F.col("layer"))).where("k >= 0"), path)
+    j = s.read.text(path).select(F.from_json("value", "id string, n int, xy array<array<double>>, layer array<int>").alias("j"))
+    p = j.select(F.col("j.id").alias("sample_id"), F.col("j.n").alias("n"), F.posexplode(F.arrays_zip(F.col("j.xy").alias("xy"), F.col("j.layer").alias("k"))).alias("i", "p"))
+    return p.select("sample_id", "i", F.get("p.xy", F.lit(0)).alias("x"), F.get("p.xy", F.lit(1)).alias("y"), F.col("p.k").alias("layer"), "n")
 
 
-@query(with_("spots") + NORMAL + "SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) - 1)::INT AS i, x, y, (list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer) - 1)::INT AS layer, CASE sample_id WHEN 'A' THEN -15.0::DOUBLE ELSE 15.0::DOUBLE END AS z FROM frame WHERE layer <> 'NA'")
+@query(with_("spots") + NORMAL + POINTS.format(", ((dense_rank() OVER (ORDER BY sample_id) - 1) * 30.0::DOUBLE - 75.0::DOUBLE) AS z"))
 def read_stack_json(s, d):
     return L.read_stack_json(_stack(s, d))
 
@@ -825,9 +928,16 @@ def empty_to_null(s, d):
     return X.leads(s, d).select("custkey", I.empty_to_null(F.col("role")).alias("role"))
 
 
-@query(with_("leads") + "SELECT custkey, email, nullif(trim(role), '') AS role FROM judged WHERE len(reasons) = 0 AND hp IS NULL")
+@query(with_("leads") + "SELECT custkey, trim(full_name) AS full_name, trim(email) AS email, trim(company) AS company, coalesce(nullif(trim(role), ''), '-') AS role, length(trim(looking_for)) AS asked, true AS stamped, n FROM judged, range(1, 3) t(n) WHERE len(reasons) = 0 AND hp IS NULL")
 def append_leads(s, d):
-    return I.landed(X.leads(s, d)).select("custkey", "email", "role")
+    """The leads appended twice, and what landed: each row has an id of its own."""
+    path = X.scratch(s)
+    for _ in range(2):
+        I.append_leads(X.leads(s, d), path)
+    landed = s.read.parquet(path)
+    n = F.row_number().over(Window.partitionBy("custkey").orderBy("id")).cast("long")
+    stamped = F.col("created_at").isNotNull() & (F.col("id") > F.coalesce(F.lag("id").over(Window.partitionBy("custkey").orderBy("id")), F.lit("")))
+    return landed.select("custkey", "full_name", "email", "company", no("role", "-").alias("role"), F.length("looking_for").cast("long").alias("asked"), stamped.alias("stamped"), n.alias("n"))
 
 
 @query(with_("leads") + "SELECT custkey, email, nullif(trim(role), '') AS role, '' AS reasons FROM judged WHERE len(reasons) = 0 AND hp IS NULL UNION ALL SELECT custkey, email, role, array_to_string(reasons, '; ') AS reasons FROM judged WHERE len(reasons) > 0 AND hp IS NULL")
@@ -857,10 +967,17 @@ def spot_count_resolve(s, d):
     return no_null(I.spot_count_resolve(p), "n_obs")
 
 
-@query()
+SIGNED = """SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 400 WHEN page_id % 10 = 4 THEN 400 WHEN page_id % 6 = 0 THEN 200 ELSE 415 END AS status,
+       CASE WHEN page_id % 2 = 1 THEN 'name' WHEN page_id % 10 = 4 THEN 'empty' WHEN page_id % 6 = 0 THEN 'ok' ELSE 'signature' END AS reason
+FROM pages"""
+
+
+@query(SIGNED)
 def upload_signature_check(s, d):
-    """The pages as files: names by the fixture, contents the html."""
+    """The pages as files: odd ones have another ending, some are empty, some begin with the signature."""
     p = X.table(s, d, "pages")
-    name = F.concat("url", F.when(F.col("page_id") % 2 == 0, ".h5ad").otherwise(""))
-    content = F.when(F.col("page_id") % 6 == 0, F.concat(F.unhex(F.lit(I.HDF5_MAGIC)), F.encode("html", "UTF-8"))).otherwise(F.encode("html", "UTF-8"))
-    return I.upload_signature_check(p.select(name.alias("path"), content.alias("content")))
+    name = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".h5ad").otherwise(".txt"))
+    html = F.encode("html", "UTF-8")
+    content = F.when(F.col("page_id") % 10 == 4, F.encode(F.lit(""), "UTF-8")).when(F.col("page_id") % 6 == 0, F.concat(F.unhex(F.lit(I.HDF5_MAGIC)), html)).otherwise(html)
+    found = I.upload_signature_check(p.select(name.alias("path"), content.alias("content")))
+    return found.select(F.regexp_extract("path", r"^(\d+)\.", 1).cast("long").alias("page_id"), "status", "reason")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runtime import scratch  # noqa: F401
+
 PITCH = 137.0
 
 
@@ -15,36 +14,41 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder of the shared spark.checkpoint.dir; only where that is unset (tests), a local one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
-
-
 def spots(spark: SparkSession, d: str) -> DataFrame:
-    """Two slices of the embeddings: odd ids are B, even ones A but for every 22nd."""
-    e = table(spark, d, "embeddings").where("vec_id % 2 = 1 or vec_id % 22 <> 0")
-    p = F.expr("vec_id div 2")
+    """Three pairs of slices, of all embeddings: odd ids are B, even ones A, and indices and positions begin anew in every slice.
+    Every 11th position of A lies off the grid of B."""
+    p, q = F.expr("vec_id div 2"), F.expr("(vec_id div 2) div 3")
+    side = F.when(F.col("vec_id") % 2 == 1, "B").otherwise("A")
+    pair = F.concat(F.lit("p"), p % 3)
     layer = F.when(F.col("label") <= 5, F.concat(F.lit("Layer"), F.col("label") + 1)).when(F.col("label") == 6, "WM").otherwise("NA")
     at = lambda k: F.get("embedding", F.lit(k)).cast("double") * 1000
-    return e.select(F.when(F.col("vec_id") % 2 == 1, "B").otherwise("A").alias("sample_id"), F.col("vec_id").alias("spot_idx"), F.expr("cast((vec_id div 2) div 20 as int)").alias("array_row"), (p % 20).cast("int").alias("array_col"), at(0).alias("x"), at(1).alias("y"), layer.alias("layer"))
+    row = F.floor(q / 20) + F.when(F.col("vec_id") % 22 == 0, 1000).otherwise(0)
+    return table(spark, d, "embeddings").select(
+        pair.alias("pair_id"), side.alias("side"), F.concat(pair, side).alias("sample_id"), q.alias("spot_idx"), row.cast("int").alias("array_row"), (q % 20).cast("int").alias("array_col"), at(0).alias("x"), at(1).alias("y"), layer.alias("layer")
+    )
 
 
 def spots_a(spark: SparkSession, d: str) -> DataFrame:
-    return spots(spark, d).where("sample_id = 'A'")
+    return spots(spark, d).where("side = 'A'")
 
 
 def spots_b(spark: SparkSession, d: str) -> DataFrame:
-    return spots(spark, d).where("sample_id = 'B'")
+    return spots(spark, d).where("side = 'B'")
 
 
 def qk(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 2 = 1 or vec_id % 22 <> 0")
-    return e.select(F.lit("p0").alias("pair_id"), F.when(F.col("vec_id") % 2 == 1, "B").otherwise("A").alias("side"), F.col("vec_id").alias("spot_idx"), F.col("embedding").cast("array<double>").alias("v"))
+    e = table(spark, d, "embeddings")
+    pair = F.concat(F.lit("p"), F.expr("(vec_id div 2) % 3"))
+    return e.select(pair.alias("pair_id"), F.when(F.col("vec_id") % 2 == 1, "B").otherwise("A").alias("side"), F.expr("(vec_id div 2) div 3").alias("spot_idx"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def plan(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_partkey % 25 <> 0 and l_orderkey % 10 <> 0 and (2 * (l_orderkey % 250)) % 22 <> 0")
-    return li.select(F.col("l_returnflag").alias("run_id"), F.expr("2 * (l_orderkey % 250)").alias("a_idx"), F.expr("2 * (l_partkey % 250) + 1").alias("b_idx"), F.col("l_quantity").cast("double").alias("q")).groupBy("run_id", "a_idx", "b_idx").agg(F.sum("q").alias("mass"))
+    """Mass of all of lineitem, in three runs over each of the three pairs. Keys are folded by the number of spots, so plans grow with
+    the tables; the last tenth of A and the last 25th of B get none."""
+    n = table(spark, d, "embeddings").agg(F.expr("count(*) div 6").alias("n"))
+    li = table(spark, d, "lineitem").crossJoin(F.broadcast(n))  # one row
+    keys = F.col("l_returnflag").alias("run_id"), F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("pair_id"), F.expr("l_orderkey % (n * 9 div 10)").alias("a_idx"), F.expr("l_partkey % (n * 24 div 25)").alias("b_idx")
+    return li.select(*keys, F.col("l_quantity").cast("double").alias("q")).groupBy("run_id", "pair_id", "a_idx", "b_idx").agg(F.sum("q").alias("mass"))
 
 
 def expr(spark: SparkSession, d: str) -> DataFrame:
@@ -96,22 +100,42 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
-    "spots": """spots AS (SELECT CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS sample_id, vec_id AS spot_idx, ((vec_id // 2) // 20)::INT AS array_row, ((vec_id // 2) % 20)::INT AS array_col,
-  embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, CASE WHEN label <= 5 THEN 'Layer' || (label + 1) WHEN label = 6 THEN 'WM' ELSE 'NA' END AS layer
-  FROM embeddings WHERE vec_id % 2 = 1 OR vec_id % 22 <> 0),
-a AS (SELECT * FROM spots WHERE sample_id = 'A'), b AS (SELECT * FROM spots WHERE sample_id = 'B'),
-bridge AS (SELECT b.spot_idx AS b_idx, a.spot_idx AS a_idx, a.x AS gt_x, a.y AS gt_y, a.spot_idx IS NOT NULL AS have FROM b LEFT JOIN a USING (array_row, array_col))""",
-    "qk": """qk AS (SELECT vec_id AS spot_idx, CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS side, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 1 OR vec_id % 22 <> 0),
-pairs AS (SELECT 'p0' AS pair_id, q.spot_idx AS b_idx, k.spot_idx AS a_idx, q.v AS bv, k.v AS av FROM qk q JOIN qk k ON q.side = 'B' AND k.side = 'A'),
+    "spots": """spots AS (
+  SELECT 'p' || (vec_id // 2) % 3 AS pair_id, CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS side, 'p' || (vec_id // 2) % 3 || CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS sample_id, (vec_id // 2) // 3 AS spot_idx,
+         (((vec_id // 2) // 3) // 20 + CASE WHEN vec_id % 22 = 0 THEN 1000 ELSE 0 END)::INT AS array_row, (((vec_id // 2) // 3) % 20)::INT AS array_col,
+         embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, CASE WHEN label <= 5 THEN 'Layer' || (label + 1) WHEN label = 6 THEN 'WM' ELSE 'NA' END AS layer
+  FROM embeddings),
+a AS (SELECT * FROM spots WHERE side = 'A'),
+b AS (SELECT * FROM spots WHERE side = 'B'),
+bridge AS (SELECT pair_id, b.spot_idx AS b_idx, a.spot_idx AS a_idx, a.x AS gt_x, a.y AS gt_y, a.spot_idx IS NOT NULL AS have FROM b LEFT JOIN a USING (pair_id, array_row, array_col))""",
+    "qk": """qk AS (
+  SELECT 'p' || (vec_id // 2) % 3 AS pair_id, (vec_id // 2) // 3 AS spot_idx, CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS side, list_transform(embedding, lambda z: z::DOUBLE) AS v
+  FROM embeddings),
+pairs AS (SELECT q.pair_id, q.spot_idx AS b_idx, k.spot_idx AS a_idx, q.v AS bv, k.v AS av FROM qk q JOIN qk k ON q.pair_id = k.pair_id AND q.side = 'B' AND k.side = 'A'),
 logits AS (SELECT pair_id, b_idx, a_idx, list_inner_product(bv, av) / sqrt(len(av)) AS logit FROM pairs),
-softmax AS (SELECT pair_id, b_idx, a_idx, exp(logit - max(logit) OVER w) / sum(exp(logit - m)) OVER w AS p FROM (SELECT *, max(logit) OVER (PARTITION BY pair_id, b_idx) AS m FROM logits) WINDOW w AS (PARTITION BY pair_id, b_idx))""",
-    "plan": """plan AS (SELECT l_returnflag AS run_id, 2 * (l_orderkey % 250) AS a_idx, 2 * (l_partkey % 250) + 1 AS b_idx, sum(l_quantity::DOUBLE) AS mass FROM lineitem
-  WHERE l_partkey % 25 <> 0 AND l_orderkey % 10 <> 0 AND (2 * (l_orderkey % 250)) % 22 <> 0 GROUP BY ALL),
-runs AS (SELECT DISTINCT run_id FROM plan),
-best AS (SELECT run_id, spot_idx AS a_idx, coalesce((SELECT b_idx FROM plan p WHERE p.run_id = runs.run_id AND p.a_idx = a.spot_idx ORDER BY mass DESC, b_idx LIMIT 1), (SELECT min(spot_idx) FROM b)) AS b_idx FROM runs CROSS JOIN a),
-labelled AS (SELECT best.*, a.layer AS layer_a, b.layer AS layer_b FROM best JOIN a ON a.spot_idx = a_idx JOIN b ON b.spot_idx = b_idx),
-accuracy AS (SELECT run_id, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored, count(*) FILTER (layer_a = 'NA') AS n_dropped_a_na, count(*) FILTER (layer_a <> 'NA' AND layer_b = 'NA') AS n_dropped_partner_na FROM labelled GROUP BY run_id),
-bary AS (SELECT runs.run_id, b.spot_idx AS b_idx, coalesce(sum(mass), 0) AS col_mass, sum(mass * a.x) / sum(mass) AS x, sum(mass * a.y) / sum(mass) AS y FROM runs CROSS JOIN b LEFT JOIN (plan JOIN a ON a.spot_idx = plan.a_idx) ON plan.run_id = runs.run_id AND plan.b_idx = b.spot_idx GROUP BY ALL)""",
+softmax AS (
+  SELECT pair_id, b_idx, a_idx, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY pair_id, b_idx) AS p
+  FROM (SELECT *, max(logit) OVER (PARTITION BY pair_id, b_idx) AS m FROM logits))""",
+    "plan": """size AS (SELECT count(*) // 6 AS n FROM embeddings),
+plan AS (
+  SELECT l_returnflag AS run_id, 'p' || l_linenumber % 3 AS pair_id, l_orderkey % (n * 9 // 10) AS a_idx, l_partkey % (n * 24 // 25) AS b_idx, sum(l_quantity::DOUBLE) AS mass
+  FROM lineitem, size GROUP BY ALL),
+runs AS (SELECT DISTINCT run_id, pair_id FROM plan),
+heaviest AS (SELECT run_id, pair_id, a_idx, arg_max(b_idx, (mass, -b_idx)) AS b_idx FROM plan GROUP BY ALL),
+first_b AS (SELECT pair_id, min(spot_idx) AS b_idx FROM b GROUP BY pair_id),
+best AS (
+  SELECT run_id, pair_id, spot_idx AS a_idx, coalesce(h.b_idx, f.b_idx) AS b_idx
+  FROM runs JOIN a USING (pair_id) JOIN first_b f USING (pair_id) LEFT JOIN heaviest h USING (run_id, pair_id) WHERE h.a_idx = spot_idx
+  UNION ALL
+  SELECT run_id, pair_id, spot_idx, f.b_idx FROM runs JOIN a USING (pair_id) JOIN first_b f USING (pair_id) WHERE NOT EXISTS (SELECT 1 FROM heaviest h WHERE (h.run_id, h.pair_id, h.a_idx) = (runs.run_id, runs.pair_id, a.spot_idx))),
+labelled AS (SELECT best.*, a.layer AS layer_a, b.layer AS layer_b FROM best JOIN a ON (a.pair_id, a.spot_idx) = (best.pair_id, a_idx) JOIN b ON (b.pair_id, b.spot_idx) = (best.pair_id, b_idx)),
+accuracy AS (
+  SELECT run_id, pair_id, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored,
+         count(*) FILTER (layer_a = 'NA') AS n_dropped_a_na, count(*) FILTER (layer_a <> 'NA' AND layer_b = 'NA') AS n_dropped_partner_na
+  FROM labelled GROUP BY run_id, pair_id),
+means_b AS (SELECT run_id, plan.pair_id, b_idx, sum(mass) AS m, sum(mass * x) / sum(mass) AS x, sum(mass * y) / sum(mass) AS y FROM plan JOIN a ON (a.pair_id, a.spot_idx) = (plan.pair_id, plan.a_idx) GROUP BY run_id, plan.pair_id, b_idx),
+each_b AS (SELECT run_id, pair_id, spot_idx AS b_idx FROM runs JOIN b USING (pair_id)),
+bary AS (SELECT run_id, pair_id, b_idx, coalesce(m, 0) AS col_mass, x, y FROM each_b LEFT JOIN means_b USING (run_id, pair_id, b_idx))""",
     "expr": """expr AS (SELECT (s_nationkey % 4)::VARCHAR AS sample_id, l_suppkey AS spot_idx, (l_partkey % 500)::INT AS gene_idx, sum(l_quantity::DOUBLE) AS count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 lognorm AS (SELECT sample_id, spot_idx, gene_idx, ln(1 + count * 1e4 / sum(count) OVER (PARTITION BY sample_id, spot_idx)) AS v FROM expr),
 basis AS (SELECT g::INT AS gene_idx, d::INT AS dim, ((g * 7 + d * 13) % 11 - 5) / 10.0::DOUBLE AS w FROM range(500) t(g), range(4) u(d)),
@@ -125,7 +149,7 @@ grid AS (SELECT s::INT AS seed, v::DOUBLE AS severity, t AS tear FROM range(2) x
 extent AS (SELECT sample_id, sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2) AS extent, sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2) * 0.18::DOUBLE AS bump_width, avg(x) AS mx, avg(y) AS my FROM spots GROUP BY sample_id),
 field AS (SELECT sample_id, seed, spot_idx, x, y, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * ux) AS fx, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * uy) AS fy FROM spots JOIN extent USING (sample_id) CROSS JOIN bumps GROUP BY ALL),
 unit AS (SELECT sample_id, seed, spot_idx, x, y, fx / max(sqrt(fx ^ 2 + fy ^ 2)) OVER w AS ux, fy / max(sqrt(fx ^ 2 + fy ^ 2)) OVER w AS uy FROM field WINDOW w AS (PARTITION BY sample_id, seed)),
-proj AS (SELECT sample_id, seed, spot_idx, theta, side, offset_pitch, quantile, (x - mx) * cos(theta) + (y - my) * sin(theta) AS proj FROM spots JOIN extent USING (sample_id) CROSS JOIN cuts),
+proj AS (SELECT sample_id, seed, spot_idx, theta, cuts.side, offset_pitch, quantile, (x - mx) * cos(theta) + (y - my) * sin(theta) AS proj FROM spots JOIN extent USING (sample_id) CROSS JOIN cuts),
 thr AS (SELECT sample_id, seed, quantile_cont(proj, 0.6) FILTER (seed = 0) AS q0, quantile_cont(proj, 0.65) FILTER (seed = 1) AS q1 FROM proj GROUP BY ALL),
 cut AS (SELECT p.sample_id, p.seed, severity, tear, spot_idx, tear AND proj > coalesce(q0, q1) AS torn, CASE WHEN tear AND proj > coalesce(q0, q1) THEN side * 137.0::DOUBLE * offset_pitch * greatest(severity, 1.0::DOUBLE) ELSE 0 END AS move, theta FROM proj p JOIN thr USING (sample_id, seed) JOIN grid USING (seed)),
 warped AS (SELECT u.sample_id, u.seed, g.severity, g.tear, u.spot_idx, u.x AS x_orig, u.y AS y_orig, u.ux * g.severity * 137.0::DOUBLE - sin(theta) * move AS dx, u.uy * g.severity * 137.0::DOUBLE + cos(theta) * move AS dy, torn FROM unit u JOIN grid g USING (seed) JOIN cut c ON (c.sample_id, c.seed, c.severity, c.tear, c.spot_idx) = (u.sample_id, u.seed, g.severity, g.tear, u.spot_idx))""",

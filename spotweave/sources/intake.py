@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What an address must look like, the first bytes of an HDF5 file, and (below) the bounds of a lead's fields.
 EMAIL = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 HDF5_MAGIC = "894844460D0A1A0A"
 LEAD = "full_name string, email string, company string, role string, company_size string, looking_for string, source string, hp string"
@@ -32,7 +33,10 @@ def validate_lead(leads: DataFrame) -> DataFrame:
 
 
 def valid(leads: DataFrame) -> DataFrame:
-    return validate_lead(drop_bots(leads)).where(F.size("reasons") == 0).drop("reasons", "hp").withColumn("role", empty_to_null(F.col("role"))).withColumn("source", empty_to_null(F.col("source")))
+    """Rows that are valid, trimmed; role and source are null where nothing is left."""
+    good = validate_lead(drop_bots(leads)).where(F.size("reasons") == 0).drop("reasons", "hp")
+    trimmed = {c: F.trim(c) for c in ("full_name", "email", "company", "looking_for")}
+    return good.withColumns(trimmed | {c: empty_to_null(F.col(c)) for c in ("role", "source")})
 
 
 def rejected(leads: DataFrame) -> DataFrame:
@@ -48,6 +52,11 @@ def append_leads(leads: DataFrame, path: str) -> None:
     landed(leads).write.mode("append").parquet(path)
 
 
+def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded files as rows (path, content); Spark's reader of whole files leaves empty ones out."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def upload_signature_check(files: DataFrame) -> DataFrame:
     """Status and reason for rows (path, content): name, then emptiness, then the first eight bytes."""
     ok = F.hex(F.substring("content", 1, 8)) == HDF5_MAGIC

@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.transforms import stacking_height
+
 # Label columns in order of preference.
 LABEL_COLUMNS = ("sce.layer_guess", "layer_guess", "layer_guess_reordered", "Layer", "layer", "ground_truth", "spatialLIBD", "Region", "annotation")
 # Layers in order.
 LAYERS = ("Layer1", "Layer2", "Layer3", "Layer4", "Layer5", "Layer6", "WM")
-CURVE = "severity double, max_disp_px double, mean_disp_px double, reg_err_mean double, reg_err_median double, reg_err_p90 double, n long"
-SPOTS = "sample_id string, spot_idx long, array_row int, array_col int, x double, y double, layer string"
+# The columns of all generations of curve files, after severity.
+CURVE = (
+    "max_disp_px", "mean_disp_px", "reg_err_mean", "reg_err_median", "reg_err_p90", "reg_err_mean_argmax", "reg_err_median_argmax", "reg_err_p90_argmax", "n_reg_scored", "paste2_acc", "random_floor",
+    "n_label_scored", "match_top1", "n", "runtime_s",
+)
+#: What the name of a curve file says, by pattern.
+NAME = {"seed": r"_seed(\d+)", "fold": r"_(?:test|held)?(S\d+|Br\d+)(?=_|$)", "role": r"_(train|test)_curve$"}
 
 
 def scan_slice(spark: SparkSession, path: str, sample_id: str) -> DataFrame:
@@ -48,10 +55,27 @@ def write_curves(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def scan_curves(spark: SparkSession, path: str, schema: str, pattern: str = r"([^/]+)\.csv$") -> DataFrame:
-    """Curves by a header; `run` is what the pattern finds in the file's name. Of equal (run, severity) the last row counts."""
-    df = spark.read.schema(schema).option("header", True).csv(path).withColumn("run", F.regexp_extract(F.input_file_name(), pattern, 1))
-    return last_of_each(df.withColumn("_k", F.monotonically_increasing_id()), ["run", "severity"], "_k").drop("_k")
+def scan_curves(spark: SparkSession, path: str, columns: Sequence[str] = CURVE, stem: str = r"([^/]+)\.csv$") -> DataFrame:
+    """Curve files of any generation in one scan: run (the file's name), method, fold, seed, role, severity, and the given
+    columns as doubles, null where a file has none of that name.
+
+    Files differ in their columns, so lines are read by their own file's header (its first line), never by place. Of equal
+    (run, severity) the last row counts. Values are numbers, so a comma always parts two of them.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.csv").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("k"))
+    run = F.url_decode(F.regexp_extract("file", stem, 1))
+    lines = lines.where(F.trim("value") != "").withColumn("cells", F.transform(F.split("value", ","), lambda x: F.trim(x)))
+    head = F.array_contains("cells", F.lit("severity"))
+    names = lines.where(head).groupBy("file").agg(F.min_by("cells", "k").alias("names"))
+    rows = lines.where(~head).join(names, "file").withColumn("row", F.map_from_arrays(F.slice("names", 1, F.least(F.size("names"), F.size("cells"))), F.slice("cells", 1, F.least(F.size("names"), F.size("cells")))))
+    value = lambda c: F.try_element_at("row", F.lit(c)).try_cast("double").alias(c)
+    rows = rows.select(run.alias("run"), value("severity"), *[value(c) for c in columns], "k")
+    rows = last_of_each(rows, ["run", "severity"], "k")
+    said = {n: F.nullif(F.regexp_extract("run", p, 1), F.lit("")) for n, p in NAME.items()}
+    method = F.col("run")
+    for p in (NAME["role"], NAME["seed"], NAME["fold"]):
+        method = F.regexp_replace(method, p, "")
+    return rows.select("run", method.alias("method"), said["fold"].alias("fold"), said["seed"].cast("int").alias("seed"), said["role"].alias("role"), "severity", *columns)
 
 
 def last_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -97,16 +121,15 @@ def stack_slices_json(spots: DataFrame) -> DataFrame:
     return s.select("sample_id", F.to_json(F.struct(F.col("sample_id").alias("id"), F.size("r").alias("n"), F.transform("r", lambda r: r["xy"]).alias("xy"), F.transform("r", lambda r: r["k"]).alias("layer"))).alias("json"))
 
 
-def read_stack_json(df: DataFrame, spacing: float = 30.0) -> DataFrame:
-    """One row per point: sample, its place, x, y, layer, and height by the slice's place, centred."""
-    from pyspark.sql import Window
-
-    s = df.select(F.from_json("json", "id string, n int, xy array<array<double>>, layer array<int>").alias("s"))
-    k = F.dense_rank().over(Window.orderBy("s.id")) - 1
-    s = s.withColumn("k", k).withColumn("top", F.max("k").over(Window.partitionBy(F.lit(0))))
-    p = s.select(F.col("s.id").alias("sample_id"), (F.col("k") * spacing - F.col("top") * spacing / 2).alias("z"), F.posexplode(F.arrays_zip(F.col("s.xy").alias("xy"), F.col("s.layer").alias("layer"))).alias("i", "p"))
-    return p.select("sample_id", "i", F.get("p.xy", F.lit(0)).alias("x"), F.get("p.xy", F.lit(1)).alias("y"), F.col("p.layer").alias("layer"), "z")
+def write_stack_json(spots: DataFrame, path: str) -> None:
+    """A JSON text for each slice, a line of its own."""
+    stack_slices_json(spots).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def read_curve_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CURVE).option("header", True).csv(path)
+def read_stack_json(df: DataFrame, spacing: float = 30.0) -> DataFrame:
+    """One row per point: sample, its place, x, y, layer, and height by the slice's place, centred. Heights are ranks of the ids
+    alone, joined back; a slice's points stay in its row's task."""
+    s = df.select(F.from_json("json", "id string, n int, xy array<array<double>>, layer array<int>").alias("s"))
+    p = s.select(F.col("s.id").alias("sample_id"), F.posexplode(F.arrays_zip(F.col("s.xy").alias("xy"), F.col("s.layer").alias("layer"))).alias("i", "p"))
+    height = stacking_height(s.select(F.col("s.id").alias("sample_id")), spacing)
+    return p.join(height, "sample_id").select("sample_id", "i", F.get("p.xy", F.lit(0)).alias("x"), F.get("p.xy", F.lit(1)).alias("y"), F.col("p.layer").alias("layer"), "z")

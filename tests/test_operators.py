@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from spotweave.functions import vectors as V
+from spotweave.functions.runtime import numbered
 from spotweave.operators import bridge as B
 from spotweave.operators import curves as C
 from spotweave.operators import features as E
@@ -16,11 +17,12 @@ from spotweave.sources import intake as I
 from spotweave.sources import slices as L
 from spotweave.streaming.leads import stream_leads
 
-SPOTS = "sample_id string, spot_idx long, array_row int, array_col int, x double, y double, layer string"
+SPOTS = "pair_id string, sample_id string, spot_idx long, array_row int, array_col int, x double, y double, layer string"
 
 
 def spots(spark, rows):
-    return spark.createDataFrame(rows, SPOTS)
+    """Rows without a pair are of pair p."""
+    return spark.createDataFrame([r if len(r) == 8 else ("p", *r) for r in rows], SPOTS)
 
 
 def test_bridge_takes_the_last_of_a_position_and_never_fans_out(spark):
@@ -31,6 +33,93 @@ def test_bridge_takes_the_last_of_a_position_and_never_fans_out(spark):
     assert {r.b_idx: r.a_idx for r in B.partner_index(a, b).collect()} == {1: 5, 2: -1}
 
 
+def test_pairs_are_kept_apart(spark):
+    """Two pairs whose slices have the same indices and positions, in one frame."""
+    a = spots(spark, [(p, "A", i, 0, i, float(i + off), 0.0, lab) for p, off, lab in (("p", 0, "L1"), ("q", 100, "L2")) for i in range(4)])
+    b = spots(spark, [(p, "B", i, 0, i, 0.0, 0.0, lab) for p, lab in (("p", "L1"), ("q", "L2")) for i in range(4)])
+    assert {(r.pair_id, r.b_idx): r.gt_x for r in B.array_bridge(a, b).collect()} == {(p, i): float(i + off) for p, off in (("p", 0), ("q", 100)) for i in range(4)}
+    plan = spark.createDataFrame([("r", "p", 0, 1, 2.0), ("r", "q", 3, 1, 2.0), ("s", "q", 1, 2, 1.0)], "run_id string, pair_id string, a_idx long, b_idx long, mass double")
+    got = {(r.run_id, r.pair_id, r.b_idx): r.x for r in S.barycentric_projection(plan, a, b).collect()}
+    assert len(got) == 12 and {k: v for k, v in got.items() if v is not None} == {("r", "p", 1): 0.0, ("r", "q", 1): 103.0, ("s", "q", 2): 101.0}
+    best = S.argmax_partners(plan, a, b)
+    assert best.count() == 12 and {r.pair_id: r.n_correct for r in S.label_transfer_accuracy(S.plan_label_join(best, a, b), ["pair_id"]).collect()} == {"p": 4, "q": 8}
+    assert {(r.pair_id, r.dst) for r in N.radius_join(b.withColumnRenamed("spot_idx", "c_idx"), a, 1.5).collect()} == {("p", 0), ("p", 1)}
+    snapped = N.snap_to_nearest(b.select("pair_id", F.col("spot_idx").alias("b_idx"), "x", "y"), a).collect()
+    assert {(r.pair_id, r.a_idx, r.moved) for r in snapped} == {("p", 0, 0.0), ("q", 0, 100.0)}
+    rng = np.random.default_rng(1)
+    v = {(p, s): rng.normal(size=(4, 3)) for p in "pq" for s in "AB"}
+    qk = spark.createDataFrame([(p, s, i, m[i].tolist()) for (p, s), m in v.items() for i in range(4)], "pair_id string, side string, spot_idx long, v array<double>")
+    top = {p: float(np.mean((v[p, "B"] @ v[p, "A"].T).argmax(1) == np.arange(4))) for p in "pq"}
+    assert {r.pair_id: r.top1 for r in E.match_top1(qk, B.partner_index(a, b), block=2).collect()} == top
+    support = {r.pair_id: r.support for r in E.effective_support(qk, block=3).collect()}
+    target = N.soft_target(B.partner_index(a, b), a, 1.0, 0.5)
+    loss = {r.pair_id: r.loss for r in E.soft_cross_entropy(qk, target, block=3).collect()}
+    for p in "pq":
+        logit = v[p, "B"] @ v[p, "A"].T / np.sqrt(3)
+        soft = np.exp(logit) / np.exp(logit).sum(1, keepdims=True)
+        assert abs(support[p] - np.median(1 / (soft**2).sum(1))) < 1e-9
+        g = np.exp(-((np.arange(4)[:, None] - np.arange(4)[None]) ** 2) / 0.5) * (np.abs(np.arange(4)[:, None] - np.arange(4)[None]) <= 2)
+        w = g / g.sum(1, keepdims=True)
+        assert abs(loss[p] - np.mean(np.log(np.exp(logit).sum(1)) - (w * logit).sum(1))) < 1e-9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_large_groups(spark):
+    """No nested loops, no product, and no window over all rows."""
+    df = spots(spark, [("A", i, 0, i, float(i % 7), float(i // 7), "x") for i in range(49)])
+    curve = spark.createDataFrame([("m", 0.0, 1.0), ("m", 4.0, 3.0)], "method string, severity double, err double")
+    genes = spark.createDataFrame([("s", 1, "g1"), ("t", 1, "g2"), ("s", 2, "x")], "sample_id string, gene_idx int, gene_name string")
+    edges = spark.createDataFrame([("A", 0, 1, 1.0, 0.0)], "sample_id string, src long, dst long, rel_x double, rel_y double")
+    z = spark.createDataFrame([("A", i, [1.0, float(i)]) for i in range(3)], "sample_id string, spot_idx long, z array<double>")
+    plans = [C.interpolate_curve(curve, [1.0, 9.0], ["method"], "err"), N.message_hop(edges, z), S.random_floor_trials(df, df), L.read_stack_json(L.stack_slices_json(df.withColumn("k", F.lit(1)))), T.shuffle_geometry(df), N.snap_to_nearest(df.withColumnRenamed("spot_idx", "b_idx"), df)]
+    for out in plans:
+        text = plan_of(out)
+        assert "NestedLoop" not in text and "Cartesian" not in text
+    for out in (plans[0], plans[1], plans[2], plans[4]):
+        assert "SinglePartition" not in plan_of(out)
+    assert sorted((r.s, r.err) for r in plans[0].collect()) == [(1.0, 1.5), (9.0, 3.0)]
+    assert {tuple(r) for r in E.assert_same_genes(genes, "s").collect()} == {("t", 1), ("t", 2)}
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), ((F.col("id") * 7919) % 5003).alias("v"))
+    got = numbered(df, ["g"], ["v"], "k").collect()
+    for g in "ab":
+        mine = sorted((r.v, r.k) for r in got if r.g == g)
+        assert [k for _, k in mine] == list(range(len(mine)))
+
+
+def test_a_crowded_spot_in_a_wide_sample(spark):
+    """A third of all points in a thousandth of the width: cells shrink, and neighbours stay exact."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.uniform(0, 1000, (200, 2)), rng.uniform(500, 500.5, (100, 2))])
+    df = spots(spark, [("A", i, 0, i, float(x), float(y), "x") for i, (x, y) in enumerate(xy)])
+    got = {(r.src, r["rank"]): r.dst for r in N.knn_spatial(df, 3).collect()}
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+
+
+@pytest.mark.parametrize("value,text", [(0.1 + 0.2, "0p3"), (1e-5, "1e-05"), (1e6, "1e+06"), (2 / 3, "0p666667"), (0.5, "0p5"), (8.0, "8"), (0.0, "0"), (-2.5, "-2p5"), (123456.7, "123457"), (1e-4, "0p0001"), (10.0, "10"), (-1e-9, "-1e-09"), (1234567.0, "1p23457e+06")])
+def test_severity_tag(spark, value, text):
+    assert spark.range(1).select(V.severity_tag(F.lit(value))).first()[0] == text == f"{value:g}".replace(".", "p")
+
+
+def test_curve_files_of_all_generations(spark, tmp_path):
+    for name, text in {
+        "sweep_deformation_ms_tear_S2_seed9999": "severity,max_disp_px,mean_disp_px,reg_err_mean,reg_err_median,reg_err_p90,n_reg_scored,paste2_acc,random_floor,n_label_scored,runtime_s\n0.0,1,2,3,4,5,6,0.7,0.4,9,10\n0.0,1,2,3,44,5,6,0.7,0.4,9,10\n",
+        "arca_ctr_attn_l0p5_testS1_test_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,match_top1,n\n8.0,1.5,2.5,3.5,0.25,77\n", "lodo_global_heldBr5292_train_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,n\n2,1,2,3,4\n\n",
+    }.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r.run: r for r in L.scan_curves(spark, str(tmp_path)).collect()}
+    assert {(r.method, r.fold, r.seed, r.role, r.severity, r.reg_err_median, r.match_top1, r.n, r.runtime_s) for r in got.values()} == {
+        ("sweep_deformation_ms_tear", "S2", 9999, None, 0.0, 44.0, None, None, 10.0), ("arca_ctr_attn_l0p5", "S1", None, "test", 8.0, 1.5, 0.25, 77.0, None), ("lodo_global", "Br5292", None, "train", 2.0, 1.0, None, 4.0, None),
+    }
+
+
 def test_errors_that_are_not_finite_dont_count_and_groups_stay(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([("r", 1.0), ("r", 2.0), ("r", nan), ("r", inf), ("r", None), ("s", nan)], "run string, err double")
@@ -44,7 +133,7 @@ def test_errors_that_are_not_finite_dont_count_and_groups_stay(spark):
 def test_ties_and_rows_without_mass(spark):
     a = spots(spark, [("A", i, 0, i, float(i), 0.0, "x") for i in (0, 2, 4)])
     b = spots(spark, [("B", i, 0, i, 0.0, 0.0, "x") for i in (1, 3)])
-    plan = spark.createDataFrame([("r", 0, 1, 2.0), ("r", 0, 3, 2.0), ("r", 2, 3, 5.0), ("r", 0, 1, 0.0)], "run_id string, a_idx long, b_idx long, mass double").groupBy("run_id", "a_idx", "b_idx").agg(F.sum("mass").alias("mass"))
+    plan = spark.createDataFrame([("r", "p", 0, 1, 2.0), ("r", "p", 0, 3, 2.0), ("r", "p", 2, 3, 5.0), ("r", "p", 0, 1, 0.0)], "run_id string, pair_id string, a_idx long, b_idx long, mass double").groupBy("run_id", "pair_id", "a_idx", "b_idx").agg(F.sum("mass").alias("mass"))
     assert {r.a_idx: r.b_idx for r in S.argmax_partners(plan, a, b).collect()} == {0: 1, 2: 3, 4: 1}
     zero = plan.where("b_idx = 3")
     assert {r.b_idx: r.x for r in S.barycentric_projection(zero, a, b).collect()} == {1: None, 3: 10 / 7}
@@ -54,7 +143,7 @@ def test_ties_and_rows_without_mass(spark):
 def test_permutation_plan_gives_the_same_soft_and_hard(spark):
     a = spots(spark, [("A", i, 0, i, float(i), float(-i), "x") for i in range(6)])
     b = spots(spark, [("B", i, 0, i, 0.0, 0.0, "x") for i in range(6)])
-    plan = spark.createDataFrame([("r", (i * 5) % 6, i, 0.3) for i in range(6)], "run_id string, a_idx long, b_idx long, mass double")
+    plan = spark.createDataFrame([("r", "p", (i * 5) % 6, i, 0.3) for i in range(6)], "run_id string, pair_id string, a_idx long, b_idx long, mass double")
     soft = {r.b_idx: (round(r.x, 9), round(r.y, 9)) for r in S.barycentric_projection(plan, a, b).collect()}
     assert soft == {r.b_idx: (r.x, r.y) for r in S.argmax_projection(plan, a, b).collect()}
 
@@ -142,17 +231,17 @@ def test_softmax_rows_and_soft_targets_sum_to_one(spark):
     p = E.softmax_over_row(E.attention_logits(qk)).groupBy("b_idx").agg(F.sum("p").alias("s")).collect()
     assert len(p) == 9 and all(abs(x.s - 1) < 1e-9 for x in p)
     a = spots(spark, [("A", i, 0, i, float(i), 0.0, "x") for i in range(9)])
-    t = N.soft_target(spark.createDataFrame([(1, 3), (2, -1)], "b_idx long, a_idx long"), a, 1.0, 0.5).collect()
+    t = N.soft_target(spark.createDataFrame([("p", 1, 3), ("p", 2, -1)], "pair_id string, b_idx long, a_idx long"), a, 1.0, 0.5).collect()
     assert sorted(x.a_idx for x in t) == [1, 2, 3, 4, 5] and abs(sum(x.w for x in t) - 1) < 1e-9
 
 
 def test_leads(spark, tmp_path):
-    good = ("Ann Bee", "a.b@c.org", "Co", " ", "1-10", "help", None, None)
+    good = (" Ann Bee ", "a.b@c.org", "Co ", " ", "1-10", " help", None, None)
     rows = [good, ("", *good[1:]), (good[0], "no at", *good[2:]), (good[0], "space in@c.org", *good[2:]), (*good[:-1], "bot"), (*good[:5], "x" * 5001, None, "")]
     df = spark.createDataFrame(rows, I.LEAD)
     why = [r.reasons for r in I.validate_lead(df).collect()]
     assert why == [[], ["full_name required"], ["email shape"], ["email shape"], [], ["looking_for length"]]
-    assert [r.role for r in I.valid(df).collect()] == [None]
+    assert [(r.full_name, r.company, r.role, r.looking_for) for r in I.valid(df).collect()] == [("Ann Bee", "Co", None, "help")]
     I.append_leads(df, str(tmp_path / "t"))
     I.append_leads(df, str(tmp_path / "t"))
     landed = spark.read.parquet(str(tmp_path / "t")).collect()
@@ -166,7 +255,7 @@ def test_leads(spark, tmp_path):
 def test_upload_signature(spark, tmp_path):
     for name, body in {"a.h5ad": bytes.fromhex(I.HDF5_MAGIC) + b"x", "c.h5ad": b"12345678", "d.txt": bytes.fromhex(I.HDF5_MAGIC)}.items():
         (tmp_path / name).write_bytes(body)
-    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    files = I.scan_uploads(spark, str(tmp_path))
     files = files.union(spark.createDataFrame([("x/b.H5AD", bytearray())], "path string, content binary"))  # the reader leaves empty files out
     got = {r.path[-6:]: (r.status, r.reason) for r in I.upload_signature_check(files).collect()}
     assert got == {"a.h5ad": (200, "ok"), "b.H5AD": (400, "empty"), "c.h5ad": (415, "signature"), "/d.txt": (400, "name")}
@@ -175,7 +264,7 @@ def test_upload_signature(spark, tmp_path):
 def test_round_trips(spark, tmp_path):
     c = spark.createDataFrame([(0.0, 1.5), (8.0, 2.5)], "severity double, err double")
     L.write_curves(c, str(tmp_path / "c"))
-    got = L.scan_curves(spark, str(tmp_path / "c"), "severity double, err double")
+    got = L.scan_curves(spark, str(tmp_path / "c"), ["err"])
     assert sorted((r.severity, r.err) for r in got.collect()) == [(0.0, 1.5), (8.0, 2.5)]
     plan = spark.createDataFrame([("r", 0, 1, 2.0), ("s", 0, 1, 3.0)], "run_id string, a_idx long, b_idx long, mass double")
     L.write_plan(plan, str(tmp_path / "p"))
@@ -183,7 +272,7 @@ def test_round_trips(spark, tmp_path):
     kv = spark.createDataFrame([("a", "1=2"), ("b", "x")], "key string, value string")
     L.write_summary(kv, str(tmp_path / "s"))
     assert sorted((r.key, r.val) for r in L.scan_summary(spark, str(tmp_path / "s")).collect()) == [("a", "1=2"), ("b", "x")]
-    spots(spark, [("A", 0, 0, 0, 0.0, 0.0, "x")]).write.partitionBy("sample_id").parquet(str(tmp_path / "t"))
+    spots(spark, [("A", 0, 0, 0, 0.0, 0.0, "x")]).drop("pair_id").write.partitionBy("sample_id").parquet(str(tmp_path / "t"))
     assert L.scan_slice(spark, str(tmp_path / "t"), "A").count() == 1
     with pytest.raises(FileNotFoundError):
         L.scan_slice(spark, str(tmp_path / "t"), "Z")
@@ -194,7 +283,7 @@ def test_matching_in_many_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     v = {s: rng.integers(-2, 3, (n, 3)).astype(float) for s, n in (("A", 37), ("B", 23))}
     qk = spark.createDataFrame([(p, s, i, v[s][i].tolist()) for p in ("p", "q") for s in "AB" for i in range(len(v[s]))] + [("p", "A", 99, None), ("r", "B", 1, [0.0] * 3)], "pair_id string, side string, spot_idx long, v array<double>")
-    a = spots(spark, [("A", i, 0, i, float(i * i % 7), float(-i), "L") for i in range(37)])
+    a = spots(spark, [(p, "A", i, 0, i, float(i * i % 7), float(-i), "L") for p in "pq" for i in range(37)])
     d = np.sqrt(((v["B"][:, None] - v["A"][None]) ** 2).sum(2))
     want = {(p, b, r + 1): int(i) for p in "pq" for b in range(23) for r, i in enumerate(np.lexsort((np.arange(37), d[b]))[:4])}
     assert {(r.pair_id, r.b_idx, r["rank"]): r.a_idx for r in E.topk_neighbors(qk, 4, block=5).collect()} == want
