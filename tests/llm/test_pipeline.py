@@ -1,4 +1,4 @@
-"""The pipeline against brute-force versions of its stages, over the smallest tables; and without the text operators."""
+"""The pipeline against brute-force versions of its stages, over the smallest tables."""
 
 import zlib
 
