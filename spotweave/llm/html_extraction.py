@@ -36,7 +36,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: What notices, adverts, forms and the like say of themselves.
-_SAYS = re.compile(r"(?i)cookie|consent|privacy|subscri|newsletter|sign (?:up|in)|log ?in|accept|advert|sponsor|\bshare|comment|reply|click here|read more|register|datenschutz|anmelden|anzeige|publicidad|publicit|suscr|inscri|abonn")
+_DIGIT = re.compile(r"\d")
+_SAYS = "cookie consent privacy subscri newsletter login accept advert sponsor comment reply register datenschutz anmelden anzeige publicidad publicit suscr inscri abonn".split() + ["sign up", "sign in", "log in", "share this", "share on", "click here", "read more"]
 
 
 class Node:
@@ -160,7 +161,7 @@ def _shape(text: str, node: Node | None, linked: int) -> tuple:
     share = linked / n
     return (
         node.tag if node else "-", min(n.bit_length(), 11), 0 if not linked else 1 if share < 0.4 else 2 if share < 0.9 else 3, text[-1] in ".!?:;…。\"'”)", min(text.count(","), 3),
-        0 if words < 4 else 1 if words < 10 else 2 if words < 25 else 3, "©" in text or "(c)" in text, "|" in text or "·" in text or "»" in text, sum(c.isdigit() for c in text[:40]) > 8, _SAYS.search(text, 0, 300) is not None,
+        0 if words < 4 else 1 if words < 10 else 2 if words < 25 else 3, "©" in text or "(c)" in text, "|" in text or "·" in text or "»" in text, len(_DIGIT.findall(text, 0, 40)) > 8, any(map(text[:300].lower().__contains__, _SAYS)),
     )
 
 
