@@ -4,7 +4,7 @@ A pre-token is a word (a run of anything but ASCII white space) with the word ma
 pre-tokens of its documents into a trie; when a node is made, the best score of its prefix and the fewest tokens that reach it
 are computed from the nodes above, once, however many pre-tokens share the prefix. A terminal keeps its count, so a word met again, in
 this batch of rows or a later one, costs a lookup. Documents never move: each one's count is the sum over its words.
-The trie is bounded: at `MAX_NODES` (some 200 MB) it begins anew, which changes no count.
+The trie is bounded: at `MAX_NODES` (some 150 MB) it begins anew, which changes no count.
 
 The vocabulary file (a parameter, read by the driver and broadcast: 32,000 pieces here, `max_pieces` at most) holds
 merge ranks rather than probabilities, so a piece of rank r gets log(1 / (r + 2.7)), after Zipf. A character that no
@@ -45,15 +45,16 @@ def read_pieces(path: str = VOCABULARY, max_pieces: int = 1_000_000) -> dict[str
 
 
 class Trie:
-    """Nodes by number: children by character, best score and fewest tokens of the prefix; terminals: tokens of a word."""
+    """Nodes by number: children by (node, character) in one table, best score and fewest tokens of the prefix; terminals: tokens of a word."""
 
     def __init__(self, pieces: dict[str, float], byte_score: float = BYTE_SCORE, max_nodes: int = MAX_NODES):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        # ends of pieces: the score of those that are pieces themselves, else nothing; what isn't there ends no piece
+        self.ends: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(len(p))} | pieces
         self.byte_score, self.max_nodes = byte_score, max_nodes
         self._clear()
 
     def _clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        self.children: dict[int, int] = {}
         self.scores, self.tokens = [0.0], [0]
         self.terminals: dict[str, int] = {}
 
@@ -62,8 +63,10 @@ class Trie:
         found = self.terminals.get(word)
         if found is None:
             if len(word) > LONG:
-                return Trie(self.pieces, self.byte_score, 0)._insert(MARK + word, keep=False)
-            if len(self.children) > self.max_nodes:
+                before, found = len(self.scores), self._insert(MARK + word, keep=False)
+                del self.scores[before:], self.tokens[before:]
+                return found
+            if len(self.scores) > self.max_nodes:
                 self._clear()
             found = self.terminals[word] = self._insert(MARK + word)
         return found
@@ -71,22 +74,25 @@ class Trie:
     def _insert(self, text: str, keep: bool = True) -> int:
         """Walks down, making what nodes are missing. keep=False: for one very long word, whose nodes are its prefixes' numbers alone."""
         path = [0]
-        get, children, scores, tokens, longest = self.pieces.get, self.children, self.scores, self.tokens, self.longest
+        ends, children, scores, tokens = self.ends, self.children, self.scores, self.tokens
         for end, c in enumerate(text, 1):
-            node = children[path[-1]].get(c) if keep else None
+            above = path[-1]
+            node = children.get(above << 21 | ord(c)) if keep else None
             if node is None:
                 size = len(c.encode("utf-8", "surrogatepass"))
-                best, count = scores[path[-1]] + self.byte_score * size, tokens[path[-1]] + size
-                for begin in range(end - longest if end > longest else 0, end):
-                    s = get(text[begin:end])
+                best, count = scores[above] + self.byte_score * size, tokens[above] + size
+                for begin in range(end - 1, -1, -1):
+                    part = text[begin:end]
+                    if part not in ends:
+                        break
+                    s = ends[part]
                     if s is not None:
                         s += scores[path[begin]]
                         if s > best or s == best and tokens[path[begin]] + 1 < count:
                             best, count = s, tokens[path[begin]] + 1
                 node = len(scores)
                 if keep:
-                    children[path[-1]][c] = node
-                    children.append({})
+                    children[above << 21 | ord(c)] = node
                 scores.append(best)
                 tokens.append(count)
             path.append(node)
@@ -107,7 +113,8 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_i
         trie = Trie(shared.value, byte_score)
         for batch in batches:
             text = [_WORD.findall(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in text], pa.int64()), pa.array([sum(map(trie.count, w)) for w in text], pa.int64())], [id_col, "n_words", "n_tokens"])
+            counts = {w: trie.count(w) for w in set().union(*text)}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in text], pa.int64()), pa.array([sum(map(counts.__getitem__, w)) for w in text], pa.int64())], [id_col, "n_words", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` as id", "text").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_tokens long")
