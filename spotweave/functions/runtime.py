@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,8 +27,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds each row's place, from 0, in its group in the given order (which must be one of all rows).
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join by name in which null keys are equal, as they are in a grouping."""
+    right = right.withColumnsRenamed({k: f"_{k}_right" for k in keys})
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"_{k}_right")), keys, F.lit(True))
+    return left.join(right, same, how).drop(*[f"_{k}_right" for k in keys])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """Adds each row's place, from 0, in its group in the given order (which must be one of all rows), and the group's size
+    where a name for it is given. Rows without a key are a group.
 
     Rows are dealt by range, so a large group is many tasks; a window sees a group's rows of one range, and the rows before
     it are added from the table of (group, range) counts.
@@ -35,6 +44,20 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     shared_folder(df.sparkSession)
     dealt = df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = counts.select(*by, "_range", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
+    group = Window.partitionBy(*by)
+    sizes = [F.sum("_n").over(group).alias(total)] if total else []
+    before = counts.select(*by, "_range", (F.sum("_n").over(group.orderBy("_range")) - F.col("_n")).alias("_before"), *sizes)
     within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
-    return dealt.join(before, [*by, "_range"]).withColumn(name, F.col("_before") + within).drop("_before", "_range")
+    return meet(dealt, before, [*by, "_range"]).withColumn(name, F.col("_before") + within).drop("_before", "_range")
+
+
+def quantiles(ranked: DataFrame, by: list[str], rank: str, total: str, col: str, shares: dict[str, Column]) -> DataFrame:
+    """A row for each group of numbered rows: exact quantiles, linear between the two rows around a share of the order.
+    Two rows of a group, at most, leave the scan for each share, however large the group."""
+    at = {n: q * (F.col(total) - 1) for n, q in shares.items()}
+    near = reduce(lambda x, y: x | y, [F.col(rank).isin(F.floor(k), F.ceil(k)) for k in at.values()])
+    value = lambda k: F.max(F.when(F.col(rank) == k, F.col(col)))
+    ends = [c for n, k in at.items() for c in (value(F.floor(k)).alias(f"_{n}_low"), value(F.ceil(k)).alias(f"_{n}_high"), F.first(k - F.floor(k)).alias(f"_{n}_part"))]
+    found = ranked.where(near).groupBy(*by).agg(*ends)
+    between = [(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares]
+    return found.select(*by, *between)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runtime import meet, numbered, quantiles
 from ..functions.vectors import finite, seeded_number
 
 NA = "NA"
@@ -28,14 +29,23 @@ def error(px: str = "x", py: str = "y", gx: str = "gt_x", gy: str = "gt_y") -> C
     return F.hypot(F.col(px) - F.col(gx), F.col(py) - F.col(gy))
 
 
-def registration_error_stats(df: DataFrame, by: list[str], col: str = "err", approx: bool = False) -> DataFrame:
+def registration_error_stats(df: DataFrame, by: list[str], col: str = "err", approx: bool = False, ranges: bool = False) -> DataFrame:
     """mean, median, p90, max and n of the finite errors of each group; a group without any keeps its row, with nulls and n 0.
 
-    approx: percentiles by sketch, for groups of very many rows.
+    Percentiles are exact, from a map of a group's distinct values in one task. For groups of very many rows: approx takes
+    a sketch; ranges stays exact, as rows are dealt by range of the error and only the ranks around a percentile are kept.
     """
     e = F.when(finite(F.col(col)), F.col(col))
-    pct = (lambda q: F.percentile_approx(e, q)) if approx else (lambda q: F.percentile(e, q))
-    return df.groupBy(*by).agg(F.avg(e).alias("mean"), pct(0.5).alias("median"), pct(0.9).alias("p90"), F.max(e).alias("max"), F.count(e).alias("n"))
+    shares = {"median": 0.5, "p90": 0.9}
+    sums = {"mean": F.avg(e), "max": F.max(e), "n": F.count(e)}
+    if ranges:
+        rows = df.where(finite(F.col(col))).select(*by, F.col(col).alias("_e"), F.monotonically_increasing_id().alias("_tie"))
+        ranked = numbered(rows, by, ["_e", "_tie"], "_r", total="_size")
+        found = meet(df.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()]), quantiles(ranked, by, "_r", "_size", "_e", {n: F.lit(q) for n, q in shares.items()}), by, "left")
+    else:
+        of = F.percentile_approx if approx else F.percentile
+        found = df.groupBy(*by).agg(*[c.alias(n) for n, c in (sums | {n: of(e, q) for n, q in shares.items()}).items()])
+    return found.select(*by, "mean", "median", "p90", "max", "n")
 
 
 def coordinate_loss(df: DataFrame, pitch: float) -> DataFrame:
@@ -92,7 +102,13 @@ def plan_mass(plan: DataFrame) -> DataFrame:
 def label_transfer_accuracy(labelled: DataFrame, by: list[str]) -> DataFrame:
     """accuracy, n_correct, n_scored, n_dropped_a_na, n_dropped_partner_na over (layer_a, layer_b)."""
     both = (F.col("layer_a") != NA) & (F.col("layer_b") != NA)
-    counted = labelled.groupBy(*by).agg(F.count_if(both & (F.col("layer_a") == F.col("layer_b"))).alias("n_correct"), F.count_if(both).alias("n_scored"), F.count_if(F.col("layer_a") == NA).alias("n_dropped_a_na"), F.count_if((F.col("layer_a") != NA) & (F.col("layer_b") == NA)).alias("n_dropped_partner_na"))
+    counts = {
+        "n_correct": both & (F.col("layer_a") == F.col("layer_b")),
+        "n_scored": both,
+        "n_dropped_a_na": F.col("layer_a") == NA,
+        "n_dropped_partner_na": (F.col("layer_a") != NA) & (F.col("layer_b") == NA),
+    }
+    counted = labelled.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     return counted.withColumn("accuracy", F.col("n_correct") / F.greatest("n_scored", F.lit(1)))
 
 

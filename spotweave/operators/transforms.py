@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import numbered
+from ..functions.runtime import numbered, quantiles
 from ..functions.vectors import seeded
 
 
@@ -51,12 +51,8 @@ def cut_displacement(spots: DataFrame, cuts: DataFrame, grid: DataFrame, pitch:
     p = p.withColumn("proj", (F.col("x") - F.col("mx")) * F.cos("theta") + (F.col("y") - F.col("my")) * F.sin("theta"))
     # the quantile differs by cut: numpy's linear rule on the ordered projections
     group = ["sample_id", "seed"]
-    p = numbered(p, group, ["proj", "spot_idx"], "r")
-    at = p.groupBy(*group).agg((F.first("quantile") * (F.count("*") - 1)).alias("at"))
-    near = p.select(*group, "r", "proj").join(at, group).where((F.col("r") >= F.floor("at")) & (F.col("r") <= F.ceil("at")))
-    value = lambda k: F.max(F.when(F.col("r") == k, F.col("proj")))
-    low = near.groupBy(*group, "at").agg(value(F.floor("at")).alias("low"), value(F.ceil("at")).alias("high"))
-    thr = low.select(*group, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("thr"))
+    p = numbered(p, group, ["proj", "spot_idx"], "r", total="n")
+    thr = quantiles(p, group, "r", "n", "proj", {"thr": F.col("quantile")})
     p = p.join(thr, group).join(F.broadcast(grid), "seed").withColumn("torn", F.col("tear") & (F.col("proj") > F.col("thr")))
     move = F.when(F.col("torn"), F.col("side") * pitch * F.col("offset_pitch") * F.greatest("severity", F.lit(1.0))).otherwise(0.0)
     return p.select("sample_id", "seed", "severity", "tear", "spot_idx", (-F.sin("theta") * move).alias("tx"), (F.cos("theta") * move).alias("ty"), "torn")

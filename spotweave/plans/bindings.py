@@ -183,7 +183,12 @@ def label_transfer_accuracy(s, d):
     return r6(_accuracy(s, d), "accuracy")
 
 
-@query(PLAN + "SELECT run_id, pair_id, layer_a, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored, round(count(*) FILTER (layer_a <> 'NA' AND layer_b = layer_a) / greatest(count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA'), 1), 6) AS accuracy FROM labelled GROUP BY ALL")
+@query(
+    PLAN +
+    "SELECT run_id, pair_id, layer_a, count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA' AND layer_a = layer_b) AS n_correct, "
+    "count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA') AS n_scored, round(count(*) FILTER (layer_a <> 'NA' AND layer_b = layer_a) / greatest(count(*) FILTER (layer_a <> 'NA' AND layer_b <> 'NA'), 1), 6) AS accuracy "
+    "FROM labelled GROUP BY ALL"
+)
 def label_accuracy_by_layer(s, d):
     return r6(S.label_transfer_accuracy(_labelled(s, d), [*S.RUN, "layer_a"]).select(*S.RUN, "layer_a", "n_correct", "n_scored", "accuracy"), "accuracy")
 
@@ -506,7 +511,12 @@ def gene_difference(s, d):
     return E.gene_difference(_sparse(s, d), "0", "1")
 
 
-@query(SPARSE + ", n AS (SELECT DISTINCT sample_id, gene_idx FROM sp) SELECT DISTINCT sample_id, gene_idx FROM ((SELECT s.sample_id, gene_idx FROM (SELECT DISTINCT sample_id FROM n) s CROSS JOIN g0 WHERE (s.sample_id, gene_idx) NOT IN (FROM n)) UNION ALL (SELECT * FROM n WHERE gene_idx NOT IN (FROM g0)))")
+@query(
+    SPARSE +
+    ", n AS (SELECT DISTINCT sample_id, gene_idx FROM sp) SELECT DISTINCT sample_id, gene_idx FROM ((SELECT s.sample_id, gene_idx "
+    "FROM (SELECT DISTINCT sample_id FROM n) s CROSS JOIN g0 WHERE (s.sample_id, gene_idx) NOT IN (FROM n)) UNION ALL (SELECT * FROM n "
+    "WHERE gene_idx NOT IN (FROM g0)))"
+)
 def assert_same_genes(s, d):
     return E.assert_same_genes(_sparse(s, d).select("sample_id", "gene_idx", F.concat(F.lit("g"), "gene_idx").alias("gene_name")), "0")
 
@@ -595,7 +605,12 @@ def limit_sample(s, d):
     return few.withColumn("place", F.expr("row_number() over (order by spot_idx)"))  # of 300 rows
 
 
-@query(with_("spots") + ", i AS (SELECT sample_id, spot_idx, row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) AS k FROM spots), h AS (SELECT sample_id, x, y, row_number() OVER (PARTITION BY sample_id ORDER BY md5(spot_idx || '/9')) AS k FROM spots) SELECT sample_id, spot_idx, round(x, 6) AS x, round(y, 6) AS y FROM i JOIN h USING (sample_id, k)")
+@query(
+    with_("spots") +
+    ", i AS (SELECT sample_id, spot_idx, row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) AS k FROM spots), "
+    "h AS (SELECT sample_id, x, y, row_number() OVER (PARTITION BY sample_id ORDER BY md5(spot_idx || '/9')) AS k FROM spots) "
+    "SELECT sample_id, spot_idx, round(x, 6) AS x, round(y, 6) AS y FROM i JOIN h USING (sample_id, k)"
+)
 def shuffle_geometry(s, d):
     return r6(T.shuffle_geometry(X.spots(s, d), 9).select("sample_id", "spot_idx", "x", "y"), "x", "y")
 
@@ -620,7 +635,11 @@ def severity_curve(s, d):
     return r6(C.severity_curve(X.curves(s, d), ["method", "fold"]), "mean", "median", "p90", "max")
 
 
-CI = "SELECT method, fold, severity, round(avg(e), 6) AS mean, round(coalesce(stddev_samp(e), 0), 6) AS std, count(*) AS n, round(coalesce(1.96::DOUBLE * stddev_samp(e) / sqrt(count(*)), 0), 6) AS ci FROM (SELECT method, fold, severity, seed, median(reg_err) AS e FROM curves GROUP BY ALL) GROUP BY ALL"
+CI = (
+    "SELECT method, fold, severity, round(avg(e), 6) AS mean, round(coalesce(stddev_samp(e), 0), 6) AS std, count(*) AS n, "
+    "round(coalesce(1.96::DOUBLE * stddev_samp(e) / sqrt(count(*)), 0), 6) AS ci FROM (SELECT method, fold, severity, seed, median(reg_err) AS e "
+    "FROM curves GROUP BY ALL) GROUP BY ALL"
+)
 
 
 def _ci(s, d):
@@ -668,14 +687,24 @@ def fold_summary(s, d):
     return C.fold_summary(X.method_curves(s, d), [a, b], "err").withColumnsRenamed({a: "m1", b: "m2"})
 
 
-@query(CURVES + f", ci AS ({CI}), c AS (SELECT severity, printf('%.1f+-%.1f', mean, ci) AS t, dense_rank() OVER (ORDER BY method) AS k FROM ci WHERE fold = 0 AND NOT (severity = 8 AND method = (SELECT min(method) FROM ci))) SELECT severity, coalesce(max(t) FILTER (k = 1), 'n/a') AS m1, coalesce(max(t) FILTER (k = 2), 'n/a') AS m2 FROM c GROUP BY severity")
+@query(
+    CURVES +
+    f", ci AS ({CI}), c AS (SELECT severity, printf('%.1f+-%.1f', mean, ci) AS t, dense_rank() OVER (ORDER BY method) AS k FROM ci "
+    f"WHERE fold = 0 AND NOT (severity = 8 AND method = (SELECT min(method) FROM ci))) SELECT severity, coalesce(max(t) FILTER (k = 1), 'n/a') AS m1, coalesce(max(t) FILTER (k = 2), 'n/a') AS m2 "
+    f"FROM c GROUP BY severity"
+)
 def method_table(s, d):
     a, b = _two(s, d)
     ci = r6(_ci(s, d), "mean", "ci").where("fold = 0").where(~((F.col("severity") == 8) & (F.col("method") == a)))
     return C.method_table(ci, [a, b]).withColumnsRenamed({a: "m1", b: "m2"})
 
 
-@query(PAIR + ", x AS (SELECT fold, p.severity AS sev_a, p.err AS mag_a, p.err AS err_a, q.severity AS sev_b, q.err AS mag_b, q.err AS err_b FROM means p JOIN means q USING (fold), m WHERE p.method = m[1] AND q.method = m[2] QUALIFY row_number() OVER (PARTITION BY fold, p.severity ORDER BY abs(p.err - q.err), q.err, q.severity) = 1) SELECT fold, sev_a, sev_b, " + R("mag_a", "err_a", "mag_b", "err_b") + " FROM x")
+@query(
+    PAIR +
+    ", x AS (SELECT fold, p.severity AS sev_a, p.err AS mag_a, p.err AS err_a, q.severity AS sev_b, q.err AS mag_b, q.err AS err_b "
+    "FROM means p JOIN means q USING (fold), m WHERE p.method = m[1] AND q.method = m[2] QUALIFY row_number() OVER (PARTITION BY fold, p.severity ORDER BY abs(p.err - q.err), q.err, q.severity) = 1) "
+    "SELECT fold, sev_a, sev_b, " + R("mag_a", "err_a", "mag_b", "err_b") + " FROM x"
+)
 def magnitude_matched(s, d):
     a, b = _two(s, d)
     of = lambda m: X.method_curves(s, d).where(F.col("method") == m).withColumn("mean_disp_px", F.col("err"))
@@ -697,7 +726,12 @@ def severity_step(s, d):
     return r6(C.severity_step(X.method_curves(s, d), ["method", "fold"], "err"), "e0", "e1")
 
 
-@query(CURVES + ", places(s) AS (VALUES (-1.0::DOUBLE), (0.0), (2.5), (5.0), (8.0), (11.0)) SELECT method, fold, s, round(CASE WHEN s >= s0 AND s1 IS NOT NULL THEN e0 + (s - s0) / (s1 - s0) * (e1 - e0) ELSE e0 END, 6) AS err FROM steps JOIN places ON (s >= s0 AND (s1 IS NULL OR s < s1)) OR (k = 1 AND s < s0)")
+@query(
+    CURVES +
+    ", places(s) AS (VALUES (-1.0::DOUBLE), (0.0), (2.5), (5.0), (8.0), (11.0)) SELECT method, fold, s, "
+    "round(CASE WHEN s >= s0 AND s1 IS NOT NULL THEN e0 + (s - s0) / (s1 - s0) * (e1 - e0) ELSE e0 END, 6) AS err FROM steps JOIN "
+    "places ON (s >= s0 AND (s1 IS NULL OR s < s1)) OR (k = 1 AND s < s0)"
+)
 def interpolate_curve(s, d):
     return r6(C.interpolate_curve(X.method_curves(s, d), [-1.0, 0.0, 2.5, 5.0, 8.0, 11.0], ["method", "fold"], "err"), "err")
 
@@ -718,7 +752,12 @@ def exclusive_running_sum(s, d):
     return C.exclusive_running_sum(li, "l_linenumber", "q", ["l_orderkey"]).select("l_orderkey", "l_linenumber", F.col("start").cast("double").alias("start"))
 
 
-@query(CURVES + ", w AS (SELECT severity AS epoch, avg(reg_err) FILTER (role = 'train') AS train_loss, avg(reg_err) FILTER (role = 'test') AS val FROM curves GROUP BY severity) SELECT epoch, 'train_loss' AS metric, round(train_loss, 6) AS value FROM w UNION ALL SELECT epoch, 'val', round(val, 6) FROM w")
+@query(
+    CURVES +
+    ", w AS (SELECT severity AS epoch, avg(reg_err) FILTER (role = 'train') AS train_loss, avg(reg_err) FILTER (role = 'test') AS val "
+    "FROM curves GROUP BY severity) SELECT epoch, 'train_loss' AS metric, round(train_loss, 6) AS value FROM w UNION ALL "
+    "SELECT epoch, 'val', round(val, 6) FROM w"
+)
 def unpivot_history(s, d):
     wide = X.curves(s, d).groupBy(F.col("severity").alias("epoch")).agg(F.avg(F.when(F.col("role") == "train", F.col("reg_err"))).alias("train_loss"), F.avg(F.when(F.col("role") == "test", F.col("reg_err"))).alias("val"))
     return r6(C.unpivot_history(wide), "value")
@@ -729,7 +768,11 @@ def param_grid(s, d):
     return X.curves(s, d).select("method").distinct().crossJoin(F.broadcast(C.param_grid(s, severity=[0.0, 4.0, 8.0], seed=[0, 9999])))
 
 
-@query("WITH s AS (SELECT DISTINCT (s_nationkey % 4)::VARCHAR || '/' || n_regionkey AS sample_id, n_regionkey AS donor FROM supplier JOIN nation ON s_nationkey = n_nationkey), f AS (SELECT DISTINCT donor AS fold FROM s) SELECT fold, donor, sample_id, CASE WHEN fold = donor THEN 'test' ELSE 'train' END AS role FROM f CROSS JOIN s")
+@query(
+    "WITH s AS (SELECT DISTINCT (s_nationkey % 4)::VARCHAR || '/' || n_regionkey AS sample_id, n_regionkey AS donor FROM supplier "
+    "JOIN nation ON s_nationkey = n_nationkey), f AS (SELECT DISTINCT donor AS fold FROM s) SELECT fold, donor, sample_id, "
+    "CASE WHEN fold = donor THEN 'test' ELSE 'train' END AS role FROM f CROSS JOIN s"
+)
 def leave_one_group_out(s, d):
     su, n = X.table(s, d, "supplier"), X.table(s, d, "nation")
     slices = su.join(n, su.s_nationkey == n.n_nationkey).select(F.concat_ws("/", F.expr("s_nationkey % 4"), "n_regionkey").alias("sample_id"), F.col("n_regionkey").alias("donor")).distinct()
@@ -751,7 +794,11 @@ def run_ledger_summary(s, d):
     return C.run_ledger_summary(_ledger(s, d))
 
 
-@query("SELECT p_partkey, (i - 1)::INT AS pos, trim(split_part(c, '/', 1)) AS a, trim(split_part(c, '/', 2)) AS b FROM (SELECT p_partkey, unnest(string_split(p_brand || '/' || p_partkey || ', x/' || p_partkey, ',')) AS c, generate_subscripts(string_split(p_brand || '/' || p_partkey || ', x/' || p_partkey, ','), 1) AS i FROM part)")
+@query(
+    "SELECT p_partkey, (i - 1)::INT AS pos, trim(split_part(c, '/', 1)) AS a, trim(split_part(c, '/', 2)) AS b FROM (SELECT p_partkey, "
+    "unnest(string_split(p_brand || '/' || p_partkey || ', x/' || p_partkey, ',')) AS c, generate_subscripts(string_split(p_brand || '/' || p_partkey || ', x/' || p_partkey, ','), 1) AS i "
+    "FROM part)"
+)
 def parse_pairs(s, d):
     specs = X.table(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_partkey", F.lit(", x/"), "p_partkey").alias("spec"))
     return C.parse_pairs(specs).join(specs, "spec").select("p_partkey", "pos", "a", "b")
@@ -766,7 +813,11 @@ def parse_severities(s, d):
 TAGS = (0.0, 0.5, 8.0, 0.1 + 0.2, 2 / 3, 1e-4, 1e-5, 1.23456789e-7, 123456.0, 999999.5, 1e6, 1.5e6, 1234567.0, 100000.0, 0.1, -2.5, -1e-9, 12.3456789, 1e21)
 
 
-@query(f"SELECT user_id, k, replace(regexp_replace(printf('%g', v), 'e([+-])0*(\\d\\d)', 'e\\1\\2'), '.', 'p') AS tag FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([{', '.join(map(repr, TAGS))}]::DOUBLE[]) AS x, unnest(range({len(TAGS)})) AS k), LATERAL (SELECT CASE WHEN k % 2 = 0 THEN x ELSE x * (1 + user_id) END AS v)")
+@query(
+    f"SELECT user_id, k, replace(regexp_replace(printf('%g', v), 'e([+-])0*(\\d\\d)', 'e\\1\\2'), '.', 'p') AS tag "
+    f"FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([{', '.join(map(repr, TAGS))}]::DOUBLE[]) AS x, "
+    f"unnest(range({len(TAGS)})) AS k), LATERAL (SELECT CASE WHEN k % 2 = 0 THEN x ELSE x * (1 + user_id) END AS v)"
+)
 def severity_tag(s, d):
     """Tags of numbers of all sizes, as they are and times each user's."""
     values = X.table(s, d, "events").select("user_id").distinct().select("user_id", F.posexplode(F.array(*[F.lit(float(x)) for x in TAGS])).alias("k", "x"))

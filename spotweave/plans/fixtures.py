@@ -140,22 +140,32 @@ bary AS (SELECT run_id, pair_id, b_idx, coalesce(m, 0) AS col_mass, x, y FROM ea
 lognorm AS (SELECT sample_id, spot_idx, gene_idx, ln(1 + count * 1e4 / sum(count) OVER (PARTITION BY sample_id, spot_idx)) AS v FROM expr),
 basis AS (SELECT g::INT AS gene_idx, d::INT AS dim, ((g * 7 + d * 13) % 11 - 5) / 10.0::DOUBLE AS w FROM range(500) t(g), range(4) u(d)),
 z AS (SELECT sample_id, spot_idx, dim, sum(v * w) AS z FROM lognorm JOIN basis USING (gene_idx) GROUP BY ALL)""",
-    "curves": """curves AS (SELECT event_type AS method, [0, 1, 2, 3, 4, 6, 8][(user_id % 7 + 1)::INT]::DOUBLE AS severity, (json_extract_string(props, '$.k')::INT % 5)::INT AS seed, user_id % 3 AS fold, value::DOUBLE AS reg_err, CASE WHEN event_id % 2 = 0 THEN 'train' ELSE 'test' END AS role FROM events),
+    "curves": """curves AS (SELECT event_type AS method, [0, 1, 2, 3, 4, 6, 8][(user_id % 7 + 1)::INT]::DOUBLE AS severity, (json_extract_string(props, '$.k')::INT % 5)::INT AS seed, user_id % 3 AS fold, value::DOUBLE AS reg_err,
+      CASE WHEN event_id % 2 = 0 THEN 'train' ELSE 'test' END AS role FROM events),
 means AS (SELECT method, fold, severity, avg(reg_err) AS err FROM curves GROUP BY ALL),
 steps AS (SELECT method, fold, severity AS s0, lead(severity) OVER w AS s1, err AS e0, lead(err) OVER w AS e1, row_number() OVER w AS k FROM means WINDOW w AS (PARTITION BY method, fold ORDER BY severity))""",
-    "warp": """bumps AS (SELECT s::INT AS seed, i AS bump_id, ((i * 97 + s * 31) % 400 - 200)::DOUBLE AS cx, ((i * 61 + s * 17) % 400 - 200)::DOUBLE AS cy, cos(i + s) AS ux, sin(i + s) AS uy, 0.5::DOUBLE + i / 16.0::DOUBLE AS amp FROM range(8) t(i), range(2) u(s)),
+    "warp": """bumps AS (SELECT s::INT AS seed, i AS bump_id, ((i * 97 + s * 31) % 400 - 200)::DOUBLE AS cx, ((i * 61 + s * 17) % 400 - 200)::DOUBLE AS cy, cos(i + s) AS ux, sin(i + s) AS uy, 0.5::DOUBLE + i / 16.0::DOUBLE AS amp
+      FROM range(8) t(i), range(2) u(s)),
 cuts(seed, theta, quantile, side, offset_pitch) AS (VALUES (0, 0.7::DOUBLE, 0.6::DOUBLE, 1, 3.0::DOUBLE), (1, 2.1::DOUBLE, 0.65::DOUBLE, -1, 3.0::DOUBLE)),
 grid AS (SELECT s::INT AS seed, v::DOUBLE AS severity, t AS tear FROM range(2) x(s), (VALUES (0), (3), (8)) y(v), (VALUES (false), (true)) z(t)),
 extent AS (SELECT sample_id, sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2) AS extent, sqrt((max(x) - min(x)) ^ 2 + (max(y) - min(y)) ^ 2) * 0.18::DOUBLE AS bump_width, avg(x) AS mx, avg(y) AS my FROM spots GROUP BY sample_id),
-field AS (SELECT sample_id, seed, spot_idx, x, y, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * ux) AS fx, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * uy) AS fy FROM spots JOIN extent USING (sample_id) CROSS JOIN bumps GROUP BY ALL),
+field AS (SELECT sample_id, seed, spot_idx, x, y, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * ux) AS fx, sum(amp * exp(-((x - cx) ^ 2 + (y - cy) ^ 2) / (2 * bump_width ^ 2)) * uy) AS fy
+    FROM spots JOIN extent USING (sample_id) CROSS JOIN bumps GROUP BY ALL),
 unit AS (SELECT sample_id, seed, spot_idx, x, y, fx / max(sqrt(fx ^ 2 + fy ^ 2)) OVER w AS ux, fy / max(sqrt(fx ^ 2 + fy ^ 2)) OVER w AS uy FROM field WINDOW w AS (PARTITION BY sample_id, seed)),
 proj AS (SELECT sample_id, seed, spot_idx, theta, cuts.side, offset_pitch, quantile, (x - mx) * cos(theta) + (y - my) * sin(theta) AS proj FROM spots JOIN extent USING (sample_id) CROSS JOIN cuts),
 thr AS (SELECT sample_id, seed, quantile_cont(proj, 0.6) FILTER (seed = 0) AS q0, quantile_cont(proj, 0.65) FILTER (seed = 1) AS q1 FROM proj GROUP BY ALL),
-cut AS (SELECT p.sample_id, p.seed, severity, tear, spot_idx, tear AND proj > coalesce(q0, q1) AS torn, CASE WHEN tear AND proj > coalesce(q0, q1) THEN side * 137.0::DOUBLE * offset_pitch * greatest(severity, 1.0::DOUBLE) ELSE 0 END AS move, theta FROM proj p JOIN thr USING (sample_id, seed) JOIN grid USING (seed)),
-warped AS (SELECT u.sample_id, u.seed, g.severity, g.tear, u.spot_idx, u.x AS x_orig, u.y AS y_orig, u.ux * g.severity * 137.0::DOUBLE - sin(theta) * move AS dx, u.uy * g.severity * 137.0::DOUBLE + cos(theta) * move AS dy, torn FROM unit u JOIN grid g USING (seed) JOIN cut c ON (c.sample_id, c.seed, c.severity, c.tear, c.spot_idx) = (u.sample_id, u.seed, g.severity, g.tear, u.spot_idx))""",
-    "leads": """leads AS (SELECT c_custkey AS custkey, c_name AS full_name, lower(c_name) || CASE WHEN c_custkey % 5 = 0 THEN ' at ' ELSE '@' END || lower(c_mktsegment) || '.com' AS email, c_mktsegment AS company, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' lead ' END AS role, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '1-10' END AS company_size, repeat('x', (c_custkey % 5100)::INT) AS looking_for, NULL::VARCHAR AS source, CASE WHEN c_custkey % 11 = 0 THEN 'bot' END AS hp FROM customer),
-judged AS (SELECT *, list_filter([CASE WHEN NOT regexp_matches(email, '(?i)^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email shape' END, CASE WHEN company_size = '' THEN 'company_size required' END, CASE WHEN looking_for = '' THEN 'looking_for required' END, CASE WHEN length(looking_for) > 5000 THEN 'looking_for length' END], lambda x: x IS NOT NULL) AS reasons FROM leads)""",
-    "uploads": """uploads AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.h5ad' ELSE '' END AS filename, length(html)::BIGINT AS declared_size, (length(html) - page_id % 3)::BIGINT AS received, page_id - 5 AS spots FROM pages)""",
+cut AS (SELECT p.sample_id, p.seed, severity, tear, spot_idx, tear AND proj > coalesce(q0, q1) AS torn, CASE WHEN tear AND proj > coalesce(q0, q1) THEN side * 137.0::DOUBLE * offset_pitch * greatest(severity, 1.0::DOUBLE) ELSE 0 END AS move, theta
+    FROM proj p JOIN thr USING (sample_id, seed) JOIN grid USING (seed)),
+warped AS (SELECT u.sample_id, u.seed, g.severity, g.tear, u.spot_idx, u.x AS x_orig, u.y AS y_orig, u.ux * g.severity * 137.0::DOUBLE - sin(theta) * move AS dx, u.uy * g.severity * 137.0::DOUBLE + cos(theta) * move AS dy, torn
+    FROM unit u JOIN grid g USING (seed) JOIN cut c ON (c.sample_id, c.seed, c.severity, c.tear, c.spot_idx) = (u.sample_id, u.seed, g.severity, g.tear, u.spot_idx))""",
+    "leads": """leads AS (SELECT c_custkey AS custkey, c_name AS full_name, lower(c_name) || CASE WHEN c_custkey % 5 = 0 THEN ' at ' ELSE '@' END || lower(c_mktsegment) || '.com' AS email, c_mktsegment AS company,
+      CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' lead ' END AS role, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '1-10' END AS company_size, repeat('x', (c_custkey % 5100)::INT) AS looking_for, NULL::VARCHAR AS source,
+      CASE WHEN c_custkey % 11 = 0 THEN 'bot' END AS hp FROM customer),
+judged AS (SELECT *, list_filter([CASE WHEN NOT regexp_matches(email, '(?i)^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email shape' END,
+    CASE WHEN company_size = '' THEN 'company_size required' END, CASE WHEN looking_for = '' THEN 'looking_for required' END,
+    CASE WHEN length(looking_for) > 5000 THEN 'looking_for length' END], lambda x: x IS NOT NULL) AS reasons FROM leads)""",
+    "uploads": """uploads AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.h5ad' ELSE '' END AS filename, length(html)::BIGINT AS declared_size, (length(html) - page_id % 3)::BIGINT AS received, page_id - 5 AS spots
+      FROM pages)""",
     "ledger": """ledger AS (SELECT o_orderkey AS run, o_orderstatus AS status, o_orderpriority AS batch FROM orders)""",
 }
 

@@ -33,6 +33,19 @@ def test_bridge_takes_the_last_of_a_position_and_never_fans_out(spark):
     assert {r.b_idx: r.a_idx for r in B.partner_index(a, b).collect()} == {1: 5, 2: -1}
 
 
+def test_error_percentiles_by_ranges_are_exact(spark):
+    """Rows dealt by range give what one map of all values gives: a hot group, equal values, a group without a name, one without a finite error."""
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randrange(40))) for _ in range(3000)] + [("few", rng.random()) for _ in range(7)] + [("one", 2.5), (None, 1.0), (None, 4.0), ("none", None), ("none", math.nan), ("few", math.inf)]
+    df = spark.createDataFrame(rows, "run string, err double").repartition(5)
+    show = lambda d: {r.run: tuple(None if v is None else round(v, 9) for v in (r["mean"], r.median, r.p90, r["max"], r.n)) for r in d.collect()}
+    got = show(S.registration_error_stats(df, ["run"], ranges=True))
+    assert got == show(S.registration_error_stats(df, ["run"])) and len(got) == 5 and got["none"] == (None, None, None, None, 0)
+    hot = [v for k, v in rows if k == "hot"]
+    assert got["hot"][1:3] == (round(float(np.quantile(hot, 0.5)), 9), round(float(np.quantile(hot, 0.9)), 9))
+    assert show(S.registration_error_stats(df.where("run = 'nobody'"), ["run"], ranges=True)) == {}
+
+
 def test_pairs_are_kept_apart(spark):
     """Two pairs whose slices have the same indices and positions, in one frame."""
     a = spots(spark, [(p, "A", i, 0, i, float(i + off), 0.0, lab) for p, off, lab in (("p", 0, "L1"), ("q", 100, "L2")) for i in range(4)])
