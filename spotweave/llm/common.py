@@ -32,6 +32,12 @@ def use_shared_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The folder of the checkpoints, for tables that a query writes and reads again."""
+    use_shared_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place where it can be."""
     x = x * _K1
