@@ -50,6 +50,11 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _room(v: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy at least twice as long, where it is shorter than size."""
+    return v if len(v) >= size else np.concatenate([v, np.zeros((max(len(v), size), *v.shape[1:]), v.dtype)])
+
+
 class Aligner:
     """Units by number, with what each adds to a text."""
 
@@ -81,7 +86,8 @@ class Aligner:
         self.units: dict[str, int] = {}
         self.numbers = np.zeros((1024, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the tokens' bytes are the unit's
         self.groups: list[str] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        # pairs of unit u: rows bounds[u] to bounds[u + 1] of keys (a << 32 | b) and times
+        self.bounds, self.keys, self.times = np.zeros(1025, np.int64), np.zeros(4096, np.int64), np.zeros(4096, np.int32)
 
     def cut(self, text: str) -> list[str]:
         return _CUT.split(f" {text}") if self.separable else [f" {text}"]
@@ -90,7 +96,7 @@ class Aligner:
         """Adds the units of some texts that aren't there; where the table is full, it begins anew with these."""
         if len(self.units) > self.max_units:
             self._clear()
-        new = [u for u in dict.fromkeys(u for t in texts for u in t) if u not in self.units]
+        new = list(set().union(*texts).difference(self.units))
         for lo in range(0, len(new), 20_000):
             self._add(new[lo : lo + 20_000])
 
@@ -126,12 +132,14 @@ class Aligner:
         raw = [u.encode() for u in units]
         a, b = self._a_ids(units, raw), self._b_ids(units)
         ok = np.ones(len(units), bool)
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            for i, (x, r) in enumerate(zip(ids, raw, strict=True)):
-                if b"".join([table[k] for k in x]) != r:
-                    ok[i] = False
+        for ids, table, lengths in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+            flat = [k for x in ids for k in x]
+            ends = np.r_[0, np.cumsum(lengths[flat])][np.cumsum([len(x) for x in ids])]
+            if (ends != np.cumsum([len(r) for r in raw])).any() or b"".join([table[k] for k in flat]) != b"".join(raw):
+                ok &= np.array([b"".join([table[k] for k in x]) == r for x, r in zip(ids, raw, strict=True)])
         good = np.flatnonzero(ok)
-        a, b = [a[i] for i in good], [b[i] for i in good]
+        if len(good) < len(units):
+            a, b = [a[i] for i in good], [b[i] for i in good]
         n_a, n_b = (np.array([len(x) for x in v], np.int64) for v in (a, b))
         a_id, b_id = (np.array([k for x in v for k in x], np.int64) for v in (a, b))
         a_end, b_end = np.cumsum(self.a_len[a_id]), np.cumsum(self.b_len[b_id])
@@ -139,7 +147,7 @@ class Aligner:
         # groups end where tokens of both do
         stop = np.intersect1d(a_end, b_end)
         a_last, b_last = np.searchsorted(a_end, stop, "right"), np.searchsorted(b_end, stop, "right")
-        unit_end = np.cumsum([len(raw[i]) for i in good])
+        unit_end = np.cumsum(np.array([len(r) for r in raw], np.int64)[good])
         upto = np.searchsorted(stop, unit_end, "right")
         n_groups = np.diff(upto, prepend=0)
         # links: B tokens whose bytes overlap an A token's
@@ -154,7 +162,6 @@ class Aligner:
         begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])]) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.r_[begin, len(key)])
         key, unit = key[begin], unit[begin]
-        bounds = np.searchsorted(unit, np.arange(len(good) + 1))
         # what the groups are written as
         at, bt = [self.a_text[i] for i in a_id.tolist()], [self.b_text[i] for i in b_id.tolist()]
         alo = blo = glo = 0
@@ -167,17 +174,20 @@ class Aligner:
             strings.append(";".join(parts))
             glo = ghi
         base = len(self.groups)
-        while base + len(units) > len(self.numbers):
-            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        self.numbers = _room(self.numbers, base + len(units))
         self.numbers[base : base + len(units)] = 0
         self.numbers[base + good] = np.stack([n_a, n_b, n_groups, n_links, np.ones(len(good), np.int64)], 1)
-        nothing = np.zeros(0, np.int64)
-        place = dict(zip(good.tolist(), range(len(good)), strict=True))
-        for i, u in enumerate(units):
-            self.units[u] = base + i
-            k = place.get(i)
-            self.groups.append("" if k is None else strings[k])
-            self.pairs.append((nothing, nothing) if k is None else (key[bounds[k] : bounds[k + 1]], times[bounds[k] : bounds[k + 1]]))
+        written = [""] * len(units)
+        for i, x in zip(good.tolist(), strings, strict=True):
+            written[i] = x
+        self.groups += written
+        self.units.update(zip(units, range(base, base + len(units)), strict=True))
+        lo = self.bounds[base]
+        self.keys, self.times, self.bounds = _room(self.keys, lo + len(key)), _room(self.times, lo + len(key)), _room(self.bounds, base + len(units) + 1)
+        self.keys[lo : lo + len(key)], self.times[lo : lo + len(key)] = key, times
+        each = np.zeros(len(units), np.int64)
+        each[good] = np.bincount(unit, minlength=len(good))
+        self.bounds[base + 1 : base + len(units) + 1] = lo + np.cumsum(each)
 
     def text(self, units: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups and n_links, the groups' hash, and the distinct pairs (a << 32 | b) with their links."""
@@ -190,9 +200,9 @@ class Aligner:
         for lo in range(0, len(few), 100_000):
             written.update(((";" if lo else "") + ";".join([self.groups[i] for i in few[lo : lo + 100_000]])).encode())
         own, times = np.unique(ids, return_counts=True)
-        got = [self.pairs[i] for i in own.tolist()]
-        keys = np.concatenate([g[0] for g in got])
-        n = np.concatenate([g[1] for g in got]) * np.repeat(times, [len(g[0]) for g in got])
+        many = self.bounds[own + 1] - self.bounds[own]
+        at = ranges(self.bounds[own], many)
+        keys, n = self.keys[at], self.times[at] * np.repeat(times, many)
         keys, which = np.unique(keys, return_inverse=True)
         return sums[:4].tolist(), written.hexdigest(), keys, np.bincount(which, n, len(keys)).astype(np.int64)
 
