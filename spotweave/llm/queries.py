@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, license_scan, mixing, ngram_join, personal_data, quality_rules, suffix_dedup, token_alignment, token_counts, url_filter
+from . import conversation_repair, decontamination, html_extraction, language_id, license_scan, mixing, ngram_join, personal_data, quality_rules, suffix_dedup, token_alignment, token_counts, url_filter
 from .common import table
 
 
@@ -62,11 +62,16 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_suffix_dedup, op2_quality_rules, op3_decontamination, op4_license_scan, op5_html_extraction, op6_token_counts, op7_mix_sources, op8_ngram_join, op9_url_filter, op10_language_id, op11_personal_data, op13_token_alignment)
+OPERATORS = (op1_suffix_dedup, op2_quality_rules, op3_decontamination, op4_license_scan, op5_html_extraction, op6_token_counts, op7_mix_sources, op8_ngram_join, op9_url_filter, op10_language_id, op11_personal_data, op12_conversation_repair, op13_token_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
