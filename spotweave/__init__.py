@@ -1 +1,10 @@
-"""Spark operators for spatial point tables."""
+"""Spatial point tables and their analytics.
+
+Functions that run on executors are pickled by value, so executors need no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
