@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, finite
 
 SPOT = ["sample_id", "spot_idx"]
 
@@ -28,9 +31,89 @@ def lognorm(expr: DataFrame, scale: float = 1e4) -> DataFrame:
     return expr.where("count <> 0").select(*SPOT, "gene_idx", F.log1p(F.col("count") * scale / F.when(w == 0, 1.0).otherwise(w)).alias("v"))
 
 
-def project_basis(values: DataFrame, basis: DataFrame) -> DataFrame:
-    """(sample_id, spot_idx, dim, z) = sum over genes of v * basis. basis: gene_idx, dim, w; genes times dims rows."""
-    return values.join(basis, "gene_idx").groupBy(*SPOT, "dim").agg(F.sum(F.col("v") * F.col("w")).alias("z"))
+def pack(values: DataFrame) -> DataFrame:
+    """A row for each spot: genes and v, two arrays of one length, made once for all that multiplies them (at most an entry for each gene)."""
+    entries = F.collect_list(F.struct("gene_idx", "v"))
+    return values.where("gene_idx is not null and v is not null").groupBy(*SPOT).agg(entries.alias("e")).select(*SPOT, F.col("e.gene_idx").alias("genes"), F.col("e.v").alias("v"))
+
+
+#: Numbers of a block of the basis that is sent to all tasks at once; a larger basis goes in several, some dimensions each.
+BLOCK_NUMBERS = 32_000_000
+
+
+def _runs(column: pa.ListArray, most: int):
+    """Ranges of rows with about `most` entries each, and their entries' bounds."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield lo, hi, at[lo : hi + 1]
+        lo = hi
+
+
+def _products(place: np.ndarray, v: np.ndarray, bounds: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense block: entries (place in the block or -1, value), rows by bounds."""
+    out = np.zeros((len(bounds) - 1, block.shape[1]))
+    ok = place >= 0
+    row = np.repeat(np.arange(len(out)), np.diff(bounds))[ok]
+    if len(row):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[first]] = np.add.reduceat(v[ok, None] * block[place[ok]], first)
+    return out
+
+
+def project_packed(rows: DataFrame, basis: DataFrame, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """(sample_id, spot_idx, dim, z) = sum over genes of v * basis, from packed rows. basis: gene_idx, dim, w.
+
+    Rows stay where they are: the basis, a block of its genes and dimensions, is sent to the tasks, and a task multiplies some rows at a time. Its size is
+    checked; a basis of more than `numbers` goes in several blocks of dimensions, each a pass over the rows. A spot gets a dimension if any
+    of its genes has a weight there.
+    """
+    spark = rows.sparkSession
+    basis = basis.where("gene_idx is not null and dim is not null and w is not null").groupBy("gene_idx", "dim").agg(F.sum("w").alias("w"))
+    n_genes, dims = basis.agg(F.countDistinct("gene_idx"), F.array_sort(F.collect_set("dim"))).first()
+    at_once = max(1, numbers // max(n_genes, 1))
+    names = [f.name for f in rows.schema.fields if f.name in SPOT]
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    parts = []
+    for lo in range(0, max(len(dims), 1), at_once):
+        some = dims[lo : lo + at_once]
+        found = basis.where(F.col("dim").isin(some)).toArrow() if some else basis.limit(0).toArrow()  # at most `numbers` numbers
+        gene, dim, w = (found[c].to_numpy() for c in ("gene_idx", "dim", "w"))
+        genes, places = np.unique(gene, return_inverse=True)
+        block = np.zeros((len(genes), len(some)))
+        block[places, np.searchsorted(some, dim)] = w
+        full = len(w) == block.size
+        weighed = np.zeros(block.shape if not full else (0, 0))
+        if not full:
+            weighed[places, np.searchsorted(some, dim)] = 1.0
+        shared = spark.sparkContext.broadcast((genes, block, weighed, np.array(some, np.int32)))
+
+        def run(batches, shared=shared):
+            genes, block, weighed, some = shared.value
+            for batch in batches:
+                column = batch.column("genes")
+                flat, v = column.values.to_numpy(), batch.column("v").values.to_numpy()
+                for lo, hi, at in _runs(column, 200_000):
+                    g = flat[at[0] : at[-1]]
+                    place = np.minimum(np.searchsorted(genes, g), max(len(genes) - 1, 0))
+                    place = np.where(genes[place] == g, place, -1) if len(genes) else np.full(len(g), -1)
+                    z = _products(place, v[at[0] : at[-1]], at - at[0], block)
+                    there = _products(place, np.ones(len(place)), at - at[0], weighed) > 0 if weighed.size else np.repeat((np.add.reduceat(place >= 0, at[:-1] - at[0]) > 0)[:, None], z.shape[1], 1) if len(g) else np.zeros(z.shape, bool)
+                    i, k = np.nonzero(there)
+                    keys = [batch.column(n).take(pa.array(lo + i)) for n in names]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(some[k]), pa.array(z[i, k])], [*names, "dim", "z"])
+
+        parts.append(rows.mapInArrow(run, f"{kinds}, dim int, z double"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select(*SPOT, "dim", "z")
+
+
+def project_basis(values: DataFrame, basis: DataFrame, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """project_packed of (sample_id, spot_idx, gene_idx, v): one exchange, by spot, which those of `lognorm` already lie by."""
+    return project_packed(pack(values), basis, numbers)
 
 
 def standardize_global(z: DataFrame, training: DataFrame | None = None) -> DataFrame:
@@ -43,73 +126,118 @@ def standardize_per_slice(z: DataFrame) -> DataFrame:
     return z.select(*SPOT, "dim", ((F.col("z") - F.avg("z").over(w)) / (F.stddev_pop("z").over(w) + 1e-6)).alias("z"))
 
 
+#: Genes of one block of the products, and partial blocks that one task adds up.
+GENE_BLOCK, FAN = 1024, 32
+
+
+def _gram_blocks(rows: DataFrame, shared, fan: int = FAN, gene_block: int = GENE_BLOCK) -> DataFrame:
+    """(block, p, q, r) of the matrix product rows' * (rows * Q): a row for each block of genes, with the block (p) and its own QR factors, as bytes of doubles.
+
+    A task adds up its spots' outer products in blocks of genes; `fan` tasks' blocks meet in one group, their sums in the next, and so on (a tree), and
+    the last group of a block also takes its QR: the local part of a tall-skinny one.
+    """
+
+    def multiply(batches):
+        q = shared.value
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            column = batch.column("genes")
+            gene, v = column.values.to_numpy(), batch.column("v").values.to_numpy()
+            for lo, hi, at in _runs(column, 100_000):
+                g, w, bounds = gene[at[0] : at[-1]], v[at[0] : at[-1]], at - at[0]
+                y = _products(g, w, bounds, q)
+                outer = w[:, None] * np.repeat(y, np.diff(bounds), axis=0)
+                order = np.argsort(g, kind="stable")
+                first = np.flatnonzero(np.diff(g[order], prepend=-1))
+                here, sums = g[order][first], np.add.reduceat(outer[order], first) if len(first) else outer
+                for b in np.unique(here // gene_block):
+                    mine = here // gene_block == b
+                    block = total.setdefault(int(b), np.zeros((min(gene_block, len(q) - b * gene_block), q.shape[1])))
+                    block[here[mine] - b * gene_block] += sums[mine]
+        part = TaskContext.get().partitionId()
+        for b, block in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "part", "p"])
+
+    def added(group: pa.Table) -> np.ndarray:
+        out = np.zeros(len(group["p"][0].as_py()) // 8)
+        for x in group["p"]:
+            out += np.frombuffer(x.as_buffer())
+        return out
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group["block"].slice(0, 1), "part": pa.array([group["part"][0].as_py() // fan], pa.int32()), "p": pa.array([added(group).tobytes()], pa.binary())})
+
+    def last(group: pa.Table) -> pa.Table:
+        p = added(group)
+        q, r = np.linalg.qr(p.reshape(-1, shared.value.shape[1]))
+        return pa.table({"block": group["block"].slice(0, 1)} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in (("p", p), ("q", q), ("r", r))})
+
+    sums = rows.mapInArrow(multiply, "block int, part int, p binary")
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > fan:
+        sums = sums.groupBy("block", F.expr(f"part div {fan}")).applyInArrow(add, "block int, part int, p binary")
+        tasks = math.ceil(tasks / fan)
+    return sums.groupBy("block").applyInArrow(last, "block int, p binary, q binary, r binary")
+
+
 def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, rounds: int = 4, seed: int = 0) -> DataFrame:
     """(gene_idx, dim, w): the top k right singular vectors of the stacked spots x genes matrix, not centred.
 
-    Randomised subspace iteration. Each round is one job: a spot's row times the genes x (k + extra) block (broadcast;
-    as large as that block, whatever the number of spots), and the products' outer sums by gene, partial on each
-    partition, are added up by gene and dimension. A QR of the block is all that the driver does. Signs are such that
-    the largest weight of a dimension is positive.
+    Randomised subspace iteration over packed rows, one job each round: see _gram_blocks. The driver gets a row of bytes for each block of genes (a few, as genes
+    are a panel of fixed size), takes the QR of the blocks' small R factors, and sends the blocks' Q factors on.
+    Signs are such that the largest weight of a dimension is positive.
     """
     spark, width = values.sparkSession, min(k + extra, n_genes)
-    rows = values.groupBy(*SPOT).agg(F.collect_list(F.struct("gene_idx", "v")).alias("row")).persist()  # a spot has n_genes entries at most
+    rows = pack(values.where(F.col("gene_idx").between(0, n_genes - 1))).select("genes", "v").persist()
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_genes, width)))[0]
 
-    def times(q: np.ndarray) -> np.ndarray:
+    def times(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The product with the Gram matrix, and its orthonormal columns."""
         shared = spark.sparkContext.broadcast(q)
-
-        def run(batches):
-            block, total = shared.value, None
-            for batch in batches:
-                row = batch.column("row")
-                at, flat = row.offsets.to_numpy(), row.values
-                gene, v = flat.field("gene_idx").to_numpy(), flat.field("v").to_numpy()
-                total = np.zeros_like(block) if total is None else total
-                lo = 0
-                while lo < len(row):  # some rows at a time, so that entries * width stays small
-                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 100_000, "right")) - 1)
-                    g, w, n = gene[at[lo] : at[hi]], v[at[lo] : at[hi], None], np.diff(at[lo : hi + 1])
-                    y = np.add.reduceat(w * block[g], at[lo:hi] - at[lo])
-                    outer = w * np.repeat(y, n, axis=0)
-                    order = np.argsort(g, kind="stable")
-                    first = np.flatnonzero(np.diff(g[order], prepend=-1))
-                    total[g[order][first]] += np.add.reduceat(outer[order], first)
-                    lo = hi
-            if total is not None:
-                keep = np.flatnonzero(np.abs(total).sum(1))
-                flat = pa.array(total[keep].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, block.shape[1]).cast(pa.list_(pa.float64()))], ["gene_idx", "p"])
-
-        parts = rows.select("row").mapInArrow(run, "gene_idx int, p array<double>").select("gene_idx", F.posexplode("p").alias("dim", "p"))
-        out = np.zeros((n_genes, width))
-        for r in parts.groupBy("gene_idx", "dim").agg(F.sum("p").alias("p")).toLocalIterator():  # the block, n_genes * width numbers
-            out[r.gene_idx, r.dim] = r.p
+        found = _gram_blocks(rows, shared).toArrow().sort_by("block").to_pylist()
         shared.unpersist()
-        return out
+        p, small = np.zeros((n_genes, width)), [np.frombuffer(x["r"]).reshape(-1, width) for x in found]
+        turn = np.linalg.qr(np.concatenate(small))[0] if small else np.zeros((0, width))
+        out, at = np.zeros((n_genes, turn.shape[1])), 0
+        for x, r in zip(found, small, strict=True):
+            here = slice(x["block"] * GENE_BLOCK, min((x["block"] + 1) * GENE_BLOCK, n_genes))
+            p[here] = np.frombuffer(x["p"]).reshape(-1, width)
+            out[here] = np.frombuffer(x["q"]).reshape(-1, len(r)) @ turn[at : at + len(r)]
+            at += len(r)
+        return p, out
 
     for _ in range(rounds):
-        q = np.linalg.qr(times(q))[0]
-    gram = q.T @ times(q)
+        q = times(q)[1]
+        width = q.shape[1]
+    gram = q.T @ times(q)[0]
     _, turn = np.linalg.eigh((gram + gram.T) / 2)
     v = (q @ turn[:, ::-1])[:, :k]
-    v *= np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0) if v.size else v
     rows.unpersist()
-    return spark.createDataFrame([(int(g), int(d), float(v[g, d])) for g in range(n_genes) for d in range(v.shape[1]) if v[g, d]], "gene_idx int, dim int, w double")
+    gene, dim = np.nonzero(v)
+    table = pa.table({"gene_idx": pa.array(gene, pa.int32()), "dim": pa.array(dim, pa.int32()), "w": pa.array(v[gene, dim], pa.float64())})
+    return spark.createDataFrame(table)
 
 
 BLOCK = 2048
 
 
+def with_vectors(qk: DataFrame) -> DataFrame:
+    """Rows whose vector has finite numbers alone: one NaN makes every comparison of its block false."""
+    return qk.where(F.col("v").isNotNull() & F.forall("v", lambda x: finite(x)))
+
+
 def _by_block(qk: DataFrame, score, schema: str, block: int = BLOCK) -> DataFrame:
     """All A spots against all B spots of each pair of slices: the work is the sum of n_a * n_b by definition.
 
     Both sides of a pair are dealt by hash into blocks of about `block` spots, and each (B block, A block) is a group
     of its own, so a pair that holds a third of all rows is many tasks, and a task holds block * block scores at most.
-    Rows without a vector are left out. Each row is sent once per block of the other side. `score(pair_id, b, a)` takes the two tables of a group.
+    Rows without a vector, or with one that isn't of finite numbers, are left out. Each row is sent once per block of the other side. `score(pair_id, b, a)` takes the two tables of a group.
     """
+    qk = with_vectors(qk)
     sizes = qk.groupBy("pair_id").agg(*[F.greatest(F.ceil(F.count_if(F.col("side") == s) / block), F.lit(1)).cast("int").alias(f"n_{s}") for s in "AB"])
     is_b = F.col("side") == "B"
-    dealt = qk.where("side in ('A', 'B') and v is not null").join(sizes, "pair_id").withColumn("own", F.pmod(F.xxhash64("spot_idx"), F.when(is_b, F.col("n_B")).otherwise(F.col("n_A"))).cast("int"))
+    dealt = qk.where("side in ('A', 'B')").join(sizes, "pair_id").withColumn("own", F.pmod(F.xxhash64("spot_idx"), F.when(is_b, F.col("n_B")).otherwise(F.col("n_A"))).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_b, F.col("n_A")).otherwise(F.col("n_B")) - 1)))
     sent = sent.select(*qk.columns, F.when(is_b, F.col("own")).otherwise(F.col("other")).alias("b_block"), F.when(is_b, F.col("other")).otherwise(F.col("own")).alias("a_block"))
     empty = pa.table({f.name: pa.array([], t) for f, t in zip(_fields(schema), _arrow(schema), strict=True)})
@@ -129,12 +257,14 @@ def _fields(schema: str) -> list:
 
 
 def _arrow(schema: str) -> list:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
     return [kinds[f.dataType.simpleString()] for f in _fields(schema)]
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    v = t["v"].chunk(0) if t["v"].num_chunks else t["v"].combine_chunks()
+def _matrix(t: pa.Table, of: str = "v") -> np.ndarray:
+    v = t[of].chunk(0) if t[of].num_chunks else t[of].combine_chunks()
+    if not len(v.values):
+        return np.zeros((t.num_rows, 0))
     return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
 
@@ -216,27 +346,57 @@ def cosine_match(qk: DataFrame, temperature: float = 0.1, block: int = BLOCK) ->
 
 
 def softmax_over_row(logits: DataFrame) -> DataFrame:
+    """(pair_id, b_idx, a_idx, p) from logits of any origin: by a window of each B spot's row."""
     w = Window.partitionBy("pair_id", "b_idx")
     e = logits.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
     return e.select("pair_id", "b_idx", "a_idx", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
-def attention_match(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Soft coordinates of each B spot. A block gives one row per B spot, (max, sum of exp, sums of exp * coordinate); these
-    are merged by the row's overall maximum, so scores never leave a task."""
+def attention_weights(qk: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pair_id, b_idx, a_idx, p): the softmax of all scaled products of each B spot. Scores never meet: a first pass gives each B spot its greatest score and the sum
+    of exponentials, and these go along with its vector into a second one, whose blocks are the result."""
+    q = with_vectors(qk.select("pair_id", "side", "spot_idx", "v"))
+    sums = _exponentials(q, block).select("pair_id", F.lit("B").alias("side"), F.col("b_idx").alias("spot_idx"), "top", "e")
+    both = q.join(sums, ["pair_id", "side", "spot_idx"], "left").select(*q.columns, F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("e", F.lit(1.0)).alias("e"))
+
+    def score(pair, b: pa.Table, a: pa.Table) -> tuple:
+        top, e = (b[c].to_numpy()[:, None] for c in ("top", "e"))
+        return _every(pair, b, a, np.exp(_scaled(b, a) - top) / e)
+
+    return _by_block(both, score, f"{PAIR}, p double", block)
+
+
+def attention_match(qk: DataFrame, spots_a: DataFrame, block: int = BLOCK, features: DataFrame | None = None) -> DataFrame:
+    """Soft coordinates of each B spot, and with features (pair_id, spot_idx, z, of A) its soft feature z. A block gives one row per B spot,
+    (max, sum of exp, sums of exp * coordinate and of exp * feature); these are merged by the row's overall maximum, so scores never leave a task.
+    An A spot without coordinates, or without a feature where they are asked for, is left out."""
     q = qk.select("pair_id", "side", "spot_idx", "v")
-    placed = q.where("side = 'A'").join(spots_a.select("pair_id", "spot_idx", "x", "y"), ["pair_id", "spot_idx"]).select(*q.columns, "x", "y").union(q.where("side = 'B'").withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)))
+    at = spots_a.select("pair_id", "spot_idx", "x", "y")
+    if features is not None:
+        at = at.join(features.where("z is not null").select("pair_id", "spot_idx", "z"), ["pair_id", "spot_idx"])
+    else:
+        at = at.withColumn("z", F.array().cast("array<double>"))
+    placed = q.where("side = 'A'").join(at, ["pair_id", "spot_idx"]).select(*q.columns, "x", "y", "z").union(q.where("side = 'B'").select("*", F.lit(0.0), F.lit(0.0), F.array().cast("array<double>")))
 
     def score(pair, b: pa.Table, a: pa.Table) -> tuple:
         logit = _scaled(b, a)
         top = logit.max(1)
         e = np.exp(logit - top[:, None])
-        return pa.array([pair] * b.num_rows), _ids(b), top, e.sum(1), e @ a["x"].to_numpy(), e @ a["y"].to_numpy()
-
-    parts = _by_block(placed, score, "pair_id string, b_idx long, top double, e double, ex double, ey double", block)
-    scale = F.exp(F.col("top") - F.max("top").over(Window.partitionBy("pair_id", "b_idx")))
-    merged = parts.withColumn("s", scale).groupBy("pair_id", "b_idx").agg(*[F.sum(F.col("s") * F.col(c)).alias(c) for c in ("e", "ex", "ey")])
-    return merged.select("pair_id", "b_idx", (F.col("ex") / F.col("e")).alias("x"), (F.col("ey") / F.col("e")).alias("y"))
+        soft = e @ _matrix(a, "z")
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(soft) + 1) * soft.shape[1], pa.int32()), pa.array(soft.ravel()))
+        return pa.array([pair] * b.num_rows), _ids(b), top, e.sum(1), e @ a["x"].to_numpy(), e @ a["y"].to_numpy(), lists
+
+    parts = _by_block(placed, score, "pair_id string, b_idx long, top double, e double, ex double, ey double, ez array<double>", block)
+    own = ["pair_id", "b_idx"]
+    scale = F.exp(F.col("top") - F.max("top").over(Window.partitionBy(*own)))
+    parts = parts.withColumn("s", scale)
+    merged = parts.groupBy(*own).agg(*[F.sum(F.col("s") * F.col(c)).alias(c) for c in ("e", "ex", "ey")], F.collect_list(F.transform("ez", lambda z: F.col("s") * z)).alias("ez"))  # a list for each block of A
+    out = merged.select(*own, (F.col("ex") / F.col("e")).alias("x"), (F.col("ey") / F.col("e")).alias("y"), "ez", "e")
+    if features is None:
+        return out.drop("ez", "e")
+    zero = F.transform(F.get("ez", F.lit(0)), lambda z: F.lit(0.0))
+    sums = F.aggregate("ez", zero, lambda s, z: F.zip_with(s, z, lambda a, b: a + b))
+    return out.select(*own, "x", "y", F.transform(sums, lambda z: z / F.col("e")).alias("z"))
 
 
 def match_top1(qk: DataFrame, partner: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -271,6 +431,7 @@ def _exponentials(qk: DataFrame, block: int) -> DataFrame:
 def soft_cross_entropy(qk: DataFrame, target: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per pair the mean over bridged B spots of logsumexp(logits) less the target-weighted logits. target: pair_id, b_idx, a_idx, w.
     Blocks give sums; the few logits with a target are made by an equi-join with it."""
+    qk = with_vectors(qk)
     of = lambda side, idx, v: qk.where(F.col("side") == side).select("pair_id", F.col("spot_idx").alias(idx), F.col("v").alias(v))
     few = target.join(of("B", "b_idx", "bv"), ["pair_id", "b_idx"]).join(of("A", "a_idx", "av"), ["pair_id", "a_idx"])
     got = few.groupBy("pair_id", "b_idx").agg(F.sum(F.col("w") * dot(F.col("bv"), F.col("av")) / F.sqrt(F.size("av"))).alias("g"))

@@ -416,43 +416,50 @@ DIST = ", dist AS (SELECT pair_id, b_idx, a_idx, list_distance(bv, av) AS distan
 
 @query(QK + DIST + "SELECT dist.pair_id, b_idx, a_idx, round(distance, 6) AS distance, round(x, 6) AS x, round(y, 6) AS y FROM dist JOIN a ON a.pair_id = dist.pair_id AND a.spot_idx = a_idx WHERE rank = 1")
 def feature_nn(s, d):
-    return r6(E.feature_nn(X.qk(s, d), X.spots_a(s, d)), "distance", "x", "y")
+    return r6(E.feature_nn(X.qk_odd(s, d), X.spots_a(s, d)), "distance", "x", "y")
 
 
 @query(QK + DIST + "SELECT pair_id, b_idx, a_idx, rank::INT AS rank FROM dist WHERE rank <= 10")
 def topk_neighbors(s, d):
-    return E.topk_neighbors(X.qk(s, d), 10).select("pair_id", "b_idx", "a_idx", "rank")
+    return E.topk_neighbors(X.qk_odd(s, d), 10).select("pair_id", "b_idx", "a_idx", "rank")
 
 
 @query(QK + DIST + "SELECT dist.pair_id, b_idx, round(sum(x / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS x, round(sum(y / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS y FROM dist JOIN a ON a.pair_id = dist.pair_id AND a.spot_idx = a_idx WHERE rank <= 10 GROUP BY ALL")
 def feature_knn_weighted(s, d):
-    return r6(E.feature_knn_weighted(X.qk(s, d), X.spots_a(s, d)), "x", "y")
+    return r6(E.feature_knn_weighted(X.qk_odd(s, d), X.spots_a(s, d)), "x", "y")
 
 
-@query(QK + "SELECT softmax.pair_id, b_idx, round(sum(p * x), 6) AS x, round(sum(p * y), 6) AS y FROM softmax JOIN a ON a.pair_id = softmax.pair_id AND a.spot_idx = a_idx GROUP BY ALL")
+SOFT_MATCH = """SELECT softmax.pair_id, b_idx, round(sum(p * x), 6) AS x, round(sum(p * y), 6) AS y, round(sum(p * k.v[1]), 6) AS z0, round(sum(p * k.v[64]), 6) AS z63
+FROM softmax JOIN a ON a.pair_id = softmax.pair_id AND a.spot_idx = a_idx JOIN qk k ON k.pair_id = softmax.pair_id AND k.side = 'A' AND k.spot_idx = a_idx GROUP BY ALL"""
+
+
+@query(QK + SOFT_MATCH)
 def attention_match(s, d):
-    return r6(E.attention_match(X.qk(s, d), X.spots_a(s, d)), "x", "y")
+    """Soft coordinates, and the first and the last number of the soft feature."""
+    features = X.qk(s, d).where("side = 'A'").select("pair_id", "spot_idx", F.col("v").alias("z"))
+    found = E.attention_match(X.qk_odd(s, d), X.spots_a(s, d), features=features)
+    return r6(found.select("pair_id", "b_idx", "x", "y", F.get("z", F.lit(0)).alias("z0"), F.get("z", F.lit(63)).alias("z63")), "x", "y", "z0", "z63")
 
 
 @query(QK + "SELECT pair_id, b_idx, a_idx, round(list_inner_product(bv, av) / (sqrt(list_inner_product(bv, bv)) * sqrt(list_inner_product(av, av))) / 0.1::DOUBLE, 6) AS logit FROM pairs")
 def cosine_match(s, d):
-    return r6(E.cosine_match(X.qk(s, d)), "logit")
+    return r6(E.cosine_match(X.qk_odd(s, d)), "logit")
 
 
 @query(QK + "SELECT pair_id, b_idx, a_idx, round(p, 9) AS p FROM softmax")
 def softmax_over_row(s, d):
-    return E.softmax_over_row(E.attention_logits(X.qk(s, d))).withColumn("p", F.round("p", 9))
+    return E.attention_weights(X.qk_odd(s, d)).withColumn("p", F.round("p", 9))
 
 
 @query(QK + DIST + "SELECT pair_id, b_idx, a_idx, round((1 / (distance + 1e-6)) / sum(1 / (distance + 1e-6)) OVER (PARTITION BY pair_id, b_idx), 6) AS w FROM dist WHERE rank <= 10")
 def weight_normalize(s, d):
-    t = E.topk_neighbors(X.qk(s, d), 10).withColumn("g", 1.0 / (F.col("distance") + 1e-6))
+    t = E.topk_neighbors(X.qk_odd(s, d), 10).withColumn("g", 1.0 / (F.col("distance") + 1e-6))
     return r6(t.select("pair_id", "b_idx", "a_idx", N.weight_normalize("g", "pair_id", "b_idx").alias("w")), "w")
 
 
 @query(QK + ", t AS (SELECT pair_id, b_idx, arg_max(a_idx, (logit, -a_idx)) AS best FROM logits GROUP BY ALL) SELECT pair_id, round(avg((best = a_idx)::INT), 6) AS top1, count(*) AS n FROM t JOIN bridge USING (pair_id, b_idx) WHERE have GROUP BY pair_id")
 def match_top1(s, d):
-    return r6(E.match_top1(X.qk(s, d), B.partner_index(*_ab(s, d))), "top1")
+    return r6(E.match_top1(X.qk_odd(s, d), B.partner_index(*_ab(s, d))), "top1")
 
 
 ENTROPY = """, l AS (SELECT pair_id, b_idx, ln(sum(exp(logit))) AS lse FROM logits GROUP BY ALL),
@@ -462,12 +469,12 @@ SELECT pair_id, round(avg(lse - g), 6) AS loss, count(*) AS n FROM l JOIN g USIN
 
 @query(QK + SOFT + ENTROPY)
 def soft_cross_entropy(s, d):
-    return r6(E.soft_cross_entropy(X.qk(s, d), _target(s, d)), "loss")
+    return r6(E.soft_cross_entropy(X.qk_odd(s, d), _target(s, d)), "loss")
 
 
 @query(QK + ", e AS (SELECT pair_id, b_idx, 1 / sum(p * p) AS support FROM softmax GROUP BY ALL) SELECT pair_id, round(median(support), 6) AS support FROM e GROUP BY pair_id")
 def effective_support(s, d):
-    return r6(E.effective_support(X.qk(s, d)), "support")
+    return r6(E.effective_support(X.qk_odd(s, d)), "support")
 
 
 VECTORS = """SELECT q.pair_id, b_idx, round(list_inner_product(q.v, k.v), 6) AS dot, round(sqrt(list_inner_product(q.v, q.v)), 6) AS norm, round(list_cosine_similarity(q.v, k.v), 6) AS cosine, round(list_distance(q.v, k.v) ^ 2, 6) AS distance2
@@ -974,12 +981,12 @@ def drop_bots(s, d):
     return I.drop_bots(X.leads(s, d)).select("custkey")
 
 
-@query(with_("leads") + "SELECT custkey, nullif(trim(role), '') AS role FROM leads")
+@query(with_("leads") + "SELECT custkey, nullif(trim(role, white), '') AS role FROM leads")
 def empty_to_null(s, d):
     return X.leads(s, d).select("custkey", I.empty_to_null(F.col("role")).alias("role"))
 
 
-@query(with_("leads") + "SELECT custkey, trim(full_name) AS full_name, trim(email) AS email, trim(company) AS company, coalesce(nullif(trim(role), ''), '-') AS role, length(trim(looking_for)) AS asked, true AS stamped, n FROM judged, range(1, 3) t(n) WHERE len(reasons) = 0 AND hp IS NULL")
+@query(with_("leads") + "SELECT custkey, trim(full_name, white) AS full_name, trim(email) AS email, trim(company) AS company, coalesce(nullif(trim(role, white), ''), '-') AS role, length(trim(looking_for, white)) AS asked, true AS stamped, n FROM judged, range(1, 3) t(n) WHERE len(reasons) = 0 AND hp IS NULL")
 def append_leads(s, d):
     """The leads appended twice, and what landed: each row has an id of its own."""
     path = X.scratch(s)
@@ -991,7 +998,7 @@ def append_leads(s, d):
     return landed.select("custkey", "full_name", "email", "company", no("role", "-").alias("role"), F.length("looking_for").cast("long").alias("asked"), stamped.alias("stamped"), n.alias("n"))
 
 
-@query(with_("leads") + "SELECT custkey, email, nullif(trim(role), '') AS role, '' AS reasons FROM judged WHERE len(reasons) = 0 AND hp IS NULL UNION ALL SELECT custkey, email, role, array_to_string(reasons, '; ') AS reasons FROM judged WHERE len(reasons) > 0 AND hp IS NULL")
+@query(with_("leads") + "SELECT custkey, email, nullif(trim(role, white), '') AS role, '' AS reasons FROM judged WHERE len(reasons) = 0 AND hp IS NULL UNION ALL SELECT custkey, email, role, array_to_string(reasons, '; ') AS reasons FROM judged WHERE len(reasons) > 0 AND hp IS NULL")
 def stream_leads(s, d):
     """The leads written as JSON files, taken in by the stream, and both of its sinks read again."""
     path = X.scratch(s)

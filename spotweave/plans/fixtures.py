@@ -42,6 +42,13 @@ def qk(spark: SparkSession, d: str) -> DataFrame:
     return e.select(pair.alias("pair_id"), F.when(F.col("vec_id") % 2 == 1, "B").otherwise("A").alias("side"), F.expr("(vec_id div 2) div 3").alias("spot_idx"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+def qk_odd(spark: SparkSession, d: str) -> DataFrame:
+    """qk, with a NaN in some vectors, a null in others: they match nothing."""
+    first = F.when(F.col("_k") == 0, F.lit(float("nan"))).when(F.col("_k") == 1, F.lit(None).cast("double"))
+    marked = qk(spark, d).withColumn("_k", F.when(F.col("spot_idx") % 31 == 7, F.col("spot_idx") % 2))
+    return marked.withColumn("v", F.when(F.col("_k").isNotNull(), F.concat(F.array(first), F.slice("v", 2, 9999))).otherwise(F.col("v"))).drop("_k")
+
+
 def plan(spark: SparkSession, d: str) -> DataFrame:
     """Mass of all of lineitem, in three runs over each of the three pairs. Keys are folded by the number of spots, so plans grow with
     the tables; the last tenth of A and the last 25th of B get none."""
@@ -90,8 +97,9 @@ def grid(spark: SparkSession) -> DataFrame:
 def leads(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
+    name = F.when(k % 13 == 0, "\t\n\u00a0").otherwise(F.concat(F.lit("\t"), "c_name", F.lit("\u3000\n")))
     email = F.concat(F.lower("c_name"), F.when(k % 5 == 0, " at ").otherwise("@"), F.lower("c_mktsegment"), F.lit(".com"))
-    return c.select(k.alias("custkey"), F.col("c_name").alias("full_name"), email.alias("email"), F.col("c_mktsegment").alias("company"), F.when(k % 3 == 0, "").otherwise(" lead ").alias("role"), F.when(k % 17 == 0, "").otherwise("1-10").alias("company_size"), F.expr("repeat('x', cast(c_custkey % 5100 as int))").alias("looking_for"), F.lit(None).cast("string").alias("source"), F.when(k % 11 == 0, "bot").alias("hp"))
+    return c.select(k.alias("custkey"), name.alias("full_name"), email.alias("email"), F.col("c_mktsegment").alias("company"), F.when(k % 3 == 0, "").otherwise(" lead\n").alias("role"), F.when(k % 17 == 0, "").otherwise("1-10").alias("company_size"), F.when(k % 19 == 0, "\n\n").otherwise(F.expr("repeat('x', cast(c_custkey % 5100 as int))")).alias("looking_for"), F.lit(None).cast("string").alias("source"), F.when(k % 11 == 0, "bot").alias("hp"))
 
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +119,7 @@ bridge AS (SELECT pair_id, b.spot_idx AS b_idx, a.spot_idx AS a_idx, a.x AS gt_x
     "qk": """qk AS (
   SELECT 'p' || (vec_id // 2) % 3 AS pair_id, (vec_id // 2) // 3 AS spot_idx, CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS side, list_transform(embedding, lambda z: z::DOUBLE) AS v
   FROM embeddings),
-pairs AS (SELECT q.pair_id, q.spot_idx AS b_idx, k.spot_idx AS a_idx, q.v AS bv, k.v AS av FROM qk q JOIN qk k ON q.pair_id = k.pair_id AND q.side = 'B' AND k.side = 'A'),
+pairs AS (SELECT q.pair_id, q.spot_idx AS b_idx, k.spot_idx AS a_idx, q.v AS bv, k.v AS av FROM qk q JOIN qk k ON q.pair_id = k.pair_id AND q.side = 'B' AND k.side = 'A' WHERE q.spot_idx % 31 <> 7 AND k.spot_idx % 31 <> 7),
 logits AS (SELECT pair_id, b_idx, a_idx, list_inner_product(bv, av) / sqrt(len(av)) AS logit FROM pairs),
 softmax AS (
   SELECT pair_id, b_idx, a_idx, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY pair_id, b_idx) AS p
@@ -158,11 +166,11 @@ cut AS (SELECT p.sample_id, p.seed, severity, tear, spot_idx, tear AND proj > co
     FROM proj p JOIN thr USING (sample_id, seed) JOIN grid USING (seed)),
 warped AS (SELECT u.sample_id, u.seed, g.severity, g.tear, u.spot_idx, u.x AS x_orig, u.y AS y_orig, u.ux * g.severity * 137.0::DOUBLE - sin(theta) * move AS dx, u.uy * g.severity * 137.0::DOUBLE + cos(theta) * move AS dy, torn
     FROM unit u JOIN grid g USING (seed) JOIN cut c ON (c.sample_id, c.seed, c.severity, c.tear, c.spot_idx) = (u.sample_id, u.seed, g.severity, g.tear, u.spot_idx))""",
-    "leads": """leads AS (SELECT c_custkey AS custkey, c_name AS full_name, lower(c_name) || CASE WHEN c_custkey % 5 = 0 THEN ' at ' ELSE '@' END || lower(c_mktsegment) || '.com' AS email, c_mktsegment AS company,
-      CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' lead ' END AS role, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '1-10' END AS company_size, repeat('x', (c_custkey % 5100)::INT) AS looking_for, NULL::VARCHAR AS source,
+    "leads": """leads AS (SELECT c_custkey AS custkey, CASE WHEN c_custkey % 13 = 0 THEN chr(9) || chr(10) || chr(160) ELSE chr(9) || c_name || chr(12288) || chr(10) END AS full_name, lower(c_name) || CASE WHEN c_custkey % 5 = 0 THEN ' at ' ELSE '@' END || lower(c_mktsegment) || '.com' AS email, c_mktsegment AS company,
+      CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' lead' || chr(10) END AS role, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '1-10' END AS company_size, CASE WHEN c_custkey % 19 = 0 THEN chr(10) || chr(10) ELSE repeat('x', (c_custkey % 5100)::INT) END AS looking_for, ' ' || chr(9) || chr(10) || chr(160) || chr(12288) AS white, NULL::VARCHAR AS source,
       CASE WHEN c_custkey % 11 = 0 THEN 'bot' END AS hp FROM customer),
-judged AS (SELECT *, list_filter([CASE WHEN NOT regexp_matches(email, '(?i)^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email shape' END,
-    CASE WHEN company_size = '' THEN 'company_size required' END, CASE WHEN looking_for = '' THEN 'looking_for required' END,
+judged AS (SELECT *, list_filter([CASE WHEN trim(full_name, white) = '' THEN 'full_name required' END, CASE WHEN NOT regexp_matches(email, '(?i)^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email shape' END,
+    CASE WHEN company_size = '' THEN 'company_size required' END, CASE WHEN trim(looking_for, white) = '' THEN 'looking_for required' END,
     CASE WHEN length(looking_for) > 5000 THEN 'looking_for length' END], lambda x: x IS NOT NULL) AS reasons FROM leads)""",
     "uploads": """uploads AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.h5ad' ELSE '' END AS filename, length(html)::BIGINT AS declared_size, (length(html) - page_id % 3)::BIGINT AS received, page_id - 5 AS spots
       FROM pages)""",

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 # What an address must look like, the first bytes of an HDF5 file, and (below) the bounds of a lead's fields.
 EMAIL = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 HDF5_MAGIC = "894844460D0A1A0A"
+# What a browser's trim() takes from both ends.
+WHITE = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 LEAD = "full_name string, email string, company string, role string, company_size string, looking_for string, source string, hp string"
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def empty_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(trimmed(c), F.lit(""))
 
 
 def drop_bots(leads: DataFrame) -> DataFrame:
@@ -22,10 +29,10 @@ def drop_bots(leads: DataFrame) -> DataFrame:
 
 def validate_lead(leads: DataFrame) -> DataFrame:
     """Adds `reasons`, an array of what is wrong in a fixed order, empty for a valid row."""
-    bare = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    bare = lambda c: F.length(trimmed(F.coalesce(F.col(c), F.lit(""))))
     n = lambda c: F.length(c)
     rules = [
-        ("full_name required", bare("full_name") == 0), ("full_name length", n("full_name") > 200), ("email required", bare("email") == 0), ("email shape", (bare("email") > 0) & ~F.col("email").rlike(EMAIL)), ("email length", n("email") > 320),
+        ("full_name required", bare("full_name") == 0), ("full_name length", n("full_name") > 200), ("email required", bare("email") == 0), ("email shape", (bare("email") > 0) & ~trimmed(F.col("email")).rlike(EMAIL)), ("email length", n("email") > 320),
         ("company required", bare("company") == 0), ("company length", n("company") > 200), ("role length", n("role") > 200), ("company_size required", bare("company_size") == 0), ("company_size length", n("company_size") > 40),
         ("looking_for required", bare("looking_for") == 0), ("looking_for length", n("looking_for") > 5000), ("source length", n("source") > 300),
     ]
@@ -35,8 +42,8 @@ def validate_lead(leads: DataFrame) -> DataFrame:
 def valid(leads: DataFrame) -> DataFrame:
     """Rows that are valid, trimmed; role and source are null where nothing is left."""
     good = validate_lead(drop_bots(leads)).where(F.size("reasons") == 0).drop("reasons", "hp")
-    trimmed = {c: F.trim(c) for c in ("full_name", "email", "company", "looking_for")}
-    return good.withColumns(trimmed | {c: empty_to_null(F.col(c)) for c in ("role", "source")})
+    bare = {c: trimmed(F.col(c)) for c in ("full_name", "email", "company", "looking_for")}
+    return good.withColumns(bare | {c: empty_to_null(F.col(c)) for c in ("role", "source")})
 
 
 def rejected(leads: DataFrame) -> DataFrame:
