@@ -17,7 +17,7 @@ Texts never move: one scan gives each document its counts (checkpointed); the ho
 (stratum, step) rows.
 
 Defined cases: null text has no words; a null stratum is one of its own; labels are one per doc_id, the largest if
-several are given, nulls ignored; without labels no rule is on; equal rows each get their result; other columns are
+several are given, nulls ignored; a labelled id is one trial of the bound however many rows have it, with the least depth among them (then the first stratum by name); without labels no rule is on; equal rows each get their result; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -107,7 +107,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """(stratum, step, good, good_rejected, bad_rejected, chance) of the certified strata; step is null where no allowed one catches anything."""
     n_steps = len(next(iter(STEPS.values())))
     labels = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = measured.join(labels, "doc_id").groupBy("stratum", "depth").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    one = F.min(F.struct("depth", F.coalesce("stratum", F.lit("")).alias("s"), "stratum")).alias("d")  # rows of one id are one trial
+    held = measured.join(labels, "doc_id").groupBy("doc_id").agg(one, F.max("quality").alias("quality")).select("d.*", "quality")
+    held = held.groupBy("stratum", "depth").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     # a table of strata * steps rows from here on
     upto = lambda c: F.transform(F.sequence(F.lit(1), F.lit(n_steps)), lambda s: F.aggregate(F.filter("by", lambda x: x["depth"] <= s), F.lit(0).cast("long"), lambda a, x: a + x[c]))
     held = held.groupBy("stratum").agg(F.sum("good").alias("good"), F.collect_list(F.struct("depth", "good", "bad")).alias("by")).withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))
@@ -153,9 +155,10 @@ c AS (
 m AS (SELECT *, n_lines - n_different AS n_dup_lines FROM c),
 p AS (SELECT *, least({first}) AS depth FROM m),
 l AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+o AS (SELECT doc_id, arg_min(lang, (depth, coalesce(lang, ''))) AS lang, min(depth) AS depth, any_value(quality) AS quality FROM p JOIN l USING (doc_id) GROUP BY doc_id),
 h AS (
   SELECT lang, step, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND depth <= step) AS k, count(*) FILTER (quality = 0 AND depth <= step) AS bad
-  FROM p JOIN l USING (doc_id), range(1, {steps + 1}) x(step) GROUP BY ALL),
+  FROM o, range(1, {steps + 1}) x(step) GROUP BY ALL),
 q AS (
   SELECT *, CASE WHEN k > n * {alpha} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) END AS chance
   FROM h WHERE n > 0),
