@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,54 +101,55 @@ class Aligner:
         for lo in range(0, len(new), 20_000):
             self._add(new[lo : lo + 20_000])
 
-    def _a_ids(self, units: list[str], raw: list[bytes]) -> list[list[int]]:
-        """Those that end in no white space are encoded joined, and their tokens are dealt out by bytes."""
-        out: list[list[int]] = [[]] * len(units)
-        joint = [i for i, u in enumerate(units) if self.separable and len(u) > 1 and not u[-1].isspace() and not u[1].isspace() and len(u) < 1000]
-        alone = set(range(len(units))).difference(joint)
-        parts = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
-        for part, e in zip(parts, self.a.encode_batch_fast(["".join(units[i] for i in p) for p in parts], add_special_tokens=False), strict=True):
+    def _a_ids(self, units: list[str], joint: int, size: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Tokens of all units, and how many each has. The first `joint` units end in no white space: they are encoded joined, and tokens are dealt out by bytes."""
+        flat: list[int] = []
+        counts = []
+        parts = [(lo, min(lo + TOGETHER, joint)) for lo in range(0, joint, TOGETHER)]
+        for (lo, hi), e in zip(parts, self.a.encode_batch_fast(["".join(units[lo:hi]) for lo, hi in parts], add_special_tokens=False), strict=True):
             ids = e.ids
-            ends = np.cumsum(self.a_len[ids])
-            want = np.cumsum([len(raw[i]) for i in part])
+            ends, want = np.cumsum(self.a_len[ids]), np.cumsum(size[lo:hi])
             at = np.searchsorted(ends, want)
             if at[-1] >= len(ends) or (ends[at] != want).any():
-                alone.update(part)
-                continue
-            lo = 0
-            for i, hi in zip(part, (at + 1).tolist(), strict=True):
-                out[i] = ids[lo:hi]
-                lo = hi
-        for i in alone:
-            out[i] = self.a.encode_batch_fast([units[i]], add_special_tokens=False)[0].ids
-        return out
-
-    def _b_ids(self, units: list[str]) -> list[list[int]]:
+                each = [x.ids for x in self.a.encode_batch_fast(units[lo:hi], add_special_tokens=False)]
+                ids, at = [k for x in each for k in x], np.cumsum([len(x) for x in each]) - 1
+            flat += ids
+            counts.append(np.diff(at, prepend=-1))
+        each = [self.a.encode_batch_fast([u], add_special_tokens=False)[0].ids for u in units[joint:]]
+        counts.append(np.array([len(x) for x in each], np.int64))
+        return flat + [k for x in each for k in x], np.concatenate(counts)
+
+    def _b_ids(self, units: list[str]) -> tuple[list[int], np.ndarray]:
         """B adds a space: it is the unit's own, or a token by itself before a line feed."""
-        own = [u[0] == " " for u in units]
-        found = self.b.encode([u[1:] if s else u for s, u in zip(own, units, strict=True)], num_threads=1)
-        return [ids if s or not ids or self.b_bytes[ids[0]] != b" " else ids[1:] for s, ids in zip(own, found, strict=True)]
+        found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for i, u in enumerate(units):
+            if u[0] != " " and found[i] and self.b_bytes[found[i][0]] == b" ":
+                found[i] = found[i][1:]
+        return list(chain.from_iterable(found)), np.fromiter(map(len, found), np.int64, len(found))
 
     def _add(self, units: list[str]) -> None:
+        together = (lambda u: not (u[-1].isspace() or u[1].isspace()) and len(u) < 1000) if self.separable else (lambda u: False)
+        first = [u for u in units if together(u)]
+        units = first + [u for u in units if not together(u)] if len(first) < len(units) else first
         raw = [u.encode() for u in units]
-        a, b = self._a_ids(units, raw), self._b_ids(units)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
         ok = np.ones(len(units), bool)
-        for ids, table, lengths in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
-            flat = [k for x in ids for k in x]
-            ends = np.r_[0, np.cumsum(lengths[flat])][np.cumsum([len(x) for x in ids])]
-            if (ends != np.cumsum([len(r) for r in raw])).any() or b"".join([table[k] for k in flat]) != b"".join(raw):
-                ok &= np.array([b"".join([table[k] for k in x]) == r for x, r in zip(ids, raw, strict=True)])
+        sides = []
+        for (flat, n), table, lengths in ((self._a_ids(units, len(first), size), self.a_bytes, self.a_len), (self._b_ids(units), self.b_bytes, self.b_len)):
+            ids = np.array(flat, np.int64)
+            stop = np.cumsum(n)
+            ends = np.r_[0, np.cumsum(lengths[ids])][stop]
+            if (ends != np.cumsum(size)).any() or b"".join([table[k] for k in flat]) != b"".join(raw):
+                ok &= np.array([b"".join([table[k] for k in flat[z - m : z]]) == r for z, m, r in zip(stop.tolist(), n.tolist(), raw, strict=True)])
+            sides.append((ids, n))
         good = np.flatnonzero(ok)
-        if len(good) < len(units):
-            a, b = [a[i] for i in good], [b[i] for i in good]
-        n_a, n_b = (np.array([len(x) for x in v], np.int64) for v in (a, b))
-        a_id, b_id = (np.array([k for x in v for k in x], np.int64) for v in (a, b))
+        (a_id, n_a), (b_id, n_b) = ((ids[np.repeat(ok, n)], n[ok]) for ids, n in sides)
         a_end, b_end = np.cumsum(self.a_len[a_id]), np.cumsum(self.b_len[b_id])
         a_start, b_start = a_end - self.a_len[a_id], b_end - self.b_len[b_id]
         # groups end where tokens of both do
         stop = np.intersect1d(a_end, b_end)
         a_last, b_last = np.searchsorted(a_end, stop, "right"), np.searchsorted(b_end, stop, "right")
-        unit_end = np.cumsum(np.array([len(r) for r in raw], np.int64)[good])
+        unit_end = np.cumsum(size[ok])
         upto = np.searchsorted(stop, unit_end, "right")
         n_groups = np.diff(upto, prepend=0)
         # links: B tokens whose bytes overlap an A token's
@@ -224,7 +226,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id") ->
             texts = batch.column("text")
             size = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
             while lo < batch.num_rows:  # some MB of texts at a time, a long one by itself
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 4 << 20, "right")))
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 2 << 20, "right")))
                 cut = [aligner.cut(t) if t else [] for t in (x.as_py() for x in texts.slice(lo, hi - lo))]
                 aligner.learn(cut)
                 rows = [aligner.text(u) if u else ([0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64)) for u in cut]
