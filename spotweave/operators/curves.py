@@ -45,18 +45,25 @@ def fold_summary(curve: DataFrame, series: list[str], col: str) -> DataFrame:
     return curve.groupBy("fold").pivot("method", series).agg(text)
 
 
-def method_table(ci: DataFrame, series: list[str]) -> DataFrame:
-    """Severity by method, each cell "mean+-ci", n/a where there is none."""
-    p = ci.groupBy("severity").pivot("method", series).agg(F.first(F.format_string("%.1f+-%.1f", "mean", "ci")))
-    return p.select("severity", *[F.coalesce(F.col(f"`{s}`"), F.lit("n/a")).alias(s) for s in series])
+def method_table(ci: DataFrame, series: list[str], by: tuple[str, ...] = ("severity",)) -> DataFrame:
+    """Rows by severity, or by fold and severity, columns by method; each cell "mean+-ci", n/a where there is none."""
+    p = ci.groupBy(*by).pivot("method", series).agg(F.first(F.format_string("%.1f+-%.1f", "mean", "ci")))
+    return p.select(*by, *[F.coalesce(F.col(f"`{s}`"), F.lit("n/a")).alias(s) for s in series])
 
 
 def magnitude_matched(left: DataFrame, right: DataFrame, key: str, magnitude: str = "mean_disp_px") -> DataFrame:
-    """For each left row the right row of nearest magnitude (ties: the smaller). Both (severity, magnitude, err)."""
-    a = left.select(key, F.col("severity").alias("sev_a"), F.col(magnitude).alias("mag_a"), F.col("err").alias("err_a"))
-    b = right.select(key, F.col("severity").alias("sev_b"), F.col(magnitude).alias("mag_b"), F.col("err").alias("err_b"))
-    w = Window.partitionBy(key, "sev_a").orderBy(F.abs(F.col("mag_a") - F.col("mag_b")), "mag_b", "sev_b")
-    return a.join(b, key).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """For each left row the right row of nearest magnitude (ties: the smaller, then the lower severity). Both (severity, magnitude, err). No join: both sides are put in one order,
+    and a left row looks at the right rows before and after it. Rows without a magnitude match nothing."""
+    of = lambda df, side: df.where(F.col(magnitude).isNotNull()).select(key, F.lit(side).alias("side"), F.col("severity").alias("sev"), F.col(magnitude).alias("mag"), "err")
+    order = Window.partitionBy(key).orderBy("mag", "side", "sev")
+    right_row = F.when(F.col("side") == 1, F.struct("mag", "sev", "err"))
+    # of equal magnitudes the first severity: right rows come before left ones in one order, after them in the other
+    first = Window.partitionBy(key, "side", "mag").orderBy("sev").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = of(left, 2).union(of(right, 1)).withColumn("r", F.when(F.col("side") == 1, F.first(right_row).over(first)))
+    both = both.withColumn("low", F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("r", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    near = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull() | (F.col("mag") - F.col("low.mag") <= F.col("high.mag") - F.col("mag")), F.col("low")).otherwise(F.col("high"))
+    found = both.where("side = 2").withColumn("m", near).where("m is not null")
+    return found.select(key, F.col("sev").alias("sev_a"), F.col("mag").alias("mag_a"), F.col("err").alias("err_a"), F.col("m.sev").alias("sev_b"), F.col("m.mag").alias("mag_b"), F.col("m.err").alias("err_b"))
 
 
 def metric_summary_by_method(curves: DataFrame, col: str = "reg_err") -> DataFrame:

@@ -642,6 +642,21 @@ def severity_curve(s, d):
     return r6(C.severity_curve(X.curves(s, d), ["method", "fold"]), "mean", "median", "p90", "max")
 
 
+SKETCHED = """, r AS (SELECT method, reg_err, row_number() OVER (PARTITION BY method ORDER BY reg_err) AS k, count(*) OVER (PARTITION BY method) AS n FROM curves)
+SELECT method, round(avg(reg_err), 6) AS mean, round(max(reg_err), 6) AS max, count(*) AS n, true AS stated, true AS within FROM r GROUP BY method"""
+
+
+@query(CURVES + SKETCHED)
+def error_sketches(s, d):
+    """Sketches by (method, fold, severity), stored, and rolled up to methods: whether the ranks of their percentiles lie within the stated error (and one row)."""
+    path, rows = X.scratch(s), X.curves(s, d)
+    S.error_sketches(rows, ["method", "fold", "severity"], "reg_err").write.parquet(path)
+    up = S.rolled_up(s.read.parquet(path), ["method"])
+    below = lambda q, c: F.abs(F.avg((F.col("reg_err") <= F.col(c)).cast("double")) - q) <= F.max("rank_error") + 1 / F.count("*")
+    held = rows.join(up.select("method", "median", "p90", "rank_error"), "method").groupBy("method").agg((below(0.5, "median") & below(0.9, "p90")).alias("within"))
+    return r6(up.join(held, "method").select("method", "mean", "max", "n", (F.col("rank_error") < 0.02).alias("stated"), "within"), "mean", "max")
+
+
 CI = (
     "SELECT method, fold, severity, round(avg(e), 6) AS mean, round(coalesce(stddev_samp(e), 0), 6) AS std, count(*) AS n, "
     "round(coalesce(1.96::DOUBLE * stddev_samp(e) / sqrt(count(*)), 0), 6) AS ci FROM (SELECT method, fold, severity, seed, median(reg_err) AS e "
@@ -694,16 +709,19 @@ def fold_summary(s, d):
     return C.fold_summary(X.method_curves(s, d), [a, b], "err").withColumnsRenamed({a: "m1", b: "m2"})
 
 
-@query(
-    CURVES +
-    f", ci AS ({CI}), c AS (SELECT severity, printf('%.1f+-%.1f', mean, ci) AS t, dense_rank() OVER (ORDER BY method) AS k FROM ci "
-    f"WHERE fold = 0 AND NOT (severity = 8 AND method = (SELECT min(method) FROM ci))) SELECT severity, coalesce(max(t) FILTER (k = 1), 'n/a') AS m1, coalesce(max(t) FILTER (k = 2), 'n/a') AS m2 "
-    f"FROM c GROUP BY severity"
-)
+TABLE = f""", ci AS ({CI}),
+c AS (
+  SELECT fold, severity, printf('%.1f+-%.1f', mean, ci) AS t, dense_rank() OVER (ORDER BY method) AS k FROM ci
+  WHERE NOT (severity = 8 AND fold = 0 AND method = (SELECT min(method) FROM ci)))
+SELECT fold, severity, coalesce(max(t) FILTER (k = 1), 'n/a') AS m1, coalesce(max(t) FILTER (k = 2), 'n/a') AS m2 FROM c GROUP BY fold, severity"""
+
+
+@query(CURVES + TABLE)
 def method_table(s, d):
+    """Of all folds; one cell is taken out, to be n/a."""
     a, b = _two(s, d)
-    ci = r6(_ci(s, d), "mean", "ci").where("fold = 0").where(~((F.col("severity") == 8) & (F.col("method") == a)))
-    return C.method_table(ci, [a, b]).withColumnsRenamed({a: "m1", b: "m2"})
+    ci = r6(_ci(s, d), "mean", "ci").where(~((F.col("severity") == 8) & (F.col("fold") == 0) & (F.col("method") == a)))
+    return C.method_table(ci, [a, b], ("fold", "severity")).withColumnsRenamed({a: "m1", b: "m2"})
 
 
 @query(
@@ -931,14 +949,25 @@ def scan_summary(s, d):
 
 
 def _written_plan(s, d):
-    path = X.scratch(s)
-    L.write_plan(X.plan(s, d), path)
+    """The plans with the labels of both slices and the parameters of each run."""
+    path, plan = X.scratch(s), X.plan(s, d)
+    runs = plan.select("run_id").distinct()
+    of = lambda spots, idx: spots.select("pair_id", F.col("spot_idx").alias(idx), "layer").crossJoin(F.broadcast(runs)).select("run_id", "pair_id", idx, "layer")
+    total = plan.groupBy("run_id").agg(F.sum("mass").cast("long").alias("value")).select("run_id", F.lit("total_mass").alias("key"), "value")
+    L.write_plan(plan, path, of(X.spots_a(s, d), "a_idx"), of(X.spots_b(s, d), "b_idx"), total)
     return path
 
 
-@query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, mass FROM plan")
+WRITTEN = "SELECT run_id, pair_id, a_idx, b_idx, mass FROM plan UNION ALL SELECT run_id, 'total_mass', -1, -1, sum(mass) FROM plan GROUP BY run_id"
+
+
+@query(PLAN + WRITTEN)
 def write_plan(s, d):
-    return s.read.parquet(_written_plan(s, d)).select("run_id", "pair_id", "a_idx", "b_idx", "mass")
+    """All that was written: the masses, and each run's parameter."""
+    path = _written_plan(s, d)
+    masses = s.read.parquet(f"{path}/plan").select("run_id", "pair_id", "a_idx", "b_idx", "mass")
+    said = s.read.parquet(f"{path}/parameters").select("run_id", F.col("key").alias("pair_id"), F.lit(-1).cast("long").alias("a_idx"), F.lit(-1).cast("long").alias("b_idx"), F.col("value").cast("double").alias("mass"))
+    return masses.unionByName(said)
 
 
 @query(PLAN + "SELECT run_id, pair_id, a_idx, b_idx, mass FROM plan WHERE run_id = 'R'")
@@ -946,6 +975,12 @@ def scan_plan(s, d):
     return L.scan_plan(s, _written_plan(s, d), "R").select("run_id", "pair_id", "a_idx", "b_idx", "mass")
 
 
+@query(PLAN + f"SELECT run_id, pair_id, {ACC} FROM accuracy WHERE run_id = 'N'")
+def rescore_plan(s, d):
+    """A stored run scored again from what was stored."""
+    return r6(L.rescore(s, _written_plan(s, d), "N"), "accuracy")
+
+
 def _stack(s, d):
     p = T.normalize_frame(X.spots(s, d)).withColumn("k", L.layer_index(F.col("layer"))).where("k >= 0")
     return L.stack_slices_json(p)
@@ -988,11 +1023,13 @@ def empty_to_null(s, d):
 
 @query(with_("leads") + "SELECT custkey, trim(full_name, white) AS full_name, trim(email) AS email, trim(company) AS company, coalesce(nullif(trim(role, white), ''), '-') AS role, length(trim(looking_for, white)) AS asked, true AS stamped, n FROM judged, range(1, 3) t(n) WHERE len(reasons) = 0 AND hp IS NULL")
 def append_leads(s, d):
-    """The leads appended twice, and what landed: each row has an id of its own."""
-    path = X.scratch(s)
+    """The leads appended as two batches, the second one twice, as after a crash before its entry and again after it: what landed is there once a batch, with an id of its own."""
+    path, leads = X.scratch(s), X.leads(s, d)
+    I.append_leads(leads, path, 0)
+    I.landed(leads, 1).write.parquet(f"{path}/valid/batch=1")  # a landing that broke off between the tables
     for _ in range(2):
-        I.append_leads(X.leads(s, d), path)
-    landed = s.read.parquet(path)
+        I.append_leads(leads, path, 1)
+    landed = I.read_leads(s, path)
     n = F.row_number().over(Window.partitionBy("custkey").orderBy("id")).cast("long")
     stamped = F.col("created_at").isNotNull() & (F.col("id") > F.coalesce(F.lag("id").over(Window.partitionBy("custkey").orderBy("id")), F.lit("")))
     return landed.select("custkey", "full_name", "email", "company", no("role", "-").alias("role"), F.length("looking_for").cast("long").alias("asked"), stamped.alias("stamped"), n.alias("n"))
@@ -1003,9 +1040,9 @@ def stream_leads(s, d):
     """The leads written as JSON files, taken in by the stream, and both of its sinks read again."""
     path = X.scratch(s)
     X.leads(s, d).write.json(f"{path}/in")
-    run_stream(s, f"{path}/in", f"{path}/valid", f"{path}/rejected", f"{path}/progress", schema=f"custkey long, {I.LEAD}").awaitTermination()
-    valid = s.read.parquet(f"{path}/valid").select("custkey", "email", "role", F.lit("").alias("reasons"))
-    return valid.union(s.read.parquet(f"{path}/rejected").select("custkey", "email", "role", F.concat_ws("; ", "reasons")))
+    run_stream(s, f"{path}/in", f"{path}/landed", f"{path}/progress", schema=f"custkey long, {I.LEAD}").awaitTermination()
+    valid = I.read_leads(s, f"{path}/landed").select("custkey", "email", "role", F.lit("").alias("reasons"))
+    return valid.union(I.read_leads(s, f"{path}/landed", "rejected").select("custkey", "email", "role", F.concat_ws("; ", "reasons")))
 
 
 @query(with_("uploads") + "SELECT page_id, filename, received, CASE WHEN declared_size > 0 THEN declared_size ELSE received END AS file_size, declared_size > received AS truncated, CASE WHEN spots > 0 THEN spots ELSE -1 END AS spots FROM uploads")
@@ -1032,10 +1069,11 @@ FROM pages"""
 
 @query(SIGNED)
 def upload_signature_check(s, d):
-    """The pages as files: odd ones have another ending, some are empty, some begin with the signature."""
-    p = X.table(s, d, "pages")
+    """The pages written as files, one each: odd ones have another ending, some are empty, some begin with the signature. What is found is read from the files."""
+    p, root = X.table(s, d, "pages"), X.scratch(s)
     name = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".h5ad").otherwise(".txt"))
     html = F.encode("html", "UTF-8")
     content = F.when(F.col("page_id") % 10 == 4, F.encode(F.lit(""), "UTF-8")).when(F.col("page_id") % 6 == 0, F.concat(F.unhex(F.lit(I.HDF5_MAGIC)), html)).otherwise(html)
-    found = I.upload_signature_check(p.select(name.alias("path"), content.alias("content")))
-    return found.select(F.regexp_extract("path", r"^(\d+)\.", 1).cast("long").alias("page_id"), "status", "reason")
+    X.write_files(p.select(name.alias("name"), content.alias("content")), root)
+    found = I.upload_signature_check(I.scan_uploads(s, root))
+    return found.select(F.regexp_extract("path", r"(\d+)\.[^/]*$", 1).cast("long").alias("page_id"), "status", "reason")

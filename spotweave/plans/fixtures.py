@@ -107,6 +107,22 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.concat("url", F.when(F.col("page_id") % 2 == 0, ".h5ad").otherwise("")).alias("filename"), F.length("html").cast("long").alias("declared_size"), (F.length("html") - F.col("page_id") % 3).cast("long").alias("received"), (F.col("page_id") - 5).alias("spots"))
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Each row (name, content) as a file of its own in a shared folder."""
+    from pyarrow import fs
+
+    def write(batches):
+        system, folder = fs.FileSystem.from_uri(root)
+        system.create_dir(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with system.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(content)
+        yield from ()
+
+    rows.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+
+
 SQL = {
     "spots": """spots AS (
   SELECT 'p' || (vec_id // 2) % 3 AS pair_id, CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS side, 'p' || (vec_id // 2) % 3 || CASE WHEN vec_id % 2 = 1 THEN 'B' ELSE 'A' END AS sample_id, (vec_id // 2) // 3 AS spot_idx,

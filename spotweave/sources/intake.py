@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.runtime import numbered
 
 # What an address must look like, the first bytes of an HDF5 file, and (below) the bounds of a lead's fields.
 EMAIL = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -50,26 +56,108 @@ def rejected(leads: DataFrame) -> DataFrame:
     return validate_lead(drop_bots(leads)).where(F.size("reasons") > 0)
 
 
-def landed(leads: DataFrame) -> DataFrame:
-    """Valid rows with an id and a time."""
-    return valid(leads).withColumn("id", F.uuid()).withColumn("created_at", F.current_timestamp())
+def landed(leads: DataFrame, batch: str | int) -> DataFrame:
+    """Valid rows with an id and a time. The id follows from the batch, the row's content and its place among the batch's equal rows, so a batch that is
+    landed again gives the same ids."""
+    good = valid(leads)
+    content = F.sha2(F.to_json(F.struct(*good.columns)), 256)
+    placed = numbered(good.withColumn("_content", content).withColumn("_tie", F.monotonically_increasing_id()), ["_content"], ["_tie"], "_k")
+    said = F.md5(F.concat_ws("/", F.lit(str(batch)), "_content", F.col("_k").cast("string")))
+    identity = F.regexp_replace(said, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return placed.withColumn("id", identity).withColumn("created_at", F.current_timestamp()).drop("_content", "_tie", "_k")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """(batch): what the ledger of a landing place lists."""
+    try:
+        return spark.read.schema("batch string").parquet(f"{root}/ledger")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "batch string")
+
+
+def append_leads(leads: DataFrame, root: str, batch: str | int) -> bool:
+    """Lands a batch: valid and rejected rows are staged, each under the batch's own folder, and then the batch is entered into the ledger.
+
+    Readers (`read_leads`) see batches of the ledger alone. A batch that failed anywhere before its entry is landed again as a whole and replaces what it staged;
+    one that is entered already is left alone, and False says so.
+    """
+    spark, name = leads.sparkSession, str(batch)
+    if committed(spark, root).where(F.col("batch") == name).take(1):
+        return False
+    landed(leads, batch).write.mode("overwrite").parquet(f"{root}/valid/batch={name}")
+    rejected(leads).write.mode("overwrite").parquet(f"{root}/rejected/batch={name}")
+    spark.createDataFrame([(name,)], "batch string").coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+    return True
+
+
+def read_leads(spark: SparkSession, root: str, kind: str = "valid") -> DataFrame:
+    """The rows (kind: valid or rejected) of all batches of the ledger."""
+    rows = spark.read.option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}").withColumn("batch", F.col("batch").cast("string"))
+    return rows.join(committed(spark, root).distinct(), "batch", "left_semi").drop("batch")
+
+
+#: Bytes of a file that tell its kind, and files that one task looks at.
+HEAD, FILES_EACH = 8, 512
+
+
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+
+class FileHeads(DataSource):
+    """(path, size, head) of each file under a path, empty ones too: a listing, and of each file its first bytes. Nothing else is read.
+    Paths are those that Arrow's file systems know."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_heads"
+
+    def schema(self) -> str:
+        return "path string, size long, head binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadReader(self.options["path"], int(self.options.get("bytes", HEAD)))
+
+
+class _HeadReader(DataSourceReader):
+    def __init__(self, path: str, n: int):
+        self.path, self.n = path, n
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path)
+        found = [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and not posixpath.basename(f.path).startswith(("_", "."))]
+        found.sort()
+        return [_Files(found[i : i + FILES_EACH]) for i in range(0, len(found), FILES_EACH)] or [_Files([])]
 
+    def read(self, partition: _Files):
+        from pyarrow import fs
 
-def append_leads(leads: DataFrame, path: str) -> None:
-    landed(leads).write.mode("append").parquet(path)
+        system, _ = fs.FileSystem.from_uri(self.path)
+        for path, size in partition.files:
+            head = b""
+            if size:
+                with system.open_input_file(path) as f:
+                    head = f.read(self.n)
+            yield path, size, head
 
 
 def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as rows (path, content); Spark's reader of whole files leaves empty ones out."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Uploaded files as rows (path, size, head)."""
+    spark.dataSource.register(FileHeads)
+    return spark.read.format("file_heads").load(path)
 
 
 def upload_signature_check(files: DataFrame) -> DataFrame:
-    """Status and reason for rows (path, content): name, then emptiness, then the first eight bytes."""
-    ok = F.hex(F.substring("content", 1, 8)) == HDF5_MAGIC
-    empty = F.col("content").isNull() | (F.octet_length("content") == 0)
-    code = F.when(~F.col("path").rlike(r"(?i)\.h5ad$"), 400).when(empty, 400).when(~ok, 415).otherwise(200)
-    why = F.when(~F.col("path").rlike(r"(?i)\.h5ad$"), "name").when(empty, "empty").when(~ok, "signature").otherwise("ok")
+    """Status and reason for rows (path, size, head): name, then emptiness, then the first eight bytes."""
+    named, empty = F.col("path").rlike(r"(?i)\.h5ad$"), F.coalesce(F.col("size"), F.lit(0)) == 0
+    ok = F.coalesce(F.hex(F.substring("head", 1, HEAD)) == HDF5_MAGIC, F.lit(False))
+    code = F.when(~named | empty, 400).when(~ok, 415).otherwise(200)
+    why = F.when(~named, "name").when(empty, "empty").when(~ok, "signature").otherwise("ok")
     return files.select("path", code.alias("status"), why.alias("reason"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scoring import label_transfer_accuracy
 from ..operators.transforms import stacking_height
 
 # Label columns in order of preference.
@@ -88,12 +90,51 @@ def scan_optional(grid: DataFrame, curves: DataFrame, keys: list[str]) -> DataFr
     return grid.join(curves, keys, "left")
 
 
-def write_plan(plan: DataFrame, path: str) -> None:
-    plan.write.mode("overwrite").partitionBy("run_id").parquet(path)
-
-
-def scan_plan(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+#: Files of a plan's run, one for each bucket of (pair, A spot).
+BUCKETS = 16
+
+
+def _plan_table(path: str, part: str) -> str:
+    return f"plan_{hashlib.md5(path.encode()).hexdigest()}_{part}"
+
+
+def write_plan(plan: DataFrame, path: str, labels_a: DataFrame | None = None, labels_b: DataFrame | None = None, parameters: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """A plan (run_id, pair_id, a_idx, b_idx, mass) with what is needed to score it again: the labels of both slices (run_id, pair_id, a_idx or b_idx, layer) and its
+    parameters (run_id, key, value). Plan and labels lie by run and, within it, in sorted buckets by spot, A's with the plan's."""
+    spark = plan.sparkSession
+    for part, df, key in (("plan", plan, "a_idx"), ("labels_a", labels_a, "a_idx"), ("labels_b", labels_b, "b_idx")):
+        if df is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {_plan_table(path, part)}")
+            dealt = df.repartition(buckets, "pair_id", key)  # as the buckets are: a file for each run and bucket
+            dealt.write.mode("overwrite").partitionBy("run_id").bucketBy(buckets, "pair_id", key).sortBy("pair_id", key).option("path", f"{path}/{part}").saveAsTable(_plan_table(path, part))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+    if parameters is not None:
+        parameters.select("run_id", "key", F.col("value").cast("string").alias("value")).write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/parameters")
+
+
+def scan_plan(spark: SparkSession, path: str, run_id: str, part: str = "plan") -> DataFrame:
+    """A run of a written plan: part plan, labels_a, labels_b or parameters. The tables are registered, with their buckets, where this session's catalog hasn't got them."""
+    if part == "parameters":
+        return spark.read.parquet(f"{path}/parameters").where(F.col("run_id") == run_id)
+    name = _plan_table(path, part)
+    if not spark.catalog.tableExists(name):
+        shape = spark.read.parquet(f"{path}/{part}").schema
+        buckets, key = spark.read.parquet(f"{path}/layout").first()[0], "b_idx" if part == "labels_b" else "a_idx"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (run_id) CLUSTERED BY (pair_id, {key}) SORTED BY (pair_id, {key}) INTO {buckets} BUCKETS LOCATION '{path}/{part}'")
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name).where(F.col("run_id") == run_id)
+
+
+def rescore(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """Label transfer of a stored run, without aligning anew: (run_id, pair_id, counts, accuracy). The heaviest B of each A spot, and its label, are found bucket by bucket: the plan isn't shuffled."""
+    plan = scan_plan(spark, path, run_id)
+    a, b = (scan_plan(spark, path, run_id, f"labels_{x}") for x in "ab")
+    best = plan.groupBy("pair_id", "a_idx").agg(F.max(F.struct("mass", (-F.col("b_idx")).alias("i"))).alias("m")).select("pair_id", "a_idx", (-F.col("m.i")).alias("best"))
+    first = b.groupBy("pair_id").agg(F.min("b_idx").alias("first"))  # a row for each pair
+    each = a.select("pair_id", "a_idx", F.col("layer").alias("layer_a")).join(best, ["pair_id", "a_idx"], "left").join(F.broadcast(first), "pair_id")
+    each = each.select("pair_id", "layer_a", F.coalesce("best", "first").alias("b_idx")).join(b.select("pair_id", "b_idx", F.col("layer").alias("layer_b")), ["pair_id", "b_idx"])
+    return label_transfer_accuracy(each, ["pair_id"]).select(F.lit(run_id).alias("run_id"), "*")
 
 
 def summary_lines(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
