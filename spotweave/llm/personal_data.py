@@ -9,7 +9,7 @@ Its patterns are the words around it: two to the left, one on each side, one to
 A round scores patterns and then instances. For a kind, a pattern's confidence is the sum of its instances' scores over their
 number plus one, all identifier-like strings counted, so a word that any number may follow scores low; it counts from
 `support` in scores and `confidence` on. An instance that is no seed has 1 - prod(1 - confidence) over the patterns it stands in.
-After `rounds` rounds a candidate is a span of the kind whose patterns, where it stands, give at least `accept`.
+After `rounds` rounds, or where a round changes no pattern, a candidate is a span of the kind whose patterns, where it stands, give at least `accept`.
 
 Texts are read once, in one pass of whole rows; what travels after that are candidates and their few words, not texts. The joins
 on patterns and on instances are salted, sums are partial before a shuffle, and the passes are cut by checkpoint(). Work on a text is linear in
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import use_shared_checkpoints
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, ACCEPT, ROUNDS, SALT = 3.0, 0.75, 0.8, 3, 16
+SUPPORT, CONFIDENCE, ACCEPT, ROUNDS, SALT = 4.0, 0.8, 0.8, 3, 16
 #: Letters of a context word that count; longer ones are cut.
 WORD_CHARS = 24
 
@@ -46,7 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT, _DOT = r"(?:@|[\[({<]\s?at\s?[\])}>]| at )", r"(?:\.|[\[({<]\s?dot\s?[\])}>]| dot )"
 _LOOSE_MAIL = re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}\s?{_AT}\s?[A-Za-z0-9-]{{1,64}}(?:\s?{_DOT}\s?[A-Za-z0-9-]{{2,64}}){{0,5}}", re.ASCII)
 _SIGN = re.compile(r"@|[\[({<]\s?(?:at|dot)\s?[\])}>]| at | dot ")
-_LOOSE_NUMBER = re.compile(r"(?<![\w.])\(?[0-9](?:[\x20()./_: ‐-–-]{0,2}[0-9])++(?!\w)")
+_LOOSE_NUMBER = re.compile(r"(?<![\w.])\(?[0-9](?:(?:[\x20\xA0()./_:‐-–-]|\[\.\]){0,2}[0-9])++(?!\w)")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
 
@@ -144,7 +144,7 @@ def _value(found: str, kind: int) -> str:
 
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
-SCHEMA = f"row long, doc_id {{kind}}, base array<{SPAN}>, candidates array<struct<start:bigint,end:bigint,seed:int,kinds:array<int>,value:string,contexts:array<string>>>"
+SCHEMA = f"row long, doc_id {{kind}}, base array<{SPAN}>, candidates array<struct<start:bigint,end:bigint,seed:int,kinds:int,value:string,contexts:array<string>>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -156,13 +156,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 text = text or ""
                 seeds = base(text)
-                found = [{"start": s, "end": e, "seed": k, "kinds": kinds, "value": v, "contexts": contexts(text, s, e)} for s, e, k, kinds, v in candidates(text, seeds)]
+                found = [{"start": s, "end": e, "seed": k, "kinds": sum(1 << k for k in kinds), "value": v, "contexts": contexts(text, s, e)} for s, e, k, kinds, v in candidates(text, seeds)]
                 rows.append({"row": row, "doc_id": doc, "base": [{"start": s, "kind": k, "end": e} for s, k, e in seeds], "candidates": found})
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     kind = docs.schema[id_col].dataType.simpleString()
     span = [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]
-    instance = [("start", pa.int64()), ("end", pa.int64()), ("seed", pa.int32()), ("kinds", pa.list_(pa.int32())), ("value", pa.string()), ("contexts", pa.list_(pa.string()))]
+    instance = [("start", pa.int64()), ("end", pa.int64()), ("seed", pa.int32()), ("kinds", pa.int32()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))]
     shape = pa.schema([("row", pa.int64()), ("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("base", pa.list_(pa.struct(span))), ("candidates", pa.list_(pa.struct(instance)))])
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), "text").mapInArrow(run, SCHEMA.format(kind=kind))
 
@@ -173,6 +173,11 @@ def _salted(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(many, [key, "_salt"]).drop("_salt")
 
 
+def _may_be() -> Column:
+    """Whether kinds, a bit for each, has the kind."""
+    return F.expr("shiftright(kinds, kind) % 2 = 1")
+
+
 def _either(confidence: Column) -> Column:
     """1 - prod(1 - c) over a group."""
     return 1 - F.exp(F.sum(F.log(F.greatest(1 - confidence, F.lit(1e-9)))))
@@ -180,16 +185,21 @@ def _either(confidence: Column) -> Column:
 
 def patterns(instances: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(context, kind, confidence) of the patterns that count after the last round. instances: value, seed, kinds, contexts; a row each occurrence."""
-    edges = instances.select("value", "seed", "kinds", F.explode("contexts").alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")).checkpoint()
+    edges = instances.select("value", "seed", "kinds", F.explode("contexts").alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed"), F.bit_or("kinds").alias("kinds")).checkpoint()
     seeds = edges.where("seed >= 0").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0)).checkpoint()
     sizes = edges.groupBy("context").agg(F.count("*").alias("of"))
     scores = seeds
+    before, found = None, None
     for k in range(rounds):
         sums = _salted(edges.select("context", "value"), scores, "value", "context").groupBy("context", "kind").agg(F.sum("score").alias("sum")).where(F.col("sum") >= support)
         found = sums.join(sizes, "context").select("context", "kind", (F.col("sum") / (F.col("of") + 1)).alias("confidence")).where(F.col("confidence") >= confidence).checkpoint()
+        now = found.agg(F.count("*"), F.sum("confidence")).first()
+        if not now[0] or now == before:
+            return found  # nothing speaks of anything new
+        before = now
         if k + 1 < rounds:
             open_ = edges.where("seed < 0").select("context", "value", "kinds")
-            more = _salted(open_, found, "context", "value").where(F.array_contains("kinds", F.col("kind"))).groupBy("value", "kind").agg(_either(F.col("confidence")).alias("score"))
+            more = _salted(open_, found, "context", "value").where(_may_be()).groupBy("value", "kind").agg(_either(F.col("confidence")).alias("score"))
             scores = seeds.union(more.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti")).checkpoint()
     return found
 
@@ -200,8 +210,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", accept: float = ACCEPT, **grap
     scanned = scan(docs, id_col).checkpoint()
     each = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     known = patterns(each, **graph)
-    open_ = each.where("seed < 0 and size(kinds) > 0").select("row", "start", "end", "kinds", F.explode("contexts").alias("context"))
-    scored = _salted(open_, known, "context", "row").where(F.array_contains("kinds", F.col("kind"))).groupBy("row", "start", "end", "kind").agg(_either(F.col("confidence")).alias("score")).where(F.col("score") >= accept)
+    if not known.take(1):
+        return scanned.select(F.col("doc_id").alias(id_col), "base", F.array().cast(f"array<{SPAN}>").alias("added"))
+    open_ = each.where("seed < 0 and kinds > 0").select("row", "start", "end", "kinds", F.explode("contexts").alias("context"))
+    scored = _salted(open_, known, "context", "row").where(_may_be()).groupBy("row", "start", "end", "kind").agg(_either(F.col("confidence")).alias("score")).where(F.col("score") >= accept)
     best = scored.groupBy("row", "start", "end").agg(F.min_by("kind", F.struct((-F.col("score")).alias("s"), "kind")).alias("kind"))
     added = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))  # at most a text's candidates
     none = F.array().cast(f"array<{SPAN}>")
