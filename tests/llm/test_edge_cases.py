@@ -11,6 +11,7 @@ from spotweave.llm import queries as Q
 CLASHING = (
     "size", "key", "bin", "named", "root", "side", "class_id", "copy_id", "n_links", "bands", "band", "u", "v", "n", "tile", "other", "g", "words", "word", "gram", "paragraph", "host", "path", "part", "lines",
     "stratum", "m", "w", "t", "s", "k", "e", "p", "d", "h", "i", "block", "doc", "score", "rejected", "lang_pred", "kept", "target", "taken", "before", "n_tokens", "n_hit", "hit", "row", "pos", "at", "start", "same", "value",
+    "base", "added", "candidates", "context", "kind", "kinds", "seed", "symbol", "symbols", "edits", "chunk", "last", "after", "turns", "fault", "a", "documents", "most", "best", "groups", "tag",
 )
 LONG = " ".join(f"wort{k % 7919}" for k in range(120_000))
 COPY = "the quick brown fox jumps over the lazy dog and runs away from the seven grey wolves of the north " * 3
@@ -25,9 +26,13 @@ PAGES = [
     (1, "http://a.org/x", "<p>One, two.</p>"), (1, "http://a.org/x", "<p>One, two.</p>"), (None, None, None), (2, "", ""), (3, "http://" + "ab" * 2000 + ".net/" + "y" * 9000, "<article>" + "<p>Some words, and a few more of them.</p>" * 20_000 + "</article>"),
     (4, "://", "<" * 500), (5, "nonsense", "plain text only"), (6, "http://casinowin.net/\n?x", "<div>" * 3000 + "deep" + "</div>" * 3000),
 ]
+TALK = [
+    (1, 0, "user", "Hello."), (1, 0, "user", "Hello."), (1, 1, "assistant", "Hi"), (1, None, None, None), (1, 2, "user", LONG), (None, 0, "user", "a."), (None, None, "assistant", "b."), (2, 5, "", ""), (2, 9, "system", " \t\n"),
+    (3, -4, "assistant", "日本。"), (3, 7, "user", "é!"), (4, 2**40, "user", "?"),
+]
 TABLES = {
     "documents": (DOCS, "doc_id long, text string, lang string, source string, n_chars long"), "benchmark": (ITEMS, "item_id string, text string"), "labels": (LABELS, "doc_id long, quality int, toxic int"),
-    "pages": (PAGES, "page_id long, url string, html string"),
+    "pages": (PAGES, "page_id long, url string, html string"), "conversations": (TALK, "conv_id long, turn long, role string, text string"),
 }
 
 
@@ -53,7 +58,7 @@ def none(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_query(spark, odd, none, name):
     rows = Q.queries()[name](spark, odd).collect()
-    table, key = ("pages", "page_id") if "page_id" in rows[0] else ("documents", "doc_id")
+    table, key = next((t, k) for t, k in (("pages", "page_id"), ("conversations", "conv_id"), ("documents", "doc_id")) if k in rows[0])
     ids = [r[0] for r in TABLES[table][0]]
     got = [r[key] for r in rows]
     order = lambda x: (x is None, x or 0)
