@@ -180,7 +180,7 @@ def _gram_blocks(rows: DataFrame, shared, fan: int = FAN, gene_block: int = GENE
     return sums.groupBy("block").applyInArrow(last, "block int, p binary, q binary, r binary")
 
 
-def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, rounds: int = 4, seed: int = 0) -> DataFrame:
+def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, rounds: int = 4, seed: int = 0, gene_block: int = GENE_BLOCK, fan: int = FAN) -> DataFrame:
     """(gene_idx, dim, w): the top k right singular vectors of the stacked spots x genes matrix, not centred.
 
     Randomised subspace iteration over packed rows, one job each round: see _gram_blocks. The driver gets a row of bytes for each block of genes (a few, as genes
@@ -194,13 +194,13 @@ def shared_svd_basis(values: DataFrame, k: int, n_genes: int, extra: int = 10, r
     def times(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The product with the Gram matrix, and its orthonormal columns."""
         shared = spark.sparkContext.broadcast(q)
-        found = _gram_blocks(rows, shared).toArrow().sort_by("block").to_pylist()
+        found = _gram_blocks(rows, shared, fan, gene_block).toArrow().sort_by("block").to_pylist()
         shared.unpersist()
         p, small = np.zeros((n_genes, width)), [np.frombuffer(x["r"]).reshape(-1, width) for x in found]
         turn = np.linalg.qr(np.concatenate(small))[0] if small else np.zeros((0, width))
         out, at = np.zeros((n_genes, turn.shape[1])), 0
         for x, r in zip(found, small, strict=True):
-            here = slice(x["block"] * GENE_BLOCK, min((x["block"] + 1) * GENE_BLOCK, n_genes))
+            here = slice(x["block"] * gene_block, min((x["block"] + 1) * gene_block, n_genes))
             p[here] = np.frombuffer(x["p"]).reshape(-1, width)
             out[here] = np.frombuffer(x["q"]).reshape(-1, len(r)) @ turn[at : at + len(r)]
             at += len(r)
@@ -325,6 +325,84 @@ def feature_knn_weighted(qk: DataFrame, spots_a: DataFrame, k: int = 10) -> Data
     return near.groupBy("pair_id", "b_idx").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 
+#: The index: tables of projections, spots of A that a bucket should hold, bits that a query turns over besides its own bucket, and vectors of a pair that the cuts are fitted on.
+TABLES, BUCKET, FLIPS, FITTED = 2, 32, 3, 4096
+
+
+def index_projections(qk: DataFrame, tables: int = TABLES, bucket: int = BUCKET, seed: int = 0) -> DataFrame:
+    """(pair_id, bits, width, cuts): the fitted index of each pair. A table has `bits` random directions, as many as make buckets of about `bucket` A spots, each cut at
+    the median of a sample of A (the FITTED spots of least hash), so buckets are balanced along each direction. Directions follow from the seed and the width."""
+    a = with_vectors(qk).where("side = 'A'")
+    n = a.groupBy("pair_id").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * FITTED) / F.col("n"))
+    # a hash bound first, so that a window sees some thousand rows of a pair
+    few = a.join(n, "pair_id").where(F.pmod(F.xxhash64("spot_idx"), F.lit(1 << 20)) <= share * (1 << 20))
+    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.xxhash64("spot_idx"), "spot_idx"))).where(F.col("_k") <= FITTED)
+
+    def fit(group: pa.Table) -> pa.Table:
+        v, n = _matrix(group), group["n"][0].as_py()
+        bits = int(np.clip(round(math.log2(max(n / bucket, 1))), 1, 20))
+        cuts = np.median(v @ _directions(v.shape[1], tables * bits, seed), axis=0)
+        return pa.table({"pair_id": group["pair_id"].slice(0, 1), "bits": pa.array([bits], pa.int32()), "width": pa.array([v.shape[1]], pa.int32()), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
+
+    return few.select("pair_id", "n", "v").groupBy("pair_id").applyInArrow(fit, "pair_id string, bits int, width int, cuts array<double>")
+
+
+def _directions(width: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, width]).normal(size=(n, width)).T
+
+
+def index_buckets(qk: DataFrame, index: DataFrame, tables: int = TABLES, flips: int = FLIPS, seed: int = 0) -> DataFrame:
+    """qk's rows (pair_id, side, spot_idx, v) with (table, bucket): an A spot once for each table, a B spot also with each of its `flips` least certain bits turned over, and with
+    the two least certain ones together."""
+    rows = with_vectors(qk).select("pair_id", "side", "spot_idx", "v").join(index, "pair_id")
+
+    def deal(batches):
+        for batch in batches:
+            sides, bits, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "bits", "width"))
+            out = {"i": [], "table": [], "bucket": []}
+            for b, w in sorted(set(zip(bits.tolist(), width.tolist(), strict=True))):
+                mine = np.flatnonzero((bits == b) & (width == w))
+                part = pa.table({c: batch.column(c).take(pa.array(mine)) for c in ("v", "cuts")}).combine_chunks()
+                v, cuts = _matrix(part), _matrix(part, "cuts")
+                off = (v @ _directions(w, tables * b, seed) - cuts).reshape(len(mine), tables, b)
+                own = ((off > 0) << np.arange(b)).sum(2)
+                least = np.argsort(np.abs(off), axis=2)[:, :, : min(flips, b)]
+                probes = [own] + [own ^ (1 << least[:, :, f]) for f in range(least.shape[2])] + ([own ^ (1 << least[:, :, 0]) ^ (1 << least[:, :, 1])] if least.shape[2] > 1 else [])
+                asks = sides[mine] == "B"
+                for k, probe in enumerate(probes):
+                    to = np.flatnonzero(asks) if k else np.arange(len(mine))
+                    out["i"].append(np.repeat(mine[to], tables))
+                    out["table"].append(np.tile(np.arange(tables), len(to)))
+                    out["bucket"].append(probe[to].ravel())
+            if out["i"]:
+                i, table, at = (np.concatenate(x) for x in out.values())
+                keep = [batch.column(c).take(pa.array(i)) for c in ("pair_id", "side", "spot_idx", "v")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(table.astype(np.int32)), pa.array(at.astype(np.int32))], ["pair_id", "side", "spot_idx", "v", "table", "bucket"])
+
+    return rows.mapInArrow(deal, "pair_id string, side string, spot_idx long, v array<double>, table int, bucket int")
+
+
+def index_neighbors(qk: DataFrame, k: int, tables: int = TABLES, bucket: int = BUCKET, flips: int = FLIPS, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """topk_neighbors by the index: the k nearest among the A spots that share one of a B spot's buckets, exactly ranked. It finds most, not all: near vectors may lie apart in every
+    table; `index_work` counts the distances that it takes. Its worth is for vectors of low intrinsic dimension, such as expression features; among random directions of
+    many dimensions no bucket helps. Every A spot is in the index."""
+    dealt = index_buckets(qk, index_projections(qk, tables, bucket, seed), tables, flips, seed)
+    own = F.concat_ws("/", F.col("pair_id"), F.col("table").cast("string"), F.col("bucket").cast("string"))
+    near = _by_block(dealt.select(own.alias("pair_id"), "side", "spot_idx", "v"), _nearest(k), f"{PAIR}, distance double", block)
+    pair = F.expr("substring(pair_id, 1, char_length(pair_id) - char_length(substring_index(pair_id, '/', -2)) - 1)")
+    each = near.select(pair.alias("pair_id"), "b_idx", "a_idx", "distance").groupBy("pair_id", "b_idx", "a_idx").agg(F.min("distance").alias("distance"))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "b_idx").orderBy("distance", "a_idx"))).where(F.col("rank") <= k)
+
+
+def index_work(qk: DataFrame, tables: int = TABLES, bucket: int = BUCKET, flips: int = FLIPS, seed: int = 0) -> DataFrame:
+    """(pair_id, distances, all_pairs): how many distances `index_neighbors` takes, repeats counted, and how many there are."""
+    dealt = index_buckets(qk, index_projections(qk, tables, bucket, seed), tables, flips, seed)
+    count = lambda s: F.count_if(F.col("side") == s)
+    taken = dealt.groupBy("pair_id", "table", "bucket").agg((count("A") * count("B")).alias("d")).groupBy("pair_id").agg(F.sum("d").alias("distances"))
+    return taken.join(with_vectors(qk).groupBy("pair_id").agg((count("A") * count("B")).alias("all_pairs")), "pair_id")
+
+
 def _scaled(b: pa.Table, a: pa.Table) -> np.ndarray:
     bv, av = _matrix(b), _matrix(a)
     return bv @ av.T / np.sqrt(av.shape[1])

@@ -441,6 +441,20 @@ def attention_match(s, d):
     return r6(found.select("pair_id", "b_idx", "x", "y", F.get("z", F.lit(0)).alias("z0"), F.get("z", F.lit(63)).alias("z63")), "x", "y", "z0", "z63")
 
 
+def _low(s, d):
+    """Vectors of low dimension: the first three numbers of each."""
+    return X.qk_odd(s, d).withColumn("v", F.slice("v", 1, 3))
+
+
+@query(QK + "SELECT pair_id, count(*) AS all_pairs, true AS fewer, true AS found FROM pairs GROUP BY pair_id")
+def feature_index(s, d):
+    """The index against the exact way: whether it finds 0.9 of the ten nearest, and takes less than 0.8 of all distances (slices of these tables are small: their share falls as slices grow)."""
+    exact, near = E.topk_neighbors(_low(s, d), 10), E.index_neighbors(_low(s, d), 10, tables=2, bucket=4, flips=3)
+    recall = exact.join(near.select("pair_id", "b_idx", "a_idx", F.lit(1).alias("hit")), ["pair_id", "b_idx", "a_idx"], "left").groupBy("pair_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    work = E.index_work(_low(s, d), tables=2, bucket=4, flips=3).join(recall, "pair_id")
+    return work.select("pair_id", "all_pairs", (F.col("distances") < F.col("all_pairs") * 0.8).alias("fewer"), (F.col("recall") >= 0.9).alias("found"))
+
+
 @query(QK + "SELECT pair_id, b_idx, a_idx, round(list_inner_product(bv, av) / (sqrt(list_inner_product(bv, bv)) * sqrt(list_inner_product(av, av))) / 0.1::DOUBLE, 6) AS logit FROM pairs")
 def cosine_match(s, d):
     return r6(E.cosine_match(X.qk_odd(s, d)), "logit")

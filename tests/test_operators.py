@@ -123,13 +123,13 @@ def test_severity_tag(spark, value, text):
 
 def test_curve_files_of_all_generations(spark, tmp_path):
     for name, text in {
-        "sweep_deformation_ms_tear_S2_seed9999": "severity,max_disp_px,mean_disp_px,reg_err_mean,reg_err_median,reg_err_p90,n_reg_scored,paste2_acc,random_floor,n_label_scored,runtime_s\n0.0,1,2,3,4,5,6,0.7,0.4,9,10\n0.0,1,2,3,44,5,6,0.7,0.4,9,10\n",
-        "arca_ctr_attn_l0p5_testS1_test_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,match_top1,n\n8.0,1.5,2.5,3.5,0.25,77\n", "lodo_global_heldBr5292_train_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,n\n2,1,2,3,4\n\n",
+        "run_one_cut_S2_seed9999": "severity,max_disp_px,mean_disp_px,reg_err_mean,reg_err_median,reg_err_p90,n_reg_scored,paste2_acc,random_floor,n_label_scored,runtime_s\n0.0,1,2,3,4,5,6,0.7,0.4,9,10\n0.0,1,2,3,44,5,6,0.7,0.4,9,10\n",
+        "learned_v2_testS1_test_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,match_top1,n\n8.0,1.5,2.5,3.5,0.25,77\n", "left_out_heldBr5292_train_curve": "severity,reg_err_median,reg_err_mean,reg_err_p90,n\n2,1,2,3,4\n\n",
     }.items():
         (tmp_path / f"{name}.csv").write_text(text)
     got = {r.run: r for r in L.scan_curves(spark, str(tmp_path)).collect()}
     assert {(r.method, r.fold, r.seed, r.role, r.severity, r.reg_err_median, r.match_top1, r.n, r.runtime_s) for r in got.values()} == {
-        ("sweep_deformation_ms_tear", "S2", 9999, None, 0.0, 44.0, None, None, 10.0), ("arca_ctr_attn_l0p5", "S1", None, "test", 8.0, 1.5, 0.25, 77.0, None), ("lodo_global", "Br5292", None, "train", 2.0, 1.0, None, 4.0, None),
+        ("run_one_cut", "S2", 9999, None, 0.0, 44.0, None, None, 10.0), ("learned_v2", "S1", None, "test", 8.0, 1.5, 0.25, 77.0, None), ("left_out", "Br5292", None, "train", 2.0, 1.0, None, 4.0, None),
     }
 
 
@@ -255,23 +255,25 @@ def test_leads(spark, tmp_path):
     why = [r.reasons for r in I.validate_lead(df).collect()]
     assert why == [[], ["full_name required"], ["email shape"], ["email shape"], [], ["looking_for length"]]
     assert [(r.full_name, r.company, r.role, r.looking_for) for r in I.valid(df).collect()] == [("Ann Bee", "Co", None, "help")]
-    I.append_leads(df, str(tmp_path / "t"))
-    I.append_leads(df, str(tmp_path / "t"))
-    landed = spark.read.parquet(str(tmp_path / "t")).collect()
+    root = str(tmp_path / "t")
+    assert I.append_leads(df, root, 0) and I.append_leads(df, root, 1) and not I.append_leads(df, root, 1)
+    landed = I.read_leads(spark, root).collect()
     assert len(landed) == 2 and len({r.id for r in landed}) == 2 and all(r.created_at for r in landed)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("\n".join(json.dumps(r.asDict()) for r in df.collect()))
-    stream_leads(spark, str(tmp_path / "in"), str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 4
+    stream_leads(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    assert I.read_leads(spark, str(tmp_path / "s")).count() == 1 and I.read_leads(spark, str(tmp_path / "s"), "rejected").count() == 4
 
 
 def test_upload_signature(spark, tmp_path):
-    for name, body in {"a.h5ad": bytes.fromhex(I.HDF5_MAGIC) + b"x", "c.h5ad": b"12345678", "d.txt": bytes.fromhex(I.HDF5_MAGIC)}.items():
+    magic = bytes.fromhex(I.HDF5_MAGIC)
+    (tmp_path / "deep").mkdir()
+    for name, body in {"a.h5ad": magic + b"x" * 100_000, "b.H5AD": b"", "c.h5ad": b"12345678", "d.txt": magic, "deep/e.h5ad": magic[:4], "_f.h5ad": magic}.items():
         (tmp_path / name).write_bytes(body)
     files = I.scan_uploads(spark, str(tmp_path))
-    files = files.union(spark.createDataFrame([("x/b.H5AD", bytearray())], "path string, content binary"))  # the reader leaves empty files out
+    assert {(r.path[-6:], r["size"], bytes(r["head"])) for r in files.collect()} == {("a.h5ad", 100_008, magic), ("b.H5AD", 0, b""), ("c.h5ad", 8, b"12345678"), ("/d.txt", 8, magic), ("e.h5ad", 4, magic[:4])}
     got = {r.path[-6:]: (r.status, r.reason) for r in I.upload_signature_check(files).collect()}
-    assert got == {"a.h5ad": (200, "ok"), "b.H5AD": (400, "empty"), "c.h5ad": (415, "signature"), "/d.txt": (400, "name")}
+    assert got == {"a.h5ad": (200, "ok"), "b.H5AD": (400, "empty"), "c.h5ad": (415, "signature"), "/d.txt": (400, "name"), "e.h5ad": (415, "signature")}
 
 
 def test_round_trips(spark, tmp_path):
@@ -279,7 +281,7 @@ def test_round_trips(spark, tmp_path):
     L.write_curves(c, str(tmp_path / "c"))
     got = L.scan_curves(spark, str(tmp_path / "c"), ["err"])
     assert sorted((r.severity, r.err) for r in got.collect()) == [(0.0, 1.5), (8.0, 2.5)]
-    plan = spark.createDataFrame([("r", 0, 1, 2.0), ("s", 0, 1, 3.0)], "run_id string, a_idx long, b_idx long, mass double")
+    plan = spark.createDataFrame([("r", "p", 0, 1, 2.0), ("s", "p", 0, 1, 3.0)], "run_id string, pair_id string, a_idx long, b_idx long, mass double")
     L.write_plan(plan, str(tmp_path / "p"))
     assert [r.mass for r in L.scan_plan(spark, str(tmp_path / "p"), "s").collect()] == [3.0]
     kv = spark.createDataFrame([("a", "1=2"), ("b", "x")], "key string, value string")
@@ -306,3 +308,199 @@ def test_matching_in_many_blocks_equals_brute_force(spark):
     got = E.attention_match(qk, a, block=5).collect()
     assert len(got) == 46 and all(abs(r.x - x[r.b_idx]) < 1e-9 for r in got)
     assert E.attention_logits(qk, block=5).count() == 2 * 37 * 23
+
+
+def test_vectors_that_are_not_finite_match_nothing(spark):
+    nan, shape = math.nan, "pair_id string, side string, spot_idx long, v array<double>"
+    rows = [("p", s, i, v) for s in "AB" for i, v in enumerate(([1.0, 2.0], [5.0, 2.0]))]
+    good = spark.createDataFrame(rows, shape)
+    odd = good.union(spark.createDataFrame([("p", "A", 7, [1.0, None]), ("p", "A", 8, [nan, 1.0]), ("p", "A", 9, [math.inf, 1.0]), ("p", "B", 7, [nan, nan]), ("p", "B", 8, None)], shape))
+    a = spots(spark, [("A", i, 0, i, float(i), 1.0, "L") for i in (0, 1, 7, 8, 9)])
+    partner = spark.createDataFrame([("p", 0, 0), ("p", 1, 0)], "pair_id string, b_idx long, a_idx long")
+    target = spark.createDataFrame([("p", 0, 0, 1.0), ("p", 1, 8, 1.0), ("p", 1, 1, 0.5)], "pair_id string, b_idx long, a_idx long, w double")
+    of = lambda q: [sorted(map(tuple, d.collect())) for d in (E.topk_neighbors(q, 1), E.feature_knn_weighted(q, a), E.attention_match(q, a), E.match_top1(q, partner), E.effective_support(q), E.cosine_match(q), E.attention_weights(q), E.soft_cross_entropy(q, target))]
+    found = of(odd)
+    assert found == of(good) and all(found) and found[0] == [("p", 0, 0, 0.0, 1), ("p", 1, 1, 0.0, 1)]
+
+
+def test_soft_features(spark):
+    rng = np.random.default_rng(8)
+    v = {s: rng.normal(size=(n, 4)) for s, n in (("A", 11), ("B", 6))}
+    qk = spark.createDataFrame([("p", s, i, v[s][i].tolist()) for s in "AB" for i in range(len(v[s]))], "pair_id string, side string, spot_idx long, v array<double>")
+    a = spots(spark, [("A", i, 0, i, float(i), float(-i), "L") for i in range(11)])
+    z = rng.normal(size=(11, 5))
+    features = spark.createDataFrame([("p", i, z[i].tolist()) for i in range(11)] + [("p", 99, None)], "pair_id string, spot_idx long, z array<double>")
+    p = np.exp(v["B"] @ v["A"].T / 2)
+    p /= p.sum(1, keepdims=True)
+    got = sorted(E.attention_match(qk, a, block=3, features=features).collect(), key=lambda r: r.b_idx)
+    assert np.allclose([r.z for r in got], p @ z) and np.allclose([r.x for r in got], p @ np.arange(11))
+    assert np.allclose([r.p for r in sorted(E.attention_weights(qk, block=4).collect(), key=lambda r: (r.b_idx, r.a_idx))], p.ravel())
+
+
+def sparse(spark, m, extra=()):
+    rows = [("A", i, g, float(m[i, g])) for i in range(len(m)) for g in range(m.shape[1]) if m[i, g]] + list(extra)
+    return spark.createDataFrame(rows, "sample_id string, spot_idx long, gene_idx int, v double")
+
+
+def test_packed_projection(spark):
+    """One gene in every spot, genes that the basis lacks, weights that a dimension lacks, a basis in several blocks; no exchange by gene and no join."""
+    r = np.random.default_rng(9)
+    m = np.where(r.random((40, 25)) < 0.2, r.normal(size=(40, 25)), 0.0)
+    m[:, 7] = 1.5
+    w = np.where(r.random((25, 6)) < 0.6, r.normal(size=(25, 6)), 0.0)
+    w[7] = [1.0, 2.0, 0.0, 0.0, 3.0, 4.0]
+    values = sparse(spark, m, [("B", 1, 900, 2.0), ("B", 2, None, 2.0), ("B", 3, 7, 1.0)])
+    basis = spark.createDataFrame([(g, k * 10, float(w[g, k])) for g in range(25) for k in range(6) if w[g, k]] + [(None, 1, 1.0), (7, None, 1.0)], "gene_idx int, dim int, w double")
+    want = {}
+    for i in range(40):
+        for k in range(6):
+            if any(m[i, g] and w[g, k] for g in range(25)):
+                want["A", i, k * 10] = float(m[i] @ w[:, k])
+    want |= {("B", 3, k * 10): float(w[7, k]) for k in range(6) if w[7, k]}
+    for numbers in (E.BLOCK_NUMBERS, 60):
+        out = E.project_basis(values, basis, numbers)
+        got = {(x.sample_id, x.spot_idx, x.dim): x.z for x in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        plan = plan_of(out)
+        assert "gene_idx" not in "".join(x for x in plan.splitlines() if "Exchange" in x) and "Join" not in plan
+    assert E.project_basis(values, basis.where("dim = 77")).collect() == []
+
+
+def test_svd_in_blocks_of_genes(spark):
+    """More blocks than one, more partial sums than a group takes, fewer spots than columns."""
+    r = np.random.default_rng(2)
+    m = np.maximum(r.normal(size=(60, 4)) @ r.normal(size=(4, 30)), 0)
+    v = E.shared_svd_basis(sparse(spark, m).repartition(9), 3, 30, rounds=8, gene_block=7, fan=2)
+    w = np.zeros((30, 3))
+    for x in v.collect():
+        w[x.gene_idx, x.dim] = x.w
+    assert np.allclose(np.abs(w), np.abs(np.linalg.svd(m, full_matrices=False)[2][:3].T), atol=1e-4)
+    few = E.shared_svd_basis(sparse(spark, m[:2]), 2, 30, rounds=3).collect()
+    assert {x.dim for x in few} == {0, 1}
+
+
+def test_the_index_finds_most_with_few_distances(spark):
+    r = np.random.default_rng(0)
+    turn = r.normal(size=(6, 40))
+    x = {s: (r.normal(size=(n, 6)) * [3, 2, 1.5, 1, 0.7, 0.5]) @ turn + r.normal(size=(n, 40)) * 0.1 for s, n in (("A", 5000), ("B", 1500))}
+    qk = spark.createDataFrame([("a/b", s, i, v.tolist()) for s in "AB" for i, v in enumerate(x[s])] + [("a/b", "A", 9999, [math.nan] * 40)], "pair_id string, side string, spot_idx long, v array<double>")
+    exact = {(r.b_idx, r.a_idx) for r in E.topk_neighbors(qk, 10).collect()}
+    near = {(r.b_idx, r.a_idx): r.pair_id for r in E.index_neighbors(qk, 10).collect()}
+    work = E.index_work(qk).first()
+    assert len(exact & near.keys()) >= 0.9 * len(exact) and set(near.values()) == {"a/b"}
+    assert work.all_pairs == 5000 * 1500 and work.distances < 0.3 * work.all_pairs
+
+
+@pytest.mark.parametrize("tile", [4096, 37])
+def test_neighbours_of_crowds(spark, tile):
+    """A crowd at one place, a dense cluster in a sparse field, a line of growing gaps, queries far away: all exact, by one pass."""
+    r = np.random.default_rng(5)
+    field = np.concatenate([r.uniform(0, 1000, (150, 2)), np.repeat([[500.0, 500.0]], 500, 0), r.uniform(500, 500.001, (200, 2))])
+    samples = {"A": field, "B": np.c_[np.arange(200.0) ** 3, np.zeros(200)], "C": np.ones((30, 2)), "D": np.array([[1.0, 2.0]])}
+    df = spark.createDataFrame([(s, i, float(x), float(y)) for s, xy in samples.items() for i, (x, y) in enumerate(xy)] + [("D", 5, None, 1.0), ("D", 6, math.nan, 1.0)], "sample_id string, spot_idx long, x double, y double").repartition(4)
+
+    def plain(q, p, k, other):
+        out = {}
+        for i, (x, y) in enumerate(q):
+            d = (x - p[:, 0]) ** 2 + (y - p[:, 1]) ** 2
+            out[i] = [(int(j), float(d[j])) for j in np.lexsort((np.arange(len(p)), d)) if not other or j != i][:k]
+        return {i: v for i, v in out.items() if v}
+
+    def found(out):
+        by = {}
+        for w in sorted(out.collect(), key=lambda w: (w.src, w["rank"])):
+            by.setdefault(w.sample_id, {}).setdefault(w.src, []).append((w.dst, w.d2))
+        return by
+
+    assert found(N.nearest(df, df, 5, True, tile)) == {s: v for s, xy in samples.items() if (v := plain(xy, xy, 5, True))}
+    q = np.concatenate([r.uniform(-50, 150, (40, 2)), r.uniform(5000, 5001, (20, 2)), [[500.0, 500.0]]])
+    asked = spark.createDataFrame([("A", i, float(x), float(y)) for i, (x, y) in enumerate(q)] + [("Z", 0, 1.0, 1.0)], df.schema)
+    assert found(N.nearest(asked, df, 3, False, tile)) == {"A": plain(q, field, 3, False)}
+
+
+def test_radius_join_of_a_crowded_cell(spark):
+    """All points and centers in one cell: tiles of both, the rim included, and as many keys as pairs of tiles."""
+    n = 120
+    xy = np.random.default_rng(4).integers(0, 9, (n, 2)).astype(float)
+    p = spark.createDataFrame([("p", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pair_id string, spot_idx long, x double, y double")
+    got = N.radius_join(p.withColumnRenamed("spot_idx", "c_idx"), p, 10.0, tile=10)
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    assert sorted((r.c_idx, r.dst, r.d2) for r in got.collect()) == [(i, j, float(d2[i, j])) for i in range(n) for j in range(n) if d2[i, j] <= 100]
+
+
+def test_numbers_over_ranges_of_keys(spark):
+    """Null and NaN keys, groups over several ranges, groups of one, and sizes; one exchange of the rows."""
+    rng = random.Random(3)
+    keys = [None, math.nan, -0.0, 0.0, 1.5]
+    rows = [(rng.choice(["a", None, "b"]), rng.choice(keys) if i % 2 else 7.0, i) for i in range(4000)] + [("only", 1.0, 5000)]
+    df = spark.createDataFrame(rows, "g string, h double, v long").repartition(7)
+    got = numbered(df, ["g", "h"], ["v"], "k", total="n").collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.g, "nan" if r.h is not None and math.isnan(r.h) else r.h), []).append((r.v, r.k, r.n))
+    assert len(got) == len(rows)
+    assert all([k for _, k, _ in sorted(v)] == list(range(len(v))) and {n for *_, n in v} == {len(v)} for v in by.values())
+
+
+def test_a_batch_that_broke_off_is_landed_once(spark, tmp_path):
+    good = ("Ann", "a.b@c.org", "Co", None, "1-10", "help", None, None)
+    df = spark.createDataFrame([good, good, ("Bob", *good[1:]), ("", *good[1:])], I.LEAD)
+    root = str(tmp_path / "t")
+    I.landed(df, 4).write.parquet(f"{root}/valid/batch=4")  # it broke off before the rejected rows
+    first = {r.id for r in spark.read.parquet(f"{root}/valid/batch=4").collect()}
+    assert I.committed(spark, root).count() == 0 and len(first) == 3
+    assert I.append_leads(df, root, 4) and not I.append_leads(df, root, 4)
+    I.landed(df, 5).write.parquet(f"{root}/valid/batch=5")  # staged, never entered
+    assert {r.id for r in I.read_leads(spark, root).collect()} == first and I.read_leads(spark, root, "rejected").count() == 1
+
+
+def test_white_space_of_any_kind_is_no_name(spark):
+    rows = [("\t\n", "a@b.c", "\u00a0", None, "\u3000", "\n\n", None, None), ("\u2003Ann\ufeff", "\ta@b.c\n", "Co", "\u2028", "1", "x\u00a0y\n", "\t", None)]
+    df = spark.createDataFrame(rows, I.LEAD)
+    assert [r.reasons for r in I.validate_lead(df).collect()] == [["full_name required", "company required", "company_size required", "looking_for required"], []]
+    assert [(r.full_name, r.email, r.role, r.looking_for, r.source) for r in I.valid(df).collect()] == [("Ann", "a@b.c", None, "x\u00a0y", None)]
+
+
+def test_a_stored_plan_is_scored_without_an_exchange(spark, tmp_path):
+    r = random.Random(2)
+    a = spots(spark, [(p, "A", i, 0, i, 0.0, 0.0, r.choice(["L", "M", "NA"])) for p in "pq" for i in range(40)])
+    b = spots(spark, [(p, "B", i, 0, i, 0.0, 0.0, r.choice(["L", "M", "NA"])) for p in "pq" for i in range(30)])
+    plan = spark.createDataFrame([(run, p, r.randrange(35), r.randrange(30), float(r.randrange(5))) for run in "rs" for p in "pq" for _ in range(300)], "run_id string, pair_id string, a_idx long, b_idx long, mass double").groupBy("run_id", "pair_id", "a_idx", "b_idx").agg(F.sum("mass").alias("mass"))
+    runs = plan.select("run_id").distinct()
+    labels = lambda s, idx: s.select("pair_id", F.col("spot_idx").alias(idx), "layer").crossJoin(runs)
+    path = str(tmp_path / "plan")
+    L.write_plan(plan, path, labels(a, "a_idx"), labels(b, "b_idx"), spark.createDataFrame([("r", "alpha", "0.1")], "run_id string, key string, value string"), buckets=4)
+    want = {x.pair_id: (x.n_correct, x.n_scored, x.accuracy) for x in S.label_transfer_accuracy(S.plan_label_join(S.argmax_partners(plan, a, b), a, b), S.RUN).where("run_id = 'r'").collect()}
+    assert {x.pair_id: (x.n_correct, x.n_scored, x.accuracy) for x in L.rescore(spark, path, "r").collect()} == want
+    assert [(x.key, x.value) for x in L.scan_plan(spark, path, "r", "parameters").collect()] == [("alpha", "0.1")]
+    for part in ("plan", "labels_a", "labels_b"):  # as another session would find it
+        spark.sql(f"DROP TABLE {L._plan_table(path, part)}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = L.scan_plan(spark, path, "r").groupBy("pair_id", "a_idx").agg(F.max("mass").alias("m")).join(L.scan_plan(spark, path, "r", "labels_a"), ["pair_id", "a_idx"])
+        assert "Exchange" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined) and joined.count() > 0
+        assert {x.pair_id: (x.n_correct, x.n_scored, x.accuracy) for x in L.rescore(spark, path, "r").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketches_roll_up_within_their_stated_error(spark):
+    r = np.random.default_rng(6)
+    rows = [(g, s, float(x)) for g in ("m", "n") for s in range(4) for x in r.gamma(2.0, 10.0, 4000 if g == "m" else 20)] + [("m", 0, None), ("m", 1, math.nan), ("none", 0, math.inf)]
+    df = spark.createDataFrame(rows, "g string, s int, err double").repartition(6)
+    got = {x.g: x for x in S.rolled_up(S.error_sketches(df, ["g", "s"]), ["g"]).collect()}
+    for g in ("m", "n"):
+        v = np.sort([x for k, _, x in rows if k == g and x is not None and math.isfinite(x)])
+        assert got[g].n == len(v) and abs(got[g]["mean"] - v.mean()) < 1e-9 and got[g]["max"] == v[-1] and got[g].rank_error < 0.01
+        for q, c in ((0.5, "median"), (0.9, "p90")):
+            assert abs((v <= got[g][c]).mean() - q) <= got[g].rank_error + 1 / len(v)
+    assert got["n"].rank_error == 0 and (got["none"].n, got["none"].median, got["none"]["mean"]) == (0, None, None)
+
+
+def test_nearest_magnitude_has_no_join(spark):
+    shape = "fold int, severity double, mean_disp_px double, err double"
+    left = spark.createDataFrame([(1, 0.0, 5.0, 1.0), (1, 1.0, 0.0, 2.0), (1, 2.0, 99.0, 3.0), (2, 0.0, 1.0, 4.0), (1, 3.0, None, 5.0), (1, 4.0, 4.0, 6.0)], shape)
+    right = spark.createDataFrame([(1, 0.0, 4.0, 10.0), (1, 1.0, 6.0, 11.0), (1, 2.0, 4.0, 12.0), (1, 3.0, None, 13.0), (3, 0.0, 1.0, 14.0)], shape)
+    out = C.magnitude_matched(left, right, "fold")
+    assert "Join" not in plan_of(out) and {(r.sev_a, r.sev_b, r.err_b) for r in out.collect()} == {(0.0, 0.0, 10.0), (1.0, 0.0, 10.0), (2.0, 1.0, 11.0), (4.0, 0.0, 10.0)}
