@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 TEXTS, BYTES_EACH, LEVEL = 64, 800, 5
 PIECE = 32 << 10
+#: Parts of a language's learning rows that are cut to its sample's size first.
+PARTS = 1000
 #: Reject when the best dictionary saves less than this share of what the second leaves.
 MARGIN = 0.004
 UNKNOWN = "und"
@@ -42,11 +44,14 @@ def letters(text: str) -> bytes:
 
 def learn(docs: DataFrame, texts: int = TEXTS, bytes_each: int = BYTES_EACH) -> dict[str, bytes]:
     """Dictionary content per language from rows (doc_id, text, lang); at most texts * bytes_each bytes of each."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "doc_id", "text")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    few = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= texts)
+    # starts of texts alone, and two windows: the first one's groups are parts of a language, so no task sees more than `texts` rows of some thousand partitions or parts
+    rows = docs.where("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, bytes_each).alias("text"), (F.spark_partition_id() % PARTS).alias("part"))
+    few = rows
+    for group in (["lang", "part"], ["lang"]):
+        by = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+        few = few.withColumn("k", F.row_number().over(by)).where(F.col("k") <= texts)
     found: dict[str, list[bytes]] = {}
-    for lang, text in few.orderBy("lang", "k").select("lang", F.substring("text", 1, bytes_each)).collect():
+    for lang, text in few.orderBy("lang", "k").select("lang", "text").collect():
         if has_letters(text):
             found.setdefault(lang, []).append(letters(text)[:bytes_each])
     return {lang: b"\n".join(dict.fromkeys(parts)) for lang, parts in sorted(found.items())}
