@@ -60,7 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v) of longs, as (node, root): root is the least node of its component.
 
     Alternates large-star and small-star steps (each a grouped minimum and an equi-join) until nothing changes;
-    each round is checkpointed, so lineage stays short and a lost executor costs one round at most.
+    each step is checkpointed, so lineage stays short and a lost executor costs one round at most. Minima are partial before they
+    are shuffled, and as they are checkpointed before the join, Spark can split a hub's edges there (a skewed join of two plain exchanges).
     Edges with a null or from a node to itself are ignored; nodes without edges don't appear.
     """
     use_shared_checkpoints(edges.sparkSession)
@@ -68,9 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = e.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct().checkpoint()
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first())
         if now == state or now[0] == now[2] == 0:
