@@ -47,6 +47,23 @@ def severity_tag(s: Column) -> Column:
     return F.replace(short_number(s), F.lit("."), F.lit("p"))
 
 
+def thousands(n: Column) -> Column:
+    """A whole number with a comma between its thousands."""
+    return F.format_number(n, 0)
+
+
+def utc_stamp(t: Column) -> Column:
+    """A moment as a log line has it: to the second, in UTC whatever the session's zone."""
+    there = F.to_utc_timestamp(t, F.current_timezone())
+    return F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fixed_width(c: Column, width: int) -> Column:
+    """Right-aligned in at least so many characters; longer ones stay whole."""
+    text = c.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+
 def safe_filename(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\w.-]", "_")
 

@@ -504,6 +504,14 @@ def vector_functions(s, d):
     return r6(both.select("pair_id", "b_idx", V.dot(q, k).alias("dot"), V.norm(q).alias("norm"), V.cosine(q, k).alias("cosine"), V.distance2(q, k).alias("distance2")), "dot", "norm", "cosine", "distance2")
 
 
+@query("SELECT p_partkey, format('{:,}', (p_partkey * 7919 * 7919)::BIGINT) AS spots, strftime(TIMESTAMP '2024-02-28 23:59:58' + to_minutes(p_partkey), '%Y-%m-%dT%H:%M:%SZ') AS stamp, lpad(p_partkey::VARCHAR, 9, ' ') AS fixed FROM part")
+def text_functions(s, d):
+    """Numbers with thousands, time stamps of log lines, and fixed widths."""
+    p = X.table(s, d, "part")
+    at = F.timestamp_seconds(F.lit(1709164798) + F.col("p_partkey") * 60)
+    return p.select("p_partkey", V.thousands(F.col("p_partkey").cast("long") * 7919 * 7919).alias("spots"), V.utc_stamp(at).alias("stamp"), V.fixed_width(F.col("p_partkey"), 9).alias("fixed"))
+
+
 @query("SELECT p_partkey AS gene_idx, CASE WHEN row_number() OVER w = 1 THEN p_brand ELSE p_brand || '-' || (row_number() OVER w - 1) END AS gene_name FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
 def make_unique_names(s, d):
     return E.make_unique_names(X.table(s, d, "part").select(F.col("p_partkey").alias("gene_idx"), F.col("p_brand").alias("gene_name")))
@@ -996,8 +1004,10 @@ def rescore_plan(s, d):
 
 
 def _stack(s, d):
-    p = T.normalize_frame(X.spots(s, d)).withColumn("k", L.layer_index(F.col("layer"))).where("k >= 0")
-    return L.stack_slices_json(p)
+    """All labelled spots, written as one stack."""
+    path = X.scratch(s)
+    L.write_stack_json(T.normalize_frame(X.spots(s, d)).withColumn("k", L.layer_index(F.col("layer"))).where("k >= 0"), path)
+    return path
 
 
 POINTS = """SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY spot_idx) - 1)::INT AS i, x, y, (list_position(['Layer1', 'Layer2', 'Layer3', 'Layer4', 'Layer5', 'Layer6', 'WM'], layer) - 1)::INT AS layer{}
@@ -1006,17 +1016,18 @@ FROM frame WHERE layer <> 'NA'"""
 
 @query(with_("spots") + NORMAL + POINTS.format(", count(*) OVER (PARTITION BY sample_id)::INT AS n"))
 def write_stack_json(s, d):
-    """The stack written, and its lines read again: every point."""
-    path = X.scratch(s)
-    L.write_stack_json(T.normalize_frame(X.spots(s, d)).withColumn("k", L.layer_index(F.col("layer"))).where("k >= 0"), path)
-    j = s.read.text(path).select(F.from_json("value", "id string, n int, xy array<array<double>>, layer array<int>").alias("j"))
-    p = j.select(F.col("j.id").alias("sample_id"), F.col("j.n").alias("n"), F.posexplode(F.arrays_zip(F.col("j.xy").alias("xy"), F.col("j.layer").alias("k"))).alias("i", "p"))
+    """The stack written, its parts joined by name and read by Spark's own JSON functions: every point."""
+    lines = s.read.text(_stack(s, d)).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("k"))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "k", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    slices = whole.select(F.explode(F.from_json("value", "slices array<struct<id:string,n:int,xy:array<array<double>>,layer:array<int>>>")["slices"]).alias("j"))
+    p = slices.select(F.col("j.id").alias("sample_id"), F.col("j.n").alias("n"), F.posexplode(F.arrays_zip(F.col("j.xy").alias("xy"), F.col("j.layer").alias("k"))).alias("i", "p"))
     return p.select("sample_id", "i", F.get("p.xy", F.lit(0)).alias("x"), F.get("p.xy", F.lit(1)).alias("y"), F.col("p.k").alias("layer"), "n")
 
 
 @query(with_("spots") + NORMAL + POINTS.format(", ((dense_rank() OVER (ORDER BY sample_id) - 1) * 30.0::DOUBLE - 75.0::DOUBLE) AS z"))
 def read_stack_json(s, d):
-    return L.read_stack_json(_stack(s, d))
+    """The stack read again in ranges of 2,000 bytes, which cut points and arrays anywhere."""
+    return L.read_stack_json(s, _stack(s, d), size=2000)
 
 
 # --- intake -----------------------------------------------------------------------------------------------------------

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import meet, numbered, shared_folder
+from ..functions.vectors import finite
 from ..operators.scoring import label_transfer_accuracy
 from ..operators.transforms import stacking_height
+from .intake import scan_uploads
 
 # Label columns in order of preference.
 LABEL_COLUMNS = ("sce.layer_guess", "layer_guess", "layer_guess_reordered", "Layer", "layer", "ground_truth", "spatialLIBD", "Region", "annotation")
@@ -155,22 +161,104 @@ def scan_summary(spark: SparkSession, path: str) -> DataFrame:
     return parse_summary(spark.read.text(path))
 
 
-def stack_slices_json(spots: DataFrame) -> DataFrame:
-    """One JSON text per slice: id, n, xy, layer, points in order of index. spots: sample_id, spot_idx, x, y, k (layer index)."""
-    rows = F.array_sort(F.collect_list(F.struct("spot_idx", F.array(F.round("x", 4), F.round("y", 4)).alias("xy"), F.col("k").cast("int").alias("k"))))  # a slice is one array by contract
-    s = spots.groupBy("sample_id").agg(rows.alias("r"))
-    return s.select("sample_id", F.to_json(F.struct(F.col("sample_id").alias("id"), F.size("r").alias("n"), F.transform("r", lambda r: r["xy"]).alias("xy"), F.transform("r", lambda r: r["k"]).alias("layer"))).alias("json"))
-
+#: Points of one line of a written stack, and bytes of a stack that one task reads at a time.
+LINE, RANGE = 1024, 8 << 20
+#: Bytes before a range that are read too, so that the first value of the range is met at its start.
+OVERLAP = 4096
+_NUMBER = rb"(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|null)"
+_SPACE, _STRING = rb"[ \t\r\n]*", rb'"(?:[^"\\]|\\.)*"'
+# a stack's parts: a slice's id, the start of one of its arrays, any other key with a plain value, a point, and a value that stands alone (of a layer array)
+_TOKEN = re.compile(
+    rb'"id"' + _SPACE + b":" + _SPACE + rb"(?P<id>" + _STRING + rb")|"
+    rb'"(?P<array>xy|layer)"' + _SPACE + b":" + _SPACE + rb"\[|"
+    + _STRING + _SPACE + b":" + _SPACE + rb"(?:" + _STRING + b"|" + _NUMBER + rb"|\[" + _SPACE + rb"(?:" + _STRING + _SPACE + rb",?" + _SPACE + rb")*\])|"
+    rb"\[" + _SPACE + rb"(?P<x>" + _NUMBER + rb")" + _SPACE + b"," + _SPACE + rb"(?P<y>" + _NUMBER + rb")" + _SPACE + rb"\]|"
+    rb"(?P<value>" + _NUMBER + rb")"
+)
 
-def write_stack_json(spots: DataFrame, path: str) -> None:
-    """A JSON text for each slice, a line of its own."""
-    stack_slices_json(spots).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
+def stack_lines(spots: DataFrame, dataset: str = "stack") -> DataFrame:
+    """(k, section, chunk, value): lines of text that, in this order, are one JSON document: slices with id, n, xy and layer, points in order of index.
+    spots: sample_id, spot_idx, x, y, k (layer index). A line holds LINE points, so a slice is as many rows as it needs."""
+    put = spots.select("sample_id", "spot_idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("k").cast("int").alias("layer"))
+    placed = numbered(put, ["sample_id"], ["spot_idx", "x", "y", "layer"], "i")
+    number = lambda c: F.when(finite(c), c.cast("string")).otherwise("null")
+    point = F.struct("i", F.concat(F.lit("["), number(F.col("x")), F.lit(","), number(F.col("y")), F.lit("]")).alias("xy"), F.coalesce(F.col("layer").cast("string"), F.lit("null")).alias("layer"))
+    lines = placed.groupBy("sample_id", F.expr(f"i div {LINE}").alias("chunk")).agg(F.array_sort(F.collect_list(point)).alias("points")).checkpoint()  # LINE at most
+    sizes = lines.groupBy("sample_id").agg(F.sum(F.size("points")).alias("n"), F.max("chunk").alias("last"))  # a row for each slice, as are those below
+    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy("sample_id"))).withColumn("of", F.count("*").over(Window.partitionBy(F.lit(0))))
+    comma = lambda more: F.when(more, ",").otherwise("")
+    body = meet(lines, ranked, ["sample_id"])
+    values = lambda c, section: body.select("k", F.lit(section).alias("section"), "chunk", F.concat(F.array_join(F.transform("points", lambda p: p[c]), ","), comma(F.col("chunk") < F.col("last"))).alias("value"))
+    said = F.to_json(F.struct(F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("id")))
+    head = F.concat(F.substring(said, F.lit(1), F.length(said) - 1), F.lit(',"n":'), F.col("n").cast("string"), F.lit(',"xy":['))
+    one = lambda section, value: ranked.select("k", F.lit(section).alias("section"), F.lit(0).cast("long").alias("chunk"), value.alias("value"))
+    spark = spots.sparkSession
+    ends = spark.createDataFrame([(0, 0, 0, json.dumps({"dataset": dataset})[:-1] + ', "slices": ['), (2**31 - 1, 0, 0, "]}")], "k int, section int, chunk long, value string")
+    out = ends.union(one(0, head)).union(values("xy", 1)).union(one(2, F.lit('],"layer":['))).union(values("layer", 3)).union(one(4, F.concat(F.lit("]}"), comma(F.col("k") < F.col("of")))))
+    return out.select("k", "section", "chunk", "value")
+
+
+def write_stack_json(spots: DataFrame, path: str, dataset: str = "stack") -> None:
+    """A stack as one JSON document in ordered parts: text files that, joined by name, are the document. Any number of tasks write a slice."""
+    order = ["k", "section", "chunk"]
+    stack_lines(spots, dataset).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def read_stack_json(spark: SparkSession, path: str, spacing: float = 30.0, size: int = RANGE) -> DataFrame:
+    """One row per point of the stack documents under a path: sample, i (its place in its slice), x, y, layer, and height by the slice's place, centred.
+
+    Files are read in ranges of bytes, so a slice is as many tasks as it needs. A range parts its bytes into values, beginning a little before itself, as any
+    point or comma shows where values start; it doesn't know of which slice they are, nor how many came before. That follows from a table of
+    the ranges' sections (one for each range and each array in it), and points and layers are joined by slice and place. Files in one folder are
+    parts of one document, in order of name.
+    """
 
-def read_stack_json(df: DataFrame, spacing: float = 30.0) -> DataFrame:
-    """One row per point: sample, its place, x, y, layer, and height by the slice's place, centred. Heights are ranks of the ids
-    alone, joined back; a slice's points stay in its row's task."""
-    s = df.select(F.from_json("json", "id string, n int, xy array<array<double>>, layer array<int>").alias("s"))
-    p = s.select(F.col("s.id").alias("sample_id"), F.posexplode(F.arrays_zip(F.col("s.xy").alias("xy"), F.col("s.layer").alias("layer"))).alias("i", "p"))
-    height = stacking_height(s.select(F.col("s.id").alias("sample_id")), spacing)
-    return p.join(height, "sample_id").select("sample_id", "i", F.get("p.xy", F.lit(0)).alias("x"), F.get("p.xy", F.lit(1)).alias("y"), F.col("p.layer").alias("layer"), "z")
+    def read(batches):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for file, part, of in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "size")), strict=True):
+                lo, hi = part * size, min((part + 1) * size, of)
+                begin = max(0, lo - OVERLAP)
+                with system.open_input_file(file) as f:
+                    f.seek(begin)
+                    data = f.read(min(hi + OVERLAP, of) - begin)
+                rows, section, kind, i = [], 0, None, {"xy": 0, "layer": 0}
+                for m in _TOKEN.finditer(data):
+                    at = begin + m.start()
+                    if at >= hi:
+                        break
+                    if at < lo:
+                        continue
+                    if m["id"] is not None or m["array"] is not None:
+                        section, kind, i = section + 1, m["array"].decode() if m["array"] else "id", {"xy": 0, "layer": 0}
+                        rows.append((file, part, section, kind, -1, None, None, None, json.loads(m["id"]) if m["id"] else None))
+                    elif m["x"] is not None or m["value"] is not None:
+                        what = "xy" if m["x"] is not None else "layer"
+                        x, y, v = (None if t is None or t == b"null" else float(t) for t in (m["x"], m["y"], m["value"]))
+                        rows.append((file, part, section, what, i[what], x, y, None if v is None else int(v), None))
+                        i[what] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    names = ["path", "part", "section", "kind", "at", "x", "y", "layer", "id"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+    shape = "path string, part long, section int, kind string, at long, x double, y double, layer int, id string"
+    files = scan_uploads(spark, path).where("size > 0").select("path", "size")
+    parts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {size}"))).alias("part"))
+    shared_folder(spark)
+    values = parts.repartition("path", "part").mapInArrow(read, shape).checkpoint()
+    # a row for each range and section: few
+    sections = values.groupBy("path", "part", "section").agg(F.max(F.when(F.col("at") < 0, F.col("kind"))).alias("starts"), F.max("id").alias("id"), *[F.count_if((F.col("at") >= 0) & (F.col("kind") == c)).alias(f"n_{c}") for c in ("xy", "layer")])
+    order = Window.partitionBy(F.lit(0)).orderBy("path", "part", "section")
+    sections = sections.withColumn("slice", F.count_if(F.col("starts") == "id").over(order)).withColumn("run_xy", F.count_if(F.col("starts") == "xy").over(order)).withColumn("run_layer", F.count_if(F.col("starts") == "layer").over(order))
+    before = lambda c: F.sum(f"n_{c}").over(Window.partitionBy(f"run_{c}").orderBy("path", "part", "section")) - F.col(f"n_{c}")
+    sections = sections.withColumns({"before_xy": before("xy"), "before_layer": before("layer")})
+    names_of = sections.where("starts = 'id'").select("slice", "id").checkpoint()
+    placed = values.where("at >= 0").join(sections.select("path", "part", "section", "slice", "before_xy", "before_layer"), ["path", "part", "section"])
+    xy = placed.where("kind = 'xy'").select("slice", (F.col("at") + F.col("before_xy")).alias("i"), "x", "y")
+    layer = placed.where("kind = 'layer'").select("slice", (F.col("at") + F.col("before_layer")).alias("i"), "layer")
+    height = stacking_height(names_of.select(F.col("id").alias("sample_id")), spacing)
+    named = names_of.join(height, F.col("id") == F.col("sample_id")).select("slice", "sample_id", "z")
+    return xy.join(layer, ["slice", "i"], "left").join(named, "slice").select("sample_id", F.col("i").cast("int").alias("i"), "x", "y", "layer", "z")

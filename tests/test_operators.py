@@ -87,11 +87,11 @@ def test_plans_of_large_groups(spark):
     genes = spark.createDataFrame([("s", 1, "g1"), ("t", 1, "g2"), ("s", 2, "x")], "sample_id string, gene_idx int, gene_name string")
     edges = spark.createDataFrame([("A", 0, 1, 1.0, 0.0)], "sample_id string, src long, dst long, rel_x double, rel_y double")
     z = spark.createDataFrame([("A", i, [1.0, float(i)]) for i in range(3)], "sample_id string, spot_idx long, z array<double>")
-    plans = [C.interpolate_curve(curve, [1.0, 9.0], ["method"], "err"), N.message_hop(edges, z), S.random_floor_trials(df, df), L.read_stack_json(L.stack_slices_json(df.withColumn("k", F.lit(1)))), T.shuffle_geometry(df), N.snap_to_nearest(df.withColumnRenamed("spot_idx", "b_idx"), df)]
+    plans = [C.interpolate_curve(curve, [1.0, 9.0], ["method"], "err"), N.message_hop(edges, z), S.random_floor_trials(df, df), T.shuffle_geometry(df), N.snap_to_nearest(df.withColumnRenamed("spot_idx", "b_idx"), df)]
     for out in plans:
         text = plan_of(out)
         assert "NestedLoop" not in text and "Cartesian" not in text
-    for out in (plans[0], plans[1], plans[2], plans[4]):
+    for out in (plans[0], plans[1], plans[2], plans[3]):
         assert "SinglePartition" not in plan_of(out)
     assert sorted((r.s, r.err) for r in plans[0].collect()) == [(1.0, 1.5), (9.0, 3.0)]
     assert {tuple(r) for r in E.assert_same_genes(genes, "s").collect()} == {("t", 1), ("t", 2)}
@@ -504,3 +504,31 @@ def test_nearest_magnitude_has_no_join(spark):
     right = spark.createDataFrame([(1, 0.0, 4.0, 10.0), (1, 1.0, 6.0, 11.0), (1, 2.0, 4.0, 12.0), (1, 3.0, None, 13.0), (3, 0.0, 1.0, 14.0)], shape)
     out = C.magnitude_matched(left, right, "fold")
     assert "Join" not in plan_of(out) and {(r.sev_a, r.sev_b, r.err_b) for r in out.collect()} == {(0.0, 0.0, 10.0), (1.0, 0.0, 10.0), (2.0, 1.0, 11.0), (4.0, 0.0, 10.0)}
+
+
+def test_stacks_are_read_and_written_in_parts(spark, tmp_path, monkeypatch):
+    """A slice over many ranges and many lines, odd ids, white space, other keys, points without a number; a document written by another hand."""
+    monkeypatch.setattr(L, "LINE", 7)
+    r = random.Random(1)
+    points = {name: [(round(r.uniform(-1, 1), 4), r.choice([0.0, -0.5, 1e-4, 12.25]), r.randrange(7)) for _ in range(n)] for name, n in (("a \"q\" [1,2]", 300), ("b", 1), ("c", 40), ("éß", 2))}
+    rows = [(name, i * 3, x, y, k) for name, p in points.items() for i, (x, y, k) in enumerate(p)] + [("c", 999, math.nan, 1.0, None)]
+    df = spark.createDataFrame(rows, "sample_id string, spot_idx long, x double, y double, k int").repartition(5)
+    L.write_stack_json(df, str(tmp_path / "w"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "w").glob("part-*")))
+    said = json.loads(text)["slices"]
+    assert [(s["id"], s["n"]) for s in said] == [(name, len(points[name]) + (name == "c")) for name in sorted(points)]
+    assert all([(x, y, k) for (x, y), k in zip(s["xy"], s["layer"])][: len(points[s["id"]])] == points[s["id"]] for s in said)
+    want = {(name, i): (x, y, k) for name, p in points.items() for i, (x, y, k) in enumerate(p)} | {("c", 40): (None, 1.0, None)}
+    (tmp_path / "one").mkdir()
+    other = {"dataset": "x", "layers": ["L1", "L2"], "layerColors": ["#fff"], "spacing": 30.5, "slices": [{"id": name, "n": len(p), "xy": [[x, y] for x, y, _ in p], "layer": [k for *_, k in p]} for name, p in points.items()]}
+    (tmp_path / "one/stack.json").write_text(json.dumps(other, indent=1))
+    for folder, expected in (("w", want), ("one", {k: v for k, v in want.items() if v[0] is not None})):
+        for size in (57, 1000, 1 << 20):
+            got = L.read_stack_json(spark, str(tmp_path / folder), 10.0, size).collect()
+            assert len(got) == len(expected) and {(x.sample_id, x.i): (x.x, x.y, x.layer) for x in got} == expected
+    assert {x.sample_id: x.z for x in got} == {name: 10.0 * k - 15 for k, name in enumerate(sorted(points))}
+
+
+def test_text_of_numbers_and_moments(spark):
+    row = spark.range(1).select(V.thousands(F.lit(17127)).alias("a"), V.thousands(F.lit(-1234567)).alias("b"), V.utc_stamp(F.timestamp_seconds(F.lit(1709251140))).alias("c"), V.fixed_width(F.lit(42), 5).alias("d"), V.fixed_width(F.lit(123456), 5).alias("e")).first()
+    assert tuple(row) == ("17,127", "-1,234,567", "2024-02-29T23:59:00Z", "   42", "123456")
