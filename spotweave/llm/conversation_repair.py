@@ -345,3 +345,52 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None, chunk: int =
         return result
     every = meet(conversations.select("conv_id").distinct(), result, ["conv_id"], "left")
     return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB: the damage with CRC-32 bit by bit, one vector for each row backwards, one edit for each step forwards."""
+    half = "CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END"
+    byte = f"lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: 0::UBIGINT)), lambda v, z: {half})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::UBIGINT)), {byte}), 4294967295::UBIGINT)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    keep = lambda s: f"CASE WHEN ok THEN CASE initial {' '.join(f"WHEN '{c}' THEN pen + b.v[{to + 1}]" for c, to in _NEXT[s].items())} END END"
+    ways = ", ".join(f"least(4 + b.v[{s + 1}], {keep(s)}, CASE WHEN ok THEN 3 + pen + b.v[{_MADE[s][1] + 1}] END)" for s in range(4))
+    to = "CASE t.s WHEN 2 THEN 3 ELSE 2 END"
+    kept = "CASE initial WHEN 's' THEN CASE WHEN t.s = 0 THEN 1 END WHEN 'u' THEN CASE WHEN t.s <> 2 THEN 2 END WHEN 'a' THEN CASE WHEN t.s = 2 THEN 3 END END"
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, 'none') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+hashed AS (SELECT *, {crc} % 20 AS kind FROM raw),
+damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) x(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY c) AS n, left(role, 1) AS initial, rtrim(text, {white}) AS bare
+  FROM damaged),
+met AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS k, lag(initial) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN k > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM met),
+f AS (SELECT *, fault NOT IN (1, 2) AS ok, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS pen FROM faults),
+b AS (
+  SELECT c, n + 1 AS i, [0, 6, 3, 0] AS v FROM f GROUP BY c, n
+  UNION ALL
+  SELECT c, i, [least(w[1], 3 + least(w[3], 3 + w[4])), least(w[2], 3 + least(w[3], 3 + w[4])), least(w[3], 3 + w[4]), least(w[4], 3 + w[3])] FROM (SELECT f.c, f.i, [{ways}] AS w FROM b JOIN f ON f.c = b.c AND f.i = b.i - 1)),
+t AS (
+  SELECT c, 1::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS said FROM b WHERE i = 1
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN s WHEN 'K' THEN kept ELSE made END, audit || edit,
+         CASE edit WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE WHEN made = 2 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT t.*, f.role, f.text, {kept} AS kept, {to} AS made,
+           CASE WHEN f.i IS NOT NULL AND 4 + later.v[t.s + 1] = here.v[t.s + 1] THEN 'D' WHEN 3 + here.v[{to} + 1] = here.v[t.s + 1] THEN 'I'
+                WHEN ok AND pen + later.v[{kept} + 1] = here.v[t.s + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM t JOIN b here ON here.c = t.c AND here.i = t.i LEFT JOIN b later ON later.c = t.c AND later.i = t.i + 1 LEFT JOIN f ON f.c = t.c AND f.i = t.i
+    WHERE f.i IS NOT NULL OR t.s IN (1, 2))),
+done AS (SELECT c, arg_max(audit, length(audit)) AS audit, arg_max(said, length(audit)) AS said FROM t GROUP BY c),
+sums AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY c)
+SELECT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM raw) r LEFT JOIN sums ON sums.c = r.c LEFT JOIN done ON done.c = r.c LEFT JOIN b ON b.c = r.c AND b.i = 1"""

@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontamination.oracle(), "op7_mix_sources": mixing.ORACLE}
+    return {"op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontamination.oracle(), "op7_mix_sources": mixing.ORACLE, "op12_conversation_repair": conversation_repair.oracle()}

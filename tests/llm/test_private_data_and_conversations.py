@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,13 @@ def test_chunks_meet(spark, chunk, fan):
     assert (passes > 0) == (chunk == 4)
 
 
+def test_repair_sql(spark):
+    r = random.Random(9)
+    rows = [(c, r.choice([None, t, t + r.randint(0, 3)]), r.choice(["user", "assistant", "system", "tool", None, ""]), r.choice(["Hi.", "", None, " \n", "a. ", f"b {t}", f"Well, {t}?"])) for c in (None, *range(12)) for t in range(14)]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toArrow()
+    assert sorted(duckdb.connect().register("conversations", conversations).sql(C.oracle()).fetchall(), key=str) == all_repaired(rows)
+
+
 def aligned(rows):
     """Whole texts encoded at once, links by two pointers."""
     al = T.Aligner(f"{T.FOLDER}/{T.A_FILE}", f"{T.FOLDER}/{T.B_FILE}")
