@@ -16,7 +16,9 @@ allowed (with four strata, one of fewer than 72 good labels) is not certified: i
 Texts never move: one scan gives each document its counts (checkpointed); the holdout is joined by id and summed to
 (stratum, step) rows.
 
-Defined cases: null text has no words; a null stratum is one of its own; labels are one per doc_id, the largest if
+Windows of three words are equal when their 64-bit hashes are: two different windows of one text meet with a chance of some 1e-7 in a text of a million words.
+
+Defined cases: null text has no words; texts of any length are counted whole; a null stratum is one of its own; labels are one per doc_id, the largest if
 several are given, nulls ignored; a labelled id is one trial of the bound however many rows have it, with the least depth among them (then the first stratum by name); without labels no rule is on; equal rows each get their result; other columns are
 ignored; an empty table gives an empty result.
 """

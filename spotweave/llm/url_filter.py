@@ -5,9 +5,11 @@ Unigrams: the whole words of a public tokenizer's vocabulary (a parameter; some
 follow their frequency: rank r gets a share in proportion to 1 / (r + 2.7), after Zipf; words of the topics below that the
 file lacks get the share of `TOPIC_RANK`. Letters that no word covers cost more the more there are.
 
-Classifier: fitted on made names, all pairs of a topic's word with another of it or with a word that any name may have
-(`CONNECTORS`), and Laplace-smoothed. So words of one kind of topic count for its class, connectors for neither, and words
-that stand in neither say nothing. The topics are what such filters are about (gambling, adult, pills, adverts, piracy,
+Classifier: multinomial and Laplace-smoothed, with weights of their own for words of hosts and of paths, from the shares of made
+names: each topic counts alike, and in a name a topic's word meets another of its words or, as often, a word that any name may have (`CONNECTORS`: as
+frequent in both classes, so they say nothing). Words of topics to block that other names have too (`AMBIGUOUS`) are a topic of the other class as well, so one of
+them alone doesn't block. A path says less than a host: pages of any site write of anything, so `ELSEWHERE` of a path's words are the other class's topics,
+and one word of a path never blocks. Words in no topic say nothing. The topics are what such filters are about (gambling, adult, pills, adverts, piracy,
 spam, scams); they were written without the tables.
 
 A page's result depends on its own URL alone: nothing moves between pages, so no hot host or word gathers anywhere. Both
@@ -45,7 +47,7 @@ BLOCK_TOPICS = {
     "pills": "viagra cialis levitra pill pills meds pharmacy pharma prescription tramadol xanax valium ambien oxycodone adderall phentermine steroids steroid hgh testosterone enhancement erectile slimming detox keto cbd weightloss dietpills painkiller painkillers opioid antidepressant rx drugstore potency enlargement",
     "adverts": "ad ads adserver adserve adclick adtrack advert adverts advertising adnetwork track tracker trackers tracking click clicks clicker pixel beacon beacons banner banners popup popunder impression impressions affiliate affiliates syndication retarget retargeting telemetry adsense adware sponsored",
     "piracy": "torrent torrents warez crack cracks cracked keygen serial serials nulled pirate pirated piracy bittorrent magnet leech leecher seedbox camrip dvdrip bluray putlocker rip ripped patcher activator",
-    "spam": "spam spammer spammy bulkmail backlink backlinks linkfarm doorway autoblog cloaking spin spinner clickbait traffic followers likes botnet bot bots autopost massmail junkmail referrer",
+    "spam": "spam spammer spammy bulkmail backlink backlinks linkfarm farm farms doorway autoblog cloaking spin spinner clickbait traffic followers likes botnet bot bots autopost massmail junkmail referrer",
     "scams": "scam scams phish phishing malware virus trojan ransomware keylogger hack hacks hacker hacked cheat cheats giveaway prize winner winners sweepstakes payday loan loans debt lender cashadvance forex binary options bitcoin crypto doubler ponzi pyramid mlm getrich quickcash millionaire inheritance prince verify refund claim unclaimed",
     "replicas": "replica replicas rolex knockoff counterfeit fake fakes outlet cheap wholesale handbags gucci vuitton watches oakley discount clearance passport diploma certificates essays essay",
 }
@@ -68,6 +70,13 @@ ALLOW_TOPICS = {
     "nature": "animal animals pet pets dog dogs cat cats horse horses bird birds fish wildlife zoo forest tree trees river lake sea flower flowers plant plants bee bees insect park parks rain snow storm earth environment recycle conservation",
     "history": "history historic historical heritage archive archives ancient medieval roman egypt war wars museum antique antiques memorial century dynasty archaeology monument treaty revolution empire civil manuscript map",
 }
+#: Words of the topics to block that other names have as well.
+AMBIGUOUS = (
+    "track tracking hacker hackers hack hacks passport passports serial prize claim claims refund refunds verify teens amateur amateurs watches outlet wholesale discount certificates fake bot bots spin spinner dice vegas prescription pixel "
+    "beacon beacons banner banners magnet debt handbags diploma essay essays impression impressions webcam strip rip binary options prince pyramid inheritance detox clearance telemetry"
+)
+#: Words of each class that the smoothing takes the shares to come from, and the share of a path's words that are the other class's.
+NAMES, ELSEWHERE = 20_000, 0.2
 #: Words that names of any kind have.
 CONNECTORS = "online web net site sites hub zone world best top my the get free now pro plus shop store live direct express center group info portal page pages today first all new big one easy fast super smart global international local american euro uk us usa asia king city box spot land point line base link links network digital media united national central star gold blue red green black white win play buy sell deal deals day night time life love home house club team master max go up app".split()
 #: Two letters that are words; others of the vocabulary are parts of words.
@@ -97,22 +106,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return found
 
 
-def made_names(topics: dict[str, str], connectors: Sequence[str] = CONNECTORS) -> Iterable[tuple[str, str]]:
-    """The words of made names: each word of a topic with each other of it, and with each connector."""
-    for words in topics.values():
-        own = list(dict.fromkeys(words.split()))
-        for a in own:
-            yield from ((a, b) for b in own if b != a)
-            yield from ((a, c) for c in connectors)
+def word_shares(topics: Iterable[str], connectors: Sequence[str] = CONNECTORS) -> dict[str, float]:
+    """Share of each word among the words of a class's names. Topics count alike; of a topic's names half are two of its words, half one of them and a connector."""
+    found: Counter[str] = Counter()
+    topics = [list(dict.fromkeys(t.split())) for t in topics]
+    for own in topics:
+        for w in own:
+            found[w] += 0.75 / len(own) / len(topics)
+    for c in connectors:
+        found[c] += 0.25 / len(connectors)
+    return dict(found)
 
 
-def naive_bayes(block: dict[str, str] | None = None, allow: dict[str, str] | None = None) -> dict[str, float]:
-    """Word to log P(word | block) - log P(word | allow), multinomial and Laplace-smoothed, from made names."""
-    b, a = (Counter(w for name in made_names(t) for w in name) for t in (block or BLOCK_TOPICS, allow or ALLOW_TOPICS))
+def naive_bayes(block: dict[str, str] | None = None, allow: dict[str, str] | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Word to log P(word | block) - log P(word | allow), Laplace-smoothed as from NAMES words of each class: for hosts, and for paths."""
+    b, a = word_shares((block or BLOCK_TOPICS).values()), word_shares([*(allow or ALLOW_TOPICS).values(), AMBIGUOUS])
     words = sorted(b | a)
-    n_b, n_a = sum(b.values()) + len(words), sum(a.values()) + len(words)
-    weights = {w: math.log((b[w] + 1) / n_b) - math.log((a[w] + 1) / n_a) for w in words}
-    return {w: 0.0 if w in CONNECTORS else v for w, v in weights.items()}  # both classes have them equally often but for the topics' sizes
+    ratio = lambda x, y: math.log((x * NAMES + 1) / (y * NAMES + 1))
+    other = lambda x, y: (1 - ELSEWHERE) * x + ELSEWHERE * y
+    both = [(w, b.get(w, 0.0), a.get(w, 0.0)) for w in words]
+    return {w: ratio(x, y) for w, x, y in both}, {w: ratio(other(x, y), other(y, x)) for w, x, y in both}
 
 
 def unigrams(path: str = VOCABULARY, max_words: int = MAX_WORDS) -> dict[str, float]:
@@ -124,7 +137,7 @@ def unigrams(path: str = VOCABULARY, max_words: int = MAX_WORDS) -> dict[str, fl
             word = base64.b64decode(token).lower()
             if word[:1] == b" " and len(word) > 3 and word[1:].isalpha() and word.isascii():
                 ranks.setdefault(word[1:].decode(), int(rank))
-    for topic in (*BLOCK_TOPICS.values(), *ALLOW_TOPICS.values(), " ".join(CONNECTORS)):
+    for topic in (*BLOCK_TOPICS.values(), *ALLOW_TOPICS.values(), AMBIGUOUS, " ".join(CONNECTORS)):
         for w in topic.split():
             if len(w) > 2 or w in SHORT or w == "ad":
                 ranks[w] = min(ranks.get(w, TOPIC_RANK), TOPIC_RANK)
@@ -161,7 +174,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, vocabulary
     prior = math.log(PRIOR / (1 - PRIOR))
 
     def run(batches):
-        shares, weights = shared.value
+        shares, (of_host, of_path) = shared.value
         for batch in batches:
             known: dict[str, list[str]] = {}
             hosts: dict[str, tuple[list[str], float]] = {}
@@ -173,10 +186,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, vocabulary
                         if part not in known:
                             known[part] = split_name(part, shares)
                         found += known[part]
-                    hosts[host] = found, sum(weights.get(w, 0.0) for w in found)
+                    hosts[host] = found, sum(of_host.get(w, 0.0) for w in found)
                 found, score = hosts[host]
                 words.append(found)
-                scores.append(prior + score + sum(weights.get(w, 0.0) for w in _RUN.findall(path.lower())))
+                scores.append(prior + score + sum(of_path.get(w, 0.0) for w in _RUN.findall(path.lower())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(scores, pa.float64())], [*batch.schema.names, "words", "score"])
 
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
