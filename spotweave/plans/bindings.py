@@ -396,6 +396,11 @@ def slice_zscore(s, d):
 BASIS = 5
 
 
+def svd_basis(s, d):
+    """The basis of the tables' expression, for the bench."""
+    return E.shared_svd_basis(E.lognorm(X.expr(s, d)), BASIS, 500)
+
+
 @query(EXPR + f", every AS (SELECT i::INT AS dim, j::INT AS other FROM range({BASIS}) a(i), range({BASIS}) b(j)) SELECT dim, other, CASE WHEN dim = other THEN 1.0 ELSE 0.0 END::DOUBLE AS product, true AS invariant FROM every")
 def shared_svd_basis(s, d):
     """The basis' own test, as rows: products of its vectors (1 or 0), and whether the spots' Gram matrix keeps each within their span
