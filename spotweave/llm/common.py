@@ -38,6 +38,12 @@ def shared_checkpoints(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt to all cores where the files give fewer partitions than there are (so of small inputs alone)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place where it can be."""
     x = x * _K1

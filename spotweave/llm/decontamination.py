@@ -9,7 +9,7 @@ some 40 MB of text) are an error. Its items are collected and broadcast in lists
 takes some 150 MB. A task makes the automaton of a single list once. Of several lists it makes and frees one after
 another for each batch of rows, so it holds one automaton, however many lists there are.
 
-Defined cases: null or empty texts have no words; items with a null id or no words match nothing; equal items all
+Defined cases: texts of any length are scanned whole, a row at a time; null or empty texts have no words; items with a null id or no words match nothing; equal items all
 count; repeated rows each get their result; extra columns are ignored by `contamination`, kept by `without_hits`;
 columns named like a result column don't clash, as only the id and the text are read; an empty table gives an empty
 result, an empty benchmark no hits.

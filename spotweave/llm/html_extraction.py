@@ -10,7 +10,7 @@ Character references are decoded, white space inside a block becomes one space,
 `<br>` is white space. Scripts, styles, comments, templates, titles and the text areas of forms are left out. Formulas and
 drawings are text of the block that they stand in; what stands in an object, video, frame or the like is a block of its own.
 
-Defined cases: null or empty html gives an empty text; markup that is cut off or badly nested is read as far as it
+Defined cases: pages of any length and depth are read whole, in time linear in both; null or empty html gives an empty text; markup that is cut off or badly nested is read as far as it
 goes (an unclosed tag at the end is dropped, so is what follows a script or style that never ends); repeated rows each get their result; other columns are ignored; an empty
 table gives an empty result.
 """

@@ -11,7 +11,7 @@ a target stops at `most` times its source's size, and what is over is shared aga
 That is the level L with sum(min(most * size, L * weight)) = total * sizes, found with one sort of the sources by
 most * size / weight and running sums; the table of sources is one row each.
 
-Defined cases: null text has size 0; a null source is a source, the last; documents of one key (repeated rows) are
+Defined cases: texts of any length count with all their words, and one that is larger than its source's budget is taken in part; null text has size 0; a null source is a source, the last; documents of one key (repeated rows) are
 taken in order of doc_id and size; an empty table gives an empty result; sources without words have target 0; other
 columns are ignored by `mix_sources`.
 """

@@ -18,7 +18,7 @@ fewer words (but not none) has one, of all its words. Steps:
 So the work is bounded by the pairs that share a bucket: texts that are only a little alike meet by rare chance, in twos,
 and don't chain. Within a large group of near copies all pairs are compared, as all links are counted.
 
-Defined cases: texts without words, and null texts, are classes of their own without links; rows with one doc_id and
+Defined cases: texts of any length are compared by all their n-grams; texts without words, and null texts, are classes of their own without links; rows with one doc_id and
 different texts are one document with several sets, whose links are all counted, but for those among themselves; a row with a null doc_id comes back with nulls and no links;
 ties go to the least doc_id; extra columns are ignored; an empty table gives an empty result.
 """

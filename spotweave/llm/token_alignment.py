@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, shared_checkpoints
+from .common import ranges, shared_checkpoints, spread
 
 #: Where the vocabularies lie, unless the session's spotweave.tokenizers names another folder.
 FOLDER = "/opt/tokenizers"
@@ -238,7 +238,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id") ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string, a array<int>, b array<int>, n array<int>"
-    return docs.selectExpr(f"`{id_col}` as id", "text").mapInArrow(run, shape)
+    return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(run, shape)
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -324,7 +324,7 @@ def alignment(docs: DataFrame, a_file: str | None = None, b_file: str | None = N
     spark = docs.sparkSession
     a_file, b_file = a_file or f"{folder(spark)}/{A_FILE}", b_file or f"{folder(spark)}/{B_FILE}"
     at = f"{shared_checkpoints(spark)}/{uuid.uuid4().hex}"
-    aligned = align(docs, a_file, b_file, id_col)
+    aligned = align(spread(docs.select(id_col, "text")), a_file, b_file, id_col)
     aligned.write.option("compression", "zstd").parquet(at)
     aligned = spark.read.schema(aligned.schema).parquet(at)
     counts = pair_counts(aligned, Aligner(a_file, b_file).same).checkpoint()

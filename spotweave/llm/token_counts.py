@@ -11,7 +11,7 @@ merge ranks rather than probabilities, so a piece of rank r gets log(1 / (r + 2.
 piece covers counts as its UTF-8 bytes, each a token of score `byte_score`. Of equally likely segmentations the one
 with fewer tokens counts.
 
-Defined cases: null and empty texts have no tokens; repeated rows each get their result; other columns are ignored; an
+Defined cases: texts of any length are counted whole, and words of more than LONG characters leave no nodes; null and empty texts have no tokens; repeated rows each get their result; other columns are ignored; an
 empty table gives an empty result.
 """
 
