@@ -4,11 +4,14 @@ calibrated probability a paragraph is of an unknown licence, and a comparison wi
 Paragraphs: comment marks at the start of lines are dropped; a paragraph ends at a blank line, or at a line that ends with
 a sentence or clause (`.`, `!`, `?`, `:`, `;`). So lines that were broken to fit are read together.
 
-Classifier: softmax regression over all words and pairs of words of a paragraph, by their CRC-32; its classes are the families below,
-`unknown` (licences outside them) and `none`. The driver fits it on the labelled paragraphs below and seeded variations
-of them (bounded: `VARIATIONS` of each). Its probabilities are calibrated by a temperature chosen on further variations; the least probability and the
-least share of a template that a named family needs are chosen on these and on notices of licences (`HELD_OUT`) that the fit never saw.
-A paragraph without any cue (a few words, chosen by the fit so that every labelled notice has two of them where it can) is `none` with no further look.
+Classifier: softmax regression over all words of a paragraph and all pairs of known words in a row, by their CRC-32; its classes are the
+families below, `unknown` (licences outside them) and `none`. The driver fits it on the labelled paragraphs below, seeded variations
+of them (bounded: `VARIATIONS` of each), and names of licences in short notices. Temperature, least probability and least share of a template
+are chosen with a model that was fitted without a third of each class's paragraphs and names, on those and on `HELD_OUT`. Every paragraph is classified: there is no search for cues
+before it.
+
+Notices of several licences: the parts of a licence's paragraph between "and", "or" and the like are classified too, and each whose
+class is confirmed by one of that family's short names adds the family (`also`).
 
 All of it is one projection of the documents: n-grams look their weights up in arrays that are constants of the plan (a fixed
 vocabulary). Nothing is shuffled, so no hot paragraph or document gathers anywhere.
@@ -140,8 +143,28 @@ OTHER = (
     "Public transport is free of charge on that day.", "The author modified the source of the river on the map.", "A creative person works in the commons of the university.", "The program was modified and published again in this form.", "Copyright law is taught at this school.", "The foundation gave free food to any person.",
     "The city issued a new licence to the restaurant, and the owner has to renew it in March.", "All seats are reserved; please show the ticket to the person at the door.", "The compiler reads the source code and writes a binary file.", "We use the library to parse files and distribute the work over many machines.",
 )
-#: Words that prose is full of: never cues, and the filler of made paragraphs without a licence.
+#: Short names of the families' licences, and of licences outside them.
+SHORT = {
+    "apache": ("Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache License", "Apache Software License", "Apache v2", "ASL 2.0"),
+    "mit": ("MIT", "MIT License", "Expat License", "MIT/X11", "X11 License"),
+    "bsd": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "BSD License", "New BSD License", "3-clause BSD", "2-clause BSD", "Simplified BSD License", "Modified BSD License"),
+    "gpl": ("GPL", "GPLv3", "GPLv2", "GPL-3.0", "GPL-2.0", "GPL v3", "GPL 2", "GPL 3", "GNU GPL", "GNU GPLv3", "GNU GPLv2", "GPLv2 or later", "GPLv3 or later", "GNU General Public License", "GNU General Public License v3.0", "General Public License"),
+    "lgpl": ("LGPL", "LGPLv3", "LGPLv2.1", "LGPL-2.1", "LGPL-3.0", "GNU LGPL", "GNU Lesser General Public License", "Lesser GPL"),
+    "mpl": ("MPL", "MPL 2.0", "MPL-2.0", "MPLv2", "Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "creative_commons_noncommercial": ("CC BY-NC", "CC BY-NC 4.0", "CC-BY-NC-SA-4.0", "CC BY-NC-SA", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial", "Creative Commons BY-NC"),
+    "creative_commons": ("CC BY", "CC BY 4.0", "CC-BY-SA-4.0", "CC BY-SA", "CC BY-SA 3.0", "CC BY-ND 4.0", "Creative Commons Attribution", "Creative Commons Attribution-ShareAlike", "Creative Commons BY"),
+    "public_domain": ("CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero", "Creative Commons CC0", "Unlicense", "The Unlicense", "public domain"),
+    "unknown": ("AGPL", "AGPLv3", "AGPL-3.0", "GNU Affero General Public License", "EPL 2.0", "EPL-1.0", "zlib", "WTFPL", "BSL 1.0", "SIL OFL 1.1", "ODbL", "Artistic 2.0", "Eclipse Public License", "Boost Software License", "Open Government Licence", "OpenRAIL", "ISC", "ISC License"),
+}
+#: Notices that name a licence; {} is its name.
+FRAMES = (
+    "Licensed under {}", "Licensed under the {}.", "This project is licensed under the {}.", "This program is licensed under {}.", "The code is released under {}", "Released under the {}.", "License: {}", "Distributed under {}.", "Distributed under the terms of the {}", "Available under {}.",
+    "SPDX-License-Identifier: {}", "Publié sous {}.", "Sous licence {}", "Lizenziert unter {}", "Publicado bajo {}.", "under a {} licence", "covered by the {} license", "It may be used under the {}, see the file for details", "Dual-licensed under {} and {}.", "Licensed under either of {} or {}", "{} or {}", "either {} or {} at your option",
+)
+#: Words that prose is full of: the filler of made paragraphs without a licence.
 PLAIN = "the of and to in a is for or any this that by be with as it on not you may at are from an if was were he she they we his her their our has had have will would can could one two first last year day time way people man woman house city water long great small old new made went came said saw took many some more most other than then there here when where who which what how but so all no up out into over after before under between about again still never always often very much little good".split()
+#: Frequent words of other languages (German "mit" is no licence).
+FOREIGN = "der die das und ist mit von zu den dem ein eine nicht auf auch als an es im sich aus bei nach wird sind le la les des et est un une que qui dans pour par sur pas plus avec ne se ce el los las en y por con para una su al lo como il di che non per sono da del della o os um uma com mais het een op te voor".split()
 _TOKEN = r"[a-z0-9]+"
 #: Marks of comments, lists and quotes at the start of a line.
 MARKS = r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|>+|\.\.|(?:dnl|REM|rem)(?=[ \t])|\"{3}|'{3})[ \t]*)+"
@@ -149,6 +172,8 @@ MARKS = r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|>+|\.\.|(?:dnl|REM|r
 BREAK = r"(?<=[.!?:;][\")\]]{0,1})[ \t\r]*\n\s*|\n[ \t\r]*\n\s*"
 #: What a licence is called: up to five words before "license", from the last plain one on.
 NAMED = rf"((?:(?!(?:{'|'.join([*PLAIN, 'see', 'released', 'licensed', 'distributed', 'available', 'per', 'via', 'its'])})(?![a-z0-9]))[a-z][a-z0-9]* ){{1,5}})licen[cs]e(?![a-z0-9])"
+#: Where a notice of several licences is cut.
+CUT = r"(?i)(?<![a-z0-9])(?:and|or|either|both|und|oder|et|ou|y|o)(?![a-z0-9])|[/|+&]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
 
@@ -176,14 +201,16 @@ def name_words(words: list[str]) -> set[str]:
     return {w for name in re.findall(r"(?<![a-z0-9])" + NAMED, " ".join(words)) for w in name.split()}
 
 
-def labelled(variations: int = VARIATIONS, seed: int = 5) -> list[tuple[str, str]]:
-    """(paragraph, family): the labelled paragraphs, and each with words added before and after, some left out, or a part of it."""
+def labelled(variations: int = VARIATIONS, seed: int = 5, part: int | None = None, of: bool = False) -> list[tuple[str, str]]:
+    """(paragraph, family): the labelled paragraphs, each with words added before and after, some left out, or a part of it; names in short
+    notices; and prose. With `part`, every third paragraph and name of a class from that one on is left out (`of`: they alone are taken)."""
     r = random.Random(seed)
-    names = ["2019", "2024", "Jane Doe", "Example Inc", "the authors", "contributors", "project", "code", "see", "for details", "theon ered", "lara den"]
+    extra = ["2019", "2024", "Jane Doe", "Example Inc", "the authors", "contributors", "project", "code", "see", "for details", "theon ered", "lara den"]
     filler = lambda n: [r.choice(PLAIN) for _ in range(n)]
+    mine = lambda texts: [t for k, t in enumerate(texts) if part is None or (k % 3 == part) == of]
     out = []
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, OUTSIDE), (NONE, OTHER)]:
-        for t in texts:
+        for t in mine(texts):
             out.append((t, family))
             for _ in range(variations):
                 w = t.split()
@@ -193,10 +220,29 @@ def labelled(variations: int = VARIATIONS, seed: int = 5) -> list[tuple[str, str
                 if len(w) > 12 and r.random() < 0.5:
                     k = r.randrange(len(w) - 9)
                     w = w[k : k + r.randint(9, 30)]
-                out.append((" ".join(r.sample(names, r.randint(0, 2)) + w + r.sample(names, r.randint(0, 2))), family))
-    # single words of notices within prose are none
-    for w in sorted({w for texts in (*TEMPLATES.values(), OUTSIDE) for t in texts for w in words_of(t)} - set(PLAIN)):
+                out.append((" ".join(r.sample(extra, r.randint(0, 2)) + w + r.sample(extra, r.randint(0, 2))), family))
+    named = [(n, f) for f, names in SHORT.items() for n in mine(names)]
+    for name, family in named:
+        if len(words_of(name)) > 1:
+            out += [(name, family)] * 2
+        for frame in FRAMES if variations >= VARIATIONS else r.sample(FRAMES, 6):
+            second = r.choice(named)[0]
+            a, b = (name, second) if r.random() < 0.5 else (second, name)
+            out.append((frame.format(a, b) if frame.count("{}") == 2 else frame.format(name), family))
+        for _ in range(2):  # prose that names it
+            out.append((" ".join([*filler(r.randint(3, 12)), name, *filler(r.randint(3, 12))]), NONE))
+    made = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    for _ in range(6 * len(named)):  # texts of unknown words, numbers and a few plain words
+        out.append((" ".join(r.choice([made, made, lambda: str(r.randint(0, 12)), lambda: r.choice(PLAIN)])() for _ in range(r.randint(1, 12))), NONE))
+        share = r.random()
+        out.append((" ".join("mit" if (x := r.random()) < 0.06 else r.choice(FOREIGN) if x < share else made() for _ in range(r.randint(3, 40))), NONE))
+    for _ in range(len(named)):  # licences that nobody has heard of
+        out.append((r.choice(FRAMES[:18]).format(f"{made().capitalize()} {r.choice(['Licence', 'License', 'Public License', 'License 2.0', 'Open License, version 3', 'Shared Licence'])}"), UNKNOWN))
+    # words of notices within prose are none, alone or a few of them
+    words = sorted({w for texts in (*TEMPLATES.values(), OUTSIDE) for t in texts for w in words_of(t)} - set(PLAIN))
+    for w in words:
         out += [(" ".join([*filler(r.randint(3, 20)), w, *filler(r.randint(3, 20))]), NONE) for _ in range(2)]
+        out += [(" ".join(x for v in [w, *r.sample(words, r.randint(1, 4))] for x in [*filler(r.randint(1, 4)), v]), NONE)]
     return out
 
 
@@ -208,22 +254,57 @@ def softmax(s: np.ndarray) -> np.ndarray:
 class Model:
     """Softmax regression over n-grams; `temperature` divides the scores; `least` and `share` are what a named family needs.
 
-    Weights are found by code % len(slots): each place holds one n-gram of the vocabulary (others of the same place are left out of it).
+    A code's place in the vocabulary is found by its remainders: `tables` holds, for a few moduli, the code and its place at each remainder; codes
+    that meet another one go to the next table, until none is left.
     """
 
-    SLOTS = 16381
+    MODULI = (16381, 4093, 1021, 1019, 1013, 1009)
 
     def __init__(self, rounds: int = 120, rate: float = 0.5, decay: float = 1e-3):
         self.families = [*TEMPLATES, UNKNOWN, NONE]
-        vocabulary = sorted(set().union(*(grams(words_of(t)) for texts in (*TEMPLATES.values(), OUTSIDE, OTHER, [" ".join(PLAIN)]) for t in texts)))
-        self.slots, self.codes = [-1] * self.SLOTS, []
-        for c in vocabulary:
-            if self.slots[c % self.SLOTS] < 0:
-                self.slots[c % self.SLOTS] = len(self.codes)
-                self.codes.append(c)
-        place = lambda c: k if (k := self.slots[c % self.SLOTS]) >= 0 and self.codes[k] == c else None
-        self.place = place
-        data = labelled()
+        texts = [t for texts in (*TEMPLATES.values(), OUTSIDE, OTHER, [" ".join(PLAIN), " ".join(FOREIGN)]) for t in texts]
+        texts += [f.format(*[n] * f.count("{}")) for names in SHORT.values() for n in names for f in FRAMES]
+        self.codes = sorted(set().union(*(grams(words_of(t)) for t in texts)))
+        self.place = {c: k for k, c in enumerate(self.codes)}
+        self.tables, left = [], self.codes
+        for m in self.MODULI:
+            held, after = [-1] * m, []
+            for c in left:
+                if held[c % m] < 0:
+                    held[c % m] = c
+                else:
+                    after.append(c)
+            self.tables.append((m, held, [self.place.get(c, -1) for c in held]))
+            if not (left := after):
+                break
+        else:
+            raise ValueError("n-grams without a place")
+        self.names = [sorted(set().union(*(name_words(words_of(t)) for t in TEMPLATES.get(f, ())), *(name_words([*words_of(n), "license"]) for n in SHORT.get(f, ()) if f != UNKNOWN))) for f in self.families]
+        self.chosen(0, rounds, rate, decay)
+        self.w, self.b = self.fit(labelled(), rounds, rate, decay)
+        self.compare_with(None)
+
+    def chosen(self, part: int, rounds: int, rate: float, decay: float) -> None:
+        """Temperature and cutoffs, by a model that has seen none of the texts that they are chosen on."""
+        self.w, self.b = self.fit(labelled(part=part), rounds, rate, decay)
+        self.compare_with(part)
+        held = labelled(variations=8, seed=6, part=part, of=True) + [(t, UNKNOWN) for t in HELD_OUT for _ in range(8)]
+        scores, y = self.scores([t for t, _ in held]), np.array([self.families.index(f) for _, f in held])
+        loss = lambda t: -np.log(softmax(scores / t)[np.arange(len(y)), y] + 1e-12).mean()
+        self.temperature = min((0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
+        found = [self.guess(t) for t, _ in held]
+        wrong_name = 3  # naming a wrong family is as bad as so many notices left unknown
+        gain = lambda got, f: 1 if got == f else -wrong_name if got not in (UNKNOWN, NONE) else 0
+        right = lambda least, share: sum(gain(self.decide(*g, least, share), f) for g, (_, f) in zip(found, held, strict=True))
+        self.least, self.share = max(((a, s) for a in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for s in (0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)), key=lambda c: right(*c))
+
+    def compare_with(self, without: int | None) -> None:
+        """The texts and names that a family is confirmed by."""
+        some = lambda texts: [t for k, t in enumerate(texts) if without is None or k % 3 != without]
+        self.short = [[triples(words_of(t)) for t in some(SHORT.get(f, ()))] if f != UNKNOWN else [] for f in self.families]
+        self.templates = [[triples(words_of(t)) for t in some(TEMPLATES.get(f, ()))] + s for f, s in zip(self.families, self.short, strict=True)]
+
+    def fit(self, data: list[tuple[str, str]], rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
         x, y = self._matrix([t for t, _ in data]), np.array([self.families.index(f) for _, f in data])
         w, b = np.zeros((len(self.codes), len(self.families)), np.float32), np.zeros(len(self.families), np.float32)
         sums, each = [np.full_like(v, 1e-8) for v in (w, b)], (1 / np.bincount(y)[y]).astype(np.float32)
@@ -233,53 +314,44 @@ class Model:
             for v, g, s in ((w, x.T @ d - decay * w, sums[0]), (b, d.sum(0), sums[1])):
                 s += g * g
                 v += rate * g / np.sqrt(s)
-        self.w, self.b = np.round(w.astype(np.float64), 4), np.round(b.astype(np.float64), 4)
-        self.names = [sorted(set().union(*(name_words(words_of(t)) for t in TEMPLATES.get(f, ("",))))) for f in self.families]
-        self.templates = [[triples(words_of(t)) for t in TEMPLATES.get(f, ())] for f in self.families]
-        held = labelled(variations=8, seed=6)
-        scores, y = self.scores([t for t, _ in held]), np.array([self.families.index(f) for _, f in held])
-        loss = lambda t: -np.log(softmax(scores / t)[np.arange(len(y)), y] + 1e-12).mean()
-        self.temperature = min((0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
-        held += [(t, UNKNOWN) for t in HELD_OUT for _ in range(24)]
-        found = [self.guess(t) for t, _ in held]
-        right = lambda least, share: np.mean([self.decide(*g, least, share) == f for g, (_, f) in zip(found, held, strict=True)])
-        self.least, self.share = max(((a, s) for a in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for s in (0.7, 0.6, 0.5, 0.4, 0.3)), key=lambda c: right(*c))
-        self.cues = self._cues()
-
-    @staticmethod
-    def _cues(each: int = 2) -> list[str]:
-        """Words, few and not plain ones, so that every labelled notice has `each` of them where it can."""
-        notices = [{w for w in words_of(t) if w.isalpha()} - set(PLAIN) for texts in (*TEMPLATES.values(), OUTSIDE) for t in texts]
-        need, cues = [min(each, len(n)) for n in notices], []
-        while any(need):
-            words = {w: sum(1 for n, k in zip(notices, need, strict=True) if k and w in n) for n in notices for w in n if w not in cues}
-            best = min(words, key=lambda w: (-words[w], w))
-            cues.append(best)
-            need = [k - 1 if k and best in n else k for n, k in zip(notices, need, strict=True)]
-        return sorted(cues)
+        return np.round(w.astype(np.float64), 4), np.round(b.astype(np.float64), 4)
+
+    def _places(self, words: list[str]) -> list[int]:
+        known = [code(w) in self.place for w in words]
+        pairs = [code(a, b) for a, b, x, y in zip(words, words[1:], known, known[1:], strict=False) if x and y]
+        return sorted({self.place[c] for c in [*map(code, words), *pairs] if c in self.place})
 
     def _matrix(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.codes)), np.float32)
         for k, t in enumerate(texts):
-            x[k, [p for g in grams(words_of(t)) if (p := self.place(g)) is not None]] = 1
+            x[k, self._places(words_of(t))] = 1
         return x
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return self._matrix(texts) @ self.w + self.b
 
-    def guess(self, text: str) -> tuple[int, float, float]:
+    def guess(self, text: str, by_name: bool = False) -> tuple[int, float, float]:
         """Place of the likeliest class, its probability, and the share of a template of it: the larger of both containments,
-        at its best template; 0 if a licence is named in words that the family's names don't have."""
+        at its best template (`by_name`: whether a short name of it is there); 0 if a licence is named in words that the family's names don't have."""
+        words = words_of(text)
         p = softmax(self.scores([text]) / self.temperature)[0]
-        k, mine = int(p.argmax()), triples(words_of(text))
-        if not name_words(words_of(text)) <= set(self.names[k]):
+        k, mine, every = int(p.argmax()), triples(words), triples(words) | grams(words)
+        if not name_words(words) <= set(self.names[k]):
             return k, float(p[k]), 0.0
-        return k, float(p[k]), max((max(len(mine & t) / len(t), len(mine & t) / max(len(mine), 1)) for t in self.templates[k]), default=0.0)
+        if by_name:
+            return k, float(p[k]), float(any(t <= every for t in self.short[k]))
+        return k, float(p[k]), max((max(len(every & t) / len(t), len(mine & t) / max(len(mine), 1)) for t in self.templates[k]), default=0.0)
 
     def decide(self, k: int, probability: float, share: float, least: float, enough: float) -> str:
         name = self.families[k]
         return name if name == NONE or probability >= least and share >= enough else UNKNOWN
 
+    def parts(self, text: str) -> list[str]:
+        """The families that the parts of a notice name, sorted."""
+        parts = [f"licensed under {t}" for t in re.split(CUT, text)]
+        found = [self.decide(*self.guess(t, True), self.least, 1.0) for t in parts] if len(parts) > 1 else []
+        return sorted(set(found) - {NONE, UNKNOWN})
+
 
 _model: list[Model] = []
 
@@ -301,55 +373,77 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def classify(paragraph: Column, fitted: Model) -> Column:
-    """A struct (family, probability, template_share) of a paragraph."""
-    n = len(fitted.families)
-    slots, codes = _constant(fitted.slots, "array<int>"), _constant(fitted.codes, "array<bigint>")
+def classify(paragraph: Column, fitted: Model, by_name: bool = False) -> Column:
+    """A struct (family, probability, template_share) of a paragraph; `by_name`: confirmed by short names alone."""
+    tables = [(m, _constant(held, "array<bigint>"), _constant(places, "array<int>")) for m, held, places in fitted.tables]
     weights = _constant(fitted.w.tolist(), "array<array<double>>")
-    templates = _constant([[sorted(t) for t in f] for f in fitted.templates], "array<array<array<bigint>>>")
+    templates = _constant([[sorted(t) for t in f] for f in (fitted.short if by_name else fitted.templates)], "array<array<array<bigint>>>")
     names = _constant(fitted.names, "array<array<string>>")
     tokens = F.regexp_extract_all(F.translate(paragraph, _UPPER, _LOWER), F.lit(f"({_TOKEN})"))
+    rest = lambda t, k: F.slice(t, k, F.greatest(F.size(t), F.lit(1)))
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    enough = 1.0 if by_name else float(fitted.share)
+
+    def place(c: Column) -> Column:
+        at = F
+        for m, held, places in tables:
+            spot = (c % m).cast("int")
+            at = at.when(F.get(held, spot) == c, F.get(places, spot))
+        return at
+
+    def looked(t: Column) -> Column:
+        return F.transform(t, lambda w: F.struct(w.alias("w"), place(F.crc32(w)).alias("p")))
 
     def scored(t: Column) -> Column:
-        rest = lambda k: F.slice(t, k, F.greatest(F.size(t), F.lit(1)))
-        pairs = F.filter(F.zip_with(t, rest(2), lambda a, b: F.crc32(F.concat(a, F.lit(" "), b))), lambda x: x.isNotNull())
-        found = F.array_distinct(F.concat(F.transform(t, F.crc32), pairs))
-        places = F.filter(F.transform(found, lambda c: F.when(F.get(codes, F.get(slots, (c % Model.SLOTS).cast("int"))) == c, F.get(slots, (c % Model.SLOTS).cast("int")))), lambda x: x.isNotNull())
+        pairs = F.zip_with(t, rest(t, 2), lambda a, b: F.when(a["p"].isNotNull() & b["p"].isNotNull(), place(F.crc32(F.concat(a["w"], F.lit(" "), b["w"])))))
+        places = F.array_sort(F.array_distinct(known(F.concat(F.transform(t, lambda x: x["p"]), pairs))))
         start = F.array(*[F.lit(float(b)) for b in fitted.b])
-        total = F.aggregate(F.transform(places, lambda p: F.get(weights, p)), start, lambda s, w: F.zip_with(s, w, lambda x, y: x + y))
-        three = F.zip_with(F.zip_with(t, rest(2), lambda a, b: F.concat(a, F.lit(" "), b)), rest(3), lambda a, b: F.crc32(F.concat(a, F.lit(" "), b)))
-        three = F.when(F.size(t) > 2, F.array_distinct(F.filter(three, lambda x: x.isNotNull()))).otherwise(F.filter(F.array(F.crc32(F.concat_ws(" ", t))), lambda x: F.size(t) > 0))
-        return F.struct(F.transform(total, lambda x: x / float(fitted.temperature)).alias("s"), three.alias("three"), F.concat_ws(" ", t).alias("joined"))
+        total = F.aggregate(places, start, lambda s, p: F.zip_with(s, F.get(weights, p), lambda x, y: x + y))
+        return F.struct(F.transform(total, lambda x: x / float(fitted.temperature)).alias("s"), F.transform(t, lambda x: x["w"]).alias("t"))
 
-    def judged(x: Column) -> Column:
+    def likely(x: Column) -> Column:
         k = F.array_position(x["s"], F.array_max(x["s"])).cast("int") - 1
         e = F.aggregate(F.transform(x["s"], lambda v: F.exp(v - F.array_max(x["s"]))), F.lit(0.0), lambda a, v: a + v)
-        both = lambda t: F.size(F.array_intersect(x["three"], t))
-        shares = F.transform(F.get(templates, k), lambda t: F.greatest(both(t) / F.size(t), both(t) / F.greatest(F.size(x["three"]), F.lit(1))))
-        named = F.flatten(F.transform(F.regexp_extract_all(x["joined"], F.lit(r"(?<![a-z0-9])" + NAMED), F.lit(1)), lambda w: F.split(F.trim(w), " ")))
-        ours = F.size(F.array_except(named, F.get(names, k))) == 0
-        return F.struct(k.alias("k"), (1.0 / e).alias("p"), F.when(ours, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(0.0).alias("share"))
+        return F.struct(k.alias("k"), (1.0 / e).alias("p"), F.when(k != fitted.families.index(NONE), x["t"]).alias("t"))
+
+    def sets(x: Column) -> Column:
+        t = x["t"]
+        pairs = F.zip_with(t, rest(t, 2), lambda a, b: F.concat(a, F.lit(" "), b))
+        three = known(F.zip_with(pairs, rest(t, 3), lambda a, b: F.concat(a, F.lit(" "), b)))
+        three = F.when(F.size(t) > 2, three).otherwise(F.filter(F.array(F.concat_ws(" ", t)), lambda w: w != ""))
+        code_of = lambda a: F.array_distinct(F.transform(a, F.crc32))
+        named = F.flatten(F.transform(F.regexp_extract_all(F.concat_ws(" ", t), F.lit(r"(?<![a-z0-9])" + NAMED), F.lit(1)), lambda w: F.split(F.trim(w), " ")))
+        return F.struct(x["k"].alias("k"), x["p"].alias("p"), code_of(three).alias("three"), code_of(F.concat(t, known(pairs), three)).alias("every"), (F.size(F.array_except(named, F.get(names, x["k"]))) == 0).alias("ours"))
+
+    def judged(x: Column) -> Column:
+        both = lambda a, t: F.size(F.array_intersect(a, t))
+        share = lambda t: both(x["every"], t) / F.size(t) if by_name else F.greatest(both(x["every"], t) / F.size(t), both(x["three"], t) / F.greatest(F.size(x["three"]), F.lit(1)))
+        best = F.when(x["ours"], F.coalesce(F.array_max(F.transform(F.get(templates, x["k"]), share)), F.lit(0.0))).otherwise(0.0)
+        return F.struct(x["k"].alias("k"), x["p"].alias("p"), (F.floor(best).cast("double") if by_name else best).alias("share"))
 
     def named(x: Column) -> Column:
-        name = F.get(F.array(*[F.lit(f) for f in fitted.families]), x["k"])
-        sure = (name == NONE) | (x["p"] >= fitted.least) & (x["share"] >= fitted.share)
-        return F.struct(F.when(sure, name).otherwise(UNKNOWN).alias("family"), x["p"].alias("probability"), x["share"].alias("template_share"))
+        sure = (x["p"] >= fitted.least) & (x["share"] >= enough)
+        return F.struct(F.when(sure, F.get(F.array(*[F.lit(f) for f in fitted.families]), x["k"])).otherwise(UNKNOWN).alias("family"), x["p"].alias("probability"), x["share"].alias("template_share"))
 
-    # one step at a time over an array of one, so that each value is computed once
-    one = F.transform(F.transform(F.transform(F.array(tokens), scored), judged), named)
-    return F.get(one, F.lit(0))
+    # one step at a time over an array of one, so that each value is computed once; a paragraph of no licence ends at the second
+    one = F.filter(F.transform(F.transform(F.transform(F.array(tokens), looked), scored), likely), lambda x: x["t"].isNotNull())
+    return F.get(F.transform(F.transform(F.transform(one, sets), judged), named), F.lit(0))
 
 
 def scan(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
-    """Per row: doc_id, n_paragraphs (with a letter or digit), n_licence, families (sorted, comma-joined), n_unknown, and
-    `found`, the paragraphs of licences with their family, probability and template_share."""
+    """Per row: doc_id, n_paragraphs (with a letter or digit), n_licence, families (sorted, comma-joined), n_unknown (paragraphs without a family), and
+    `found`, the paragraphs of licences with their family, probability and template_share, and the families that parts of them name (`also`)."""
     fitted = fitted or model()
-    cue = rf"(?i)(?<![a-z0-9])(?:{'|'.join(fitted.cues)})(?![a-z0-9])"
+
+    def also(x: Column) -> Column:
+        parts = F.split(x, CUT)
+        named = F.transform(parts, lambda t: classify(F.concat(F.lit("licensed under "), t), fitted, by_name=True)["family"])
+        return F.when(F.size(parts) > 1, F.array_sort(F.array_distinct(F.filter(named, lambda f: f.isNotNull() & (f != UNKNOWN))))).otherwise(F.array().cast("array<string>"))
+
     d = docs.select("doc_id", paragraphs(F.col("text")).alias("all"))
-    d = d.select("doc_id", F.size("all").cast("long").alias("n_paragraphs"), F.filter("all", lambda x: x.rlike(cue)).alias("some"))
-    found = F.transform("some", lambda x: F.struct(x.alias("paragraph"), classify(x, fitted).alias("c")))
-    found = F.transform(F.filter(found, lambda x: x["c"]["family"] != NONE), lambda x: F.struct(x["paragraph"].alias("paragraph"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability"), x["c"]["template_share"].alias("template_share")))
-    d = d.select("doc_id", "n_paragraphs", F.when(F.size("some") > 0, found).otherwise(F.array().cast("array<struct<paragraph:string,family:string,probability:double,template_share:double>>")).alias("found"))
-    families = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda x: x["family"]), lambda f: f != UNKNOWN)))
-    unknown = F.size(F.filter("found", lambda x: x["family"] == UNKNOWN))
+    found = F.transform("all", lambda x: F.struct(x.alias("paragraph"), classify(x, fitted).alias("c")))
+    found = F.transform(F.filter(found, lambda x: x["c"].isNotNull()), lambda x: F.struct(x["paragraph"].alias("paragraph"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability"), x["c"]["template_share"].alias("template_share"), also(x["paragraph"]).alias("also")))
+    d = d.select("doc_id", F.size("all").cast("long").alias("n_paragraphs"), found.alias("found"))
+    families = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("found", lambda x: F.concat(F.array(x["family"]), x["also"]))), lambda f: f != UNKNOWN)))
+    unknown = F.size(F.filter("found", lambda x: (x["family"] == UNKNOWN) & (F.size(x["also"]) == 0)))
     return d.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licence"), F.concat_ws(",", families).alias("families"), unknown.cast("long").alias("n_unknown"), "found")
