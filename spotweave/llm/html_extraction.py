@@ -1,7 +1,7 @@
 """HTML extraction: a linear-chain conditional random field over the DOM's leaf blocks, decoded by Viterbi.
 
 A page is cut into leaf blocks (text between block-level tags) with the tags, classes, ids and roles of their
-ancestors. Each block gets ancestor and text features; the field has one weight for every feature and label (main text
+ancestors. Each block gets ancestor and text features, and coarse ones of its neighbours' links and words and of its container's share of the page, links and sentences; the field has one weight for every feature and label (main text
 or not) and one for every pair of labels in a row. It is trained by gradient ascent on the log-likelihood of the
 labelled pages in `labelled_pages`, which are few, fixed and made here; pages to extract are never trained on, and never
 move: the weights go to them.
@@ -171,12 +171,38 @@ def _shape_features(shape: tuple) -> list[str]:
     return [*out, f"ends:{ends} words:{words}", f"tag:{tag} link:{link}", f"tag:{tag} words:{words}", f"says:{says} words:{words}"]
 
 
+def _context(found: list[tuple]) -> list[tuple]:
+    """Coarse features of what is around each block: the page's number of blocks; of the element that the block's own element stands in, its share
+    of the page's text, share of links and sentences; links and words of the blocks before and after."""
+    seen: dict[int, list[int]] = {}
+    mine, kinds, total = [], [("-", "-")], 0
+    for text, node, linked, _ in found:
+        box = node.parent if node and node.parent and (node.tag in ("p", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote") or node.tag in _HEADINGS) else node
+        sums = seen.setdefault(id(box), [0, 0, 0])
+        n, words = len(text), text.count(" ") + 1
+        sums[0] += n
+        sums[1] += linked
+        sums[2] += words > 5 and text[-1] in ".!?:;…。\"'”)"
+        total += n
+        mine.append(sums)
+        kinds.append((0 if not linked else 1 if linked < 0.6 * n else 2, 0 if words < 4 else 1 if words < 12 else 2))
+    kinds.append(("-", "-"))
+    size = min(len(found).bit_length(), 4)
+    return [(size, 0 if c < 0.02 * total else 1 if c < 0.1 * total else 2 if c < 0.4 * total else 3, 0 if not k else 1 if k < 0.3 * c else 2 if k < 0.8 * c else 3, min(e, 3), *kinds[i], *kinds[i + 2]) for i, (c, k, e) in enumerate(mine)]
+
+
+def _context_features(context: tuple) -> list[str]:
+    size, share, links, sentences, before, shorter, after, longer = context
+    return [f"blocks:{size}", f"share:{share}", f"box links:{links}", f"sentences:{sentences}", f"share:{share} sentences:{sentences}", f"share:{share} blocks:{size}", f"links:{links} sentences:{sentences}", f"before:{before} {shorter}", f"after:{after} {longer}"]
+
+
 class Field:
     """Weights of a two-label linear chain; label 1 is main text."""
 
     def __init__(self, weights: dict[str, tuple[float, float]], pairs: np.ndarray, start: np.ndarray):
         self.weights, self.pairs, self.start = weights, pairs, start
         self._shapes: dict = {}
+        self._contexts: dict = {}
 
     def _sum(self, features: Iterable[str]) -> float:
         return sum(w[1] - w[0] for f in features if (w := self.weights.get(f)))
@@ -196,11 +222,13 @@ class Field:
     def scores(self, found: list[tuple]) -> list[float]:
         """For each block, how much more label 1 scores than label 0."""
         out = []
-        for text, node, linked, _ in found:
+        for (text, node, linked, _), context in zip(found, _context(found), strict=True):
             shape = _shape(text, node, linked)
             if (s := self._shapes.get(shape)) is None:
                 s = self._shapes[shape] = self._sum(_shape_features(shape))
-            out.append(self._path_score(node) + s)
+            if (c := self._contexts.get(context)) is None:
+                c = self._contexts[context] = self._sum(_context_features(context))
+            out.append(self._path_score(node) + s + c)
         return out
 
     def decode(self, found: list[tuple]) -> list[int]:
@@ -257,8 +285,9 @@ def train(pages: list[str], rounds: int = 120, rate: float = 0.4, decay: float =
     owner, feats, labels, size = [], [], [], []
     for page in pages:
         before = len(labels)
-        for text, node, linked, main in blocks(page):
-            mine = [names.setdefault(f, len(names)) for f in _path_features(node) + _shape_features(_shape(text, node, linked))]
+        found = list(blocks(page))
+        for (text, node, linked, main), context in zip(found, _context(found), strict=True):
+            mine = [names.setdefault(f, len(names)) for f in _path_features(node) + _shape_features(_shape(text, node, linked)) + _context_features(context)]
             owner += [len(labels)] * len(mine)
             feats += mine
             labels.append(int(main))
@@ -284,7 +313,11 @@ def train(pages: list[str], rounds: int = 120, rate: float = 0.4, decay: float =
     return Field({f: (float(w[k, 0]), float(w[k, 1])) for f, k in names.items()}, t, s)
 
 
-def labelled_pages(n: int = 320, seed: int = 7) -> list[str]:
+#: Kinds of layout of the labelled pages, and the share of pages of each.
+KINDS = {"usual": 0.56, "bare": 0.06, "table": 0.08, "blog": 0.08, "hashed": 0.08, "contents": 0.05, "forum": 0.06, "plain": 0.03}
+
+
+def labelled_pages(n: int = 480, seed: int = 7, kinds: Iterable[str] = tuple(KINDS)) -> list[str]:
     """Pages of many layouts, made here, with `data-main` on what is main text.
 
     Names of classes are from lists, made up, or left out, so that tags, text and neighbours count as well as names.
@@ -373,19 +406,59 @@ def labelled_pages(n: int = 320, seed: int = 7) -> list[str]:
             lambda: f'<div {cls("container", "wrapper", "page")}><section>{inside}</section></div>', lambda: f'<div role="main">{inside}</div>', lambda: f"<div>{inside}</div>", lambda: f'<div {cls("content")}><div {cls("output", "body")}>{inside}</div></div>',
         ])()
 
-    pages = []
+    def hashed() -> str:
+        """A class that says nothing."""
+        return f'class="{r.choice(["css", "sc", "jsx", "x", "c"])}-{r.choice([str(r.randint(1, 999)), word()])}"'
+
+    def byline() -> str:
+        return r.choice([f'Posted on <a href="/d">{r.randint(1, 28)} {words(1)} 20{r.randint(10, 24)}</a> by <a href="/u">{words(2)}</a>', f"By {words(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.2021, {r.randint(0, 23)}:15", f"{words(1)}, {r.randint(2, 30)} min"])
+
+    def blog() -> str:
+        many = r.randint(1, 40)
+        head = f'<{(t := r.choice(["header", "div"]))} class="{r.choice(["entry-header", "post-header", "post-head"])}"><h1 data-main>{words(r.randint(2, 8))}</h1><{(u := r.choice(["div", "p"]))} class="{r.choice(["entry-meta", "post-meta", "byline", "meta", "posted-on"])}">{byline()}</{u}></{t}>'
+        tail = f'<{(t := r.choice(["footer", "div", "p"]))} class="{r.choice(["entry-footer", "post-footer", "entry-meta", "post-tags", "cat-links", "meta"])}">{r.choice(["Filed under", "Posted in", "Tagged", "Categories:", "Topics", words(2)])} {r.choice(["", words(2)])}{", ".join(f"<a href=/t>{words(1)}</a>" for _ in range(r.randint(0, 4)))}</{t}>'
+        said = "".join(f'<{(t := r.choice(["li", "div"]))} class="{r.choice(["comment", "comment even", "depth-1 comment"])}"><div class="comment-meta">{words(2)} {r.choice(["says:", "on 3 May 2020"])}</div><p>{para()}</p><a href=#r>Reply</a></{t}>' for _ in range(r.randint(0, 4)))
+        talk = f'<div id="comments" class="comments-area"><h{(h := r.choice([2, 3]))} class="comments-title">{many} {r.choice(["thoughts", "comments", "responses", "replies", words(1)])}{r.choice(["", f" on {words(3)}"])}</h{h}><ol class="comment-list">{said}</ol>{r.choice(["", f"<div id=respond><h3>Leave a reply</h3><form><p>{sentence()}</p><button>Send</button></form></div>"])}</div>'
+        return f'{menu()}<{(t := r.choice(["article", "div"]))} class="post {word()}">{head}<div class="{r.choice(["entry-content", "post-content", "entry", "the-content"])}">{body(" data-main")}</div>{tail}</{t}>{r.choice([talk, talk, ""])}{r.choice([side(), ""])}{foot()}'
+
+    def nameless() -> str:
+        """Nothing but made-up classes: tags, text and neighbours have to tell."""
+        links = lambda a, b: "".join(f'<{(t := r.choice(["div", "span", "li"]))} {hashed()}><a href="/x">{words(r.randint(1, 7))}</a></{t}>' for _ in range(r.randint(a, b)))
+        inside = f"<h1 {hashed()} data-main>{words(r.randint(3, 9))}</h1>" + "".join(r.choice([lambda: f"<p {hashed()} data-main>{para()}</p>", lambda: f"<div {hashed()} data-main>{sentence()} {para()}</div>", lambda: f"<h2 {hashed()} data-main>{words(3)}</h2><p {hashed()} data-main>{para()}</p>"])() for _ in range(r.randint(2, 8)))
+        more = f'<div {hashed()}><h{(h := r.choice([2, 3, 4]))}>{r.choice(["More on this", "Read next", "You may also like", "Related", words(3)])}{r.choice(["", " " + words(1)])}</h{h}>{links(1, 5)}</div>'
+        return f"<div {hashed()}><div {hashed()}>{links(3, 7)}</div><div {hashed()}>{inside}</div>{r.choice([more, more, ''])}<div {hashed()}>{r.choice([f'&copy; 2022 {words(2)}', sentence()])} {links(0, 4)}</div></div>"
+
+    def contents() -> str:
+        toc = f'<{(t := r.choice(["div", "nav", "div"]))} {r.choice(["id=toc class=toc", "class=toc", "class=table-of-contents", "class=contents"])}><h{(h := r.choice([2, 3]))}>{r.choice(["Contents", "On this page", "In this article", words(1)])}</h{h}><{(u := r.choice(["ul", "ol"]))}>' + "".join(f'<li><a href="#s{k}">{r.choice(["", f"{k + 1} "])}{words(r.randint(1, 4))}</a>{r.choice(["", f"<ul><li><a href=#s{k}a>{k + 1}.1 {words(2)}</a></li></ul>"])}</li>' for k in range(r.randint(2, 8))) + f"</{u}></{t}>"
+        return f'{menu()}<div id="content" class="{r.choice(["mw-body", "page", "content", "document"])}"><h1 data-main>{words(2)}</h1><div class="{r.choice(["mw-parser-output", "body", "text"])}"><p data-main>{para()}</p>{toc}{body(" data-main")}</div></div>{foot()}'
+
+    def forum() -> str:
+        item, text = r.choice([("post", "post-body"), ("message", "message-content"), ("reply-post", "content"), ("post", "postbody"), ("topic-post", "cooked"), ("row", "text")])
+        posts = "".join(f'<div class="{item}" id="p{k}"><{(t := r.choice(["div", "span", "p"]))} class="{r.choice(["author", "username", "poster", "user"])}">{words(r.randint(1, 2))}</{t}>{r.choice(["", f"<div class=date>{r.randint(1, 28)} May 20{r.randint(10, 24)}, {r.randint(0, 23)}:{r.randint(10, 59)}</div>"])}<div class="{text}" data-main>{r.choice([para(), f"<p>{para()}</p><p>{sentence()}</p>"])}</div>{r.choice(["", "<div class=buttons><a href=#q>Quote</a> <a href=#r>Reply</a></div>"])}</div>' for k in range(r.randint(2, 6)))
+        return f'{menu()}<div class="{r.choice(["thread", "topic", "forum", "posts", "viewtopic"])}"><h{(h := r.choice([1, 2]))} data-main>{words(r.randint(3, 9))}</h{h}>{posts}</div>{r.choice(["", f"<form class=quick-reply><p>{sentence()}</p></form>"])}{foot()}'
+
+    def plain() -> str:
+        return r.choice([lambda: f"<div data-main>{words(r.randint(1, 4))}</div>", lambda: f"<div data-main>{sentence()}</div>", lambda: f"<h1 data-main>{words(3)}</h1><div data-main>{para()}</div>", lambda: f"<p data-main>{para()}</p>" * r.randint(1, 4), lambda: f"<pre data-main>{para()}</pre>"])()
+
+    pages, kinds = [], list(kinds)
+    own = {"blog": blog, "hashed": nameless, "contents": contents, "forum": forum}
     for _ in range(n):
+        kind = r.choices(kinds, [KINDS[k] for k in kinds])[0]
         top = [menu()] + [x() for x in r.sample([menu, advert, notice, side], r.randint(0, 3))]
         tail = [x() for x in r.sample([side, comments, advert, notice], r.randint(0, 3))] + ([foot()] if r.random() < 0.9 else [])
-        x = r.random()
-        if x < 0.08:  # nothing else
+        whole = ""
+        if kind in own:
+            page = own[kind]()
+        elif kind == "plain":
+            page, whole = r.choice([(plain(), ""), (plain(), ""), (words(r.randint(1, 5)), " data-main"), (para(), " data-main"), (f"{sentence()}<br>{para()}", " data-main")])
+        elif kind == "bare":  # nothing else
             page = r.choice([article(), f"<article><p data-main>{para()}", f"<article><p data-main>{words(r.randint(3, 12))}", f"<main><p data-main>{sentence()}</p></main>"])
-        elif x < 0.2:  # laid out by a table
+        elif kind == "table":  # laid out by a table
             cells = [f"<td {cls('left', 'nav')}>{menu()}</td>", f"<td>{body(' data-main')}</td>", *([f"<td>{side()}</td>"] if r.random() < 0.4 else [])]
             page = f"<table><tr><td colspan=3>{words(2)}</td></tr><tr>{''.join(cells)}</tr></table>{foot()}"
         else:
             page = f"{''.join(top)}{article()}{''.join(tail)}"
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{page}</body></html>")
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{whole}>{page}</body></html>")
     return pages
 
 
