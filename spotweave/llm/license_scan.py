@@ -385,7 +385,8 @@ def classify(paragraph: Column, fitted: Model, by_name: bool = False) -> Column:
     enough = 1.0 if by_name else float(fitted.share)
 
     def place(c: Column) -> Column:
-        at = F
+        m, held, _ = tables[0]
+        at = F.when(F.get(held, (c % m).cast("int")) < 0, F.lit(None).cast("int"))  # codes of later tables met one here
         for m, held, places in tables:
             spot = (c % m).cast("int")
             at = at.when(F.get(held, spot) == c, F.get(places, spot))
