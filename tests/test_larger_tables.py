@@ -32,7 +32,10 @@ def larger(tmp_path_factory):
 BRIDGE = ["array_bridge", "bridge_coverage", "bridge_residual", "registration_error_stats", "soft_target", "match_top1"]
 
 
-@pytest.mark.parametrize("name", BRIDGE)
+COMMON = ["common_positions", "common_positions_sample", "sort_common_keys"]
+
+
+@pytest.mark.parametrize("name", BRIDGE + COMMON)
 def test_rows_of_larger_tables(spark, larger, name):
     d, duck = larger
     got, found = QUERIES[name](spark, d), duck.sql(ORACLE[name])
