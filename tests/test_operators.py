@@ -121,6 +121,11 @@ def test_severity_tag(spark, value, text):
     assert spark.range(1).select(V.severity_tag(F.lit(value))).first()[0] == text == f"{value:g}".replace(".", "p")
 
 
+@pytest.mark.parametrize("value", [1.5e6 * 66669, 1.5e6 * 66671, -179612.5, 0.1234565, 999999.5, 5e-324, 1.7976931348623157e308])
+def test_severity_tag_of_halves(spark, value):
+    assert spark.range(1).select(V.severity_tag(F.lit(value))).first()[0] == f"{value:g}".replace(".", "p")
+
+
 def test_curve_files_of_all_generations(spark, tmp_path):
     for name, text in {
         "run_one_cut_S2_seed9999": "severity,max_disp_px,mean_disp_px,reg_err_mean,reg_err_median,reg_err_p90,n_reg_scored,paste2_acc,random_floor,n_label_scored,runtime_s\n0.0,1,2,3,4,5,6,0.7,0.4,9,10\n0.0,1,2,3,44,5,6,0.7,0.4,9,10\n",
