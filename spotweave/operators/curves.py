@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import written
 from .scoring import registration_error_stats
 
 
@@ -41,13 +42,15 @@ def generalization_gap(curve: DataFrame, by: list[str], col: str) -> DataFrame:
 
 def fold_summary(curve: DataFrame, series: list[str], col: str) -> DataFrame:
     """Fold by method, each cell "first->last" over severities."""
-    text = F.format_string("%.0f->%.0f", F.min_by(col, "severity"), F.max_by(col, "severity"))
-    return curve.groupBy("fold").pivot("method", series).agg(text)
+    ends = curve.groupBy("fold", "method").agg(F.min_by(col, "severity").alias("first"), F.max_by(col, "severity").alias("last"))
+    cells = ends.select("fold", "method", written("%.0f->%.0f", F.col("first"), F.col("last")).alias("text"))
+    return cells.groupBy("fold").pivot("method", series).agg(F.first("text"))
 
 
 def method_table(ci: DataFrame, series: list[str], by: tuple[str, ...] = ("severity",)) -> DataFrame:
     """Rows by severity, or by fold and severity, columns by method; each cell "mean+-ci", n/a where there is none."""
-    p = ci.groupBy(*by).pivot("method", series).agg(F.first(F.format_string("%.1f+-%.1f", "mean", "ci")))
+    cells = ci.select(*by, "method", written("%.1f+-%.1f", F.col("mean"), F.col("ci")).alias("text"))
+    p = cells.groupBy(*by).pivot("method", series).agg(F.first("text"))
     return p.select(*by, *[F.coalesce(F.col(f"`{s}`"), F.lit("n/a")).alias(s) for s in series])
 
 

@@ -126,6 +126,13 @@ def test_severity_tag_of_halves(spark, value):
     assert spark.range(1).select(V.severity_tag(F.lit(value))).first()[0] == f"{value:g}".replace(".", "p")
 
 
+def test_table_cells_round_exact_halves_to_even(spark):
+    ci = spark.createDataFrame([("a", 0, 1.0, 12.25, 0.75), ("b", 0, 1.0, 35.05, 0.25)], "method string, fold int, severity double, mean double, ci double")
+    assert C.method_table(ci, ["a", "b", "c"], ("fold", "severity")).collect() == [(0, 1.0, "12.2+-0.8", f"{35.05:.1f}+-0.2", "n/a")]
+    curve = spark.createDataFrame([(0, "a", 1.0, 2.5), (0, "a", 2.0, 3.5)], "fold int, method string, severity double, err double")
+    assert C.fold_summary(curve, ["a", "b"], "err").collect() == [(0, "2->4", None)]
+
+
 def test_curve_files_of_all_generations(spark, tmp_path):
     for name, text in {
         "run_one_cut_S2_seed9999": "severity,max_disp_px,mean_disp_px,reg_err_mean,reg_err_median,reg_err_p90,n_reg_scored,paste2_acc,random_floor,n_label_scored,runtime_s\n0.0,1,2,3,4,5,6,0.7,0.4,9,10\n0.0,1,2,3,44,5,6,0.7,0.4,9,10\n",
