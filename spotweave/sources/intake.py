@@ -162,9 +162,11 @@ def upload_signature_check(files: DataFrame) -> DataFrame:
 
 
 def upload_receipt(uploads: DataFrame) -> DataFrame:
-    """received, declared size or else the received one, truncated, positive spot count or null."""
+    """received, declared size or else the received one, truncated, positive spot count or null: a row for each upload, names that repeat included,
+    with whatever other columns it has."""
     declared = F.coalesce("declared_size", F.lit(0))
-    return uploads.select("filename", "received", F.when(declared > 0, declared).otherwise(F.col("received")).alias("file_size"), (declared > F.col("received")).alias("truncated"), F.when(F.col("spots") > 0, F.col("spots")).alias("spots"))
+    others = [c for c in uploads.columns if c not in ("filename", "received", "declared_size", "file_size", "truncated", "spots")]
+    return uploads.select(*others, "filename", "received", F.when(declared > 0, declared).otherwise(F.col("received")).alias("file_size"), (declared > F.col("received")).alias("truncated"), F.when(F.col("spots") > 0, F.col("spots")).alias("spots"))
 
 
 def spot_count_resolve(meta: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ BRIDGE = ["array_bridge", "bridge_coverage", "bridge_residual", "registration_er
 COMMON = ["common_positions", "common_positions_sample", "sort_common_keys"]
 
 
-@pytest.mark.parametrize("name", BRIDGE + COMMON + ["severity_tag"])
+@pytest.mark.parametrize("name", BRIDGE + COMMON + ["severity_tag", "upload_receipt"])
 def test_rows_of_larger_tables(spark, larger, name):
     d, duck = larger
     got, found = QUERIES[name](spark, d), duck.sql(ORACLE[name])
