@@ -29,7 +29,7 @@ def larger(tmp_path_factory):
     return str(d), c
 
 
-BRIDGE = ["array_bridge", "bridge_coverage", "bridge_residual", "registration_error_stats", "soft_target", "match_top1"]
+BRIDGE = ["array_bridge", "bridge_coverage", "bridge_residual", "registration_error_stats", "soft_target", "match_top1", "soft_cross_entropy"]
 
 
 COMMON = ["common_positions", "common_positions_sample", "sort_common_keys"]

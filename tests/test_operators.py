@@ -544,3 +544,47 @@ def test_stacks_are_read_and_written_in_parts(spark, tmp_path, monkeypatch):
 def test_text_of_numbers_and_moments(spark):
     row = spark.range(1).select(V.thousands(F.lit(17127)).alias("a"), V.thousands(F.lit(-1234567)).alias("b"), V.utc_stamp(F.timestamp_seconds(F.lit(1709251140))).alias("c"), V.fixed_width(F.lit(42), 5).alias("d"), V.fixed_width(F.lit(123456), 5).alias("e")).first()
     assert tuple(row) == ("17,127", "-1,234,567", "2024-02-29T23:59:00Z", "   42", "123456")
+
+
+def test_the_heaviest_of_equal_vectors_is_the_least_index(spark):
+    """Copies of a vector lie anywhere in a block, where a matrix product rounds them differently."""
+    rng = np.random.default_rng(8)
+    few, b = rng.normal(size=(5, 61)), rng.normal(size=(67, 61))
+    a_id = rng.permutation(1003)
+    rows = [("p", "A", int(k), few[k % 5].tolist()) for k in a_id] + [("p", "B", i, x.tolist()) for i, x in enumerate(b)]
+    qk = spark.createDataFrame(rows, "pair_id string, side string, spot_idx long, v array<double>")
+    partner = spark.createDataFrame([("p", i, int(k)) for i, k in enumerate((b @ few.T).argmax(1))], "pair_id string, b_idx long, a_idx long")
+    for block in (5000, 300):
+        assert [tuple(r) for r in E.match_top1(qk, partner, block=block).collect()] == [("p", 1.0, len(b))]
+
+
+def test_cross_entropy_near_partners_is_that_of_their_soft_target(spark):
+    rng = np.random.default_rng(9)
+    xy = rng.uniform(0, 6, (40, 2))
+    a = spots(spark, [("A", i, 0, i, float(x), float(y), "L") for i, (x, y) in enumerate(xy) if i != 7])
+    odd = {3: None, 5: [float("nan"), 1.0, 1.0], 11: [1.0, None, 1.0]}
+    v = lambda s, i: odd[i] if i in odd else rng.normal(size=3).tolist()
+    qk = spark.createDataFrame([("p", s, i, v(s, i)) for s in "AB" for i in range(40) if (s, i) != ("A", 20)], "pair_id string, side string, spot_idx long, v array<double>").persist()
+    partner = spark.createDataFrame([("p", i, -1 if i % 4 == 0 else (i * 7) % 40) for i in range(40)], "pair_id string, b_idx long, a_idx long")
+    want = E.soft_cross_entropy(qk, N.soft_target(partner, a, 1.0, 0.3)).first()
+    for block in (1000, 6):
+        got = E.soft_cross_entropy_near(qk, partner, a, 1.0, 0.3, block=block)
+        assert (got.first().n, got.first().loss) == (want.n, pytest.approx(want.loss, abs=1e-12)) and want.n > 10
+        assert "d2" not in plan_of(got)  # no row for each near spot
+
+
+def test_a_row_is_sent_a_bounded_number_of_times(spark):
+    """A side of 40,000 spots is four blocks, not twenty."""
+    v = F.array(F.lit(1.0))
+    qk = spark.range(80_000).select(F.lit("p").alias("pair_id"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("side"), F.expr("id div 2").alias("spot_idx"), v.alias("v"))
+    count = lambda pair, b, a: ([pair] * b.num_rows, b["spot_idx"], [a.num_rows] * b.num_rows)
+    got = E._by_block(qk, count, "pair_id string, b_idx long, n long").groupBy("b_idx").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("k", "n").count().collect()
+    assert [tuple(r) for r in got] == [(4, 40_000, 40_000)]
+
+
+def test_scores_rounded_where_they_are_made(spark):
+    rng = np.random.default_rng(10)
+    qk = spark.createDataFrame([("p", s, i, rng.normal(size=4).tolist()) for s in "AB" for i in range(30)], "pair_id string, side string, spot_idx long, v array<double>").persist()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(E.cosine_match(qk, digits=6)) == rows(E.cosine_match(qk).withColumn("logit", F.round("logit", 6)))
+    assert rows(E.attention_weights(qk, digits=9)) == rows(E.attention_weights(qk).withColumn("p", F.round("p", 9)))
