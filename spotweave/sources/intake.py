@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import posixpath
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.runtime import numbered
+from ..functions.runtime import numbered, shared_folder
 
 # What an address must look like, the first bytes of an HDF5 file, and (below) the bounds of a lead's fields.
 EMAIL = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -20,8 +21,9 @@ LEAD = "full_name string, email string, company string, role string, company_siz
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.btrim(c, F.lit(WHITE))
+    """Without white space of any kind at either end. Trimming the right end walks through the whole text, so it is done only where that end is white."""
+    ends = reduce(lambda x, w: x | F.endswith(c, F.lit(w)), WHITE[1:], F.endswith(c, F.lit(WHITE[0])))
+    return F.ltrim(F.when(ends, F.rtrim(c, F.lit(WHITE))).otherwise(c), F.lit(WHITE))
 
 
 def empty_to_null(c: Column) -> Column:
@@ -33,38 +35,61 @@ def drop_bots(leads: DataFrame) -> DataFrame:
     return leads.where(F.col("hp").isNull() | (F.col("hp") == ""))
 
 
+def _rules() -> list[tuple[str, Column]]:
+    """What can be wrong with a lead, in a fixed order; a test may be null, which is not wrong."""
+    # from the left alone, which stops at the first sign
+    blank = lambda c: F.ltrim(F.coalesce(F.col(c), F.lit("")), F.lit(WHITE)) == ""
+    longer = lambda c, n: (F.octet_length(c) > n) & (F.length(c) > n)
+    return [
+        ("full_name required", blank("full_name")), ("full_name length", longer("full_name", 200)), ("email required", blank("email")), ("email shape", ~blank("email") & ~trimmed(F.col("email")).rlike(EMAIL)), ("email length", longer("email", 320)),
+        ("company required", blank("company")), ("company length", longer("company", 200)), ("role length", longer("role", 200)), ("company_size required", blank("company_size")), ("company_size length", longer("company_size", 40)),
+        ("looking_for required", blank("looking_for")), ("looking_for length", longer("looking_for", 5000)), ("source length", longer("source", 300)),
+    ]
+
+
 def validate_lead(leads: DataFrame) -> DataFrame:
     """Adds `reasons`, an array of what is wrong in a fixed order, empty for a valid row."""
-    bare = lambda c: F.length(trimmed(F.coalesce(F.col(c), F.lit(""))))
-    n = lambda c: F.length(c)
-    rules = [
-        ("full_name required", bare("full_name") == 0), ("full_name length", n("full_name") > 200), ("email required", bare("email") == 0), ("email shape", (bare("email") > 0) & ~trimmed(F.col("email")).rlike(EMAIL)), ("email length", n("email") > 320),
-        ("company required", bare("company") == 0), ("company length", n("company") > 200), ("role length", n("role") > 200), ("company_size required", bare("company_size") == 0), ("company_size length", n("company_size") > 40),
-        ("looking_for required", bare("looking_for") == 0), ("looking_for length", n("looking_for") > 5000), ("source length", n("source") > 300),
-    ]
-    return leads.withColumn("reasons", F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules]), lambda x: x.isNotNull()))
+    return leads.withColumn("reasons", F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in _rules()]), lambda x: x.isNotNull()))
+
+
+def _wrong() -> Column:
+    """Whether validate_lead has any reason, without making them."""
+    return reduce(lambda x, y: x | y, [F.coalesce(test, F.lit(False)) for _, test in _rules()])
 
 
 def valid(leads: DataFrame) -> DataFrame:
     """Rows that are valid, trimmed; role and source are null where nothing is left."""
-    good = validate_lead(drop_bots(leads)).where(F.size("reasons") == 0).drop("reasons", "hp")
+    good = drop_bots(leads).where(~_wrong()).drop("hp")
     bare = {c: trimmed(F.col(c)) for c in ("full_name", "email", "company", "looking_for")}
     return good.withColumns(bare | {c: empty_to_null(F.col(c)) for c in ("role", "source")})
 
 
 def rejected(leads: DataFrame) -> DataFrame:
-    return validate_lead(drop_bots(leads)).where(F.size("reasons") > 0)
+    return validate_lead(drop_bots(leads).where(_wrong()))
+
+
+#: Contents that repeat within a batch and whose hashes are sent to all tasks; with more of them all rows are numbered.
+AGAIN = 200_000
 
 
 def landed(leads: DataFrame, batch: str | int) -> DataFrame:
     """Valid rows with an id and a time. The id follows from the batch, the row's content and its place among the batch's equal rows, so a batch that is
-    landed again gives the same ids."""
+    landed again gives the same ids. Only rows whose content comes again are numbered, by an exchange; the others, the only ones of their content, stay where they are."""
     good = valid(leads)
-    content = F.sha2(F.to_json(F.struct(*good.columns)), 256)
-    placed = numbered(good.withColumn("_content", content).withColumn("_tie", F.monotonically_increasing_id()), ["_content"], ["_tie"], "_k")
+    good = good.withColumn("_content", F.sha2(F.to_json(F.struct(*good.columns)), 256))
+    shared_folder(leads.sparkSession)
+    again = good.groupBy("_content").agg(F.count("*").alias("_n")).where("_n > 1").select("_content").checkpoint()
+    few = again.limit(AGAIN + 1).count()
+    numbers = lambda rows: numbered(rows.withColumn("_tie", F.monotonically_increasing_id()), ["_content"], ["_tie"], "_k").drop("_tie")
+    if few > AGAIN:
+        placed = numbers(good)
+    else:
+        placed = good.join(F.broadcast(again), "_content", "left_anti").withColumn("_k", F.lit(0).cast("long"))
+        if few:
+            placed = placed.unionByName(numbers(good.join(F.broadcast(again), "_content", "left_semi")))
     said = F.md5(F.concat_ws("/", F.lit(str(batch)), "_content", F.col("_k").cast("string")))
     identity = F.regexp_replace(said, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return placed.withColumn("id", identity).withColumn("created_at", F.current_timestamp()).drop("_content", "_tie", "_k")
+    return placed.withColumn("id", identity).withColumn("created_at", F.current_timestamp()).drop("_content", "_k")
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame:

@@ -588,3 +588,17 @@ def test_scores_rounded_where_they_are_made(spark):
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(E.cosine_match(qk, digits=6)) == rows(E.cosine_match(qk).withColumn("logit", F.round("logit", 6)))
     assert rows(E.attention_weights(qk, digits=9)) == rows(E.attention_weights(qk).withColumn("p", F.round("p", 9)))
+
+
+def test_leads_of_repeated_content_have_ids_of_their_own(spark, monkeypatch):
+    """However few or many contents come again, the same rows and ids; without any, no row is exchanged with its text."""
+    row = lambda k: (k, "A　", "a@b.cd", "c", "", "1", " x  ", None, None)
+    schema = f"custkey long, {I.LEAD}"
+    some = spark.createDataFrame([row(k % 7) for k in range(10)] + [row(100)], schema)
+    of = lambda d: sorted((r.custkey, r.full_name, r.looking_for, r.id) for r in I.landed(d, 3).collect())
+    got = of(some)
+    assert [r[:3] for r in got] == sorted((k % 7, "A", "x") for k in range(10)) + [(100, "A", "x")] and len({r[3] for r in got}) == 11
+    monkeypatch.setattr(I, "AGAIN", 1)
+    assert of(some) == got
+    plan = plan_of(I.landed(spark.createDataFrame([row(k) for k in range(9)], schema), 3))
+    assert "rangepartitioning" not in plan and "MapInArrow" not in plan
