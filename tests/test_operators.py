@@ -13,6 +13,8 @@ from spotweave.operators import features as E
 from spotweave.operators import neighbors as N
 from spotweave.operators import scoring as S
 from spotweave.operators import transforms as T
+from spotweave.plans import fixtures as X
+from spotweave.plans.bindings import QUERIES
 from spotweave.sources import intake as I
 from spotweave.sources import slices as L
 from spotweave.streaming.leads import stream_leads
@@ -391,6 +393,48 @@ def test_svd_in_blocks_of_genes(spark):
     assert {x.dim for x in few} == {0, 1}
 
 
+def test_svd_of_packed_rows(spark):
+    """Pieces of one spot and of several, entries of one place (added up), genes beyond the panel, a spot of such alone, a gene that no spot has; and its spots' image."""
+    r = np.random.default_rng(6)
+    m = np.where(r.random((50, 24)) < 0.4, r.normal(size=(50, 5)) @ r.normal(size=(5, 24)), 0.0)
+    m[:, 11] = 0
+    twice = [("A", 3, g, 0.5) for g in range(0, 24, 5)]
+    rows = E.pack(sparse(spark, m, [*twice, ("A", 3, 24, 9.0), ("A", 4, -1, 9.0), ("A", 77, 30, 9.0)]).repartition(5)).persist()
+    m[3, ::5] += 0.5
+    want = np.linalg.svd(m, full_matrices=False)[2][:4].T
+    for piece in (1, 24 * 7, E.PIECE):
+        w = np.zeros((24, 4))
+        for x in E.svd_basis_packed(rows, 4, 24, rounds=12, gene_block=10, fan=2, piece=piece).collect():
+            w[x.gene_idx, x.dim] = x.w
+        assert np.allclose(np.abs(w), np.abs(want), atol=1e-6)
+    z = spark.createDataFrame([("A", i, k, float(m[i] @ w[:, k])) for i in range(50) for k in range(4)], "sample_id string, spot_idx long, dim int, z double")
+    got = {(x.gene_idx, x.dim): x.g for x in E.packed_image(rows, z, 4).collect()}
+    rows.unpersist()
+    want = m.T @ (m @ w)
+    assert {k for k in got if 0 <= k[0] < 24} == {(g, k) for g in range(24) for k in range(4) if g != 11} and all(abs(got[g, k] - want[g, k]) < 1e-9 for g, k in got if 0 <= g < 24)
+
+
+def test_the_svd_query_makes_its_spots_once(spark, monkeypatch):
+    """The rounds and the test of the basis read the packed spots that were kept; nothing goes back to the tables."""
+    made, expr = spark.sparkContext.accumulator(0), X.expr
+
+    def counted(s, d):
+        def count(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        e = expr(s, d)
+        return e.mapInArrow(count, e.schema)
+
+    monkeypatch.setattr(X, "expr", counted)
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    rows = QUERIES["shared_svd_basis"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 25 and all(r.invariant and r["product"] == (r.dim == r.other) for r in rows)
+    assert made.value == expr(spark, "/root/testdata/sf0.001").count()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= kept + 2  # the basis and its image, not the spots
+
+
 def test_the_index_finds_most_with_few_distances(spark):
     r = np.random.default_rng(0)
     turn = r.normal(size=(6, 40))
