@@ -5,10 +5,12 @@ least-hash gram of `gram` bytes inside it (its anchor), which depends on the win
 windows meet under one anchor. Four grouped steps over documents that are hash-dealt into blocks once (the
 exchange is reused):
 
-1. each block sends the hashes of its anchors, each once, six bytes apiece, some buckets together; a bucket answers with
-   those which other blocks have too;
+1. each block sends the hashes of its anchors, each once, as differences in order (about three bytes apiece), some buckets
+   together, and the SHA-256 of its texts, each once; a bucket answers with the anchors that other blocks have too, and the texts that a
+   smaller document has whole: such a copy is gone, and takes no further part, as what it holds the smaller document holds;
 2. each block sends the runs of windows under such anchors (once for each distinct run of bytes). Runs of anchors
-   that more than `hot_blocks` blocks have are split into single windows, dealt out by the window's own hash, and met first
+   that more than `hot_blocks` blocks have, with more than `hot_runs` distinct runs in all, are split into single windows (some ten times as
+   many bytes: only what would be too much for one bucket is worth it), dealt out by the window's own hash, and met first
    by groups of about the square root of all blocks, of which only the least document's copies go on: so a window that
    every block has costs one task no more than that many rows;
 3. each bucket sorts the suffixes that start in its windows, by bucket-pointer refinement: buckets by the first
@@ -18,7 +20,8 @@ exchange is reused):
 
 Rows travel to their block packed and compressed, some from each task together.
 
-Hashes only say where bytes meet: runs are taken for equal when all their bytes are.
+Hashes only say where bytes meet: runs are taken for equal when all their bytes are; whole texts are when their SHA-256 is.
+No step is computed twice or written beside its exchange, so disk holds each exchange once, however many blocks there are.
 
 Only anchors met twice travel with their bytes, and nothing is gathered beyond a block or a bucket; both counts
 follow the corpus size.
@@ -41,21 +44,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ranges, use_shared_checkpoints
+from .common import mix, ranges
 
 WINDOW = 50
 GRAM = 24
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 MIN_BLOCKS = 48
-#: An anchor in more blocks than this is dealt out by single windows.
-HOT_BLOCKS = 256
+#: An anchor in more blocks than this, with more distinct runs (counted in each block), is dealt out by single windows. So many runs are about a megabyte.
+HOT_BLOCKS, HOT_RUNS = 256, 1 << 14
 #: Buckets whose anchors travel together, at most.
 TOGETHER = 16
 #: Parts of a bucket that are sorted one after another.
 PARTS = 16
 _SLICE = 1 << 20
-_LOW40 = np.uint64((1 << 40) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 _U = np.uint64
 NO_ID = np.iinfo(np.int64).max
 
@@ -120,6 +123,16 @@ class Block:
         self.offsets -= lo
         self.n = hi - lo
 
+    def texts(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct texts that hold a window: SHA-256 as four words, least document; and each document's text (-1: it holds none)."""
+        found: dict[bytes, int] = {}
+        text, least = np.full(len(self.ids), -1), []
+        for i in np.flatnonzero(np.diff(self.offsets) >= window).tolist():
+            text[i] = found.setdefault(hashlib.sha256(self.data[self.offsets[i] : self.offsets[i + 1]]).digest(), len(found))
+            if text[i] == len(least):
+                least.append(self.ids[i])  # documents are in order
+        return np.frombuffer(b"".join(found), "<u8").reshape(-1, 4), np.array(least, np.int64), text
+
     def runs(self, window: int, gram: int) -> tuple[np.ndarray, ...]:
         """Maximal runs of windows under one anchor: start, number of windows, document's place, anchor's hash."""
         found = []
@@ -156,8 +169,8 @@ class Block:
 
 
 def anchors(key: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct coarse keys (bucket above 40 bits of hash), each run's place among them, and which have two documents."""
-    coarse = ((key >> _U(40)) % _U(buckets)) << _U(40) | (key & _LOW40)
+    """Distinct coarse keys (bucket above 32 bits of hash), each run's place among them, and which have two documents."""
+    coarse = ((key >> _U(40)) % _U(buckets)) << _U(32) | (key & _LOW32)
     distinct, place = np.unique(coarse, return_inverse=True)
     low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID)
     np.minimum.at(low, place, ids)
@@ -165,50 +178,104 @@ def anchors(key: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return distinct, place, low != high
 
 
-def _spans(distinct: np.ndarray, together: int) -> list[tuple[int, int, int]]:
-    """(group of buckets, from, to) of sorted coarse keys."""
-    bucket = (distinct >> _U(40)).astype(np.int64) // together
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    return list(zip(bucket[cut].tolist(), list(cut), [*cut[1:], len(bucket)], strict=True)) if len(bucket) else []
+def _spans(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, from, to) of sorted numbers of groups."""
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return list(zip(group[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True)) if len(group) else []
 
 
-ANCHORS = "block int, bucket int, keys binary"
-FLAGS = "block int, bucket int, flags binary"
+ANCHORS = "block int, bucket int, keys binary, texts binary"
+FLAGS = "block int, bucket int, flags binary, texts binary"
 RUNS = "bucket int, block int, grp int, packed binary, done binary"
 MARKS = "block int, marks binary"
 
 
-def send_anchors(docs: pa.Table, buckets: int, together: int, window: int, gram: int) -> pa.Table:
-    block = Block(docs)
-    _, _, doc, key = block.runs(window, gram)
-    distinct, _, _ = anchors(key, block.ids[doc], buckets)
-    small = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :6]
-    spans = _spans(distinct, together)
-    return pa.table({"block": pa.array([docs["_block"][0].as_py()] * len(spans), pa.int32()), "bucket": pa.array([b for b, _, _ in spans], pa.int32()), "keys": pa.array([small[i:j].tobytes() for _, i, j in spans], pa.binary())})
-
-
-def flag_anchors(sent: pa.Table, hot: int) -> pa.Table:
-    """For each block, a byte for each of its keys: 0 no other block has it, 1 some have, 2 more than `hot` have."""
-    blobs = sent["keys"].to_pylist()
-    sizes = np.array([len(b) // 6 for b in blobs])
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    values = wide.view("<u8").ravel()
-    order = np.argsort(values)
-    v = values[order]
-    cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    met = np.diff(np.append(cut, len(v)))
-    flags = np.empty(len(v), np.uint8)
-    flags[order] = np.repeat((met > 1).astype(np.uint8) + (met > hot), met)
-    ends = np.cumsum(sizes)
-    return pa.table({"block": sent["block"], "bucket": sent["bucket"], "flags": pa.array([zlib.compress(flags[e - n : e].tobytes(), 1) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+class Sent:
+    """What a block asks: its anchors and its texts, in groups of buckets. Later copies of a text within the block take no part."""
+
+    def __init__(self, docs: pa.Table, buckets: int, together: int, window: int, gram: int):
+        self.block = Block(docs)
+        self.digest, self.least, self.text = self.block.texts(window)
+        self.copied = (self.text >= 0) & (self.block.ids > self.least[self.text]) if len(self.least) else np.zeros(len(self.text), bool)
+        start, count, doc, key = self.block.runs(window, gram)
+        few = ~self.copied[doc]
+        self.start, self.count, self.doc, key = start[few], count[few], doc[few], key[few]
+        self.distinct, self.place, self.twice = anchors(key, self.block.ids[self.doc], buckets)
+        of_text = (self.digest[:, 0] % _U(buckets)).astype(np.int64) // together
+        self.order = np.argsort(of_text, kind="stable")
+        self.anchor_spans = _spans((self.distinct >> _U(32)).astype(np.int64) // together)
+        self.text_spans = _spans(of_text[self.order])
+
+
+def pack_keys(keys: np.ndarray, runs: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys)], "<i8").tobytes() + _planes(keys) + _planes(runs))
+
+
+def unpack_keys(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return _whole(raw, n, 8), _whole(raw, n, 8 + 8 * n).astype(np.uint32)
+
+
+def send_anchors(docs: pa.Table, buckets: int, together: int, counted: bool, window: int, gram: int) -> pa.Table:
+    """counted: with how many distinct runs each anchor has."""
+    sent = Sent(docs, buckets, together, window, gram)
+    runs = np.zeros(len(sent.distinct), np.int64)
+    if counted:
+        h = mix(window_hash(sent.block.data, sent.start, window) ^ sent.count.astype(np.uint64)) ^ mix(sent.place.astype(np.uint64))
+        runs = np.bincount(sent.place[np.unique(h, return_index=True)[1]], minlength=len(runs))
+    rows: dict[int, list[bytes]] = {}
+    for b, i, j in sent.anchor_spans:
+        rows.setdefault(b, [b"", b""])[0] = pack_keys((sent.distinct[i:j] - _U(b * together << 32)).astype(np.int64), runs[i:j])
+    for b, i, j in sent.text_spans:
+        few = sent.order[i:j]
+        rows.setdefault(b, [b"", b""])[1] = np.column_stack([sent.digest[few], sent.least[few].view(np.uint64)]).astype("<u8").tobytes()
+    keys, texts = zip(*rows.values(), strict=True) if rows else ((), ())
+    return pa.table({"block": pa.array([docs["_block"][0].as_py()] * len(rows), pa.int32()), "bucket": pa.array(list(rows), pa.int32()), "keys": pa.array(keys, pa.binary()), "texts": pa.array(texts, pa.binary())})
+
+
+def flag_anchors(sent: pa.Table, together: int, hot_blocks: int, hot_runs: int) -> pa.Table:
+    """For each block, a byte for each of its keys: 0 no other block has it, 1 some have, 2 more than `hot_blocks` have, with more than `hot_runs` runs;
+    and a byte for each of its texts: 1 a smaller document of another block has it."""
+    found = [unpack_keys(k) if k else (np.zeros(0, np.int64), np.zeros(0, np.uint32)) for k in sent["keys"].to_pylist()]
+    flags = [np.zeros(len(keys), np.uint8) for keys, _ in found]
+    at = [np.searchsorted(keys, np.arange(together + 1) << 32) for keys, _ in found]
+    for k in range(together):  # a bucket at a time
+        own = [(i, a[k], a[k + 1]) for i, a in enumerate(at) if a[k] < a[k + 1]]
+        if not own:
+            continue
+        values = np.concatenate([found[i][0][a:b] for i, a, b in own])
+        order = np.argsort(values)
+        v = values[order]
+        cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        met = np.diff(np.append(cut, len(v)))
+        runs = np.add.reduceat(np.concatenate([found[i][1][a:b] for i, a, b in own])[order].astype(np.int64), cut)
+        said = np.empty(len(v), np.uint8)
+        said[order] = np.repeat((met > 1).astype(np.uint8) + ((met > 1) & (met > hot_blocks) & (runs > hot_runs)), met)
+        ends = np.cumsum([b - a for _, a, b in own])
+        for (i, a, b), e in zip(own, ends, strict=True):
+            flags[i][a:b] = said[e - (b - a) : e]
+    blobs = sent["texts"].to_pylist()
+    texts = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, 5)
+    ids = texts[:, 4].view(np.int64)
+    order = np.lexsort((ids, *texts[:, :4].T))
+    head = np.concatenate([[True], (texts[order[1:], :4] != texts[order[:-1], :4]).any(1)]) if len(order) else np.zeros(0, bool)
+    copied = np.empty(len(order), np.uint8)
+    copied[order] = ids[order] > ids[order[head]][np.cumsum(head) - 1]
+    ends = np.cumsum([len(b) // 40 for b in blobs])
+    told = [copied[e - len(b) // 40 : e].tobytes() for b, e in zip(blobs, ends, strict=True)]
+    return pa.table({"block": sent["block"], "bucket": sent["bucket"], "flags": pa.array([zlib.compress(f.tobytes(), 1) for f in flags], pa.binary()), "texts": pa.array(told, pa.binary())})
+
+
+def _packed(start: np.ndarray, count: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate([start, count]).astype("<u4").tobytes(), 1)
 
 
 def _done(start: np.ndarray, count: np.ndarray) -> bytes:
     """Removed windows as sorted runs (start, length), packed."""
     w = np.unique(ranges(start, count))
     cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1] + 1])) if len(w) else np.zeros(0, np.int64)
-    return zlib.compress(np.concatenate([w[cut], np.diff(np.append(cut, len(w)))]).astype("<u4").tobytes(), 1)
+    return _packed(w[cut], np.diff(np.append(cut, len(w))))
 
 
 def run_hash(data: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
@@ -275,15 +342,22 @@ def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, together: int, grou
     rows: dict = {"bucket": [], "block": [], "grp": [], "packed": [], "done": []}
     if not docs.num_rows:
         return _rows(rows)
-    block, name = Block(docs), docs["_block"][0].as_py()
-    start, count, doc, key = block.runs(window, gram)
-    distinct, place, twice = anchors(key, block.ids[doc], buckets)
-    said = {b: f for b, f in zip(flags["bucket"].to_pylist(), flags["flags"].to_pylist(), strict=True)}
-    flag = np.frombuffer(b"".join(zlib.decompress(said[b]) for b, _, _ in _spans(distinct, together)), np.uint8)
-    flag = np.maximum(flag, twice.astype(np.uint8))[place] if len(place) else flag
-    keep = np.flatnonzero(flag)
-    start, count, ids, hot, to = start[keep], count[keep], block.ids[doc[keep]], flag[keep] == 2, (distinct[place[keep]] >> _U(40)).astype(np.int64)
-    part = (distinct[place[keep]] >> _U(36)).astype(np.int64) % PARTS
+    sent, name = Sent(docs, buckets, together, window, gram), docs["_block"][0].as_py()
+    block, place = sent.block, sent.place
+    said = {b: (f, t) for b, f, t in zip(*(flags[c].to_pylist() for c in ("bucket", "flags", "texts")), strict=True)}
+    told = np.zeros(len(sent.least), bool)
+    told[sent.order] = np.frombuffer(b"".join(said[b][1] for b, _, _ in sent.text_spans), bool)
+    copied = sent.copied.copy()
+    copied[sent.text >= 0] |= told[sent.text[sent.text >= 0]]
+    gone = np.flatnonzero(copied)
+    if len(gone):
+        for k, v in zip(rows, (name % buckets, name, None, None, _packed(block.offsets[gone], block.offsets[gone + 1] - block.offsets[gone] - window + 1)), strict=True):
+            rows[k].append(v)
+    flag = np.frombuffer(b"".join(zlib.decompress(said[b][0]) for b, _, _ in sent.anchor_spans), np.uint8)
+    flag = np.maximum(flag, sent.twice.astype(np.uint8))[place] if len(place) else flag
+    keep = np.flatnonzero((flag > 0) & ~copied[sent.doc])
+    start, count, ids, hot, to = sent.start[keep], sent.count[keep], block.ids[sent.doc[keep]], flag[keep] == 2, (sent.distinct[place[keep]] >> _U(32)).astype(np.int64)
+    part = (sent.distinct[place[keep]] >> _U(28)).astype(np.int64) % PARTS
     if hot.any():
         single = ranges(start[hot], count[hot])
         w = window_hash(block.data, single, window)
@@ -305,8 +379,10 @@ def send_runs(docs: pa.Table, flags: pa.Table, buckets: int, together: int, grou
 
 
 def combine(sent: pa.Table, window: int) -> pa.Table:
-    """Of hot windows of a group of blocks, those of the least document go on; the others are done."""
+    """Of hot windows of a group of blocks, those of the least document go on; the others are done. Of rows that aren't hot, nothing."""
     rows: dict = {"bucket": [], "block": [], "grp": [], "packed": [], "done": []}
+    if sent["grp"][0].as_py() is None:
+        return _rows(rows)
     found = [(block, *unpack_runs(zstandard.ZstdDecompressor().decompress(packed))) for block, packed in zip(sent["block"].to_pylist(), sent["packed"].to_pylist(), strict=True)]
     bucket = sent["bucket"][0].as_py()
     part = np.concatenate([np.repeat(np.arange(PARTS), f[1]) for f in found])
@@ -464,33 +540,36 @@ def rewrite(docs: pa.Table, marks: pa.Table, window: int, names: list[str]) -> p
     return rows.select(names)
 
 
-def _marked(docs: DataFrame, window: int, gram: int, block_bytes: int, bucket_bytes: int, hot_blocks: int) -> tuple[DataFrame, DataFrame]:
+def _marked(docs: DataFrame, window: int, gram: int, block_bytes: int, bucket_bytes: int, hot_blocks: int, hot_runs: int) -> tuple[DataFrame, DataFrame]:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(MIN_BLOCKS, math.ceil(total / block_bytes)), max(MIN_BLOCKS, math.ceil(total / bucket_bytes))
     together, groups = min(TOGETHER, max(1, buckets // MIN_BLOCKS)), math.isqrt(blocks) + 1
     # by id and text, so that rows without an id, or of one id, are dealt out too
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(deal, "_block int, rows binary")
-    sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, together, window, gram), ANCHORS)
-    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, hot_blocks), FLAGS)
+    hot = blocks > hot_blocks  # else no anchor can be in so many
+    sent = dealt.groupBy("_block").applyInArrow(lambda t: send_anchors(t, buckets, together, hot, window, gram), ANCHORS)
+    flags = sent.groupBy("bucket").applyInArrow(lambda t: flag_anchors(t, together, hot_blocks, hot_runs), FLAGS)
     runs = dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: send_runs(d, f, buckets, together, groups, window, gram), RUNS)
-    if blocks > hot_blocks:  # else no anchor can be in so many
-        use_shared_checkpoints(docs.sparkSession)
-        runs = runs.checkpoint()
-        runs = runs.where("grp is null").union(runs.where("grp is not null").groupBy("bucket", "grp").applyInArrow(lambda t: combine(t, window), RUNS))
-    return dealt, runs.groupBy("bucket").applyInArrow(lambda t: decide(t, window), MARKS)
+    if not hot:
+        return dealt, runs.groupBy("bucket").applyInArrow(lambda t: decide(t, window), MARKS)
+    # one exchange, read twice: a filter before it would make the runs, and the exchange, once for each side
+    met = runs.groupBy("bucket", "grp")
+    cold = met.applyInArrow(lambda t: decide(t if t["grp"][0].as_py() is None else t.slice(0, 0), window), MARKS)
+    few = met.applyInArrow(lambda t: combine(t, window), RUNS)
+    return dealt, cold.union(few.groupBy("bucket").applyInArrow(lambda t: decide(t, window), MARKS))
 
 
-def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text).
 
     window: bytes of a repeated string, 32 to 255. gram: bytes of an anchor, 8 to window - 1.
     """
-    dealt, marks = _marked(docs.select("doc_id", "text"), window, gram, block_bytes, bucket_bytes, hot_blocks)
+    dealt, marks = _marked(docs.select("doc_id", "text"), window, gram, block_bytes, bucket_bytes, hot_blocks, hot_runs)
     return dealt.groupBy("_block").cogroup(marks.groupBy("block")).applyInArrow(lambda d, m: digest(d, m, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """The documents, with the repeated bytes cut from their text; all columns and rows stay."""
-    dealt, marks = _marked(docs, window, gram, block_bytes, bucket_bytes, hot_blocks)
+    dealt, marks = _marked(docs, window, gram, block_bytes, bucket_bytes, hot_blocks, hot_runs)
     names = docs.columns
     return dealt.groupBy("_block").cogroup(marks.groupBy("block")).applyInArrow(lambda d, m: rewrite(d, m, window, names), docs.schema)

@@ -1,8 +1,13 @@
 import hashlib
 import random
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from spotweave.llm import suffix_dedup as S
+from spotweave.llm.common import use_shared_checkpoints
 
 DOCS = "doc_id long, text string"
 
@@ -62,6 +67,54 @@ def test_hot_windows_in_many_blocks(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("seed,hot_runs", [(1, 0), (5, 3)])
+def test_many_blocks_leave_nothing_but_exchanges(spark, seed, hot_runs):
+    """Beyond hot_blocks blocks the rows are as ever, and no step writes its rows beside its exchange, or makes them twice."""
+    rows = sample(seed) + [(1000 + i, t) for i, t in sample(seed) if i is not None] + [(None, sample(seed)[6][1])] * 2
+    before = set(checkpoint_files(spark))
+    got = S.covered(spark.createDataFrame(rows, DOCS), block_bytes=sum(len(t or "") for _, t in rows) // 60, hot_blocks=2, hot_runs=hot_runs)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert set(checkpoint_files(spark)) == before
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FlatMapCoGroupsInArrow") == 2 and "RDDScan" not in final.replace("Scan ExistingRDD", "")
+
+
+def checkpoint_files(spark):
+    """The files of checkpoints."""
+    use_shared_checkpoints(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return [p for p in folder.rglob("*") if p.is_file()]
+
+
+def sent_bytes(rows, blocks=8, buckets=48, hot_blocks=2, hot_runs=1 << 14):
+    """The steps up to the runs, by hand: their bytes, and the groups of those that are dealt by single windows."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "_block": pa.array([k % blocks for k in range(len(rows))], pa.int32())})
+    docs = pa.Table.from_batches(S.deal([batch]))
+    each = [docs.filter(pc.equal(docs["_block"], b)) for b in range(blocks)]
+    asked = pa.concat_tables([S.send_anchors(d, buckets, 1, True, 50, 24) for d in each])
+    flags = pa.concat_tables([S.flag_anchors(asked.filter(pc.equal(asked["bucket"], b)), 1, hot_blocks, hot_runs) for b in range(buckets) if b in set(asked["bucket"].to_pylist())])
+    runs = pa.concat_tables([S.send_runs(d, flags.filter(pc.equal(flags["block"], b)), buckets, 1, 3, 50, 24) for b, d in enumerate(each)])
+    return sum(len(zstandard.ZstdDecompressor().decompress(x)) for x in runs["packed"].to_pylist() if x), {g for g in runs["grp"].to_pylist() if g is not None}
+
+
+def test_copies_of_a_text_are_not_sent():
+    """Runs travel once for a text and its copies, in whatever blocks they are; before, once for each block that had one."""
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(60, 400)))) for i in range(40)]
+    copied = lambda n: r.sample(some := [(i + 100 * k, t) for k in range(n) for i, t in rows], len(some))
+    assert 0 < sent_bytes(copied(6), buckets=4)[0] < sent_bytes(copied(2), buckets=4)[0] * 1.5
+
+
+def test_an_anchor_of_few_runs_is_not_split():
+    """A passage that every block has is few distinct runs, however many blocks: it isn't sent as single windows."""
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(r.choice("ijkl ") for _ in range(90)) + passage + str(i)) for i in range(8)]
+    few, groups = sent_bytes(rows)
+    single, split = sent_bytes(rows, hot_runs=0)
+    assert not groups and split and few * 4 < single
+
+
 def test_runs_of_one_hash_are_compared(monkeypatch):
     """With a hash of two values, runs are still told apart by their bytes."""
     import numpy as np
