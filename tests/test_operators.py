@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from spotweave.functions import vectors as V
 from spotweave.functions.runtime import numbered
@@ -626,6 +627,22 @@ def test_a_row_is_sent_a_bounded_number_of_times(spark):
     assert [tuple(r) for r in got] == [(4, 40_000, 40_000)]
 
 
+def test_groups_of_a_pair_are_many_tasks(spark):
+    """One pair's blocks are dealt out by group: before, all met where the pair's row of sizes was. A row is sent twice, for four groups."""
+    rng = np.random.default_rng(12)
+    qk = spark.createDataFrame([("p", s, i, [float(i), 1.0]) for s in "AB" for i in range(40)], "pair_id string, side string, spot_idx long, v array<double>").persist()
+    where = lambda pair, b, a: ([pair] * b.num_rows, b["spot_idx"], [TaskContext.get().partitionId()] * b.num_rows)
+    got = E._by_block(qk, where, "pair_id string, b_idx long, n long", block=5)
+    found = got.groupBy("b_idx").agg(F.count("*").alias("k")).collect()
+    assert [r.k for r in found] == [8] * 40 and got.select("n").distinct().count() > 3
+    odd = {3: [0.1, float("nan"), 1.0], 5: None, 6: [], 8: [1e300, 1.0, 2.0], 9: [-0.0, 0.5, 1.0], 11: [None, 1.0, 2.0]}
+    v = [odd.get(i, rng.normal(size=3).tolist() if i % 2 else rng.integers(-9, 9, 3).astype(float).tolist()) for i in range(16)]
+    rows = spark.createDataFrame([("p", s, i, x) for s in "AB" for i, x in enumerate(v)], qk.schema)
+    shape = lambda pair, b, a: ([pair] * b.num_rows, b["spot_idx"], b["v"])
+    back = {r.b_idx: r.v for r in E._by_block(rows, shape, "pair_id string, b_idx long, v array<double>", whole=True).collect()}
+    assert str([back[i] for i in range(16)]) == str(v)  # as they were, whether floats hold them or not
+
+
 def test_scores_rounded_where_they_are_made(spark):
     rng = np.random.default_rng(10)
     qk = spark.createDataFrame([("p", s, i, rng.normal(size=4).tolist()) for s in "AB" for i in range(30)], "pair_id string, side string, spot_idx long, v array<double>").persist()
