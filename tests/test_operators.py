@@ -643,6 +643,16 @@ def test_groups_of_a_pair_are_many_tasks(spark):
     assert str([back[i] for i in range(16)]) == str(v)  # as they were, whether floats hold them or not
 
 
+def test_score_files_are_small(spark, tmp_path):
+    """The rows of a block lie so that their indices take some bits, not two bytes each."""
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(6000, 2)).round(2), rng.normal(size=(400, 2)).round(2)
+    qk = spark.createDataFrame([("p", s, int(i), x.tolist()) for s, m in (("A", a), ("B", b)) for i, x in zip(rng.permutation(len(m)), m, strict=True)], "pair_id string, side string, spot_idx long, v array<double>")
+    E.attention_weights(qk, digits=2).write.parquet(str(tmp_path / "p"))  # the weights themselves take nothing
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2_400_000
+    assert sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet")) < 2_400_000 * 0.5
+
+
 def test_scores_rounded_where_they_are_made(spark):
     rng = np.random.default_rng(10)
     qk = spark.createDataFrame([("p", s, i, rng.normal(size=4).tolist()) for s in "AB" for i in range(30)], "pair_id string, side string, spot_idx long, v array<double>").persist()
